@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 
 from lodestack.llm.common import prepare, segments, text_slices
 
-#: Words kept in a worker's word table before it starts anew.
-TABLE_ENTRIES = 300_000
+#: Words in a generation of a worker's word table; two generations are kept.
+TABLE_ENTRIES = 400_000
 PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 IDS_SCHEMA = PIECES_SCHEMA + ", ids binary"
 PACKED_SCHEMA = PIECES_SCHEMA + ", sequence_id long, offset long"
@@ -51,6 +53,19 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.table: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        self.marks = {m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in ("", ".", ",")}
+
+    @staticmethod
+    def _core(word: str) -> tuple[str, str]:
+        """What of a word is to be encoded, and the mark after it.
+
+        A full stop or comma after a letter is a token of its own, and case
+        doesn't count; the names of special tokens are left as they are.
+        """
+        mark = word[-1:] if word[-1:] in (".", ",") and word[-2:-1].isalpha() else ""
+        core = word[:-1] if mark else word
+        return (core.lower() if core.isascii() and "<|" not in core else core), mark
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids of ``text``."""
@@ -67,16 +82,38 @@ class WordIds:
             pass
         new = [w for w in set(words) if w not in table]
         if len(table) + len(new) > TABLE_ENTRIES:
-            self.table = table = {"": b""}
-            new = list(set(words))
-        for word, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            table[word] = np.array(coded.ids, dtype="<u4").tobytes()
+            # words in use move on to the new generation, the others are forgotten with the one before
+            self.older, self.table = table, {"": b""}
+            table, new = self.table, list(set(words))
+        cores, older = {}, self.older
+        for word in new:
+            known = older.get(word)
+            if known is None:
+                cores[word] = self._core(word)
+            else:
+                table[word] = known
+        unknown = []
+        for core in {c for c, _ in cores.values()}:
+            if core in older:
+                table[core] = older[core]
+            elif core not in table:
+                unknown.append(core)
+        for core, coded in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False)):
+            table[core] = array("I", coded.ids).tobytes()
+        for word, (core, mark) in cores.items():
+            table[word] = table[core] + self.marks[mark]
         return b"".join(map(table.__getitem__, words))
 
 
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """The word table of this worker process, kept from task to task."""
+    return WordIds(path)
+
+
 def _cutter(path: str, capacity: int, end_id: int, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = word_ids(path)
         end, width = np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
             for low, high in text_slices(batch, "text", 8 << 20):

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import langid, packing, sentencepieces, topk
+from lodestack.llm import langid, packing, pii, quality, sentencepieces, topk, toxicity
 from lodestack.llm.common import fold, prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(toxicity.labelled_rows(docs.where(fold("doc_id", 4) != 2), table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -64,13 +71,71 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = quality.ledger(documents(spark, sf_dir))
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return ledger.select(*names, (~quality.passes(quality.BASE)).alias("base_failed"), quality.passes(quality.CURRENT).alias("kept"), "fail_bits")
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+m AS (
+  SELECT r, doc_id, text,
+         list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM d),
+g AS (
+  SELECT r, i, hash(words[i:i + 7]) AS h FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM m)),
+c AS (SELECT r, i, count(*) OVER (PARTITION BY r, h) AS n FROM g),
+t AS (
+  SELECT r, sum(least(8, coalesce(nxt - i, 8))) AS n_repeat_words
+  FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM c WHERE n > 1) GROUP BY r),
+f AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) AS BIGINT) AS n_lines,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+         length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS up,
+         length(regexp_replace(text, '[^a-z]+', '', 'g')) AS low,
+         length(regexp_replace(text, '[^!]+', '', 'g')) AS ex
+  FROM m LEFT JOIN t USING (r)),
+b AS (
+  SELECT *, CAST(
+      (CASE WHEN n_words < 20 THEN 1 ELSE 0 END)
+    | (CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END)
+    | (CASE WHEN 100 * n_symbols > 25 * n_words THEN 4 ELSE 0 END)
+    | (CASE WHEN n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END)
+    | (CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 16 ELSE 0 END)
+    | (CASE WHEN up > low AND up >= 20 THEN 32 ELSE 0 END)
+    | (CASE WHEN 100 * ex > 25 * n_words THEN 64 ELSE 0 END) AS BIGINT) AS fail_bits
+  FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits
+FROM b
+"""
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.detect(documents(spark, sf_dir))
+    count = lambda k: F.size(F.filter("base", lambda s: s.kind == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
+    spans = F.sort_array(F.concat("base", "terms"))
+    return rows.select("doc_id", *[count(k) for k in range(4)], F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_toxicity": op2_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_language_id": op4_language_id,
     "op5_exact_top_k": op5_exact_top_k,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_top_k": OP5_SQL,
+    "op9_quality_rules": OP9_SQL,
 }

@@ -14,7 +14,9 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,8 @@ from lodestack.llm.common import prepare, text_slices
 
 MARK = "▁"
 CHUNKS = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
-#: Chunks kept in a worker's table before it starts anew.
-TABLE_ENTRIES = 250_000
+#: Chunks in a generation of a worker's table; two generations are kept.
+TABLE_ENTRIES = 300_000
 CODED_SCHEMA = "doc_id long, ids binary, decoded string"
 
 
@@ -53,6 +55,7 @@ class ChunkTable:
         self.lead = self.processor.encode("a")  # decodes to 'a', so that what follows keeps its spaces
         self.ids: dict[str, bytes] = {}
         self.texts: dict[str, bytes] = {}
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     def _add(self, chunks: list[str]) -> None:
         # the library puts a marker in front: a marked chunk gives up one, a line's chunk drops it afterwards
@@ -62,7 +65,7 @@ class ChunkTable:
         coded = [x or [self.processor.piece_to_id(MARK)] for x in coded]
         decoded = self.processor.decode([self.lead + x for x in coded], num_threads=1)
         for chunk, ids, text in zip(chunks, coded, decoded):
-            self.ids[chunk] = np.array(ids, dtype="<u4").tobytes()
+            self.ids[chunk] = array("I", ids).tobytes()
             self.texts[chunk] = text[1:].encode()
 
     def code(self, text: str) -> tuple[bytes, bytes]:
@@ -83,20 +86,31 @@ class ChunkTable:
             except KeyError:
                 new = [c for c in set(chunks) if c not in self.ids]
                 if len(self.ids) + len(new) > TABLE_ENTRIES:
-                    self.ids, self.texts = {}, {}
+                    # chunks in use move on to the new generation, the others are forgotten with the one before
+                    self.older, self.ids, self.texts = (self.ids, self.texts), {}, {}
                     new = list(set(chunks))
-                self._add(new)
+                ids_before, texts_before = self.older
+                for chunk in new:
+                    if chunk in ids_before:
+                        self.ids[chunk], self.texts[chunk] = ids_before[chunk], texts_before[chunk]
+                self._add([c for c in new if c not in self.ids])
                 ids.append(b"".join(map(self.ids.__getitem__, chunks)))
             texts.append(b"".join(map(self.texts.__getitem__, chunks)))
             at = cut
         return b"".join([*ids, self.end]), b"".join(texts)[1:]
 
 
+@lru_cache(maxsize=2)
+def chunk_table(path: str) -> ChunkTable:
+    """The chunk table of this worker process, kept from task to task."""
+    return ChunkTable(path)
+
+
 def coder(path: str, finish: Callable[[bytes, bytes], tuple], names: tuple[str, ...], kinds: tuple[pa.DataType, ...]):
     """A mapInArrow function from (doc_id, text) to doc_id and what ``finish`` makes of ids and decoded bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable(path)
+        table = chunk_table(path)
         for batch in batches:
             for low, high in text_slices(batch, "text", 4 << 20):
                 part = batch.slice(low, high - low)
