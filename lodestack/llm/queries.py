@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import langid, packing, pii, quality, sentencepieces, topk, toxicity
+from lodestack.llm import langid, packing, pii, quality, sentencepieces, suffix_dedup, topk, toxicity
 from lodestack.llm.common import fold, prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), 50, digest=True)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit(toxicity.labelled_rows(docs.where(fold("doc_id", 4) != 2), table(spark, sf_dir, "labels")))
@@ -126,6 +130,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_language_id": op4_language_id,
