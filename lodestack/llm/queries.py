@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import langid, packing, pii, quality, sentencepieces, suffix_dedup, topk, toxicity
+from lodestack.llm import chunk_dedup, langid, packing, pii, quality, sentencepieces, suffix_dedup, topk, toxicity
 from lodestack.llm.common import fold, prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.remove_repeated_chunks(documents(spark, sf_dir)).drop("tag")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digests(ids: bytes, text: bytes) -> tuple[int, str, str]:
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()
@@ -135,6 +139,7 @@ QUERIES: dict[str, Query] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_language_id": op4_language_id,
     "op5_exact_top_k": op5_exact_top_k,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
     "op10_pii": op10_pii,

@@ -323,11 +323,14 @@ def _bodies(p: Plan):
     return run
 
 
-def cut_documents(docs: list[np.ndarray], ranges: list[np.ndarray]) -> Iterator[tuple[int | None, int, int, int, bytes]]:
-    """Id, length, removed bytes, removed runs and kept bytes of each document of a group."""
-    ids, tags, null, lengths, raw = docs
-    offsets = np.concatenate([[0], np.cumsum(lengths)])
-    # rows of one id and tag are the same text: the first stands for all
+def named_documents(ids: np.ndarray, tags: np.ndarray, lengths: np.ndarray, ranges: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Bring ``ranges`` (id, tag, start, end) to the documents of a group.
+
+    Rows of one id and tag are the same text: the first stands for all. Returns
+    the documents' offsets, for each the one that stands for it, and of each
+    range its document and its start and end as places in the joined texts.
+    """
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
     every_id, every_tag = np.concatenate([ids, ranges[0]]), np.concatenate([tags, ranges[1]])
     order = np.lexsort((every_tag, every_id))
     new = np.ones(len(order), dtype=bool)
@@ -338,13 +341,19 @@ def cut_documents(docs: list[np.ndarray], ranges: list[np.ndarray]) -> Iterator[
     first[name[: len(ids)][::-1]] = np.arange(len(ids))[::-1]
     owner = first[name[len(ids) :]]
     known = owner >= 0
-    owner, low, high = owner[known], ranges[2][known].astype(np.int64), ranges[3][known].astype(np.int64)
-    low, high = (offsets[owner] + np.minimum(x, lengths[owner]) for x in (low, high))
+    owner = owner[known]
+    low, high = (offsets[owner] + np.minimum(x[known].astype(np.int64), lengths[owner]) for x in ranges[2:4])
+    return offsets, first[name[: len(ids)]], owner, low, high
+
+
+def cut_documents(docs: list[np.ndarray], ranges: list[np.ndarray]) -> Iterator[tuple[int | None, int, int, int, bytes]]:
+    """Id, length, removed bytes, removed runs and kept bytes of each document of a group."""
+    ids, tags, null, lengths, raw = docs
+    offsets, first, _, low, high = named_documents(ids, tags, lengths, ranges)
     gone = runs_to_flags(len(raw), low, high)
-    begin, _ = flags_to_runs(gone, offsets[1:-1]) if len(raw) else (np.zeros(0, dtype=np.int64), None)
+    begin = flags_to_runs(gone, offsets[1:-1])[0] if len(raw) else np.zeros(0, dtype=np.int64)
     runs = np.bincount(np.searchsorted(offsets, begin, side="right") - 1, minlength=len(ids))
-    for i in range(len(ids)):
-        j = first[name[i]]
+    for i, j in enumerate(first.tolist()):
         text, flags = raw[offsets[j] : offsets[j + 1]], gone[offsets[j] : offsets[j + 1]]
         yield None if null[i] else int(ids[i]), len(text), int(flags.sum()), int(runs[j]), text[~flags].tobytes()
 

@@ -29,6 +29,15 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def range_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each ``raw[s:e]``, whatever its length and place."""
+    powers, inverse = _powers(1 << max(16, int(len(raw)).bit_length()))
+    sums = np.empty(len(raw) + 1, dtype=np.uint64)
+    sums[0] = 0
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[: len(raw)], out=sums[1:])
+    return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 @dataclass(frozen=True)
 class Words:
     """Words in text order: hash, and the row of the text that each is in."""
