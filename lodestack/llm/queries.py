@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import chunk_dedup, langid, packing, pii, quality, sentencepieces, suffix_dedup, topk, toxicity
+from lodestack.llm import chunk_dedup, jaccard_join, langid, packing, pii, quality, sentencepieces, suffix_dedup, topk, toxicity
 from lodestack.llm.common import fold, prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_components(documents(spark, sf_dir))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.remove_repeated_chunks(documents(spark, sf_dir)).drop("tag")
 
@@ -139,6 +143,7 @@ QUERIES: dict[str, Query] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_language_id": op4_language_id,
     "op5_exact_top_k": op5_exact_top_k,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
