@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.blobs import flags_to_runs, gather, groups_of, pack, runs_to_flags, unpack_all
-from lodestack.llm.common import mix64, prepare, shuffle_partitions, text_slices, utf8_buffer
+from lodestack.llm.common import mix64, prepare, shuffle_partitions, small_side, text_slices, utf8_buffer
 from lodestack.llm.suffix_dedup import DOCS, RANGES, _batch, _bodies, _columns, _dealt, _groups, named_documents
 from lodestack.llm.words import range_hashes
 
@@ -217,3 +217,19 @@ def remove_repeated_chunks(docs: DataFrame, chunking: Chunking = Chunking()) ->
     found = rows.mapInArrow(_emit(p), "bucket long, kind int, blob binary").groupBy("bucket").applyInArrow(_bucket(p), "pack long, blob binary")
     bodies = rows.mapInArrow(_bodies(p), "pack long, blob binary")
     return bodies.groupBy("pack").cogroup(found.groupBy("pack")).applyInArrow(_finish(p), KEPT_SCHEMA)
+
+
+def deduplicated(docs: DataFrame, chunking: Chunking = Chunking()) -> DataFrame:
+    """``docs`` without repeated runs in ``text``; rows that they left without a word are dropped.
+
+    Only the other columns are joined back, by id and tag.
+    """
+    keyed = docs.withColumn("_tag", tag_of())
+    cut = remove_repeated_chunks(docs, chunking).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_cut_tag"), F.col("text").alias("_text"), (F.col("n_removed") > 0).alias("_cut"))
+    keys = keyed.groupBy("doc_id", "_tag").count()
+    if keys.where("count > 1").take(1):
+        cut = cut.dropDuplicates(["_id", "_cut_tag"])
+    rest = keyed.withColumn("_null", F.col("text").isNull()).drop("text")
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_cut_tag") == F.col("_tag"))
+    joined = cut.join(small_side(rest, docs.count()), same).where(~F.col("_cut") | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
+    return joined.withColumn("text", F.when(~F.col("_null"), F.col("_text"))).select(docs.columns)

@@ -305,28 +305,56 @@ def linked(texts: DataFrame, words: int, j: Join = Join()) -> DataFrame:
     return components((new if links is None else links.unionByName(new)).checkpoint())
 
 
-def similarity_components(docs: DataFrame, j: Join = Join()) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a tag that tells rows of one id apart by their text."""
+    return docs.withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(""))))
 
-    component_id is the smallest doc_id reachable over links.
-    """
-    spark = prepare(docs.sparkSession)
-    text = F.coalesce("text", F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tag"))
+
+def _classes(docs: DataFrame, j: Join) -> tuple[DataFrame, DataFrame, int]:
+    """Every row's set (doc_id, tag, n, node), the classes (node, doc_id and tag of the first row, root), and their number."""
+    docs = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     described = docs.mapInArrow(_describe(j), "doc_id long, tag long, n int, node long, digest long").checkpoint()
     inside = described.where("doc_id is not null and n > 0")
-    classes = inside.groupBy("node", "digest", "n").agg(F.min(F.struct("doc_id", "tag")).alias("rep"), F.count("*").alias("copies")).select("node", "n", F.col("rep.doc_id").alias("doc_id"), F.col("rep.tag").alias("tag")).checkpoint()
+    classes = inside.groupBy("node", "digest", "n").agg(F.min(F.struct("doc_id", "tag")).alias("rep")).select("node", "n", F.col("rep.doc_id").alias("doc_id"), F.col("rep.tag").alias("tag")).checkpoint()
     totals = classes.agg(F.count("*").alias("classes"), F.sum("n").alias("n")).first()
-    texts = docs.join(small_side(classes, totals["classes"]), ["doc_id", "tag"]).dropDuplicates(["node"]) if _repeats(described) else docs.join(small_side(classes, totals["classes"]), ["doc_id", "tag"])
+    texts = docs.join(small_side(classes, totals["classes"]), ["doc_id", "tag"])
+    if _repeats(described):
+        texts = texts.dropDuplicates(["node"])
     roots = linked(texts.select("node", "n", "text"), totals["n"] or 0, j)
-    grouped = classes.select("node", "doc_id").join(small_side(roots, totals["classes"]), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    grouped = classes.select("node", "doc_id", "tag").join(small_side(roots, totals["classes"]), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return described, grouped, totals["classes"]
+
+
+def similarity_components(docs: DataFrame, j: Join = Join()) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
+
+    component_id is the smallest doc_id reachable over links.
+    """
+    prepare(docs.sparkSession)
+    described, grouped, n_classes = _classes(docs, j)
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = grouped.join(small_side(least, totals["classes"]), "root").select("node", "component_id")
-    out = described.join(small_side(named, totals["classes"]), "node", "left")
+    named = grouped.join(small_side(least, n_classes), "root").select("node", "component_id")
+    out = described.join(small_side(named, n_classes), "node", "left")
     own = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
 
 
+def keep_one(docs: DataFrame, j: Join = Join()) -> DataFrame:
+    """``docs`` with the row of smallest id of each group of linked rows.
+
+    Rows without an id or without words are kept as they are.
+    """
+    prepare(docs.sparkSession)
+    described, grouped, n_classes = _classes(docs, j)
+    first = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "tag")).alias("first")).select("first.*").checkpoint()
+    keyed = _keyed(docs)
+    words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    kept = keyed.join(small_side(first, n_classes), ["doc_id", "tag"], "left_semi").where(words)
+    if _repeats(described):
+        kept = kept.dropDuplicates(["doc_id", "tag"])
+    return kept.unionByName(keyed.where(F.col("doc_id").isNull() | ~words)).select(docs.columns)
+
+
 def _repeats(described: DataFrame) -> bool:
     """Whether some row occurs more than once."""
     return bool(described.groupBy("doc_id", "tag").count().where("count > 1").take(1))
