@@ -175,9 +175,17 @@ def disclosures(docs: DataFrame, scanned: DataFrame, thresholds: Thresholds = Th
     those terms is broadcast if it is small, else joined by shuffling.
     """
     near = scanned.where(F.size("beside") > 0).select("row_key", F.explode("beside").alias("b")).select("row_key", "b.term", "b.entity", "b.context")
-    # contexts first, then pairs: no key gathers all rows of a term or entity
-    joint = near.distinct().groupBy("term", "entity", "context").agg(F.count("*").alias("docs"))
-    pairs = joint.groupBy("term", "entity").agg(F.count("*").alias("support"), F.sum("docs").alias("joint")).where(F.col("support") >= thresholds.support).checkpoint()
+    # beside entities a term is in at most as many documents as anywhere, so this bound drops
+    # the terms that stand beside many entities before the whole corpus is counted
+    beside = near.select("row_key", "term").distinct().groupBy("term").agg(F.count("*").alias("beside_docs"))
+    pairs = (
+        near.groupBy("term", "entity")
+        .agg(F.countDistinct("context").alias("support"), F.countDistinct("row_key").alias("joint"))
+        .where(F.col("support") >= thresholds.support)
+        .join(beside, "term")
+        .where(F.col("joint") >= thresholds.probability * F.col("beside_docs"))
+        .checkpoint()
+    )
     terms = pairs.select("term").distinct()
     n_terms, n_docs = terms.count(), docs.count()
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(TERM), F.lit(0)))
@@ -231,7 +239,13 @@ def generalise(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
     """``docs`` with personal data and disclosing terms generalised in ``text``."""
-    spans = detect(docs, thresholds).select(F.col("row_key").alias("_row_key"), F.sort_array(F.concat("base", "terms")).alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_row_key"])
-    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text")).join(spans, "_row_key", "left")
+    spans = (
+        detect(docs, thresholds)
+        .select(F.col("row_key").alias("_row_key"), F.sort_array(F.concat("base", "terms")).alias("_spans"))
+        .where(F.size("_spans") > 0)
+        .dropDuplicates(["_row_key"])
+        .checkpoint()
+    )
+    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text")).join(small_side(spans, spans.count()), "_row_key", "left")
     text = F.when(F.col("_spans").isNotNull(), generalise(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
     return keyed.withColumn("text", text).select(docs.columns)
