@@ -33,7 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.blobs import flags_to_runs, gather, groups_of, loads, pack, runs_to_flags, unpack_all
@@ -190,7 +190,7 @@ def _emit(p: Plan):
             rows.append((int(bucket[chosen[0]]), 0, pack([
                 np.diff(ids[row[h]], prepend=0), tags[row[h]], lengths[h].astype("u1"), (anchor[h] - first[h]).astype("u1"),
                 counts[chosen].astype("<u4"), places.astype("<u4"), gather(raw, first[h], lengths[h]),
-            ])))
+            ], level=3)))
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +316,7 @@ def _bodies(p: Plan):
                 n = np.diff(offsets)
                 rows = []
                 for group, (i, t, z, m, s) in _dealt(_groups(ids, tags, p.groups), [ids, tags, null, n, offsets[:-1]]):
-                    rows.append((group, pack([i, t, z, m, gather(raw, s, m)])))
+                    rows.append((group, pack([i, t, z, m, gather(raw, s, m)], level=3)))
                 columns = list(zip(*rows)) or [(), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], names=["pack", "blob"])
 
@@ -377,6 +377,16 @@ def plan(docs: DataFrame, length: int = 50, shallow: int = 32, bucket_bytes: int
     return Plan(length, k, max(least, -(-4 * total // bucket_bytes)), max(least, -(-total // group_bytes)), shallow)
 
 
+def tags_for(docs: DataFrame) -> Column:
+    """What tells rows of one doc_id apart: a hash of the text if some id has several rows, else 0.
+
+    Tags travel with every span, and random ones don't compress.
+    """
+    if docs.groupBy("doc_id").count().where("count > 1").take(1):
+        return F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int")
+    return F.lit(0)
+
+
 def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False, shallow: int = 32) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): n_bytes, n_removed, n_spans and what is kept.
 
@@ -388,7 +398,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False, shal
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     p = plan(docs, length, shallow)
-    rows = docs.withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int"))
+    rows = docs.withColumn("tag", tags_for(docs))
     spans = rows.mapInArrow(_emit(p), "bucket long, kind int, blob binary")
     ranges = spans.groupBy("bucket").applyInArrow(_bucket(p), "pack long, blob binary")
     bodies = rows.mapInArrow(_bodies(p), "pack long, blob binary")
