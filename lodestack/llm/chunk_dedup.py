@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.blobs import flags_to_runs, gather, groups_of, pack, runs_to_flags, unpack_all
-from lodestack.llm.common import mix64, prepare, shuffle_partitions, small_side, text_slices, utf8_buffer
+from lodestack.llm.common import blocks, mix64, prepare, release_tables, shuffle_partitions, small_side, text_slices, utf8_buffer
 from lodestack.llm.suffix_dedup import DOCS, RANGES, _batch, _bodies, _columns, _dealt, _groups, named_documents
 from lodestack.llm.words import range_hashes
 
@@ -96,23 +96,29 @@ def chunks_of(raw: np.ndarray, offsets: np.ndarray, c: Chunking) -> tuple[np.nda
 def _emit(p: Plan):
     """Of each block: chunks for the buckets (kind 0), one document's of each digest, and repeats within the block (kind 1)."""
 
+    def chunked(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """Row, place in its text, length and digest of each chunk; in slices, as hashing needs memory for every byte."""
+        found = []
+        for low, high in text_slices(part, "text", 2 << 20):
+            raw, offsets = utf8_buffer(part.column("text").slice(low, high - low))
+            starts, ends = chunks_of(raw, offsets, p.chunking)
+            row = np.searchsorted(offsets, starts, side="right") - 1
+            found.append((row + low, starts - offsets[:-1][row], ends - starts, range_hashes(raw, starts, ends)))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
     def block(part: pa.RecordBatch) -> list[tuple[int, int, bytes]]:
-        raw, offsets = utf8_buffer(part.column("text"))
         ids, tags = _columns(part)
-        starts, ends = chunks_of(raw, offsets, p.chunking)
-        if not len(starts):
+        row, place, length, digest = chunked(part)
+        if not len(row):
             return []
-        row = np.searchsorted(offsets, starts, side="right") - 1
-        digest = range_hashes(raw, starts, ends)
         order = np.lexsort((row, ids[row], digest))
         cuts = groups_of(digest[order])
         least = ids[row[order[cuts[:-1]]]]
-        later = np.empty(len(starts), dtype=bool)
+        later = np.empty(len(row), dtype=bool)
         later[order] = ids[row[order]] > np.repeat(least, np.diff(cuts))
-        place = starts - offsets[:-1][row]
         rows = []
         r = row[later]
-        for bucket, (i, t, s, e) in _dealt(_groups(ids[r], tags[r], p.buckets), [ids[r], tags[r], place[later], (ends - starts)[later]]):
+        for bucket, (i, t, s, e) in _dealt(_groups(ids[r], tags[r], p.buckets), [ids[r], tags[r], place[later], length[later]]):
             rows.append((bucket, 1, pack([i, t, s.astype("<u4"), (s + e).astype("<u4")])))
         # a digest's places in one row stand together
         own = order[~later[order]]
@@ -125,13 +131,13 @@ def _emit(p: Plan):
         for bucket, (at, first, n) in _dealt(key, [lead, heads, counts]):
             places = place[own[gather(np.arange(len(own)), first, n)]]
             r = row[at]
-            rows.append((bucket, 0, pack([digest[at], ids[r], tags[r], (ends - starts)[at].astype("<u4"), n.astype("<u4"), places.astype("<u4")])))
+            rows.append((bucket, 0, pack([digest[at], ids[r], tags[r], length[at].astype("<u4"), n.astype("<u4"), places.astype("<u4")])))
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, high in text_slices(batch, "text", p.block_bytes):
-                yield _batch(block(batch.slice(low, high - low)))
+        release_tables()
+        for part in blocks(batches, "text", p.block_bytes):
+            yield _batch(block(part))
 
     return run
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -29,11 +29,31 @@ def prepare(spark: SparkSession) -> SparkSession:
     paths = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if REPO_ROOT not in paths:
         context.environment["PYTHONPATH"] = os.pathsep.join([*paths, REPO_ROOT])
+    # texts are long: the default of 10,000 rows makes Arrow batches of tens of MB in each task, JVM and worker
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1500")
     if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestack-"))
     return spark
 
 
+_kept: dict[tuple, object] = {}
+
+
+def worker_table(make: Callable[[str], object], path: str) -> object:
+    """``make(path)``, kept in this worker process from task to task; only one such table is kept."""
+    key = (make, path)
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make(path)
+    return _kept[key]
+
+
+def release_tables() -> None:
+    """Drop what an earlier operator's tasks left in this worker process."""
+    _kept.clear()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     prepare(spark)
@@ -72,6 +92,23 @@ def text_slices(batch: pa.RecordBatch, column: str, target_bytes: int) -> Iterat
         yield start, len(lengths)
 
 
+def blocks(batches: Iterator[pa.RecordBatch], column: str, target_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in blocks whose texts hold about ``target_bytes``, whatever the size of a batch."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for low, high in text_slices(batch, column, target_bytes):
+            part = batch.slice(low, high - low)
+            length = pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+            if held and size + length > target_bytes:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            held.append(part)
+            size += length
+    if held:
+        yield pa.concat_batches(held)
+
+
 def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts of ``column`` as one byte array, and each text's offsets in it; null is empty."""
     column = pc.fill_null(column, "").cast(pa.large_binary())

@@ -20,19 +20,17 @@ along; other input columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import os
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import prepare, segments, text_slices
+from lodestack.llm.common import prepare, segments, text_slices, worker_table
 
 #: Words in a generation of a worker's word table; two generations are kept.
 TABLE_ENTRIES = 400_000
@@ -81,11 +79,11 @@ class WordIds:
             return b"".join(map(table.__getitem__, words))
         except KeyError:
             pass
-        new = [w for w in set(words) if w not in table]
+        new = set(words).difference(table)
         if len(table) + len(new) > TABLE_ENTRIES:
             # words in use move on to the new generation, the others are forgotten with the one before
             self.older, self.table = table, {"": b""}
-            table, new = self.table, list(set(words))
+            table, new = self.table, set(words)
         cores, older = {}, self.older
         for word in new:
             known = older.get(word)
@@ -106,17 +104,9 @@ class WordIds:
         return b"".join(map(table.__getitem__, words))
 
 
-@lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    """The word table of this worker process, kept from task to task."""
-    return WordIds(path)
-
-
 def _cutter(path: str, capacity: int, end_id: int, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # ids and words form no cycles, and collecting among so many of them costs a tenth of the time
-        gc.disable()
-        words = word_ids(path)
+        words = worker_table(WordIds, path)
         end, width = np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
             for low, high in text_slices(batch, "text", 8 << 20):
@@ -131,7 +121,6 @@ def _cutter(path: str, capacity: int, end_id: int, with_ids: bool) -> Callable[[
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)][: 5 + with_ids], names=names[: 5 + with_ids])
-        gc.enable()
 
     return cut
 

@@ -16,14 +16,13 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import prepare, text_slices
+from lodestack.llm.common import prepare, text_slices, worker_table
 
 MARK = "▁"
 CHUNKS = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
@@ -84,11 +83,11 @@ class ChunkTable:
             try:
                 ids.append(b"".join(map(self.ids.__getitem__, chunks)))
             except KeyError:
-                new = [c for c in set(chunks) if c not in self.ids]
+                new = set(chunks).difference(self.ids)
                 if len(self.ids) + len(new) > TABLE_ENTRIES:
                     # chunks in use move on to the new generation, the others are forgotten with the one before
                     self.older, self.ids, self.texts = (self.ids, self.texts), {}, {}
-                    new = list(set(chunks))
+                    new = set(chunks)
                 ids_before, texts_before = self.older
                 for chunk in new:
                     if chunk in ids_before:
@@ -100,17 +99,11 @@ class ChunkTable:
         return b"".join([*ids, self.end]), b"".join(texts)[1:]
 
 
-@lru_cache(maxsize=2)
-def chunk_table(path: str) -> ChunkTable:
-    """The chunk table of this worker process, kept from task to task."""
-    return ChunkTable(path)
-
-
 def coder(path: str, finish: Callable[[bytes, bytes], tuple], names: tuple[str, ...], kinds: tuple[pa.DataType, ...]):
     """A mapInArrow function from (doc_id, text) to doc_id and what ``finish`` makes of ids and decoded bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = chunk_table(path)
+        table = worker_table(ChunkTable, path)
         for batch in batches:
             for low, high in text_slices(batch, "text", 4 << 20):
                 part = batch.slice(low, high - low)

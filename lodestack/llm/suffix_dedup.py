@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.blobs import flags_to_runs, gather, groups_of, loads, pack, runs_to_flags, unpack_all
-from lodestack.llm.common import mix64, prepare, shuffle_partitions, text_slices, utf8_buffer
+from lodestack.llm.common import blocks, mix64, prepare, release_tables, shuffle_partitions, utf8_buffer
 from lodestack.llm.deep_shallow import sort_groups
 
 LAST_ID = (1 << 63) - 1
@@ -194,9 +194,9 @@ def _emit(p: Plan):
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, high in text_slices(batch, "text", p.block_bytes):
-                yield _batch(block(batch.slice(low, high - low)))
+        release_tables()
+        for part in blocks(batches, "text", p.block_bytes):
+            yield _batch(block(part))
 
     return run
 
@@ -307,18 +307,17 @@ def _bodies(p: Plan):
     """Documents as compressed blobs for their groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, high in text_slices(batch, "text", p.block_bytes):
-                part = batch.slice(low, high - low)
-                raw, offsets = utf8_buffer(part.column("text"))
-                ids, tags = _columns(part)
-                null = part.column("doc_id").is_null().to_numpy(zero_copy_only=False).astype("u1")
-                n = np.diff(offsets)
-                rows = []
-                for group, (i, t, z, m, s) in _dealt(_groups(ids, tags, p.groups), [ids, tags, null, n, offsets[:-1]]):
-                    rows.append((group, pack([i, t, z, m, gather(raw, s, m)], level=3)))
-                columns = list(zip(*rows)) or [(), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], names=["pack", "blob"])
+        release_tables()
+        for part in blocks(batches, "text", p.block_bytes):
+            raw, offsets = utf8_buffer(part.column("text"))
+            ids, tags = _columns(part)
+            null = part.column("doc_id").is_null().to_numpy(zero_copy_only=False).astype("u1")
+            n = np.diff(offsets)
+            rows = []
+            for group, (i, t, z, m, s) in _dealt(_groups(ids, tags, p.groups), [ids, tags, null, n, offsets[:-1]]):
+                rows.append((group, pack([i, t, z, m, gather(raw, s, m)], level=3)))
+            columns = list(zip(*rows)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], names=["pack", "blob"])
 
     return run
 
