@@ -58,7 +58,7 @@ def strip_html(html: Column) -> Column:
 
     def numbered(t: Column) -> Column:
         pieces = F.struct(F.split(t, r"&#\d+;", -1).alias("gaps"), F.regexp_extract_all(t, F.lit(r"&#(\d+);"), F.lit(1)).alias("codes"))
-        return bound(pieces, lambda p: F.array_join(F.transform(p.gaps, lambda g, i: F.concat(g, F.coalesce(utf16_unit(F.get(p.codes, i)), F.lit("")))), ""))
+        return bound(pieces, lambda p: F.array_join(F.transform(p.gaps, lambda g, i: F.concat(g, F.when(F.get(p.codes, i).isNotNull(), utf16_unit(F.get(p.codes, i))).otherwise(""))), ""))
 
     return collapse(bound(text, lambda t: F.when(t.rlike(r"&#\d+;"), numbered(t)).otherwise(t)))
 

@@ -128,16 +128,16 @@ SKILLS = f"len(list_filter([{', '.join(map(q, V.SKILL_WORDS))}], lambda s: conta
 YEARS = 4
 CHANCE = f"""asked AS (SELECT p.*, reposts, CAST({ASKED} AS DOUBLE) AS asked, {SKILLS} AS skills FROM p JOIN reposts USING (posting_id)),
 parts AS (
-  SELECT *, CASE WHEN asked IS NULL THEN 0.5 WHEN asked <= 0 THEN 1.0 ELSE greatest(0.0, least(1.0, {YEARS}.0 / asked)) END AS seniority, 1 - least(0.5, 0.04 * skills) AS realism FROM asked),
+  SELECT *, CASE WHEN asked IS NULL THEN 0.5e0 WHEN asked <= 0 THEN 1.0e0 ELSE greatest(0.0e0, least(1.0e0, {YEARS}e0 / asked)) END AS seniority, 1 - least(0.5e0, 0.04e0 * skills) AS realism FROM asked),
 chance AS (
-  SELECT *, CAST(greatest(0, least(100, floor(greatest(0.0, least(1.0, (seniority * 0.3 + realism * 0.2) / (0.3 + 0.2) * (1 / (1 + 0.2 * reposts)))) * 100 + 0.5))) AS INTEGER) AS interview_chance FROM parts)"""
-SECTIONS = "(" + " + ".join(f"CAST({any_of(T, words)} AS INTEGER)" for _, words in V.SECTION_GROUPS) + ") / 4.0"
-CREDIBLE = f"CASE WHEN remote_claim = 'remote' AND {any_of(T, V.ONSITE_PHRASES)} THEN 0.3 WHEN remote_claim = 'remote' THEN 0.9 WHEN remote_claim = 'hybrid' THEN 0.7 WHEN remote_claim = 'onsite' THEN 1.0 ELSE 0.5 END"
+  SELECT *, CAST(greatest(0, least(100, floor(greatest(0.0e0, least(1.0e0, (seniority * 0.3e0 + realism * 0.2e0) / (0.3e0 + 0.2e0) * (1 / (1 + 0.2e0 * reposts)))) * 100 + 0.5e0))) AS INTEGER) AS interview_chance FROM parts)"""
+SECTIONS = "(" + " + ".join(f"CAST({any_of(T, words)} AS INTEGER)" for _, words in V.SECTION_GROUPS) + ") / 4.0e0"
+CREDIBLE = f"CASE WHEN remote_claim = 'remote' AND {any_of(T, V.ONSITE_PHRASES)} THEN 0.3e0 WHEN remote_claim = 'remote' THEN 0.9e0 WHEN remote_claim = 'hybrid' THEN 0.7e0 WHEN remote_claim = 'onsite' THEN 1.0e0 ELSE 0.5e0 END"
 QUALITY = f"""quality AS (
-  SELECT posting_id, CAST(greatest(0, least(100, floor((CASE WHEN salary_min IS NULL THEN ({CREDIBLE} * 0.35 + {SECTIONS} * 0.4) / (0.35 + 0.4)
-         ELSE (0.7 * 0.25 + {CREDIBLE} * 0.35 + {SECTIONS} * 0.4) / (0.25 + 0.35 + 0.4) END) * 100 + 0.5))) AS INTEGER) AS job_quality FROM p)"""
+  SELECT posting_id, CAST(greatest(0, least(100, floor((CASE WHEN salary_min IS NULL THEN ({CREDIBLE} * 0.35e0 + {SECTIONS} * 0.4e0) / (0.35e0 + 0.4e0)
+         ELSE (0.7e0 * 0.25e0 + {CREDIBLE} * 0.35e0 + {SECTIONS} * 0.4e0) / (0.25e0 + 0.35e0 + 0.4e0) END) * 100 + 0.5e0))) AS INTEGER) AS job_quality FROM p)"""
 SCORES = f"""{LINKS}, {REPOSTS}, {CHANCE}, {QUALITY},
-scores AS (SELECT posting_id, interview_chance, job_quality, CAST(floor(0.55 * interview_chance + 0.45 * job_quality + 0.5) AS INTEGER) AS combined FROM chance JOIN quality USING (posting_id))"""
+scores AS (SELECT posting_id, interview_chance, job_quality, CAST(floor(0.55e0 * interview_chance + 0.45e0 * job_quality + 0.5e0) AS INTEGER) AS combined FROM chance JOIN quality USING (posting_id))"""
 
 FRENCH = f"len(list_filter(regexp_split_to_array(lower({_text}), '[^\\p{{L}}\\p{{M}}]+'), lambda t: list_contains([{', '.join(map(q, V.FRENCH_WORDS))}], t) OR regexp_matches(t, {q(V.FRENCH_LETTERS)})))"
 QUEBEC = rf"({any_of(chr(99) + 'oalesce(location_raw, ' + q('') + ')', V.QUEBEC_PLACES)} OR regexp_matches(lower(coalesce(location_raw, '')), '\bqc\b') OR regexp_matches(lower(coalesce(location_raw, '')), '\b[ghj]\d[a-z]\s?\d[a-z]\d\b'))"
@@ -237,7 +237,7 @@ ORDER BY rank LIMIT 25""",
         BENCH,
         COMPARED,
         FLAGS,
-        "scores0 AS (SELECT posting_id, interview_chance, job_quality, CAST(floor(0.55 * interview_chance + 0.45 * job_quality + 0.5) AS INTEGER) AS combined FROM chance JOIN quality USING (posting_id))",
+        "scores0 AS (SELECT posting_id, interview_chance, job_quality, CAST(floor(0.55e0 * interview_chance + 0.45e0 * job_quality + 0.5e0) AS INTEGER) AS combined FROM chance JOIN quality USING (posting_id))",
     ),
     "q29_upsert_latest": "SELECT user_id, event_type, value, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1 AND event_type <> 'error'",
     "q30_score_order": over("SELECT posting_id, CAST(row_number() OVER (ORDER BY CASE WHEN posting_id % 3 = 0 THEN 1 ELSE 0 END, posting_id) AS INTEGER) AS place FROM p ORDER BY place LIMIT 100"),

@@ -10,6 +10,7 @@ from pyspark.ml.feature import HashingTF, Normalizer, Tokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 
 class Embedder(Protocol):
@@ -53,7 +54,7 @@ class BatchEmbedder:
                 vectors = [v for i in range(0, len(texts), batch) for v in encode(texts[i : i + batch])]
                 yield frame.assign(vec=[[float(x) for x in v] for v in vectors])
 
-        return rows.mapInPandas(run, rows.schema.add("vec", "array<double>"))
+        return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField("vec", ArrayType(DoubleType()))]))
 
 
 class Judge(Protocol):
