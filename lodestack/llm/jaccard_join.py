@@ -7,9 +7,11 @@ class, and classes are joined:
    table has a bounded size. Any common order gives right results; a good one
    gives short lists.
 2. If two sets are similar enough, their ``l``-prefixes (the first ``n - need +
-   l`` shingles) share ``l`` shingles. Each class picks the ``l`` for which the
-   estimated cost of reading lists and checking candidates is least, and a pair
-   is a candidate only if its prefixes share the smaller of both ``l``.
+   l`` shingles) share ``l`` shingles; ``need`` is larger for the smaller set of
+   a pair, so its part of the lists, the index prefix, is shorter. Each class
+   picks the ``l`` for which the estimated cost of reading lists and checking
+   candidates is least, and a pair is a candidate only if the prefixes share the
+   smaller of both ``l``.
 3. Linking rounds: in each shingle's list one class, the pivot, is checked with
    the others, and what is linked counts as one component from then on. So a
    large group of near copies takes one check per class, not one per pair.
@@ -36,12 +38,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.blobs import groups_of, pack, unpack_all
-from lodestack.llm.common import mix64, prepare, shuffle_partitions, small_side, text_slices, utf8_buffer
+from lodestack.llm.blobs import gather, groups_of, pack, unpack_all
+from lodestack.llm.common import blocks, mix64, prepare, release_tables, shuffle_partitions, small_side, text_slices, utf8_buffer
 from lodestack.llm.graph import components
 from lodestack.llm.words import shingles_of, words_of
 
-POSTINGS = ("<u4", "<i8", "u1", "<i4")  # shingle within its bucket, class, l, size of the set
+POSTINGS = ("<u4", "<i8", "u1", "<i4", "<i4")  # shingle within its bucket, class, 2 l + 1 if in the index prefix, size of the set, place
 
 
 @dataclass(frozen=True)
@@ -49,7 +51,8 @@ class Join:
     """``percent`` of the union that the intersection needs; bounds and weights of the search.
 
     ``check_weight``: cost of checking a candidate, in entries of lists read.
-    ``rounds`` bounds the linking rounds; what they leave is done pair by pair.
+    ``rounds`` bounds the linking rounds, which also end once they stop to pay;
+    what they leave is done pair by pair.
     """
 
     shingle: int = 4
@@ -58,7 +61,7 @@ class Join:
     check_weight: float = 20.0
     most_slots: int = 1 << 26
     rounds: int = 6
-    block_bytes: int = 4 << 20
+    block_bytes: int = 1 << 20
 
 
 def sets_of(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,6 +78,7 @@ def _describe(j: Join):
     """Size and two order-free digests of each text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_tables()
         for batch in batches:
             for low, high in text_slices(batch, "text", j.block_bytes):
                 part = batch.slice(low, high - low)
@@ -91,15 +95,20 @@ def _describe(j: Join):
 
 
 def _slot_counts(j: Join, bits: int, ranges: int):
+    """Of each batch how many sets have a shingle in each slot, as blobs by ranges of slots."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, high in text_slices(batch, "text", 4 * j.block_bytes):
+        release_tables()
+        for batch in blocks(batches, "text", 16 * j.block_bytes):
+            found = []
+            for low, high in text_slices(batch, "text", j.block_bytes):
                 hashes, _ = sets_of(batch.column("text").slice(low, high - low), j.shingle)
-                slots, counts = np.unique((hashes >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
-                cuts = np.searchsorted(slots, (np.arange(ranges + 1) << bits) // ranges)
-                found = np.flatnonzero(np.diff(cuts))
-                blobs = [pack([np.diff(slots[a:b], prepend=0).astype("<u4"), counts[a:b].astype("<u4")]) for a, b in zip(cuts[found], cuts[found + 1])]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+                found.append((hashes >> np.uint64(64 - bits)).astype(np.uint32))
+            slots, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+            cuts = np.searchsorted(slots, (np.arange(ranges + 1) << bits) // ranges)
+            parts = np.flatnonzero(np.diff(cuts))
+            blobs = [pack([np.diff(slots[a:b], prepend=np.uint32(0)).astype("<u4"), counts[a:b].astype("<u4")]) for a, b in zip(cuts[parts], cuts[parts + 1])]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
     return run
 
@@ -136,8 +145,16 @@ def need(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
-def prefixes(hashes: np.ndarray, rows: np.ndarray, levels: np.ndarray, bits: int, j: Join) -> tuple[np.ndarray, ...]:
-    """Prefix shingles of each set, their rows, and each row's ``l``."""
+def need_of_smaller(n: np.ndarray, percent: int) -> np.ndarray:
+    """Shared shingles that a set of ``n`` needs with any linked set of at least its size."""
+    return -(-2 * percent * n // (100 + percent))
+
+
+def prefixes(hashes: np.ndarray, rows: np.ndarray, levels: np.ndarray, usual: float, bits: int, j: Join) -> tuple[np.ndarray, ...]:
+    """Prefix shingles of each set, their rows, whether they are in the index prefix, their place, and each set's ``l`` and size.
+
+    ``usual`` is the median level.
+    """
     level = levels[(hashes >> np.uint64(64 - bits)).astype(np.int64)]
     key = (level.astype(np.uint64) << np.uint64(56)) | (mix64(hashes) >> np.uint64(8))
     order = np.lexsort((key, rows))
@@ -145,61 +162,74 @@ def prefixes(hashes: np.ndarray, rows: np.ndarray, levels: np.ndarray, bits: int
     edges = groups_of(rows)
     begin, n = edges[:-1], np.diff(edges)
     if not len(n) or not len(hashes):
-        return hashes, rows, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return hashes, rows, np.zeros(0, dtype=bool), *[np.zeros(0, dtype=np.int64)] * 3
     # a slot's count above the usual one is taken for the shingle's own
-    usual = np.median(levels)
     counts = np.maximum(2.0 ** (level / 4.0) - 2.0 ** (usual / 4.0), 1.0)
     sums = np.concatenate([[0.0], np.cumsum(counts)])
     least = need(n, j.percent)
     cost = []
     for l in range(1, j.most_l + 1):  # noqa: E741
-        length = n - least + l
-        lists = sums[begin + np.minimum(length, n)] - sums[begin]
+        # most partners are of about the same size, for which the index prefix is read
+        lists = sums[begin + np.minimum(n - need_of_smaller(n, j.percent) + l, n)] - sums[begin]
         cost.append(np.where(l <= least, lists * (1 + j.check_weight / l), np.inf))
     best = np.argmin(np.array(cost), axis=0) + 1
-    length = n - least + best
-    keep = np.arange(len(hashes)) - np.repeat(begin, n) < np.repeat(length, n)
-    return hashes[keep], rows[keep], best, n
+    place = np.arange(len(hashes)) - np.repeat(begin, n)
+    keep = place < np.repeat(n - least + best, n)
+    index = place < np.repeat(n - need_of_smaller(n, j.percent) + best, n)
+    return hashes[keep], rows[keep], index[keep], place[keep], best, n
 
 
 def _postings(j: Join, bits: int, buckets: int, levels: Broadcast):
+    """Prefix shingles of each class of a batch, as blobs for their buckets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_tables()
         table = levels.value
-        for batch in batches:
+        usual = float(np.median(table))
+        for batch in blocks(batches, "text", 16 * j.block_bytes):
+            found = []
             for low, high in text_slices(batch, "text", j.block_bytes):
                 part = batch.slice(low, high - low)
                 hashes, rows = sets_of(part.column("text"), j.shingle)
                 filled = np.unique(rows)
-                hashes, rows, best, n = prefixes(hashes, rows, table, bits, j)
-                if not len(hashes):
-                    continue
-                nodes = part.column("node").to_numpy()[rows]
+                hashes, rows, index, place, best, n = prefixes(hashes, rows, table, usual, bits, j)
                 which = np.searchsorted(filled, rows)
-                key = mix64(hashes + np.uint64(1))
-                bucket = (key >> np.uint64(32)) % np.uint64(buckets)
-                short = key.astype(np.uint32)
-                order = np.lexsort((short, bucket))
-                cuts = groups_of(bucket[order])
-                made = [(int(bucket[order[a]]), pack([short[order[a:b]], nodes[order[a:b]], best[which[order[a:b]]].astype("u1"), n[which[order[a:b]]].astype("<i4")])) for a, b in zip(cuts[:-1], cuts[1:])]
-                columns = list(zip(*made))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], names=["bucket", "blob"])
+                found.append((mix64(hashes + np.uint64(1)), part.column("node").to_numpy()[rows], (2 * best[which] + index).astype("u1"), n[which].astype("<i4"), place.astype("<i4")))
+            key, *rest = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4)
+            bucket = (key >> np.uint64(32)) % np.uint64(buckets)
+            short = key.astype(np.uint32)
+            order = np.lexsort((short, bucket))
+            cuts = groups_of(bucket[order])
+            made = [(int(bucket[o[0]]), pack([short[o], *(x[o] for x in rest)])) for o in (order[a:b] for a, b in zip(cuts[:-1], cuts[1:]))]
+            columns = list(zip(*made)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], names=["bucket", "blob"])
 
     return run
 
 
-LISTED = "token long, node long, l int, n int"
+LISTED = "token long, node long, l int, n int, indexed int, place int, weight long"
 
 
 def _shared_lists(table: pa.Table) -> pa.Table:
-    """Entries of the shingles that several classes have in their prefixes."""
-    bucket = table.column("bucket")[0].as_py()
-    short, nodes, l, n = unpack_all(table.column("blob").to_pylist(), POSTINGS)  # noqa: E741
+    """Entries of the shingles that several classes have in their prefixes; shingles of one list are one, with a weight.
+
+    Shingles of a passage often have the same list, so a pair that shares the
+    passage meets less often than once per shingle. Of their places the first
+    stays.
+    """
+    short, nodes, l, n, place = unpack_all(table.column("blob").to_pylist(), POSTINGS)  # noqa: E741
     order = np.lexsort((nodes, short))
-    short, nodes, l, n = short[order], nodes[order], l[order], n[order]  # noqa: E741
-    size = np.diff(groups_of(short))
-    keep = np.repeat(size > 1, size)
-    token = (short[keep].astype(np.int64)) | (np.int64(bucket) << 32)
-    return pa.table([pa.array(token), pa.array(nodes[keep]), pa.array(l[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32))], names=["token", "node", "l", "n"])
+    size = np.diff(groups_of(short[order]))
+    chosen, size = order[np.repeat(size > 1, size)], size[size > 1]
+    own = mix64(nodes[chosen].view(np.uint64) * np.uint64(2) + (l[chosen] & 1))
+    begin = np.cumsum(size) - size
+    digest = np.repeat(mix64(np.add.reduceat(own, begin) + size.astype(np.uint64)), size) if len(begin) else np.zeros(0, np.uint64)
+    order = np.lexsort((place[chosen], nodes[chosen], digest))
+    chosen, digest = chosen[order], digest[order]
+    cuts = groups_of(digest ^ mix64(nodes[chosen].view(np.uint64)))
+    at, weight = chosen[cuts[:-1]], np.diff(cuts)
+    columns = [digest[cuts[:-1]].view(np.int64), nodes[at], (l[at] >> 1).astype(np.int32), n[at].astype(np.int32), (l[at] & 1).astype(np.int32), place[at].astype(np.int32), weight.astype(np.int64)]
+    return pa.table([pa.array(c) for c in columns], names=[f.split()[0] for f in LISTED.split(", ")])
 
 
 def _verify(j: Join):
@@ -261,9 +291,13 @@ def linked(texts: DataFrame, words: int, j: Join = Join()) -> DataFrame:
     buckets = max(2 * shuffle_partitions(spark), -(-words * 3 // (8 << 20)))
     lists = (
         texts.where("n > 0").select("node", "text").mapInArrow(_postings(j, bits, buckets, levels), "bucket long, blob binary")
-        .groupBy("bucket").applyInArrow(_shared_lists, LISTED).checkpoint()
+        .groupBy("bucket").applyInArrow(_shared_lists, LISTED)
+        .groupBy("token", "node").agg(F.max("l").alias("l"), F.max("n").alias("n"), F.max("indexed").alias("indexed"), F.min("place").alias("place"), F.sum("weight").alias("weight")).checkpoint()
     )
     entries = lists.count()
+    # an edit makes prefix shingles of its own, so the text that others are edited from shares most of them
+    shared = lists.groupBy("node").agg(F.sum("weight").alias("shared"))
+    lists = lists.join(small_side(shared, entries), "node").withColumn("central", F.col("shared") / F.col("n")).drop("shared").checkpoint()
     links, roots, checked = None, None, None
 
     def labelled() -> DataFrame:
@@ -277,27 +311,38 @@ def linked(texts: DataFrame, words: int, j: Join = Join()) -> DataFrame:
     fits = lambda a, b: 100 * F.least(a, b) >= j.percent * F.greatest(a, b)
     for round_number in range(j.rounds):
         here = labelled().checkpoint()
-        per_root = here.groupBy("token", "root").agg(F.count("*").alias("c"))
-        load = per_root.groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s")).agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2).alias("pairs")).first()["pairs"] or 0
-        if load <= entries + 10_000:
+        per_root = here.groupBy("token", "root").agg(F.count("*").alias("c"), F.sum("indexed").alias("i"))
+        per_list = per_root.groupBy("token").agg((F.sum("c") * F.sum("i") - F.sum(F.col("c") * F.col("i"))).alias("pairs"))
+        load = per_list.agg(F.sum("pairs").alias("pairs")).first()["pairs"] or 0
+        if load <= 2 * entries + 10_000:
             break
-        # another class leads each list in each round
-        draw = F.xxhash64("node", F.lit(round_number))
-        leads = here.groupBy("token").agg(F.min_by(F.struct("node", "n", "root"), draw).alias("lead"))
+        # first the most central class of each list leads, then another one in each round
+        draw = F.struct(F.col("central") if round_number == 0 else F.lit(0.0), F.xxhash64("node", F.lit(round_number)))
+        leads = here.groupBy("token").agg(F.max_by(F.struct("node", "n", "root"), draw).alias("lead"))
         pairs = here.join(leads, "token").where((F.col("node") != F.col("lead.node")) & (F.col("root") != F.col("lead.root")) & fits(F.col("n"), F.col("lead.n")))
         pairs = pairs.select(F.col("lead.node").alias("pivot"), "node").distinct()
         pairs = (pairs if checked is None else pairs.join(checked, ["pivot", "node"], "left_anti")).checkpoint()
         if not pairs.take(1):
             break
         checked = pairs if checked is None else checked.unionByName(pairs).checkpoint()
-        new = verified(pairs, texts, j)
+        new = verified(pairs, texts, j).checkpoint()
+        pays = 50 * new.count() > pairs.count()
         links = (new if links is None else links.unionByName(new)).checkpoint()
         roots = components(links).checkpoint()
+        if not pays:
+            break
     # what is left, pair by pair
-    here = labelled().select("token", "node", "root", "l", "n")
-    other = here.select("token", *[F.col(c).alias(f"{c}2") for c in ("node", "root", "l", "n")])
-    pairs = here.join(other, "token").where((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & fits(F.col("n"), F.col("n2")))
-    pairs = pairs.groupBy(F.col("node").alias("pivot"), F.col("node2").alias("node")).agg(F.count("*").alias("shared"), F.min(F.least("l", "l2")).alias("enough")).where("shared >= enough").select("pivot", "node")
+    here = labelled()
+    columns = ("node", "root", "l", "n", "place")
+    smaller = here.where("indexed = 1").select("token", *columns, "weight")
+    larger = here.select("token", *[F.col(c).alias(f"{c}2") for c in columns])
+    in_order = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("node") < F.col("node2")))
+    # the sizes tell what this pair needs to share, and so how long the prefixes have to be
+    whole = 100 + j.percent
+    spare = F.least("l", "l2") - 1 - F.floor((j.percent * (F.col("n") + F.col("n2")) + whole - 1) / whole)
+    early = (F.col("place") <= F.col("n") + spare) & (F.col("place2") <= F.col("n2") + spare)
+    pairs = smaller.join(larger, "token").where(in_order & early & (F.col("root") != F.col("root2")) & fits(F.col("n"), F.col("n2")))
+    pairs = pairs.groupBy(F.col("node").alias("pivot"), F.col("node2").alias("node")).agg(F.sum("weight").alias("shared"), F.min(F.least("l", "l2")).alias("enough")).where("shared >= enough").select("pivot", "node")
     if checked is not None:
         turned = checked.unionByName(checked.select(F.col("node").alias("pivot"), F.col("pivot").alias("node")))
         pairs = pairs.join(turned, ["pivot", "node"], "left_anti")
