@@ -28,6 +28,23 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir), 50, digest=True)
 
 
+OP1_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(doc_id, 9223372036854775807) AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT r, k, i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT r, k, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d)),
+f AS (SELECT g, min(k) AS first, max(k) AS last FROM p GROUP BY g HAVING min(k) < max(k)),
+q AS (SELECT r, i FROM p JOIN f USING (g) WHERE first < k),
+b AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM q),
+u AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM b),
+s AS (SELECT r, run, min(i) AS low, max(i) + 50 AS high FROM u GROUP BY r, run),
+k AS (SELECT r, low, high, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 0) AS before FROM s),
+t AS (
+  SELECT d.r, sum(high - low) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (low - before)), '' ORDER BY low) || substr(any_value(h), 2 * max(high) + 1) AS kept
+  FROM d JOIN k USING (r) GROUP BY d.r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(from_hex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN t USING (r)
+"""
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit(toxicity.labelled_rows(docs.where(fold("doc_id", 4) != 2), table(spark, sf_dir, "labels")))
@@ -69,6 +86,26 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_components(documents(spark, sf_dir))
 
 
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+g AS (
+  SELECT r, doc_id, CASE WHEN len(words) >= 4 THEN list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')))
+                         WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS grams
+  FROM w),
+s AS (SELECT r, unnest(grams) AS gram FROM g WHERE doc_id IS NOT NULL),
+n AS (SELECT r, doc_id, len(grams) AS n FROM g),
+c AS (SELECT a.r AS a, b.r AS b, count(*) AS shared FROM s a JOIN s b ON a.gram = b.gram AND a.r < b.r GROUP BY a.r, b.r),
+l AS (SELECT a, b FROM c JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT r AS a, r AS b FROM n UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b)
+SELECT n.doc_id, CAST(any_value(n.n) AS BIGINT) AS n_shingles, min(m.doc_id) AS component_id
+FROM n JOIN reach ON reach.a = n.r JOIN n m ON m.r = reach.b GROUP BY n.r, n.doc_id
+"""
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.remove_repeated_chunks(documents(spark, sf_dir)).drop("tag")
 
@@ -151,6 +188,8 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_array_dedup": OP1_SQL,
     "op5_exact_top_k": OP5_SQL,
+    "op6_jaccard_join": OP6_SQL,
     "op9_quality_rules": OP9_SQL,
 }
