@@ -115,9 +115,8 @@ def chunks_by_hand(b, c):
     return [(x, min(x + c.most, t)) for s, t in zip(edges, edges[1:]) for x in range(s, t, c.most)]
 
 
-def test_chunks_as_by_hand(spark):
-    rows = corpus(2)
-    c = chunk_dedup.Chunking(most=64)
+def cut_by_hand(rows, c):
+    """doc_id, bytes, removed bytes and runs, chunks, repeated chunks and text left of each row."""
     last = (1 << 63) - 1
     owner, cut = {}, []
     for i, text in rows:
@@ -125,7 +124,7 @@ def test_chunks_as_by_hand(spark):
         cut.append((last if i is None else i, b, chunks_by_hand(b, c)))
         for s, e in cut[-1][2]:
             owner[b[s:e]] = min(owner.get(b[s:e], last), cut[-1][0])
-    expected = []
+    out = []
     for (i, _), (key, b, chunks) in zip(rows, cut):
         repeat = [owner[b[s:e]] < key for s, e in chunks]
         gone, k, runs = np.zeros(len(b), dtype=bool), 0, 0
@@ -139,9 +138,14 @@ def test_chunks_as_by_hand(spark):
                     gone[s:e] = True
                     runs += 1
             k = max(m, k + 1)
-        expected.append((i, len(b), int(gone.sum()), runs, len(chunks), sum(repeat), np.frombuffer(b, np.uint8)[~gone].tobytes().decode("utf-8", "replace")))
+        out.append((i, len(b), int(gone.sum()), runs, len(chunks), sum(repeat), np.frombuffer(b, np.uint8)[~gone].tobytes().decode("utf-8", "replace")))
+    return out
+
+
+def test_chunks_as_by_hand(spark):
+    rows, c = corpus(2), chunk_dedup.Chunking(most=64)
     got = chunk_dedup.remove_repeated_chunks(spark.createDataFrame(rows, SCHEMA).repartition(5), c).drop("tag")
-    assert sorted(map(tuple, got.collect()), key=repr) == sorted(expected, key=repr)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(cut_by_hand(rows, c), key=repr)
 
 
 def test_chunks_resist_insertions():
