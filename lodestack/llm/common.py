@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -50,8 +51,11 @@ def worker_table(make: Callable[[str], object], path: str) -> object:
 
 
 def release_tables() -> None:
-    """Drop what an earlier operator's tasks left in this worker process."""
+    """Drop what an earlier operator's tasks left in this worker process, and give freed memory back to the system."""
     _kept.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def shared_folder(spark: SparkSession) -> str:

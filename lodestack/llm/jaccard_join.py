@@ -236,6 +236,7 @@ def _verify(j: Join):
     """Pairs (pivot, node) whose whole sets are similar enough."""
 
     def run(table: pa.Table) -> pa.Table:
+        release_tables()
         pivot, salt, node = (table.column(c).to_numpy() for c in ("pivot", "salt", "node"))
         hashes, rows = sets_of(table.column("text").combine_chunks(), j.shingle)
         sizes = np.bincount(rows, minlength=len(pivot))
@@ -257,7 +258,7 @@ def _verify(j: Join):
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, j: Join, group_bytes: int = 4 << 20) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, j: Join, group_bytes: int = 2 << 20) -> DataFrame:
     """The rows of ``pairs`` (pivot, node) that are links; ``texts`` has node, n, text of every class.
 
     A pivot's partners are dealt into portions of bounded size, each with the
