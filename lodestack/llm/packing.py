@@ -39,6 +39,16 @@ IDS_SCHEMA = PIECES_SCHEMA + ", ids binary"
 PACKED_SCHEMA = PIECES_SCHEMA + ", sequence_id long, offset long"
 
 
+#: The letter by which a byte-level vocabulary writes a byte: itself where it can be seen, else the next one from 256 on.
+_SEEN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LETTERS = {b: chr(b) if b in _SEEN else chr(256 + sum(x not in _SEEN for x in range(b))) for b in range(256)}
+
+
+def _is_plain(word: str) -> bool:
+    """Whether a word is of lower-case Latin letters only, which are as they are in every normal form."""
+    return word.isalpha() and max(word) < "\u0250" and word == word.lower()
+
+
 class WordIds:
     """Ids of white-space separated words, each distinct word encoded once.
 
@@ -51,6 +61,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.table: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
         self.marks = {m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in ("", ".", ",")}
@@ -59,12 +70,14 @@ class WordIds:
     def _core(word: str) -> tuple[str, str]:
         """What of a word is to be encoded, and the mark after it.
 
-        A full stop or comma after a letter is a token of its own, and case
-        doesn't count; the names of special tokens are left as they are.
+        The case of plain words doesn't count, and a full stop or comma after
+        one is a token of its own.
         """
-        mark = word[-1:] if word[-1:] in (".", ",") and word[-2:-1].isalpha() else ""
-        core = word[:-1] if mark else word
-        return (core.lower() if core.isascii() and "<|" not in core else core), mark
+        mark = word[-1:] if word[-1:] in (".", ",") else ""
+        if mark and _is_plain(low := word[:-1].lower()):
+            return low, mark
+        low = word.lower()
+        return (low if _is_plain(low) else word), ""
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids of ``text``."""
@@ -97,7 +110,15 @@ class WordIds:
                 table[core] = older[core]
             elif core not in table:
                 unknown.append(core)
-        for core, coded in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False)):
+        other = []
+        for core in unknown:
+            if _is_plain(core):
+                # such a word passes the normaliser unchanged and is one piece for the model
+                piece = core if core.isascii() else core.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                table[core] = array("I", [token.id for token in self.model.tokenize(piece)]).tobytes()
+            else:
+                other.append(core)
+        for core, coded in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
             table[core] = array("I", coded.ids).tobytes()
         for word, (core, mark) in cores.items():
             table[word] = table[core] + self.marks[mark]
