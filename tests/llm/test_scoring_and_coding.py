@@ -55,6 +55,13 @@ def test_packing(spark):
     assert packing.pack_documents(spark.createDataFrame([], SCHEMA), WORD_BPE).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("abC.,!' éÉÀŸßẞİıǅΣσς日1²½́̇<|>\n\t")), max_size=20))
+def test_word_ids(text):
+    words = packing.worker_table(packing.WordIds, WORD_BPE)
+    assert list(np.frombuffer(words.ids(text), "<u4")) == words.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def fewest(sizes, capacity):
     best = [len(sizes)]
 
