@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions import vocabulary as V
-from lodestack.functions.text import SPACE, bound, cosine, number_text, snippet
+from lodestack.functions.text import bound, cosine, number_text, snippet
 from lodestack.plugins import Judge
 from lodestack.schemas import RULE_RESULT
 
