@@ -6,7 +6,7 @@ order is discounted and interpolated with the one below,
 
     p_c(w | v) = max(n_c(v w) - d, 0) / n_c(v) + d t_c(v) / n_c(v) * p_c(w)
     p_c(w)     = max(k_c(w) - d, 0) / k_c      + d t_c / k_c       * p_0(w)
-    p_0(w)     = (k(w) + 1/2) / (k + slots / 2)
+    p_0(w)     = (k(w) + 1/2) / (k + (words + 1) / 2)
 
 with bigrams n, context types t and continuation counts k (of distinct words
 before a word). So a rare expression weighs the same in both classes until one
@@ -16,9 +16,10 @@ two classes: per word over the whole text, by either order; over its strongest
 as telling as the model knows. A logistic curve over these, fitted on labelled
 rows that the counts don't hold, gives the score.
 
-Words are hashed to ``2 ** bits`` slots, which bounds the unigram tables. Counts
-are gathered from all training rows; of the bigrams the ``max_bigrams`` most
-frequent ones seen twice or more stay in the table that is broadcast.
+Words are 64-bit hashes. The counts, of bigrams seen once as well, are a table of
+buckets of words that is neither collected nor broadcast: each pack of texts asks
+every bucket for its distinct words and bigrams (:func:`_described`), and only
+sums of the counts reach the driver.
 
 Defined cases: null and empty texts and texts without a word score 0; rows
 without a label teach nothing; of several labels of an id the highest counts; if
@@ -28,7 +29,7 @@ rows get the same score each.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import prepare, release_tables, small_side, text_slices, utf8_buffer
+from lodestack.llm.common import mix64, prepare, release_tables, shuffle_partitions, small_side, text_slices, utf8_buffer
 from lodestack.llm.words import LETTERS, Words, words_of
 
 WINDOW = 8
@@ -46,38 +47,76 @@ SCORED_SCHEMA = "doc_id long, score double"
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of the model: hash bits, bigrams kept, buckets of the count, rows of the logistic fit."""
+    """Bits of a word's hash, rows of the logistic fit; least buckets of the counts, and bytes of text for a bucket and a pack."""
 
-    bits: int = 20
-    max_bigrams: int = 1 << 20
+    bits: int = 64
     buckets: int = 64
     fit_rows: int = 20_000
+    bucket_bytes: int = 16 << 20
+    pack_bytes: int = 8 << 20
 
 
 def slots_of(words: Words, bits: int) -> np.ndarray:
-    return (words.hashes >> np.uint64(64 - bits)).astype(np.int64)
+    return words.hashes >> np.uint64(64 - bits)
 
 
-def bigrams_of(slots: np.ndarray, rows: np.ndarray, bits: int) -> np.ndarray:
-    """``previous << bits | word``; the word before a text's first one is slot 0."""
+def contexts_of(slots: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The word before each word; before a text's first one it is 0."""
     before = np.zeros_like(slots)
-    before[1:] = np.where(rows[1:] == rows[:-1], slots[:-1], 0)
-    return (before << bits) | slots
+    before[1:] = np.where(rows[1:] == rows[:-1], slots[:-1], np.uint64(0))
+    return before
 
 
-def _counts(s: Settings):
+def bigrams_of(before: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return mix64(mix64(before) * np.uint64(0xD1B54A32D192ED03) + slots)
+
+
+def bucket_of(slots: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix64(slots) % np.uint64(buckets)).astype(np.int64)
+
+
+def short(bigrams: np.ndarray) -> np.ndarray:
+    """A bigram's key within the bucket of its first word: 48 bits."""
+    return bigrams >> np.uint64(16)
+
+
+def squeezed(values: np.ndarray, rising: bool = False) -> bytes:
+    """Numbers as compressed planes of their bytes; ``rising`` ones by their steps."""
+    values = np.diff(values, prepend=values.dtype.type(0)) if rising else values
+    planes = np.ascontiguousarray(values).reshape(-1).view(np.uint8).reshape(-1, values.itemsize).T
+    raw = planes.tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+
+
+def loosened(blob: bytes, kind: str, rising: bool = False) -> np.ndarray:
+    size, kind = int.from_bytes(blob[:8], "little"), np.dtype(kind)
+    if not size:
+        return np.zeros(0, dtype=kind)
+    planes = np.frombuffer(pa.decompress(blob[8:], decompressed_size=size, codec="zstd"), dtype=np.uint8)
+    values = np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
+    return np.cumsum(values, dtype=kind) if rising else values
+
+
+def _counts(s: Settings, buckets: int):
     """Bigram counts of each task by class, as blobs for buckets of the previous word."""
 
-    def emit(counted: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys = [np.unique(np.concatenate(c), return_counts=True) if c else (np.zeros(0, np.int64), np.zeros(0, np.int64)) for c in counted]
+    def emit(held: tuple[list, list]) -> Iterator[pa.RecordBatch]:
         rows = []
-        for toxic, (key, n) in enumerate(keys):
-            cuts = np.searchsorted(key, (np.arange(s.buckets + 1) << (2 * s.bits)) // s.buckets)
+        for toxic in (0, 1):
+            if not held[toxic]:
+                continue
+            before, word = (np.concatenate(x) for x in zip(*held[toxic]))
+            _, first, n = np.unique(bigrams_of(before, word), return_index=True, return_counts=True)
+            bucket = bucket_of(before[first], buckets)
+            order = np.lexsort((before[first], bucket))
+            before, word, n = before[first][order], word[first][order], n[order]
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(cuts)):
                 part = slice(cuts[b], cuts[b + 1])
-                rows.append((int(b), toxic, key[part].astype("<i8").tobytes(), n[part].astype("<i4").tobytes()))
+                context, run = np.unique(before[part], return_counts=True)
+                rows.append((int(b), toxic, squeezed(context, True), *(squeezed(x) for x in (run.astype("<i4"), word[part], n[part].astype("<u4")))))
         if rows:
-            names, kinds = ("bucket", "toxic", "keys", "counts"), (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            names, kinds = ("bucket", "toxic", "context", "run", "word", "n"), (pa.int32(), pa.int32(), *[pa.binary()] * 4)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,11 +126,12 @@ def _counts(s: Settings):
             for low, high in text_slices(batch, "text", 1 << 20):
                 part = batch.slice(low, high - low)
                 words = words_of(*utf8_buffer(part.column("text")), LETTERS)
-                keys = bigrams_of(slots_of(words, s.bits), words.rows, s.bits)
+                slots = slots_of(words, s.bits)
+                before = contexts_of(slots, words.rows)
                 toxic = part.column("toxic").to_numpy(zero_copy_only=False)[words.rows] > 0
-                held[0].append(keys[~toxic])
-                held[1].append(keys[toxic])
-                size += len(keys)
+                held[0].append((before[~toxic], slots[~toxic]))
+                held[1].append((before[toxic], slots[toxic]))
+                size += len(slots)
                 if size > 4_000_000:
                     yield from emit(held)
                     held, size = ([], []), 0
@@ -100,75 +140,153 @@ def _counts(s: Settings):
     return run
 
 
-def _bucket_model(s: Settings):
-    """Of one bucket of contexts: their statistics, continuation counts of words, and its most frequent bigrams."""
-    schema = "context binary, n binary, t binary, word binary, k binary, bigram binary, bigram_n binary"
+#: One bucket of the counts: statistics of its words as contexts, counts of bigrams after them, continuation counts.
+PARTS = {"context": "<u8", "context_n": "<f8", "context_t": "<f8", "bigram": "<u8", "bigram_n": "<u4", "word": "<u8", "k": "<f8"}
+RISING = ("context", "bigram", "word")
+PARTS_SCHEMA = "bucket int, " + ", ".join(f"{name} binary" for name in PARTS)
+TOTALS_SCHEMA = ", k0 double, k1 double, k2 double, t0 long, t1 long, words long"
+
+
+def _joined(table: pa.Table, name: str, rows: int = 1) -> np.ndarray:
+    """The arrays of a column of blobs side by side; ``rows`` of them in each blob."""
+    kind = PARTS[name]
+    parts = [loosened(x, kind, name in RISING).reshape(rows, -1) for x in table.column(name).to_pylist() if x is not None]
+    return np.hstack([np.zeros((rows, 0), dtype=kind), *parts])
+
+
+def _bucket_model(buckets: int):
+    """Of one bucket of contexts: their statistics and bigrams, and continuation counts for the buckets of the words."""
 
     def run(table: pa.Table) -> pa.Table:
-        size, mask = 1 << s.bits, (1 << s.bits) - 1
         toxic = table.column("toxic").to_numpy()
-        keys = [np.frombuffer(x, dtype="<i8") for x in table.column("keys").to_pylist()]
-        counts = [np.frombuffer(x, dtype="<i4") for x in table.column("counts").to_pylist()]
-        every = np.unique(np.concatenate(keys))
-        n = np.zeros((2, len(every)), dtype=np.int64)
-        for c, key, count in zip(toxic, keys, counts):
-            n[c, np.searchsorted(every, key)] += count
-        context, word = every >> s.bits, every & mask
-        contexts, at = np.unique(context, return_inverse=True)
-        sums = np.array([np.bincount(at, weights=n[c], minlength=len(contexts)) for c in (0, 1)])
-        types = np.array([np.bincount(at, weights=n[c] > 0, minlength=len(contexts)) for c in (0, 1)])
-        followed = np.array([np.bincount(word, weights=n[c] > 0, minlength=size) for c in (0, 1)] + [np.bincount(word, minlength=size)])
-        seen = np.flatnonzero(followed[2])
-        total = n.sum(axis=0)
-        kept = np.argsort(-total, kind="stable")[: s.max_bigrams // s.buckets]
-        kept = np.sort(kept[total[kept] >= 2])
-        blobs = [contexts.astype("<i4"), sums.astype("<f4"), types.astype("<f4"), seen.astype("<i4"), followed[:, seen].astype("<f4"), every[kept].astype("<i8"), n[:, kept].astype("<f4")]
-        return pa.table([pa.array([b.tobytes()], pa.binary()) for b in blobs], names=[f.split()[0] for f in schema.split(", ")])
-
-    return run, schema
+        read = lambda name, kind: [loosened(x, kind, name == "context") for x in table.column(name).to_pylist()]
+        words = read("word", "<u8")
+        word, count = np.concatenate(words), np.concatenate(read("n", "<u4")).astype(np.float64)
+        before = np.repeat(np.concatenate(read("context", "<u8")), np.concatenate(read("run", "<i4")))
+        side = np.repeat(toxic, [len(w) for w in words])
+        bigram, first, at = np.unique(short(bigrams_of(before, word)), return_index=True, return_inverse=True)
+        n = np.array([np.bincount(at, weights=np.where(side == c, count, 0), minlength=len(bigram)) for c in (0, 1)])
+        context, at = np.unique(before[first], return_inverse=True)
+        sums = np.array([np.bincount(at, weights=n[c], minlength=len(context)) for c in (0, 1)])
+        types = np.array([np.bincount(at, weights=n[c] > 0, minlength=len(context)) for c in (0, 1)])
+        seen, at = np.unique(word[first], return_inverse=True)
+        k = np.array([*(np.bincount(at, weights=n[c] > 0, minlength=len(seen)) for c in (0, 1)), np.bincount(at, minlength=len(seen))], dtype=np.float64)
+        bucket = bucket_of(seen, buckets)
+        own = [squeezed(context, True), squeezed(sums), squeezed(types.astype(np.float64)), squeezed(bigram, True), squeezed(n.astype("<u4"))]
+        rows = [(table.column("bucket")[0].as_py(), *own, None, None)]
+        rows += [(int(b), *[None] * 5, squeezed(seen[bucket == b], True), squeezed(k[:, bucket == b])) for b in np.unique(bucket)]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 7))], names=["bucket", *PARTS])
+
+    return run
+
+
+def _bucket_words(table: pa.Table) -> pa.Table:
+    """Put one bucket's continuation counts together, with their sums."""
+    word, at = np.unique(_joined(table, "word")[0], return_inverse=True)
+    k = np.array([np.bincount(at, weights=x, minlength=len(word)) for x in _joined(table, "k", 3)])
+    own = [squeezed(_joined(table, name, 1)[0], True) if name in RISING else squeezed(_joined(table, name, 2)) for name in list(PARTS)[:5]]
+    row = [table.column("bucket")[0].as_py(), *own, squeezed(word, True), squeezed(k), *k.sum(axis=1).tolist(), int((k[0] > 0).sum()), int((k[1] > 0).sum()), len(word)]
+    kinds = [pa.int32(), *[pa.binary()] * 7, *[pa.float64()] * 3, *[pa.int64()] * 3]
+    return pa.table([pa.array([v], t) for v, t in zip(row, kinds)], names=["bucket", *PARTS, "k0", "k1", "k2", "t0", "t1", "words"])
+
+
+@dataclass(frozen=True)
+class Totals:
+    """Sums of the continuation counts (ordinary, toxic, both), words of each class, words in all."""
+
+    k: tuple[float, float, float]
+    types: tuple[int, int]
+    words: int
+
+    def lower(self, k: np.ndarray) -> np.ndarray:
+        """p_0(w), p_1(w) of words with continuation counts ``k``."""
+        shared = (k[2] + 0.5) / (self.k[2] + (self.words + 1) / 2)
+        return np.array([(np.maximum(k[c] - DISCOUNT, 0) + DISCOUNT * self.types[c] * shared) / self.k[c] for c in (0, 1)])
 
 
 @dataclass(frozen=True)
 class KneserNey:
-    """Both classes' bigram models; row 0 is ordinary, row 1 toxic."""
+    """Both classes' bigram models: the table of buckets (see PARTS), their number, totals."""
 
-    bits: int
-    context_n: np.ndarray
-    context_t: np.ndarray
-    lower: np.ndarray
-    bigrams: np.ndarray
-    bigram_n: np.ndarray
+    table: DataFrame
+    buckets: int
+    totals: Totals
+    settings: Settings
 
-    def log_ratios(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    def telling(self) -> float:
+        """The log-ratio from which on a word alone counts as telling."""
+        totals = self.totals
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                p = totals.lower(np.hstack([np.zeros((3, 1)), _joined(pa.table(batch), "k", 3)]))
+                yield pa.RecordBatch.from_arrays([pa.array([float(np.log(p[1] / p[0]).max())])], names=["most"])
+
+        return 0.9 * self.table.select("k").mapInArrow(run, "most double").agg(F.max("most")).first()[0]
+
+
+def found_in(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Columns of ``values`` at ``asked`` among the sorted ``keys``, 0 where it isn't there."""
+    if not len(keys):
+        return np.zeros((len(values), len(asked)), dtype=values.dtype)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, values[:, at], 0)
+
+
+@dataclass(frozen=True)
+class Pack:
+    """Words of some texts, with the distinct words and bigrams that the buckets are asked for."""
+
+    words: Words
+    buckets: int
+    slots: np.ndarray
+    before: np.ndarray
+    vocabulary: np.ndarray
+    bigrams: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.ChunkedArray, bits: int, buckets: int) -> Pack:
+        words = words_of(*utf8_buffer(pa.chunked_array(texts.chunks, texts.type).combine_chunks()), LETTERS)
+        slots = slots_of(words, bits)
+        before = contexts_of(slots, words.rows)
+        bigrams, first = np.unique(bigrams_of(before, slots), return_index=True)
+        return cls(words, buckets, slots, before, np.unique(np.append(slots, np.uint64(0))), bigrams, first)
+
+    def by_bucket(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each bucket with the places of its distinct words and of the bigrams after them."""
+        word, pair = bucket_of(self.vocabulary, self.buckets), bucket_of(self.before[self.first], self.buckets)
+        by_word, by_pair = np.argsort(word, kind="stable"), np.argsort(pair, kind="stable")
+        cuts, pair_cuts = (np.searchsorted(x, np.arange(self.buckets + 1)) for x in (word[by_word], pair[by_pair]))
+        for b in np.flatnonzero(np.diff(cuts)):
+            yield int(b), by_word[cuts[b] : cuts[b + 1]], by_pair[pair_cuts[b] : pair_cuts[b + 1]]
+
+    def log_ratios(self, answers: dict[int, tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """log p_toxic - log p_ordinary of every word: after the one before it, and on its own."""
-        slots = slots_of(words, self.bits)
-        keys = bigrams_of(slots, words.rows, self.bits)
-        at = np.minimum(np.searchsorted(self.bigrams, keys), max(0, len(self.bigrams) - 1))
-        known = self.bigrams[at] == keys if len(self.bigrams) else np.zeros(len(keys), dtype=bool)
-        before = keys >> self.bits
+        of_word, of_pair = np.zeros((6, len(self.vocabulary))), np.zeros((2, len(self.bigrams)))
+        for b, places, pairs in self.by_bucket():
+            told, told_pairs = answers[b]
+            of_word[:, places] = loosened(told, "<f4").reshape(6, -1)
+            of_pair[:, pairs] = loosened(told_pairs, "<u4").reshape(2, -1)
+        word, before = np.searchsorted(self.vocabulary, self.slots), np.searchsorted(self.vocabulary, self.before)
+        pair = np.searchsorted(self.bigrams, bigrams_of(self.before, self.slots))
         logs, alone = [], []
         for c in (0, 1):
-            n, p = self.context_n[c, before], self.lower[c, slots]
-            count = np.where(known, self.bigram_n[c, at], 0) if len(self.bigrams) else 0
-            full = (np.maximum(count - DISCOUNT, 0) + DISCOUNT * self.context_t[c, before] * p) / np.maximum(n, 1)
+            p, n, t = of_word[c, word], of_word[2 + c, before], of_word[4 + c, before]
+            full = (np.maximum(of_pair[c, pair] - DISCOUNT, 0) + DISCOUNT * t * p) / np.maximum(n, 1)
             logs.append(np.log(np.where(n > 0, full, p)))
             alone.append(np.log(p))
         return logs[1] - logs[0], alone[1] - alone[0]
 
-    def telling(self) -> float:
-        """The log-ratio from which on a word alone counts as telling."""
-        return 0.9 * float(np.log(self.lower[1] / self.lower[0]).max())
-
 
 FEATURES = 6
 
 
-def features(model: KneserNey, words: Words, rows: int, telling: float) -> np.ndarray:
-    """What describes each text (see above), zeros for a text without words."""
+def features(paired: np.ndarray, ratio: np.ndarray, words: Words, rows: int, telling: float) -> np.ndarray:
+    """What describes each text (see above) by its words' log-ratios, zeros for a text without words."""
     out = np.zeros((rows, FEATURES))
     if not len(words.hashes):
         return out
-    paired, ratio = model.log_ratios(words)
     place = words.per_row(rows)
     length = np.diff(place)
     filled = np.flatnonzero(length)
@@ -199,13 +317,6 @@ class ToxicityModel:
     weights: np.ndarray
     telling: float = 0.0
 
-    def scores(self, words: Words, rows: int) -> np.ndarray:
-        if self.language is None:
-            return np.zeros(rows)
-        x = features(self.language, words, rows, self.telling)
-        score = 1 / (1 + np.exp(-np.clip(x @ self.weights[1:] + self.weights[0], -500, 500)))
-        return np.where(np.diff(words.per_row(rows)) > 0, score, 0.0)
-
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
     """Weights (intercept first) of a ridge logistic regression by Newton's method on standardised features."""
@@ -225,49 +336,69 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
     return np.concatenate([[w[0] - (weights * mean).sum()], weights])
 
 
+def _bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+
+
 def count_language(labelled: DataFrame, s: Settings) -> KneserNey | None:
     """Kneser-Ney statistics of ``labelled`` (text, toxic); None if a class is missing."""
-    run, schema = _bucket_model(s)
-    parts = labelled.select("text", "toxic").mapInArrow(_counts(s), "bucket int, toxic int, keys binary, counts binary").groupBy("bucket").applyInArrow(run, schema).collect()
-    size = 1 << s.bits
-    context_n, context_t, k = np.zeros((2, size), np.float32), np.zeros((2, size), np.float32), np.zeros((3, size), np.float32)
-    grams, gram_n = [], []
-    while parts:
-        r = parts.pop()
-        contexts = np.frombuffer(r["context"], dtype="<i4")
-        context_n[:, contexts] += np.frombuffer(r["n"], dtype="<f4").reshape(2, -1)
-        context_t[:, contexts] += np.frombuffer(r["t"], dtype="<f4").reshape(2, -1)
-        k[:, np.frombuffer(r["word"], dtype="<i4")] += np.frombuffer(r["k"], dtype="<f4").reshape(3, -1)
-        grams.append(np.frombuffer(r["bigram"], dtype="<i8"))
-        gram_n.append(np.frombuffer(r["bigram_n"], dtype="<f4").reshape(2, -1))
-    if not (k[0].any() and k[1].any()):
+    buckets = max(s.buckets, -(-_bytes(labelled) // s.bucket_bytes))
+    counts = labelled.select("text", "toxic").mapInArrow(_counts(s, buckets), "bucket int, toxic int, context binary, run binary, word binary, n binary")
+    parts = counts.groupBy("bucket").applyInArrow(_bucket_model(buckets), PARTS_SCHEMA)
+    table = parts.groupBy("bucket").applyInArrow(_bucket_words, PARTS_SCHEMA + TOTALS_SCHEMA).checkpoint()
+    k0, k1, k2, t0, t1, words = table.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("k0", "k1", "k2", "t0", "t1", "words")]).first()
+    if not (t0 and t1):
         return None
-    shared = (k[2] + 0.5) / (k[2].sum(dtype=np.float64) + size / 2)
-    lower = np.array([(np.maximum(x - DISCOUNT, 0) + DISCOUNT * (x > 0).sum() * shared) / x.sum(dtype=np.float64) for x in k[:2]], dtype=np.float32)
-    bigrams = np.concatenate(grams)
-    order = np.argsort(bigrams, kind="stable")
-    return KneserNey(s.bits, context_n, context_t, lower, bigrams[order], np.hstack(gram_n)[:, order])
+    return KneserNey(table.select("bucket", *PARTS), buckets, Totals((k0, k1, k2), (t0, t1), words), s)
 
 
-def _mapped(shared, columns: tuple[str, ...], value):
-    """A mapInArrow function that carries ``columns`` and adds what ``value(model, words, rows)`` gives."""
+def _described(docs: DataFrame, language: KneserNey, telling: float, kept: str, made: Callable[[np.ndarray, np.ndarray], pa.Array], schema: str) -> DataFrame:
+    """``kept`` of every row of ``docs`` (with text) and what ``made`` gives of the texts' features and numbers of words.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_tables()
-        model = shared.value
-        for batch in batches:
-            for low, high in text_slices(batch, "text", 1 << 20):
-                part = batch.slice(low, high - low)
-                words = words_of(*utf8_buffer(part.column("text")), LETTERS)
-                made = value(model, words, part.num_rows)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), made], names=[*columns, "made"])
+    Texts are dealt to packs by their hash. A pack asks each bucket once for its
+    distinct words and bigrams; the answers meet the pack's texts again.
+    """
+    s, buckets, totals = language.settings, language.buckets, language.totals
+    total, least = _bytes(docs), 2 * shuffle_partitions(docs.sparkSession)
+    packs = max(least, -(-total // s.pack_bytes))
+    shards = max(1, -(-total // (4 * s.bucket_bytes * buckets)))  # so that what one task is asked stays bounded
+    asked_schema = "pack long, bucket int, words binary, bigrams binary"
+    names, kinds = ("pack", "bucket", "words", "bigrams"), (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    as_table = lambda rows: pa.table([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 4, kinds)], names=list(names))
 
-    return run
+    def ask(texts: pa.Table) -> pa.Table:
+        pack, number = Pack.of(texts.column("text"), s.bits, buckets), texts.column("pack")[0].as_py()
+        return as_table([(number, b, squeezed(pack.vocabulary[w], True), squeezed(short(pack.bigrams[p]), True)) for b, w, p in pack.by_bucket()])
+
+    def answer(asked: pa.Table, model: pa.Table) -> pa.Table:
+        rows = []
+        if asked.num_rows:
+            context, bigram, word = (_joined(model, name)[0] for name in ("context", "bigram", "word"))
+            n_and_t, bigram_n, k = np.vstack([_joined(model, "context_n", 2), _joined(model, "context_t", 2)]), _joined(model, "bigram_n", 2), _joined(model, "k", 3)
+            for number, b, words, pairs in zip(*(asked.column(c).to_pylist() for c in names)):
+                wanted = loosened(words, "<u8", True)
+                told = np.vstack([totals.lower(found_in(word, k, wanted)), found_in(context, n_and_t, wanted)])
+                rows.append((number, b, squeezed(told.astype("<f4")), squeezed(found_in(bigram, bigram_n, loosened(pairs, "<u8", True)).astype("<u4"))))
+        return as_table(rows)
+
+    def finish(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            return pa.table({kept: texts.column(kept), "made": made(np.zeros((0, FEATURES)), np.zeros(0, dtype=np.int64))})
+        pack = Pack.of(texts.column("text"), s.bits, buckets)
+        told = dict(zip(answers.column("bucket").to_pylist(), zip(answers.column("words").to_pylist(), answers.column("bigrams").to_pylist())))
+        x = features(*pack.log_ratios(told), pack.words, texts.num_rows, telling)
+        return pa.table({kept: texts.column(kept), "made": made(x, np.diff(pack.words.per_row(texts.num_rows)))})
+
+    rows = docs.select(kept, "text", F.pmod(F.xxhash64(kept, "text"), F.lit(packs)).alias("pack"))
+    asked = rows.groupBy("pack").applyInArrow(ask, asked_schema).withColumn("shard", F.pmod("pack", F.lit(shards)))
+    model = language.table.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("shard", F.col("shard").cast("long"))
+    answers = asked.groupBy("bucket", "shard").cogroup(model.groupBy("bucket", "shard")).applyInArrow(answer, asked_schema)
+    return rows.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(finish, schema)
 
 
 def fit(labelled: DataFrame, settings: Settings = Settings()) -> ToxicityModel:
     """Fit on ``labelled`` (doc_id, text, toxic): four fifths give the counts, the rest the curve."""
-    spark = prepare(labelled.sparkSession)
+    prepare(labelled.sparkSession)
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5))
     language = count_language(labelled.where(part != 0), settings)
     if language is None:
@@ -276,8 +407,8 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> ToxicityModel:
     share = min(1.0, settings.fit_rows / max(1, rest.count()))
     drawn = rest.where(F.pmod("draw", F.lit(1 << 20)) < share * (1 << 20))
     telling = language.telling()
-    as_lists = lambda m, words, rows: pa.array(features(m, words, rows, telling).tolist(), pa.list_(pa.float64()))
-    rows = drawn.select("toxic", "text").mapInArrow(_mapped(spark.sparkContext.broadcast(language), ("toxic",), as_lists), "toxic int, made array<double>").collect()
+    as_lists = lambda x, lengths: pa.array(x.tolist(), pa.list_(pa.float64()))
+    rows = _described(drawn, language, telling, "toxic", as_lists, "toxic int, made array<double>").collect()
     y = np.array([r["toxic"] for r in rows], dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(None, np.zeros(1 + FEATURES))
@@ -286,10 +417,17 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> ToxicityModel:
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id and score of every row of ``docs`` (doc_id, text)."""
-    spark = prepare(docs.sparkSession)
-    value = lambda m, words, rows: pa.array(m.scores(words, rows), pa.float64())
-    run = _mapped(spark.sparkContext.broadcast(model), ("doc_id",), value)  # bounded by Settings
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, made double").withColumnRenamed("made", "score")
+    prepare(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if model.language is None:
+        return docs.select("doc_id", F.lit(0.0).alias("score"))
+    weights = model.weights
+
+    def made(x: np.ndarray, lengths: np.ndarray) -> pa.Array:
+        score = 1 / (1 + np.exp(-np.clip(x @ weights[1:] + weights[0], -500, 500)))
+        return pa.array(np.where(lengths > 0, score, 0.0), pa.float64())
+
+    return _described(docs, model.language, model.telling, "doc_id", made, "doc_id long, made double").withColumnRenamed("made", "score")
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:

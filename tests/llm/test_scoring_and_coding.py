@@ -182,6 +182,23 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score(docs, nothing).collect()} == {0.0}
 
 
+def test_toxicity_counts_are_whole(spark):
+    rows = [(i, f"w{i} v{i} x{i}", i % 2) for i in range(200)] + [(300, "w0 v0 w0", 0)]
+    labelled = spark.createDataFrame(rows, SCHEMA + ", toxic int")
+    language = toxicity.count_language(labelled, toxicity.Settings(buckets=8))
+    parts = language.table.collect()
+    held = {c: sum(len(toxicity.loosened(r[c], "<u8")) for r in parts) for c in ("bigram", "context", "word")}
+    assert held == {"bigram": 601, "context": 401, "word": 600}  # bigrams seen once too
+    n = sum(toxicity.loosened(r["bigram_n"], "<u4").reshape(2, -1).sum(axis=1) for r in parts)
+    assert n.tolist() == [303, 300]
+    # a bigram seen once, of words as frequent in the other class, has its count
+    model = toxicity.ToxicityModel(language, np.array([0.0, 1, 0, 0, 0, 0, 0]), language.telling())
+    texts = spark.createDataFrame([(1, "w1 v1"), (2, "w2 v2"), (3, None)], SCHEMA)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(texts, model).collect()}
+    assert got[1] > 0.5 > got[2] and got[3] == 0
+    assert toxicity.score(texts.limit(0), model).count() == 0
+
+
 def repeats_by_hand(words):
     windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
     covered = {j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(i, i + 8)}
