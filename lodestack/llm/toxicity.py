@@ -13,8 +13,8 @@ before a word). So a rare expression weighs the same in both classes until one
 of them has seen it. A text is described by length-normalised log-ratios of the
 two classes: per word over the whole text, by either order; over its strongest
 ``WINDOW`` words, three words and one word; and by how many of its words are about
-as telling as the model knows. A logistic curve over these, fitted on labelled
-rows that the counts don't hold, gives the score.
+as telling as the model knows. A logistic curve over these gives the score; it is
+fitted on labelled rows by the counts of other ones, then all are counted.
 
 Words are 64-bit hashes. The counts, of bigrams seen once as well, are a table of
 buckets of words that is neither collected nor broadcast: each pack of texts asks
@@ -397,7 +397,11 @@ def _described(docs: DataFrame, language: KneserNey, telling: float, kept: str,
 
 
 def fit(labelled: DataFrame, settings: Settings = Settings()) -> ToxicityModel:
-    """Fit on ``labelled`` (doc_id, text, toxic): four fifths give the counts, the rest the curve."""
+    """Fit on ``labelled`` (doc_id, text, toxic).
+
+    The curve is fitted on texts of a fifth of the ids, by counts of the other
+    four fifths; the model then takes counts of all rows.
+    """
     prepare(labelled.sparkSession)
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5))
     language = count_language(labelled.where(part != 0), settings)
@@ -412,7 +416,9 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> ToxicityModel:
     y = np.array([r["toxic"] for r in rows], dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(None, np.zeros(1 + FEATURES))
-    return ToxicityModel(language, logistic(np.array([r["made"] for r in rows]), y, ridge=1e-3), telling)
+    weights = logistic(np.array([r["made"] for r in rows]), y, ridge=1e-3)
+    whole = count_language(labelled, settings)
+    return ToxicityModel(whole, weights, whole.telling())
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:

@@ -199,6 +199,13 @@ def test_toxicity_counts_are_whole(spark):
     assert toxicity.score(texts.limit(0), model).count() == 0
 
 
+def test_toxicity_counts_all_labelled_rows(spark):
+    rng = random.Random(3)
+    rows = [(i, f"{sentences(rng, ['calm', 'kind', 'warm'], 9)} {'vile' if i % 2 else 'mild'} only{i}", i % 2) for i in range(200)]
+    model = toxicity.fit(spark.createDataFrame(rows, SCHEMA + ", toxic int"))
+    assert model.language.totals.words == 205
+
+
 def repeats_by_hand(words):
     windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
     covered = {j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(i, i + 8)}
