@@ -5,12 +5,12 @@ of other ASCII characters as one space), hashed to ``dims`` features, weighted `
 length. Each language has up to ``clusters`` centroids from spherical k-means
 over a bounded sample of its labelled documents; idf counts all labelled
 documents. A text gets the language of the centroid with the largest cosine. It
-is *rejected* if that cosine is below the centroid's floor, a fraction of the
-smallest cosine among the texts of about its length that the centroid was made
-from; short texts have a floor of their own.
+is *rejected* if that cosine is below its language's floor for texts of about its
+length: a fraction of the cosine that all but a hundredth of the sample's texts of
+that length reach, and no more than the floor of longer texts.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0
-and rejected; rows with a null lang teach nothing; if nothing is labelled,
+and rejected; they and rows with a null lang teach nothing; if nothing is labelled,
 every text is ``und``; an empty table gives no rows; repeated rows give repeated
 results; other columns never reach the model.
 """
@@ -30,6 +30,8 @@ from lodestack.llm.common import prepare, release_tables, text_slices, utf8_buff
 UNKNOWN = "und"
 #: Classes of length (n-grams of a text) with a floor each: below 64, 256, 1024, and more.
 LENGTH_CLASSES = (64, 256, 1024)
+#: Share of a class's sample texts that may lie below what its floor is taken from.
+LOW = 0.01
 
 
 #: What each byte counts as.
@@ -92,6 +94,21 @@ def length_class(totals: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.array(LENGTH_CLASSES), totals, side="right")
 
 
+def length_floors(cosines: np.ndarray, classes: np.ndarray, floor: float) -> list[float]:
+    """``floor`` times a low cosine of each class of length, from the longest to the shortest.
+
+    A short text's cosine is less sure, so no floor is above a longer class's; a
+    class without texts takes the next longer one's, else the next shorter one's.
+    """
+    floors, least = [np.inf] * (len(LENGTH_CLASSES) + 1), np.inf
+    for k in reversed(range(len(floors))):
+        own = cosines[classes == k]
+        least = min(least, float(np.quantile(own, LOW, method="lower"))) if len(own) else least
+        floors[k] = floor * max(0.0, least)
+    longest = next(x for x in reversed(floors) if np.isfinite(x))
+    return [x if np.isfinite(x) else longest for x in floors]
+
+
 def spherical_kmeans(vectors: np.ndarray, clusters: int, rounds: int = 10) -> np.ndarray:
     """Unit centroids; the first is the mean, each next seed the vector farthest from the seeds so far."""
     unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
@@ -146,7 +163,7 @@ def _sums(features: Features):
     return run
 
 
-def fit(labelled: DataFrame, sample_per_lang: int = 800, max_langs: int = 200, clusters: int = 4, floor: float = 0.25, features: Features = Features()) -> CentroidModel:
+def fit(labelled: DataFrame, sample_per_lang: int = 800, max_langs: int = 200, clusters: int = 4, floor: float = 0.7, features: Features = Features()) -> CentroidModel:
     """Fit on ``labelled`` (doc_id, text, lang).
 
     Document frequencies cover all labelled texts. Centroids come from about
@@ -155,14 +172,15 @@ def fit(labelled: DataFrame, sample_per_lang: int = 800, max_langs: int = 200, c
     whatever the size of the table.
     """
     spark = prepare(labelled.sparkSession)
-    labelled = labelled.select(F.col("doc_id"), "text", "lang").where("text is not null and lang is not null")
+    labelled = labelled.select(F.col("doc_id"), "text", "lang").where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull())
     per_lang = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     df = labelled.select("text").mapInArrow(_sums(features), "slot int, df long").groupBy("slot").agg(F.sum("df").alias("df")).collect()
     seen = {r["slot"]: r["df"] for r in df}
     docs = seen.get(features.dims, 0)
     idf = np.array([np.log((1 + docs) / (1 + seen.get(i, 0))) + 0.1 for i in range(features.dims)], dtype=np.float32)
+    nothing = CentroidModel(features, idf, np.zeros((0, features.dims), np.float32), (), np.zeros((0, len(LENGTH_CLASSES) + 1)))
     if not per_lang:
-        return CentroidModel(features, idf, np.zeros((0, features.dims), np.float32), (), np.zeros((0, 4)))
+        return nothing
     share = F.element_at(F.create_map(*[x for r in per_lang for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_per_lang / r["count"])))]), F.col("lang"))
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 24)) / float(1 << 24)
     schema = "lang string, centroid binary, floors array<double>"
@@ -171,19 +189,20 @@ def fit(labelled: DataFrame, sample_per_lang: int = 800, max_langs: int = 200, c
         lang = table.column("lang")[0].as_py()
         column = pa.chunked_array(table.column("text").chunks).combine_chunks()
         counts = np.vstack([features.counts(column.slice(at, 128)) for at in range(0, len(column), 128)])
+        counts = counts[counts.sum(axis=1) > 0]
+        if not len(counts):
+            return pa.table([pa.array([], k) for k in (pa.string(), pa.binary(), pa.list_(pa.float64()))], names=["lang", "centroid", "floors"])
         classes = length_class(counts.sum(axis=1))
         vectors = Features.weighted(counts, idf)
         centroids = spherical_kmeans(vectors, clusters)
         cosines = (vectors @ centroids.T).max(axis=1)
-        # a class of length without sample texts takes the next longer one's floor
-        floors, least = [0.0] * (len(LENGTH_CLASSES) + 1), float(cosines.min())
-        for k in reversed(range(len(floors))):
-            least = min(least, float(cosines[classes == k].min())) if (classes == k).any() else least
-            floors[k] = floor * max(0.0, least)
+        floors = length_floors(cosines, classes, floor)
         data = [[lang] * len(centroids), [c.astype("<f4").tobytes() for c in centroids], [floors] * len(centroids)]
         return pa.table([pa.array(d, k) for d, k in zip(data, (pa.string(), pa.binary(), pa.list_(pa.float64())))], names=["lang", "centroid", "floors"])
 
     rows = labelled.where(draw < share).select("lang", "text").groupBy("lang").applyInArrow(cluster, schema).collect()
+    if not rows:
+        return nothing
     rows = sorted(rows, key=lambda r: (r["lang"], bytes(r["centroid"])))
     centroids = np.array([np.frombuffer(r["centroid"], dtype="<f4") for r in rows])
     return CentroidModel(features, idf, centroids, tuple(r["lang"] for r in rows), np.array([r["floors"] for r in rows]))

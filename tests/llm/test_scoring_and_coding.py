@@ -161,6 +161,26 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.predict(docs, none).collect()} == {"und"}
 
 
+def test_language_rejects_long_foreign_texts(spark):
+    rng = random.Random(7)
+    lists = {"xx": ["the", "and", "with", "house", "water", "green", "other"], "yy": ["une", "dans", "maison", "avec", "eaux", "vert", "autre"]}
+    rows = [(i, sentences(rng, lists[lang], rng.choice([4, 30, 200])), lang) for i in range(200) for lang in [list(lists)[i % 2]]]
+    rows += [(300 + i, t, "xx") for i, t in enumerate(["", " ", "12 345", "!!!", "a"])]
+    foreign = ["kuinka", "hyvää", "päivää", "järvi", "metsä", "lintu", "koira", "ystävä", "kaupunki"]
+    rows += [(400, sentences(rng, foreign, 400), None), (401, sentences(rng, foreign, 40), None)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", lang string")
+    model = langid.fit(docs)
+    assert (model.floors > 0).all() and (np.diff(model.floors, axis=1) >= 0).all()
+    out = {r["doc_id"]: r["rejected"] for r in langid.annotate(docs, model).collect()}
+    assert out[400] and out[401] and not any(out[i] for i in range(200))
+    assert langid.fit(docs.where("doc_id between 300 and 304")).langs == ()
+
+
+def test_length_floors():
+    cosines, classes = np.array([0.3, 0.4, 0.9, 0.8]), np.array([0, 0, 2, 2])
+    assert langid.length_floors(cosines, classes, 0.5) == [0.15, 0.4, 0.4, 0.4]
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
