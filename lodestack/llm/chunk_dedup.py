@@ -28,14 +28,14 @@ from pyspark.sql import functions as F
 
 from lodestack.llm.blobs import flags_to_runs, gather, groups_of, pack, runs_to_flags, unpack_all
 from lodestack.llm.common import blocks, mix64, prepare, release_tables, shuffle_partitions, small_side, text_slices, utf8_buffer
-from lodestack.llm.suffix_dedup import DOCS, RANGES, _batch, _bodies, _columns, _dealt, _groups, named_documents
+from lodestack.llm.suffix_dedup import DOCS, RANGES, _batch, _bodies, _columns, _dealt, _groups, named_documents, tagged
 from lodestack.llm.words import range_hashes
 
 WINDOW = 16
 #: A 16-bit gear for each byte value.
 GEAR = (mix64(np.arange(1, 257, dtype=np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
-CHUNKS = ("<u8", "<i8", "<u2", "<u4", "<u4", "<u4")  # digest, id, tag, length, number of places, places
-KEPT_SCHEMA = "doc_id long, tag int, n_bytes long, n_removed long, n_spans long, n_chunks long, n_repeated_chunks long, text string"
+CHUNKS = ("<u8", "<i8", "<i8", "<u4", "<u4", "<u4")  # digest, id, tag, length, number of places, places
+KEPT_SCHEMA = "doc_id long, tag long, n_bytes long, n_removed long, n_spans long, n_chunks long, n_repeated_chunks long, text string"
 
 
 @dataclass(frozen=True)
@@ -155,7 +155,7 @@ def _bucket(p: Plan):
         each = lambda x: np.repeat(x[later], n)
         ranges = (each(ids), each(tags), at, at + each(lengths))
         i, t, low, high = (np.concatenate([a, b]) for a, b in zip(ranges, local))
-        rows = [(g, pack([a[0], a[1], a[2].astype("<u4"), a[3].astype("<u4")])) for g, a in _dealt(_groups(i, t, p.groups), [i, t.astype("<u2"), low, high])]
+        rows = [(g, pack([a[0], a[1], a[2].astype("<u4"), a[3].astype("<u4")])) for g, a in _dealt(_groups(i, t, p.groups), [i, t.astype("<i8"), low, high])]
         columns = list(zip(*rows)) or [(), ()]
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], names=["pack", "blob"])
 
@@ -193,17 +193,12 @@ def _finish(p: Plan):
                 kept = text[~flags].tobytes().decode("utf-8", "replace") if flags.any() else text.tobytes().decode()
                 rows.append((None if null[i] else int(ids[i]), int(tags[i]), len(text), int(flags.sum()), int(runs[j]), int(chunks[i]), int(repeats[j]), kept))
         columns = list(zip(*rows)) or [()] * 8
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in KEPT_SCHEMA.split(", ")])
 
     return run
 
 
-def tag_of(text: str = "text"):
-    """Tells rows of one id apart by their text."""
-    return F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(1 << 16)).cast("int")
-
-
 def plan(docs: DataFrame, chunking: Chunking, bucket_bytes: int = 8 << 20, group_bytes: int = 8 << 20) -> Plan:
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     least = 2 * shuffle_partitions(docs.sparkSession)
@@ -213,12 +208,16 @@ def plan(docs: DataFrame, chunking: Chunking, bucket_bytes: int = 8 << 20, group
 def remove_repeated_chunks(docs: DataFrame, chunking: Chunking = Chunking()) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): the text without repeated runs, and counts.
 
-    Columns doc_id, tag (see :func:`tag_of`), n_bytes, n_removed, n_spans (runs
+    Columns doc_id, tag (see :func:`tagged`), n_bytes, n_removed, n_spans (runs
     removed), n_chunks, n_repeated_chunks, text. Cuts that fall inside a
     character leave U+FFFD.
     """
     prepare(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), tag_of().alias("tag"))
+    return _chunks_removed(tagged(docs.select("doc_id", "text")), chunking)
+
+
+def _chunks_removed(tagged_docs: DataFrame, chunking: Chunking) -> DataFrame:
+    rows = tagged_docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "tag")
     p = plan(rows, chunking)
     found = rows.mapInArrow(_emit(p), "bucket long, kind int, blob binary").groupBy("bucket").applyInArrow(_bucket(p), "pack long, blob binary")
     bodies = rows.mapInArrow(_bodies(p), "pack long, blob binary")
@@ -230,8 +229,9 @@ def deduplicated(docs: DataFrame, chunking: Chunking = Chunking()) -> DataFrame:
 
     Only the other columns are joined back, by id and tag.
     """
-    keyed = docs.withColumn("_tag", tag_of())
-    cut = remove_repeated_chunks(docs, chunking).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_cut_tag"), F.col("text").alias("_text"), (F.col("n_removed") > 0).alias("_cut"))
+    prepare(docs.sparkSession)
+    keyed = tagged(docs, "_tag")
+    cut = _chunks_removed(keyed.select("doc_id", "text", F.col("_tag").alias("tag")), chunking).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_cut_tag"), F.col("text").alias("_text"), (F.col("n_removed") > 0).alias("_cut"))
     keys = keyed.groupBy("doc_id", "_tag").count()
     if keys.where("count > 1").take(1):
         cut = cut.dropDuplicates(["_id", "_cut_tag"])

@@ -33,17 +33,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.blobs import flags_to_runs, gather, groups_of, loads, pack, runs_to_flags, unpack_all
-from lodestack.llm.common import blocks, mix64, prepare, release_tables, shuffle_partitions, utf8_buffer
+from lodestack.llm.common import BROADCAST_ROWS, blocks, mix64, prepare, release_tables, shuffle_partitions, utf8_buffer
 from lodestack.llm.deep_shallow import sort_groups
 
 LAST_ID = (1 << 63) - 1
-SPANS = ("<i8", "<u2", "u1", "u1", "<u4", "<u4", "u1")  # id steps, tag, length, anchor's place, number of places, places, texts
-RANGES = ("<i8", "<u2", "<u4", "<u4")  # id, tag, start, end
-DOCS = ("<i8", "<u2", "u1", "<i8", "u1")  # id, tag, id is null, length, texts
+SPANS = ("<i8", "<i8", "u1", "u1", "<u4", "<u4", "u1")  # id steps, tag, length, anchor's place, number of places, places, texts
+RANGES = ("<i8", "<i8", "<u4", "<u4")  # id, tag, start, end
+DOCS = ("<i8", "<i8", "u1", "<i8", "u1")  # id, tag, id is null, length, texts
 KEPT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
@@ -152,7 +152,7 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 def _columns(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     ids = part.column("doc_id").fill_null(LAST_ID).to_numpy().astype(np.int64)
-    return ids, part.column("tag").to_numpy().astype(np.uint16)
+    return ids, part.column("tag").to_numpy().astype(np.int64)
 
 
 def _emit(p: Plan):
@@ -296,7 +296,7 @@ def _bucket(p: Plan):
             spans = [np.concatenate([np.cumsum(x[0]) if i == 0 else x[i] for x in parts]) for i in range(len(SPANS))]
             ranges = list(bucket_ranges(spans, p))
         ids, tags, low, high = (np.concatenate([a, b]) for a, b in zip(ranges, local))
-        rows = [(g, pack([a[0], a[1], a[2].astype("<u4"), a[3].astype("<u4")])) for g, a in _dealt(_groups(ids, tags, p.groups), [ids, tags.astype("<u2"), low, high])]
+        rows = [(g, pack([a[0], a[1], a[2].astype("<u4"), a[3].astype("<u4")])) for g, a in _dealt(_groups(ids, tags, p.groups), [ids, tags.astype("<i8"), low, high])]
         columns = list(zip(*rows)) or [(), ()]
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], names=["pack", "blob"])
 
@@ -376,14 +376,20 @@ def plan(docs: DataFrame, length: int = 50, shallow: int = 32, bucket_bytes: int
     return Plan(length, k, max(least, -(-4 * total // bucket_bytes)), max(least, -(-total // group_bytes)), shallow)
 
 
-def tags_for(docs: DataFrame) -> Column:
-    """What tells rows of one doc_id apart: a hash of the text if some id has several rows, else 0.
+def tagged(docs: DataFrame, name: str = "tag") -> DataFrame:
+    """``docs`` with what tells rows of one doc_id apart: a 64-bit hash of the text where the id is null or has several rows, else 0.
 
     Tags travel with every span, and random ones don't compress.
     """
-    if docs.groupBy("doc_id").count().where("count > 1").take(1):
-        return F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int")
-    return F.lit(0)
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    many = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_many"))
+    n = many.count()
+    if n > BROADCAST_ROWS:
+        return docs.withColumn(name, text)
+    if not n:
+        return docs.withColumn(name, F.when(F.col("doc_id").isNull(), text).otherwise(F.lit(0).cast("long")))
+    joined = docs.join(F.broadcast(many), F.col("doc_id") == F.col("_many"), "left")
+    return joined.withColumn(name, F.when(F.col("doc_id").isNull() | F.col("_many").isNotNull(), text).otherwise(F.lit(0).cast("long"))).drop("_many")
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False, shallow: int = 32) -> DataFrame:
@@ -397,7 +403,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False, shal
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     p = plan(docs, length, shallow)
-    rows = docs.withColumn("tag", tags_for(docs))
+    rows = tagged(docs)
     spans = rows.mapInArrow(_emit(p), "bucket long, kind int, blob binary")
     ranges = spans.groupBy("bucket").applyInArrow(_bucket(p), "pack long, blob binary")
     bodies = rows.mapInArrow(_bodies(p), "pack long, blob binary")

@@ -242,3 +242,16 @@ def test_connected_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {**{i: 1 for i in range(1, 5)}, 10: 10, 11: 10, **{i: 100 for i in range(100, 160)}, **{i: 200 for i in range(200, 261)}}
     assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def test_texts_of_one_id_stay_apart(spark):
+    rng = random.Random(9)
+    texts = [prose(rng, 12) + f" {i}" for i in range(2000)]
+    rows = [(None if i % 2 else 7, t) for i, t in enumerate(texts)] + [(8, prose(rng, 12))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    # far more texts of one id than 16 bits tell apart
+    cut = suffix_dedup.remove_repeats(docs.where("doc_id is null"), 50).collect()
+    assert sorted(bytes(r["kept"]).decode() for r in cut) == sorted(t for i, t in rows if i is None)
+    assert Counter(map(tuple, chunk_dedup.deduplicated(docs).collect())) == Counter(rows)
+    tags = {(r["doc_id"], r["tag"]) for r in suffix_dedup.tagged(docs).collect()}
+    assert len(tags) == 2001 and (8, 0) in tags
