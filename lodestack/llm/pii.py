@@ -1,19 +1,21 @@
 """Personal data by patterns and by information-theoretic sanitisation, in DataFrame functions only.
 
 Patterns give the base spans: e-mail addresses, IPv4 addresses, card numbers and
-phone numbers. Terms near them may reveal them as well. For a term ``t`` and a
-protected entity ``e`` (the value of a base span) the corpus gives
+phone numbers. Terms of the same documents may reveal them as well. For a term
+``t`` and a protected entity ``e`` (the value of a base span) the corpus gives
 
-* ``support``: distinct contexts in which ``t`` stands next to ``e``, copies of a
-  context counting once,
-* ``joint``: documents in which it does, and ``df``: documents of the whole
-  corpus that hold ``t`` anywhere,
+* ``joint``: documents that hold both, wherever they stand, and ``df``: documents
+  of the whole corpus that hold ``t``,
+* ``support``: distinct surroundings of ``e`` in the documents that hold both,
+  one of each document, so that copies of a passage count once,
 * the disclosure ``P(e | t) = joint / df`` and the information
   ``log2(P(e | t) / P(e))`` that reading ``t`` gives about ``e``.
 
 Terms with enough support whose disclosure and information exceed the thresholds
-are removed beside that entity, as spans of kind ``term``; :func:`sanitise`
-generalises every span to its kind's name. Base spans always stay.
+are removed wherever they stand, in documents without the entity as well, as
+spans of kind ``term``; :func:`sanitise` generalises every span to its kind's
+name. Base spans always stay. A term is a run of letters of any length, so names
+inside unspaced scripts are found only where something else stands around them.
 
 Defined cases: a null text counts as empty and stays null when sanitised; an
 empty table gives no rows; repeated rows get the same spans each; null ids are
@@ -40,14 +42,14 @@ PATTERNS = {
 }
 #: A text without a match of this has no match of the kind's pattern.
 GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-TERM = r"(?<![\p{L}\p{M}\p{N}_])\p{L}[\p{L}\p{M}]{3,}+(?![\p{N}_])"
+TERM = r"(?<![\p{L}\p{M}\p{N}_])\p{L}[\p{L}\p{M}]*+(?![\p{N}_])"
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 BLOCK = 256
 
 
 @dataclass(frozen=True)
 class Thresholds:
-    """When a term discloses an entity; ``reach`` terms on each side of a span are looked at."""
+    """When a term discloses an entity; ``reach`` terms within ``window`` characters on each side are an entity's surroundings."""
 
     support: int = 3
     probability: float = 0.5
@@ -134,8 +136,8 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*parts))
 
 
-def _terms_beside(text: Column, spans: Column, t: Thresholds) -> Column:
-    """Terms next to each base span and outside all: struct(term, start, end, entity, context)."""
+def _surroundings(text: Column, spans: Column, t: Thresholds) -> Column:
+    """Each base span's entity and a hash of the terms beside it: struct(entity, context)."""
 
     def beside(s: Column) -> Column:
         low = F.greatest(F.lit(0), s.start - t.window)
@@ -143,55 +145,67 @@ def _terms_beside(text: Column, spans: Column, t: Thresholds) -> Column:
         # a window may cut a word: what touches its outer edge doesn't count
         cut_left = lambda w: (low > 0) & (w.start == 0)
         cut_right = lambda w: (F.length(right) == t.window) & (w.end == t.window)
-        before = F.reverse(F.slice(F.reverse(F.filter(found(left, TERM, 0), lambda w: ~cut_left(w))), 1, t.reach))
+        before = F.slice(F.reverse(F.filter(found(left, TERM, 0), lambda w: ~cut_left(w))), 1, t.reach)
         after = F.slice(F.filter(found(right, TERM, 0), lambda w: ~cut_right(w)), 1, t.reach)
-        moved = lambda ws, by: F.transform(ws, lambda w: F.struct(F.lower(w.value).alias("term"), (w.start + by).alias("start"), (w.end + by).alias("end")))
-        near = F.concat(moved(before, low), moved(after, s.end))
         entity = F.concat_ws(":", s.kind.cast("string"), F.lower(s.value))
-        context = lambda ws: F.xxhash64(entity, F.transform(ws, lambda w: w.term))
-        free = lambda w: ~F.exists(spans, lambda b: (b.start < w.end) & (w.start < b.end))
-        return _bound(near, lambda ws: F.transform(F.filter(ws, free), lambda w: F.struct(w.term.alias("term"), w.start.alias("start"), w.end.alias("end"), entity.alias("entity"), context(ws).alias("context"))))
+        return F.struct(entity.alias("entity"), F.xxhash64(entity, F.transform(F.concat(before, after), lambda w: F.lower(w.value))).alias("context"))
 
-    return F.flatten(F.transform(spans, beside))
+    return F.transform(spans, beside)
+
+
+def _words(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0)))
 
 
 def scan(docs: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
-    """row_key, doc_id, base (spans) and beside (terms next to them) of every row; cut off from its lineage."""
+    """row_key, doc_id, base (spans) and held (their entities and surroundings) of every row; cut off from its lineage."""
     prepare(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
-    none = "array<struct<term:string,start:int,end:int,entity:string,context:bigint>>"
-    beside = lambda spans: F.when(F.size(spans) > 0, _terms_beside(text, spans, thresholds)).otherwise(F.array().cast(none))
+    held = lambda spans: F.when(F.size(spans) > 0, _surroundings(text, spans, thresholds)).otherwise(F.array().cast("array<struct<entity:string,context:bigint>>"))
     return docs.select(
         F.xxhash64("doc_id", "text").alias("row_key"),
         F.col("doc_id").cast("long").alias("doc_id"),
-        _bound(base_spans(text), lambda spans: F.struct(spans.alias("base"), beside(spans).alias("beside"))).alias("s"),
-    ).select("row_key", "doc_id", "s.base", "s.beside").checkpoint()
+        _bound(base_spans(text), lambda spans: F.struct(spans.alias("base"), held(spans).alias("held"))).alias("s"),
+    ).select("row_key", "doc_id", "s.base", "s.held").checkpoint()
 
 
 def disclosures(docs: DataFrame, scanned: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
     """(term, entity) pairs of the corpus that exceed the thresholds, with their figures.
 
-    Only terms with enough support are counted in the whole corpus; the table of
-    those terms is broadcast if it is small, else joined by shuffling.
+    A pair's support is at most its entity's, so documents are read for terms
+    only where they hold an entity of enough surroundings.
     """
-    near = scanned.where(F.size("beside") > 0).select("row_key", F.explode("beside").alias("b")).select("row_key", "b.term", "b.entity", "b.context")
-    # beside entities a term is in at most as many documents as anywhere, so this bound drops
-    # the terms that stand beside many entities before the whole corpus is counted
-    beside = near.select("row_key", "term").distinct().groupBy("term").agg(F.count("*").alias("beside_docs"))
+    spark = docs.sparkSession
+    held = scanned.where(F.size("held") > 0).select("row_key", F.monotonically_increasing_id().alias("row"), F.explode("held").alias("h"))
+    held = held.groupBy("row_key", "row", "h.entity").agg(F.min("h.context").alias("context"))
+    entities = held.groupBy("entity").agg(F.countDistinct("context").alias("contexts"), F.count("*").alias("entity_docs")).where(F.col("contexts") >= thresholds.support).select("entity", "entity_docs").checkpoint()
+    n_entities = entities.count()
+    if not n_entities:
+        return spark.createDataFrame([], "term string, entity string, support long, joint long, df long, disclosure double, bits double")
+    kept = held.join(small_side(entities, n_entities), "entity").select("row_key", "entity", "context").distinct()
+    kept = kept.groupBy("row_key").agg(F.collect_list(F.struct("entity", "context")).alias("held")).checkpoint()
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").join(small_side(kept, kept.count()), "row_key")
+    terms = rows.select("held", F.explode(_words(F.col("text"))).alias("term"))
+    # a term is in at most as many of these documents as anywhere, so this bound drops
+    # the terms of many entities before the whole corpus is counted
+    within = terms.groupBy("term").agg(F.count("*").alias("within"))
     pairs = (
-        near.groupBy("term", "entity")
-        .agg(F.countDistinct("context").alias("support"), F.countDistinct("row_key").alias("joint"))
+        terms.select("term", F.explode("held").alias("h"))
+        .groupBy("term", "h.entity", "h.context")
+        .agg(F.count("*").alias("n"))
+        .groupBy("term", "entity")
+        .agg(F.count("*").alias("support"), F.sum("n").alias("joint"))
         .where(F.col("support") >= thresholds.support)
-        .join(beside, "term")
-        .where(F.col("joint") >= thresholds.probability * F.col("beside_docs"))
+        .join(within, "term")
+        .where(F.col("joint") >= thresholds.probability * F.col("within"))
+        .drop("within")
         .checkpoint()
     )
     terms = pairs.select("term").distinct()
     n_terms, n_docs = terms.count(), docs.count()
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(TERM), F.lit(0)))
-    df = docs.select(F.explode(words).alias("term")).join(small_side(terms, n_terms), "term", "left_semi") if n_terms else docs.sparkSession.createDataFrame([], "term string")
+    df = docs.select(F.explode(_words(F.col("text"))).alias("term")).join(small_side(terms, n_terms), "term", "left_semi") if n_terms else spark.createDataFrame([], "term string")
     df = df.groupBy("term").agg(F.count("*").alias("df"))
-    entities = near.select("row_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("entity_docs"))
     share = F.least(F.lit(1.0), F.col("joint") / F.col("df"))
     return (
         pairs.join(df, "term")
@@ -208,11 +222,19 @@ def detect(docs: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
     Repeated rows are given once each.
     """
     scanned = scan(docs, thresholds)
-    told = disclosures(docs, scanned, thresholds).select("term", "entity").checkpoint()
-    near = scanned.where(F.size("beside") > 0).select("row_key", F.explode("beside").alias("b")).select("row_key", "b.*")
-    kept = near.join(small_side(told, told.count()), ["term", "entity"], "left_semi")
-    spans = kept.groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", F.col("term").alias("value")))).alias("terms"))
-    return scanned.drop("beside").join(spans, "row_key", "left").withColumn("terms", F.coalesce("terms", F.array().cast(SPAN)))
+    told = disclosures(docs, scanned, thresholds).select("term").distinct().checkpoint()
+    n_told = told.count()
+    none = F.array().cast(SPAN)
+    if not n_told:
+        return scanned.drop("held").withColumn("terms", none)
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    held = keyed.select("row_key", F.explode(_words(F.col("text"))).alias("term")).join(small_side(told, n_told), "term", "left_semi")
+    held = held.groupBy("row_key").agg(F.collect_set("term").alias("told")).checkpoint()
+    lowered = lambda w: F.struct(w.start.alias("start"), w.kind.alias("kind"), w.end.alias("end"), F.lower(w.value).alias("value"))
+    hits = F.filter(F.transform(found(F.col("text"), TERM, len(KINDS)), lowered), lambda w: F.array_contains("told", w.value))
+    spans = keyed.join(small_side(held, held.count()), "row_key").dropDuplicates(["row_key"]).select("row_key", hits.alias("hits"))
+    free = lambda w: ~F.exists("base", lambda b: (b.start < w.end) & (w.start < b.end))
+    return scanned.drop("held").join(spans, "row_key", "left").withColumn("terms", F.coalesce(F.filter("hits", free), none)).drop("hits")
 
 
 def listed(spans: Column) -> Column:

@@ -302,6 +302,17 @@ def test_terms_that_disclose(spark):
     assert pii.detect(docs.limit(0)).count() == 0
 
 
+def test_terms_far_from_the_entity_and_without_it(spark):
+    rng = random.Random(6)
+    common = ["alpha", "bravo", "charlie", "delta", "echoes", "foxtrot"]
+    rows = [(i, f"Li {sentences(rng, common, 90)} write to joe@corp.com {sentences(rng, common, 5)} Li") for i in range(6)]
+    rows += [(10, "Li alone"), *((20 + i, sentences(rng, common, 40)) for i in range(80))]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert all(clean[i].startswith("[TERM] ") and clean[i].endswith(" [TERM]") for i in range(6)) and clean[10] == "[TERM] alone"
+    assert clean[20] == dict(rows)[20]
+
+
 def test_copies_of_one_context_count_once(spark):
     rows = [(i, "Quokka writes joe@corp.com daily") for i in range(50)]
     assert not any(r["terms"] for r in pii.detect(spark.createDataFrame(rows, SCHEMA)).collect())
