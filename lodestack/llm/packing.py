@@ -7,15 +7,18 @@ the corpus; within a group the packer
 
 1. builds a best-fit-decreasing solution as the first incumbent,
 2. stops if it meets the volume bound ``ceil(tokens / capacity)``,
-3. otherwise runs bin completion: the largest open piece starts a sequence,
+3. otherwise runs bin completion: the largest open piece starts a sequence, all
    undominated fillings of its rest are enumerated by waste, and a branch ends
    once its waste exceeds what one sequence less than the incumbent allows.
+   ``node_limit`` ends the search with the best solution so far.
 
 At most one sequence per group can stay part empty because of the grouping.
 
 Defined cases: a null text is an empty one (just the end id); an empty table
 gives no rows; repeated rows are packed once each; null doc_ids are carried
-along; other input columns are ignored.
+along; a text of any length is cut into pieces of ``capacity``; among fillings of
+equal waste those with the largest pieces come first; other input columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ from pyspark.sql import functions as F
 
 from lodestack.llm.common import prepare, segments, text_slices, worker_table
 
-#: Words in a generation of a worker's word table; two generations are kept.
-TABLE_ENTRIES = 400_000
+#: Words, and bytes of long ones, in a generation of a worker's word table; two generations are kept.
+TABLE_ENTRIES, TABLE_BYTES = 400_000, 32 << 20
 PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 IDS_SCHEMA = PIECES_SCHEMA + ", ids binary"
 PACKED_SCHEMA = PIECES_SCHEMA + ", sequence_id long, offset long"
@@ -64,6 +67,7 @@ class WordIds:
         self.model = self.tokenizer.model
         self.table: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
+        self.letters = 0
         self.marks = {m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in ("", ".", ",")}
 
     @staticmethod
@@ -93,10 +97,12 @@ class WordIds:
         except KeyError:
             pass
         new = set(words).difference(table)
-        if len(table) + len(new) > TABLE_ENTRIES:
+        self.letters += sum(map(len, new))
+        if len(table) + len(new) > TABLE_ENTRIES or self.letters > TABLE_BYTES:
             # words in use move on to the new generation, the others are forgotten with the one before
             self.older, self.table = table, {"": b""}
             table, new = self.table, set(words)
+            self.letters = sum(map(len, new))
         cores, older = {}, self.older
         for word in new:
             known = older.get(word)
@@ -198,60 +204,84 @@ class _Stock:
         if not self.count[size]:
             self.mask &= ~(1 << size)
 
-    def largest(self, limit: int) -> int:
-        """Largest open size of at most ``limit``, or 0."""
-        return (self.mask & ((1 << (limit + 1)) - 1)).bit_length() - 1 if limit > 0 and self.mask & ((1 << (limit + 1)) - 1) else 0
+    def fillings(self, room: int, waste: int) -> Iterator[tuple[int, ...]]:
+        """All undominated fillings of ``room`` that leave at most ``waste`` of it, least waste first, largest pieces first.
 
-    def fillings(self, room: int, keep: int, tries: int) -> list[tuple[int, ...]]:
-        """Undominated fillings of ``room`` by up to three pieces (more where small ones fit), least waste first.
-
-        A filling whose total is no more than a single open piece that fits too
-        is dominated: that piece could take its place.
+        Sets of pieces are found by their sum: ``reach`` tells which sums the
+        smaller sizes make, so no choice ends without a filling.
+        """
+        sizes, reach, sums, fits = [], [1], 1, (1 << (room + 1)) - 1
+        mask = self.mask & fits
+        while mask:
+            size = (mask & -mask).bit_length() - 1
+            mask &= mask - 1
+            left, step = min(self.count[size], room // size), 1
+            while left:
+                # so many pieces at once, doubling, reach what any number of them does
+                step = min(step, left)
+                sums |= (sums << (step * size)) & fits
+                left, step = left - step, 2 * step
+            sizes.append(size)
+            reach.append(sums)
+        for total in range(room, max(0, room - waste) - 1, -1):
+            if sums >> total & 1:
+                for chosen in self._of_sum(sizes, reach, total):
+                    if not self._dominated(chosen, room, room - total):
+                        yield chosen
+
+    def _of_sum(self, sizes: list[int], reach: list[int], total: int) -> Iterator[tuple[int, ...]]:
+        """Sets of pieces of exactly ``total``, those with the largest pieces first."""
+        stack = [(len(sizes), total, ())]
+        while stack:
+            i, left, chosen = stack.pop()
+            if not left:
+                yield chosen
+                continue
+            # sizes that can't be in a set of this sum are passed over
+            while reach[i - 1] >> left & 1 and sizes[i - 1] > left:
+                i -= 1
+            size = sizes[i - 1]
+            for n in range(min(self.count[size], left // size) + 1):
+                if reach[i - 1] >> (left - n * size) & 1:
+                    stack.append((i - 1, left - n * size, chosen + (size,) * n))
+
+    def _dominated(self, chosen: tuple[int, ...], room: int, waste: int) -> bool:
+        """Whether an open piece could take the place of some of ``chosen`` (or of none) that are no larger together.
+
+        What it replaces could then go where it would have gone, so the filling
+        with it is at least as good.
         """
-        best = self.largest(room)
-        if not best:
-            return [()]
-        found: dict[tuple[int, ...], int] = {(best,): best}
-        if best < room:
-            first = best
-            while first and tries:
-                self.take(first)
-                chosen, left = [first], room - first
-                while left and len(chosen) < 8 and (nxt := self.largest(left)):
-                    self.take(nxt)
-                    chosen.append(nxt)
-                    left -= nxt
-                if len(chosen) == 2 and left:
-                    second = chosen[1]
-                    half = self.largest(second - 1)
-                    for _ in range(8):
-                        if not half:
-                            break
-                        self.take(half)
-                        third = self.largest(room - first - half)
-                        self.put(half)
-                        if third:
-                            found[(first, *sorted((half, third), reverse=True))] = first + half + third
-                        half = self.largest(half - 1)
-                for s in chosen:
-                    self.put(s)
-                total = room - left
-                if total >= best:
-                    found[tuple(chosen)] = total
-                if total == room:
-                    break
-                first = self.largest(first - 1)
-                tries -= 1
-        undominated = [f for f, total in found.items() if total >= best and (total > best or f == (best,))]
-        return sorted(undominated, key=lambda f: (-found[f], len(f), tuple(-s for s in f)))[:keep]
-
-
-def bin_completion(sizes: list[int], capacity: int, node_limit: int = 20_000, branches: int = 4) -> list[list[int]]:
+        sums, alone, used = 1, 1, {}
+        several = 0
+        for s in chosen:
+            several |= (several | alone & ~1) << s
+            alone |= 1 << s
+            sums |= sums << s
+            used[s] = used.get(s, 0) + 1
+        others = self.mask & ((1 << (room + 1)) - 1)
+        for s, n in used.items():
+            if self.count[s] == n:
+                others &= ~(1 << s)
+        if not others:
+            return False
+        # sizes from a sum of several pieces, or beyond nothing or a single piece, up to the waste more
+        reached, width = several | alone << 1, 1
+        if not waste:
+            return bool(several & others)
+        while width < waste:
+            step = min(width, waste - width)
+            reached |= reached << step
+            width += step
+        return bool((reached | several | several << waste) & others)
+
+
+def bin_completion(sizes: list[int], capacity: int, node_limit: int = 4_000) -> list[list[int]]:
     """Bins of indexes into ``sizes``; never more bins than best-fit decreasing gives.
 
     Depth-first over sequences: each level completes the sequence begun by the
-    largest open piece. ``node_limit`` bounds the search, not the result: what
-    it leaves is the best solution found so far.
+    largest open piece by every undominated filling whose waste still allows
+    fewer sequences than the incumbent. The result is optimal unless the search
+    ends by ``node_limit``, with the best solution found so far.
     """
     incumbent = best_fit_decreasing(sizes, capacity)
     total = sum(sizes)
@@ -262,16 +292,23 @@ def bin_completion(sizes: list[int], capacity: int, node_limit: int = 20_000, br
     allowed = (len(incumbent) - 1) * capacity - total
     best: list[tuple[int, ...]] | None = None
 
-    def options() -> list[tuple[int, ...]]:
-        lead = stock.largest(capacity)
+    def options() -> Iterator[tuple[int, ...]]:
+        lead = stock.mask.bit_length() - 1
         stock.take(lead)
-        made = [(lead, *f) for f in stock.fillings(capacity - lead, branches, 24)]
-        stock.put(lead)
-        return made[::-1]
-
-    stack.append(options() if stock.mask else [])
+        made = stock.fillings(capacity - lead, allowed - waste)
+        while True:
+            chosen = next(made, None)
+            stock.put(lead)
+            if chosen is None:
+                return
+            yield (lead, *chosen)
+            # the search has put back what it took
+            stock.take(lead)
+
+    stack.append(options())
     while stack:
-        if not stack[-1] or nodes >= node_limit:
+        chosen = next(stack[-1], None) if nodes < node_limit else None
+        if chosen is None or waste + capacity - sum(chosen) > allowed:
             stack.pop()
             if path:
                 done = path.pop()
@@ -281,23 +318,20 @@ def bin_completion(sizes: list[int], capacity: int, node_limit: int = 20_000, br
             if nodes >= node_limit:
                 break
             continue
-        chosen = stack[-1].pop()
         nodes += 1
-        more = capacity - sum(chosen)
         for s in chosen:
             stock.take(s)
         path.append(chosen)
-        waste += more
-        if not stock.mask:
-            # the last sequence may be part empty without costing another one
-            if len(path) < len(incumbent if best is None else best):
-                best = list(path)
-                allowed = (len(best) - 1) * capacity - total
-                if len(best) <= bound:
-                    break
-            stack.append([])
-        else:
-            stack.append(options() if waste <= allowed else [])
+        waste += capacity - sum(chosen)
+        if stock.mask:
+            stack.append(options())
+            continue
+        # the waste of a whole solution is within what one sequence less allows
+        best = list(path)
+        if len(best) <= bound:
+            break
+        allowed = (len(best) - 1) * capacity - total
+        stack.append(iter(()))
     if best is None:
         return incumbent
     by_size: dict[int, list[int]] = {}
@@ -325,7 +359,7 @@ def _packer(capacity: int, node_limit: int) -> Callable[[pa.Table], pa.Table]:
     return pack
 
 
-def pack(pieces: DataFrame, documents: int, capacity: int = 4096, group_documents: int = 4096, node_limit: int = 20_000) -> DataFrame:
+def pack(pieces: DataFrame, documents: int, capacity: int = 4096, group_documents: int = 4096, node_limit: int = 4_000) -> DataFrame:
     """Place pieces (columns of :func:`token_pieces`) into sequences.
 
     ``documents`` is their documents' number, from which the number of groups
@@ -333,8 +367,8 @@ def pack(pieces: DataFrame, documents: int, capacity: int = 4096, group_document
     """
     prepare(pieces.sparkSession)
     groups = max(1, -(-documents // group_documents))
-    # the checksum spreads documents without an id
-    key = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("ids_crc32"))), F.lit(groups)).cast("long")
+    # a row's place spreads repeated rows and documents without an id
+    key = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)).cast("long")
     return (
         pieces.select("doc_id", "piece", "start", "length", "ids_crc32", key.alias("pack_group"))
         .groupBy("pack_group")
