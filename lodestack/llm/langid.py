@@ -11,8 +11,10 @@ that length reach, and no more than the floor of longer texts.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0
 and rejected; they and rows with a null lang teach nothing; if nothing is labelled,
-every text is ``und``; an empty table gives no rows; repeated rows give repeated
-results; other columns never reach the model.
+every text is ``und``; of centroids with the same cosine the language that sorts
+first wins; n-grams of a text of any length are counted in slices; an empty table
+gives no rows; repeated rows give repeated results; other columns, whatever their
+names, are carried by :func:`annotate` and never reach the model.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import prepare, release_tables, text_slices, utf8_buffer
+from lodestack.llm.common import free_name, prepare, release_tables, text_slices, utf8_buffer
 
 UNKNOWN = "und"
 #: Classes of length (n-grams of a text) with a floor each: below 64, 256, 1024, and more.
@@ -163,25 +165,30 @@ def _sums(features: Features):
     return run
 
 
-def fit(labelled: DataFrame, sample_per_lang: int = 800, max_langs: int = 200, clusters: int = 4, floor: float = 0.7, features: Features = Features()) -> CentroidModel:
+def fit(labelled: DataFrame, sample_per_lang: int = 800, clusters: int = 4, floor: float = 0.7, features: Features = Features(), model_bytes: int = 1 << 30) -> CentroidModel:
     """Fit on ``labelled`` (doc_id, text, lang).
 
     Document frequencies cover all labelled texts. Centroids come from about
-    ``sample_per_lang`` texts of each of the ``max_langs`` most frequent
-    languages, chosen by a hash of id and text, so the sample's size is bounded
-    whatever the size of the table.
+    ``sample_per_lang`` texts of each language, chosen by a hash of id and text,
+    repeated rows once, so the sample's size is bounded whatever the size of the table. Every
+    language has its centroids; a table with so many that they would take more
+    than ``model_bytes`` (16,384 languages by default) raises ValueError.
     """
     spark = prepare(labelled.sparkSession)
     labelled = labelled.select(F.col("doc_id"), "text", "lang").where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull())
-    per_lang = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    most = model_bytes // (4 * clusters * features.dims)
+    per_lang = labelled.groupBy("lang").agg(F.count("*").alias("n")).checkpoint()
+    n_langs = per_lang.count()
+    if n_langs > most:
+        raise ValueError(f"{n_langs} languages need more than model_bytes; {most} fit")
     df = labelled.select("text").mapInArrow(_sums(features), "slot int, df long").groupBy("slot").agg(F.sum("df").alias("df")).collect()
     seen = {r["slot"]: r["df"] for r in df}
     docs = seen.get(features.dims, 0)
     idf = np.array([np.log((1 + docs) / (1 + seen.get(i, 0))) + 0.1 for i in range(features.dims)], dtype=np.float32)
     nothing = CentroidModel(features, idf, np.zeros((0, features.dims), np.float32), (), np.zeros((0, len(LENGTH_CLASSES) + 1)))
-    if not per_lang:
+    if not n_langs:
         return nothing
-    share = F.element_at(F.create_map(*[x for r in per_lang for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_per_lang / r["count"])))]), F.col("lang"))
+    share = F.lit(float(sample_per_lang)) / F.col("n")
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 24)) / float(1 << 24)
     schema = "lang string, centroid binary, floors array<double>"
 
@@ -200,7 +207,8 @@ def fit(labelled: DataFrame, sample_per_lang: int = 800, max_langs: int = 200, c
         data = [[lang] * len(centroids), [c.astype("<f4").tobytes() for c in centroids], [floors] * len(centroids)]
         return pa.table([pa.array(d, k) for d, k in zip(data, (pa.string(), pa.binary(), pa.list_(pa.float64())))], names=["lang", "centroid", "floors"])
 
-    rows = labelled.where(draw < share).select("lang", "text").groupBy("lang").applyInArrow(cluster, schema).collect()
+    drawn = labelled.withColumn("draw", draw).join(F.broadcast(per_lang), "lang").where(F.col("draw") < share)  # at most ``most`` rows
+    rows = drawn.dropDuplicates(["lang", "doc_id", "text"]).select("lang", "text").groupBy("lang").applyInArrow(cluster, schema).collect()
     if not rows:
         return nothing
     rows = sorted(rows, key=lambda r: (r["lang"], bytes(r["centroid"])))
@@ -214,9 +222,9 @@ def annotate(docs: DataFrame, model: CentroidModel) -> DataFrame:
     A column of ``docs`` with one of these names gives way to the prediction.
     """
     spark = prepare(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(model)  # bounded: max_langs * clusters * dims numbers
+    shared = spark.sparkContext.broadcast(model)  # at most model_bytes
     made = ("lang_pred", "score", "rejected")
-    carried = [c for c in docs.columns if c not in made]
+    carried, marked = [c for c in docs.columns if c not in made], free_name(docs, "letters")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_tables()
@@ -225,13 +233,13 @@ def annotate(docs: DataFrame, model: CentroidModel) -> DataFrame:
             for low, high in text_slices(batch, "text", 1 << 20):
                 for at in range(low, high, 512):
                     part = batch.slice(at, min(512, high - at))
-                    langs, score, rejected = fitted.predict(part.column("text"), part.column("_letters").to_numpy(zero_copy_only=False))
+                    langs, score, rejected = fitted.predict(part.column("text"), part.column(marked).to_numpy(zero_copy_only=False))
                     columns = [*(part.column(c) for c in carried), pa.array(langs, pa.string()), pa.array(score), pa.array(rejected)]
                     yield pa.RecordBatch.from_arrays(columns, names=[*carried, *made])
 
     letters: Column = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     schema = docs.select(*carried).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return docs.select(*carried, letters.alias("_letters")).mapInArrow(run, schema)
+    return docs.select(*carried, letters.alias(marked)).mapInArrow(run, schema)
 
 
 def predict(docs: DataFrame, model: CentroidModel) -> DataFrame:
