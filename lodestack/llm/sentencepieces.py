@@ -7,8 +7,9 @@ and decoded once by the library, and ids and texts are joined back by position.
 :func:`check_vocabulary` refuses models for which this does not hold.
 
 Defined cases: a null text is encoded as an empty one (begin and end id only);
-an empty table gives no rows; repeated rows give repeated results; other input
-columns are ignored.
+an empty table gives no rows; repeated rows give repeated results; null ids are
+carried along; a text of any length is coded a MiB or so at a time, cut only where
+chunks are; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from lodestack.llm.common import prepare, text_slices, worker_table
 
 MARK = "▁"
 CHUNKS = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
-#: Chunks in a generation of a worker's table; two generations are kept.
-TABLE_ENTRIES = 300_000
+#: Chunks, and letters of them, in a generation of a worker's table; two generations are kept.
+TABLE_ENTRIES, TABLE_LETTERS = 300_000, 16 << 20
 CODED_SCHEMA = "doc_id long, ids binary, decoded string"
 
 
@@ -55,6 +56,7 @@ class ChunkTable:
         self.ids: dict[str, bytes] = {}
         self.texts: dict[str, bytes] = {}
         self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.letters = 0
 
     def _add(self, chunks: list[str]) -> None:
         # the library puts a marker in front: a marked chunk gives up one, a line's chunk drops it afterwards
@@ -84,10 +86,12 @@ class ChunkTable:
                 ids.append(b"".join(map(self.ids.__getitem__, chunks)))
             except KeyError:
                 new = set(chunks).difference(self.ids)
-                if len(self.ids) + len(new) > TABLE_ENTRIES:
+                self.letters += sum(map(len, new))
+                if len(self.ids) + len(new) > TABLE_ENTRIES or self.letters > TABLE_LETTERS:
                     # chunks in use move on to the new generation, the others are forgotten with the one before
                     self.older, self.ids, self.texts = (self.ids, self.texts), {}, {}
                     new = set(chunks)
+                    self.letters = sum(map(len, new))
                 ids_before, texts_before = self.older
                 for chunk in new:
                     if chunk in ids_before:
