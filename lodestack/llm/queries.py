@@ -47,8 +47,7 @@ FROM d LEFT JOIN t USING (r)
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = toxicity.fit(toxicity.labelled_rows(docs.where(fold("doc_id", 4) != 2), table(spark, sf_dir, "labels")))
-    scored = toxicity.score(docs, model)
+    scored = toxicity.score(toxicity.with_labels(docs, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2))
     return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 

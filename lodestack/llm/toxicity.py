@@ -13,71 +13,61 @@ before a word). So a rare expression weighs the same in both classes until one
 of them has seen it. A text is described by length-normalised log-ratios of the
 two classes: per word over the whole text, by either order; over its strongest
 ``WINDOW`` words, three words and one word; and by how many of its words are about
-as telling as the model knows. A logistic curve over these gives the score; it is
-fitted on labelled rows by the counts of other ones, then all are counted.
+as telling as a word can be. A logistic curve over these gives the score. It is
+fitted on a bounded sample of the labelled texts, described by the counts of all
+others; every other text is described by the counts of all labelled ones.
 
-Words are 64-bit hashes. The counts, of bigrams seen once as well, are a table of
-buckets of words that is neither collected nor broadcast: each pack of texts asks
-every bucket for its distinct words and bigrams (:func:`_described`), and only
-sums of the counts reach the driver.
+The counts grow with the corpus and are neither capped, collected nor broadcast.
+Texts are read once, in *packs* of bounded size. A pack sends each bucket of
+words its distinct bigrams that begin with them, with their counts by class:
+these are its share of the model and its questions at once. Buckets add the
+counts up, exchange continuation counts (:func:`_contributed`), and answer each
+pack (:func:`_answered`), which meets its words again (:func:`_finished`). Of words
+that many texts are full of, the bigrams are dealt by their second word instead,
+so that no bucket gathers a frequent word's.
+
+Words are 48-bit hashes.
 
 Defined cases: null and empty texts and texts without a word score 0; rows
 without a label teach nothing; of several labels of an id the highest counts; if
-one class is missing, every score is 0; an empty table gives no rows; repeated
-rows get the same score each.
+a class is missing, every score is 0; an empty table gives no rows; repeated
+rows teach and are scored once each; a text of any length is one row of a pack;
+other columns are ignored, whatever their names. ``docs`` must give the same rows
+when a lost task reads them again, as files do.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import mix64, prepare, release_tables, shuffle_partitions, small_side, text_slices, utf8_buffer
+from lodestack.llm.blobs import groups_of
+from lodestack.llm.common import blocks, mix64, prepare, release_tables, small_side, text_slices, utf8_buffer
 from lodestack.llm.words import LETTERS, Words, words_of
 
 WINDOW = 8
 DISCOUNT = 0.75
-SCORED_SCHEMA = "doc_id long, score double"
+#: Keys from here on are packs', those below buckets'.
+PACKS = 1 << 62
+ASK, BODY = 0, 1
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Bits of a word's hash, rows of the logistic fit; least buckets of the counts, and bytes of text for a bucket and a pack."""
+    """Rows of the logistic fit; bytes of text for a pack and a bucket, least buckets; what makes a word frequent, and bytes of text to look for such words."""
 
-    bits: int = 64
-    buckets: int = 64
     fit_rows: int = 20_000
-    bucket_bytes: int = 16 << 20
-    pack_bytes: int = 8 << 20
-
-
-def slots_of(words: Words, bits: int) -> np.ndarray:
-    return words.hashes >> np.uint64(64 - bits)
-
-
-def contexts_of(slots: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The word before each word; before a text's first one it is 0."""
-    before = np.zeros_like(slots)
-    before[1:] = np.where(rows[1:] == rows[:-1], slots[:-1], np.uint64(0))
-    return before
-
-
-def bigrams_of(before: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    return mix64(mix64(before) * np.uint64(0xD1B54A32D192ED03) + slots)
-
-
-def bucket_of(slots: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix64(slots) % np.uint64(buckets)).astype(np.int64)
-
-
-def short(bigrams: np.ndarray) -> np.ndarray:
-    """A bigram's key within the bucket of its first word: 48 bits."""
-    return bigrams >> np.uint64(16)
+    pack_bytes: int = 32 << 20
+    bucket_bytes: int = 64 << 20
+    buckets: int = 16
+    frequent: float = 1e-4
+    probe_bytes: int = 64 << 20
 
 
 def squeezed(values: np.ndarray, rising: bool = False) -> bytes:
@@ -85,7 +75,7 @@ def squeezed(values: np.ndarray, rising: bool = False) -> bytes:
     values = np.diff(values, prepend=values.dtype.type(0)) if rising else values
     planes = np.ascontiguousarray(values).reshape(-1).view(np.uint8).reshape(-1, values.itemsize).T
     raw = planes.tobytes()
-    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+    return len(raw).to_bytes(8, "little") + (pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True) if raw else b"")
 
 
 def loosened(blob: bytes, kind: str, rising: bool = False) -> np.ndarray:
@@ -97,132 +87,257 @@ def loosened(blob: bytes, kind: str, rising: bool = False) -> np.ndarray:
     return np.cumsum(values, dtype=kind) if rising else values
 
 
-def _counts(s: Settings, buckets: int):
-    """Bigram counts of each task by class, as blobs for buckets of the previous word."""
+def bundled(parts: list[bytes]) -> bytes:
+    return b"".join([len(parts).to_bytes(4, "little"), *(len(x).to_bytes(8, "little") for x in parts), *parts])
 
-    def emit(held: tuple[list, list]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for toxic in (0, 1):
-            if not held[toxic]:
+
+def unbundled(blob: bytes) -> list[bytes]:
+    n = int.from_bytes(blob[:4], "little")
+    ends = np.cumsum([4 + 8 * n, *(int.from_bytes(blob[4 + 8 * i : 12 + 8 * i], "little") for i in range(n))]).tolist()
+    return [blob[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
+def word_slots(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """48-bit hashes of the words of all texts, none of them 0, and their rows."""
+    hashes, rows, at = [], [], 0
+    table = pa.RecordBatch.from_arrays([column], names=["text"])
+    for low, high in text_slices(table, "text", 1 << 20):
+        words = words_of(*utf8_buffer(column.slice(low, high - low)), LETTERS)
+        hashes.append(np.maximum(words.hashes >> np.uint64(16), np.uint64(1)))
+        rows.append((words.rows + low).astype(np.int32))
+        at = high
+    if not at:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
+    return np.concatenate(hashes), np.concatenate(rows)
+
+
+def bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix64(words) % np.uint64(buckets)).astype(np.int64)
+
+
+def pairs_of(sequence: np.ndarray, rows: np.ndarray, words: int) -> np.ndarray:
+    """A number for each word's bigram: the word before it (0 before a text's first one) and itself."""
+    before = np.zeros(len(sequence), dtype=np.int64)
+    before[1:] = np.where(rows[1:] == rows[:-1], sequence[:-1], 0)
+    return before * words + sequence
+
+
+@dataclass(frozen=True)
+class Deal:
+    """How many buckets there are, and the sorted hashes of frequent words."""
+
+    buckets: int
+    frequent: np.ndarray
+
+    def is_frequent(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.frequent):
+            return np.zeros(len(words), dtype=bool)
+        return self.frequent[np.minimum(np.searchsorted(self.frequent, words), len(self.frequent) - 1)] == words
+
+
+def of_buckets(pairs: np.ndarray, bucket: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The bucket of each pair: its first word's, or its second one's if the first is frequent."""
+    first, second = pairs // len(bucket), pairs % len(bucket)
+    return np.where(frequent[first], bucket[second], bucket[first])
+
+
+def _emitted(s: Settings, deal: Deal):
+    """Of each pack its bigrams for the buckets (ASK) and its words (BODY)."""
+
+    def pack(key: int, part: pa.RecordBatch) -> list[tuple]:
+        slots, rows = word_slots(part.column("text"))
+        words, sequence = np.unique(np.append(np.uint64(0), slots), return_inverse=True)
+        sequence = sequence[1:]
+        pairs = pairs_of(sequence, rows, len(words))
+        toxic = part.column("toxic").fill_null(-1).to_numpy()
+        drawn = part.column("drawn").to_numpy(zero_copy_only=False).astype(bool)
+        distinct = np.unique(pairs)
+        counts = np.zeros((4, len(distinct)), dtype="<u4")
+        of, held = toxic[rows], drawn[rows]
+        for c, chosen in enumerate((of == 0, of == 1, (of == 0) & held, (of == 1) & held)):
+            seen, n = np.unique(pairs[chosen], return_counts=True)
+            counts[c, np.searchsorted(distinct, seen)] = n
+        bucket, frequent = bucket_of(words, deal.buckets), deal.is_frequent(words)
+        made = []
+        of_pair = of_buckets(distinct, bucket, frequent)
+        by_pair, by_word = np.argsort(of_pair, kind="stable"), np.argsort(bucket, kind="stable")
+        cuts, word_cuts = (np.searchsorted(x, np.arange(deal.buckets + 1)) for x in (of_pair[by_pair], bucket[by_word]))
+        for b in range(deal.buckets):
+            chosen, own = by_pair[cuts[b] : cuts[b + 1]], by_word[word_cuts[b] : word_cuts[b + 1]]
+            if not (len(chosen) or len(own)):
                 continue
-            before, word = (np.concatenate(x) for x in zip(*held[toxic]))
-            _, first, n = np.unique(bigrams_of(before, word), return_index=True, return_counts=True)
-            bucket = bucket_of(before[first], buckets)
-            order = np.lexsort((before[first], bucket))
-            before, word, n = before[first][order], word[first][order], n[order]
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(cuts)):
-                part = slice(cuts[b], cuts[b + 1])
-                context, run = np.unique(before[part], return_counts=True)
-                rows.append((int(b), toxic, squeezed(context, True), *(squeezed(x) for x in (run.astype("<i4"), word[part], n[part].astype("<u4")))))
-        if rows:
-            names, kinds = ("bucket", "toxic", "context", "run", "word", "n"), (pa.int32(), pa.int32(), *[pa.binary()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+            first, second = distinct[chosen] // len(words), distinct[chosen] % len(words)
+            known = np.unique(np.concatenate([own, first, second]))
+            heads = groups_of(first)
+            blob = bundled([
+                squeezed(words[known], True), squeezed(np.isin(known, own, assume_unique=True)), squeezed(np.searchsorted(known, first[heads[:-1]]).astype("<u4"), True),
+                squeezed(np.diff(heads).astype("<u4")), squeezed(np.searchsorted(known, second).astype("<u4")), *(squeezed(x) for x in counts[:, chosen]),
+            ])
+            made.append((b, ASK, key, blob))
+        # frequent words have small numbers in the body
+        rank = np.argsort(-np.bincount(sequence, minlength=len(words)), kind="stable")
+        number = np.empty(len(words), dtype="<u4")
+        number[rank] = np.arange(len(words))
+        ids = part.column("doc_id")
+        body = bundled([
+            squeezed(number[sequence]), squeezed(rank.astype("<u4")), squeezed(bucket.astype("<u4")), squeezed(frequent),
+            squeezed(np.bincount(rows, minlength=part.num_rows).astype("<u4")), squeezed(ids.fill_null(0).to_numpy().astype("<i8")),
+            squeezed(ids.is_null().to_numpy(zero_copy_only=False)), squeezed(toxic.astype("i1")), squeezed(drawn),
+        ])
+        return [*made, (PACKS + key, BODY, key, body)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_tables()
-        held, size = ([], []), 0
-        for batch in batches:
-            for low, high in text_slices(batch, "text", 1 << 20):
-                part = batch.slice(low, high - low)
-                words = words_of(*utf8_buffer(part.column("text")), LETTERS)
-                slots = slots_of(words, s.bits)
-                before = contexts_of(slots, words.rows)
-                toxic = part.column("toxic").to_numpy(zero_copy_only=False)[words.rows] > 0
-                held[0].append((before[~toxic], slots[~toxic]))
-                held[1].append((before[toxic], slots[toxic]))
-                size += len(slots)
-                if size > 4_000_000:
-                    yield from emit(held)
-                    held, size = ([], []), 0
-        yield from emit(held)
+        task = TaskContext.get().partitionId()
+        for number, part in enumerate(blocks(batches, "text", s.pack_bytes)):
+            yield _rows(pack((task << 24) + number, part))
 
     return run
 
 
-#: One bucket of the counts: statistics of its words as contexts, counts of bigrams after them, continuation counts.
-PARTS = {"context": "<u8", "context_n": "<f8", "context_t": "<f8", "bigram": "<u8", "bigram_n": "<u4", "word": "<u8", "k": "<f8"}
-RISING = ("context", "bigram", "word")
-PARTS_SCHEMA = "bucket int, " + ", ".join(f"{name} binary" for name in PARTS)
-TOTALS_SCHEMA = ", k0 double, k1 double, k2 double, t0 long, t1 long, words long"
+ROWS = "key long, kind int, pack long, blob binary"
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["key", "kind", "pack", "blob"])
+
+
+@dataclass(frozen=True)
+class Asked:
+    """What a pack sent to a bucket: words, which of them are the bucket's own, and bigrams with their counts."""
+
+    words: np.ndarray
+    own: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+    counts: np.ndarray  # ordinary, toxic; of the drawn texts among them ordinary, toxic
+
+    @classmethod
+    def of(cls, blob: bytes) -> Asked:
+        parts = unbundled(blob)
+        first = np.repeat(loosened(parts[2], "<u4", True), loosened(parts[3], "<u4"))
+        return cls(loosened(parts[0], "<u8", True), loosened(parts[1], "?"), first, loosened(parts[4], "<u4"), np.array([loosened(x, "<u4") for x in parts[5:9]]))
+
+    def keys(self) -> np.ndarray:
+        """A 64-bit hash of each bigram."""
+        return mix64(mix64(self.words)[self.first] * np.uint64(0xD1B54A32D192ED03) + self.words[self.second])
+
+
+@dataclass(frozen=True)
+class Counts:
+    """All labelled bigrams of a bucket by hash, with their words and counts as in Asked."""
+
+    keys: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, blobs: list[bytes]) -> Counts:
+        parts = []
+        for blob in blobs:
+            asked = Asked.of(blob)
+            taught = np.flatnonzero(asked.counts[0] + asked.counts[1])
+            parts.append((asked.keys()[taught], asked.words[asked.first[taught]], asked.words[asked.second[taught]], asked.counts[:, taught].astype(np.float64)))
+        keys, first, second, counts = (np.concatenate([p[i] for p in parts], axis=-1) for i in range(4))
+        keys, at, place = np.unique(keys, return_index=True, return_inverse=True)
+        return cls(keys, first[at], second[at], np.array([np.bincount(place, weights=x, minlength=len(keys)) for x in counts]))
+
+    def models(self) -> list[np.ndarray]:
+        """Counts of all labelled texts, and of those that were not drawn for the curve."""
+        return [self.counts[:2], self.counts[:2] - self.counts[2:]]
+
 
+#: Numbers of a word in either model: as a context n and t of each class; continuations k of each class and of both.
+STATISTICS = 14
+TOTALS = 12
 
-def _joined(table: pa.Table, name: str, rows: int = 1) -> np.ndarray:
-    """The arrays of a column of blobs side by side; ``rows`` of them in each blob."""
-    kind = PARTS[name]
-    parts = [loosened(x, kind, name in RISING).reshape(rows, -1) for x in table.column(name).to_pylist() if x is not None]
-    return np.hstack([np.zeros((rows, 0), dtype=kind), *parts])
 
+def _statistics(counts: Counts) -> tuple[np.ndarray, np.ndarray]:
+    """Words of the bigrams, and what these bigrams give to the words' numbers."""
+    words, place = np.unique(np.concatenate([counts.first, counts.second]), return_inverse=True)
+    first, second = place[: len(counts.first)], place[len(counts.first) :]
+    add = lambda at, weights: np.bincount(at, weights=weights, minlength=len(words))
+    made = []
+    for n in counts.models():
+        made += [add(first, n[0]), add(first, n[1]), add(first, n[0] > 0), add(first, n[1] > 0), add(second, n[0] > 0), add(second, n[1] > 0), add(second, (n[0] > 0) | (n[1] > 0))]
+    return words, np.array(made).reshape(STATISTICS, len(words))
 
-def _bucket_model(buckets: int):
-    """Of one bucket of contexts: their statistics and bigrams, and continuation counts for the buckets of the words."""
+
+def _contributed(buckets: int):
+    """What the bigrams of a bucket give to the numbers of words, for the words' own buckets."""
 
     def run(table: pa.Table) -> pa.Table:
-        toxic = table.column("toxic").to_numpy()
-        read = lambda name, kind: [loosened(x, kind, name == "context") for x in table.column(name).to_pylist()]
-        words = read("word", "<u8")
-        word, count = np.concatenate(words), np.concatenate(read("n", "<u4")).astype(np.float64)
-        before = np.repeat(np.concatenate(read("context", "<u8")), np.concatenate(read("run", "<i4")))
-        side = np.repeat(toxic, [len(w) for w in words])
-        bigram, first, at = np.unique(short(bigrams_of(before, word)), return_index=True, return_inverse=True)
-        n = np.array([np.bincount(at, weights=np.where(side == c, count, 0), minlength=len(bigram)) for c in (0, 1)])
-        context, at = np.unique(before[first], return_inverse=True)
-        sums = np.array([np.bincount(at, weights=n[c], minlength=len(context)) for c in (0, 1)])
-        types = np.array([np.bincount(at, weights=n[c] > 0, minlength=len(context)) for c in (0, 1)])
-        seen, at = np.unique(word[first], return_inverse=True)
-        k = np.array([*(np.bincount(at, weights=n[c] > 0, minlength=len(seen)) for c in (0, 1)), np.bincount(at, minlength=len(seen))], dtype=np.float64)
-        bucket = bucket_of(seen, buckets)
-        own = [squeezed(context, True), squeezed(sums), squeezed(types.astype(np.float64)), squeezed(bigram, True), squeezed(n.astype("<u4"))]
-        rows = [(table.column("bucket")[0].as_py(), *own, None, None)]
-        rows += [(int(b), *[None] * 5, squeezed(seen[bucket == b], True), squeezed(k[:, bucket == b])) for b in np.unique(bucket)]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 7))], names=["bucket", *PARTS])
+        release_tables()
+        blobs = [b for b, k in zip(table.column("blob").to_pylist(), table.column("kind").to_pylist()) if k == ASK]
+        rows = []
+        if blobs:
+            words, numbers = _statistics(Counts.of(blobs))
+            bucket = bucket_of(words, buckets)
+            for b in np.unique(bucket):
+                chosen = bucket == b
+                rows.append((int(b), ASK, 0, bundled([squeezed(words[chosen], True), *(squeezed(x[chosen].astype("<u8")) for x in numbers)])))
+        return pa.Table.from_batches([_rows(rows)])
 
     return run
 
 
-def _bucket_words(table: pa.Table) -> pa.Table:
-    """Put one bucket's continuation counts together, with their sums."""
-    word, at = np.unique(_joined(table, "word")[0], return_inverse=True)
-    k = np.array([np.bincount(at, weights=x, minlength=len(word)) for x in _joined(table, "k", 3)])
-    own = [squeezed(_joined(table, name, 1)[0], True) if name in RISING else squeezed(_joined(table, name, 2)) for name in list(PARTS)[:5]]
-    row = [table.column("bucket")[0].as_py(), *own, squeezed(word, True), squeezed(k), *k.sum(axis=1).tolist(), int((k[0] > 0).sum()), int((k[1] > 0).sum()), len(word)]
-    kinds = [pa.int32(), *[pa.binary()] * 7, *[pa.float64()] * 3, *[pa.int64()] * 3]
-    return pa.table([pa.array([v], t) for v, t in zip(row, kinds)], names=["bucket", *PARTS, "k0", "k1", "k2", "t0", "t1", "words"])
+def _added(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Words of a bucket and their numbers, from all contributions."""
+    parts = [unbundled(b) for b in blobs]
+    words, place = np.unique(np.concatenate([np.zeros(0, np.uint64), *(loosened(p[0], "<u8", True) for p in parts)]), return_inverse=True)
+    numbers = [np.concatenate([np.zeros(0), *(loosened(p[1 + i], "<u8").astype(np.float64) for p in parts)]) for i in range(STATISTICS)]
+    return words, np.array([np.bincount(place, weights=x, minlength=len(words)) for x in numbers]).reshape(STATISTICS, len(words))
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """Of one bucket, for either model: continuation counts of each class and both, words of each class and all."""
+    release_tables()
+    _, numbers = _added(table.column("blob").to_pylist())
+    sums = []
+    for k in (numbers[4:7], numbers[11:14]):
+        sums += [*k.sum(axis=1).tolist(), *(k > 0).sum(axis=1).tolist()]
+    return pa.table([pa.array([float(x)], pa.float64()) for x in sums], names=[f"s{i}" for i in range(TOTALS)])
+
+
+def _answered(asked: pa.Table, given: pa.Table) -> pa.Table:
+    """For each pack that asked: its words' numbers and its bigrams' counts."""
+    release_tables()
+    questions = [(p, b) for p, k, b in zip(*(asked.column(c).to_pylist() for c in ("pack", "kind", "blob"))) if k == ASK]
+    rows = []
+    if questions:
+        words, numbers = _added(given.column("blob").to_pylist())
+        counts = Counts.of([b for _, b in questions])
+        bucket = asked.column("key")[0].as_py()
+        for number, blob in questions:
+            pack = Asked.of(blob)
+            told = found_in(words, numbers, pack.words[pack.own]).astype("<u8")
+            held = found_in(counts.keys, counts.counts, pack.keys()).astype("<u4")
+            rows.append((PACKS + number, bucket, 0, bundled([*map(squeezed, told), *map(squeezed, held)])))
+    return pa.Table.from_batches([_rows(rows)])
 
 
 @dataclass(frozen=True)
 class Totals:
-    """Sums of the continuation counts (ordinary, toxic, both), words of each class, words in all."""
+    """Sums of the continuation counts (ordinary, toxic, both), and words of each class and in all."""
 
     k: tuple[float, float, float]
-    types: tuple[int, int]
-    words: int
+    types: tuple[float, float, float]
+
+    @property
+    def whole(self) -> bool:
+        return self.types[0] > 0 and self.types[1] > 0
 
     def lower(self, k: np.ndarray) -> np.ndarray:
         """p_0(w), p_1(w) of words with continuation counts ``k``."""
-        shared = (k[2] + 0.5) / (self.k[2] + (self.words + 1) / 2)
+        shared = (k[2] + 0.5) / (self.k[2] + (self.types[2] + 1) / 2)
         return np.array([(np.maximum(k[c] - DISCOUNT, 0) + DISCOUNT * self.types[c] * shared) / self.k[c] for c in (0, 1)])
 
-
-@dataclass(frozen=True)
-class KneserNey:
-    """Both classes' bigram models: the table of buckets (see PARTS), their number, totals."""
-
-    table: DataFrame
-    buckets: int
-    totals: Totals
-    settings: Settings
-
     def telling(self) -> float:
-        """The log-ratio from which on a word alone counts as telling."""
-        totals = self.totals
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                p = totals.lower(np.hstack([np.zeros((3, 1)), _joined(pa.table(batch), "k", 3)]))
-                yield pa.RecordBatch.from_arrays([pa.array([float(np.log(p[1] / p[0]).max())])], names=["most"])
-
-        return 0.9 * self.table.select("k").mapInArrow(run, "most double").agg(F.max("most")).first()[0]
+        """The log-ratio from which on a word alone counts as telling: near that of a word of many toxic texts and no other."""
+        p = self.lower(np.array([[0.0], [1e12], [1e12]]))
+        return 0.9 * float(np.log(p[1] / p[0])[0])
 
 
 def found_in(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
@@ -233,52 +348,6 @@ def found_in(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndar
     return np.where(keys[at] == asked, values[:, at], 0)
 
 
-@dataclass(frozen=True)
-class Pack:
-    """Words of some texts, with the distinct words and bigrams that the buckets are asked for."""
-
-    words: Words
-    buckets: int
-    slots: np.ndarray
-    before: np.ndarray
-    vocabulary: np.ndarray
-    bigrams: np.ndarray
-    first: np.ndarray
-
-    @classmethod
-    def of(cls, texts: pa.ChunkedArray, bits: int, buckets: int) -> Pack:
-        words = words_of(*utf8_buffer(pa.chunked_array(texts.chunks, texts.type).combine_chunks()), LETTERS)
-        slots = slots_of(words, bits)
-        before = contexts_of(slots, words.rows)
-        bigrams, first = np.unique(bigrams_of(before, slots), return_index=True)
-        return cls(words, buckets, slots, before, np.unique(np.append(slots, np.uint64(0))), bigrams, first)
-
-    def by_bucket(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Each bucket with the places of its distinct words and of the bigrams after them."""
-        word, pair = bucket_of(self.vocabulary, self.buckets), bucket_of(self.before[self.first], self.buckets)
-        by_word, by_pair = np.argsort(word, kind="stable"), np.argsort(pair, kind="stable")
-        cuts, pair_cuts = (np.searchsorted(x, np.arange(self.buckets + 1)) for x in (word[by_word], pair[by_pair]))
-        for b in np.flatnonzero(np.diff(cuts)):
-            yield int(b), by_word[cuts[b] : cuts[b + 1]], by_pair[pair_cuts[b] : pair_cuts[b + 1]]
-
-    def log_ratios(self, answers: dict[int, tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """log p_toxic - log p_ordinary of every word: after the one before it, and on its own."""
-        of_word, of_pair = np.zeros((6, len(self.vocabulary))), np.zeros((2, len(self.bigrams)))
-        for b, places, pairs in self.by_bucket():
-            told, told_pairs = answers[b]
-            of_word[:, places] = loosened(told, "<f4").reshape(6, -1)
-            of_pair[:, pairs] = loosened(told_pairs, "<u4").reshape(2, -1)
-        word, before = np.searchsorted(self.vocabulary, self.slots), np.searchsorted(self.vocabulary, self.before)
-        pair = np.searchsorted(self.bigrams, bigrams_of(self.before, self.slots))
-        logs, alone = [], []
-        for c in (0, 1):
-            p, n, t = of_word[c, word], of_word[2 + c, before], of_word[4 + c, before]
-            full = (np.maximum(of_pair[c, pair] - DISCOUNT, 0) + DISCOUNT * t * p) / np.maximum(n, 1)
-            logs.append(np.log(np.where(n > 0, full, p)))
-            alone.append(np.log(p))
-        return logs[1] - logs[0], alone[1] - alone[0]
-
-
 FEATURES = 6
 
 
@@ -309,15 +378,6 @@ def features(paired: np.ndarray, ratio: np.ndarray, words: Words, rows: int, tel
     return out
 
 
-@dataclass(frozen=True)
-class ToxicityModel:
-    """The language models and the logistic curve over their features (or no model at all)."""
-
-    language: KneserNey | None
-    weights: np.ndarray
-    telling: float = 0.0
-
-
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
     """Weights (intercept first) of a ridge logistic regression by Newton's method on standardised features."""
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
@@ -336,107 +396,127 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
     return np.concatenate([[w[0] - (weights * mean).sum()], weights])
 
 
-def _bytes(docs: DataFrame) -> int:
-    return docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-
+MADE_SCHEMA = "doc_id long, toxic int, drawn boolean, n_words long, x array<double>, rest array<double>"
+
+
+def _finished(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    """The rows of a pack and their features; of drawn ones also those by the counts of texts that weren't drawn."""
+    release_tables()
+    names, kinds = [f.split()[0] for f in MADE_SCHEMA.split(", ")], (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+    bodies = [unbundled(b) for b, k in zip(texts.column("blob").to_pylist(), texts.column("kind").to_pylist()) if k == BODY]
+    if not bodies:
+        return pa.table([pa.array([], k) for k in kinds], names=names)
+    body = bodies[0]
+    rank = loosened(body[1], "<u4").astype(np.int64)
+    sequence = rank[loosened(body[0], "<u4")]
+    bucket, frequent, lengths = loosened(body[2], "<u4").astype(np.int64), loosened(body[3], "?"), loosened(body[4], "<u4").astype(np.int64)
+    ids, null, toxic, drawn = loosened(body[5], "<i8"), loosened(body[6], "?"), loosened(body[7], "i1"), loosened(body[8], "?")
+    rows = np.repeat(np.arange(len(lengths)), lengths)
+    pairs = pairs_of(sequence, rows, len(bucket))
+    distinct = np.unique(pairs)
+    of_pair = of_buckets(distinct, bucket, frequent)
+    by_pair, by_word = np.argsort(of_pair, kind="stable"), np.argsort(bucket, kind="stable")
+    numbers, counts = np.zeros((STATISTICS, len(bucket)), dtype=np.float32), np.zeros((4, len(distinct)), dtype=np.float32)
+    sorted_pairs, sorted_words = of_pair[by_pair], bucket[by_word]
+    told = dict(zip(answers.column("kind").to_pylist(), answers.column("blob").to_pylist()))
+    if set(told) != set(np.unique(np.concatenate([of_pair, bucket])).tolist()):
+        raise RuntimeError("a pack was read again with other rows: checkpoint the texts first")
+    for b, blob in told.items():
+        parts = unbundled(blob)
+        own = by_word[np.searchsorted(sorted_words, b) : np.searchsorted(sorted_words, b, side="right")]
+        chosen = by_pair[np.searchsorted(sorted_pairs, b) : np.searchsorted(sorted_pairs, b, side="right")]
+        for i in range(STATISTICS):
+            numbers[i, own] = loosened(parts[i], "<u8")
+        for i in range(4):
+            counts[i, chosen] = loosened(parts[STATISTICS + i], "<u4")
+    sums = answers.column("totals")[0].as_py()
+    totals = [Totals(tuple(sums[f"s{i}"] for i in range(m, m + 3)), tuple(sums[f"s{i}"] for i in range(m + 3, m + 6))) for m in (0, 6)]
+    x, rest = np.zeros((len(ids), FEATURES)), np.zeros((len(ids), FEATURES))
+    edges = np.concatenate([[0], np.cumsum(lengths)])
+    low = 0
+    while low < len(ids):
+        # as many texts as hold about half a million words
+        high = max(low + 1, int(np.searchsorted(edges, edges[low] + 500_000, side="right")) - 1)
+        part = slice(edges[low], edges[high])
+        words = Words(sequence[part], rows[part] - low)
+        pair, before = np.searchsorted(distinct, pairs[part]), pairs[part] // len(bucket)
+        for m, (out, total) in enumerate(((x, totals[0]), (rest, totals[1]))):
+            if not total.whole or (m and not drawn[low:high].any()):
+                continue
+            n = counts[:2] if m == 0 else counts[:2] - counts[2:]
+            of_word = numbers[7 * m : 7 * m + 7, words.hashes].astype(np.float64)
+            of_context = numbers[7 * m : 7 * m + 4, before].astype(np.float64)
+            p = total.lower(of_word[4:7])
+            logs = []
+            for c in (0, 1):
+                full = (np.maximum(n[c, pair] - DISCOUNT, 0) + DISCOUNT * of_context[2 + c] * p[c]) / np.maximum(of_context[c], 1)
+                logs.append(np.log(np.where(of_context[c] > 0, full, p[c])))
+            out[low:high] = features(logs[1] - logs[0], np.log(p[1]) - np.log(p[0]), words, high - low, total.telling())
+        low = high
+    columns = [
+        pa.array(ids, mask=null), pa.array(toxic.astype(np.int32), mask=toxic < 0), pa.array(drawn), pa.array(lengths),
+        pa.array(x.tolist(), kinds[4]), pa.array([r if d else None for r, d in zip(rest.tolist(), drawn.tolist())], kinds[5]),
+    ]
+    return pa.table([c.cast(k) for c, k in zip(columns, kinds)], names=names)
+
+
+def frequent_words(docs: DataFrame, total: int, s: Settings) -> np.ndarray:
+    """Sorted hashes of words that make up about ``s.frequent`` of all words or more: 2 / s.frequent at most.
+
+    They only decide in which bucket counts meet, not what the counts are, so
+    they are looked for in texts of about ``s.probe_bytes``.
+    """
+    share = min(1.0, s.probe_bytes / max(1, total))
+    probe = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
 
-def count_language(labelled: DataFrame, s: Settings) -> KneserNey | None:
-    """Kneser-Ney statistics of ``labelled`` (text, toxic); None if a class is missing."""
-    buckets = max(s.buckets, -(-_bytes(labelled) // s.bucket_bytes))
-    counts = labelled.select("text", "toxic").mapInArrow(_counts(s, buckets), "bucket int, toxic int, context binary, run binary, word binary, n binary")
-    parts = counts.groupBy("bucket").applyInArrow(_bucket_model(buckets), PARTS_SCHEMA)
-    table = parts.groupBy("bucket").applyInArrow(_bucket_words, PARTS_SCHEMA + TOTALS_SCHEMA).checkpoint()
-    k0, k1, k2, t0, t1, words = table.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("k0", "k1", "k2", "t0", "t1", "words")]).first()
-    if not (t0 and t1):
-        return None
-    return KneserNey(table.select("bucket", *PARTS), buckets, Totals((k0, k1, k2), (t0, t1), words), s)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_tables()
+        for part in blocks(batches, "text", s.pack_bytes // 4):
+            words, n = np.unique(word_slots(part.column("text"))[0], return_counts=True)
+            often = n >= s.frequent / 2 * n.sum()
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(words[often], np.uint64(0)).view(np.int64)), pa.array(np.append(n[often], n.sum()))], names=["word", "n"])
 
+    # a row of the word 0 holds the number of all words
+    found = probe.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = found.orderBy(F.col("word") != 0, F.desc("n"), "word").limit(1 + int(2 / s.frequent)).collect()
+    words = next((r["n"] for r in rows if r["word"] == 0), 0)
+    return np.array(sorted(r["word"] for r in rows if r["word"] and r["n"] >= s.frequent / 2 * words), dtype=np.uint64)
 
-def _described(docs: DataFrame, language: KneserNey, telling: float, kept: str, made: Callable[[np.ndarray, np.ndarray], pa.Array], schema: str) -> DataFrame:
-    """``kept`` of every row of ``docs`` (with text) and what ``made`` gives of the texts' features and numbers of words.
 
-    Texts are dealt to packs by their hash. A pack asks each bucket once for its
-    distinct words and bigrams; the answers meet the pack's texts again.
-    """
-    s, buckets, totals = language.settings, language.buckets, language.totals
-    total, least = _bytes(docs), 2 * shuffle_partitions(docs.sparkSession)
-    packs = max(least, -(-total // s.pack_bytes))
-    shards = max(1, -(-total // (4 * s.bucket_bytes * buckets)))  # so that what one task is asked stays bounded
-    asked_schema = "pack long, bucket int, words binary, bigrams binary"
-    names, kinds = ("pack", "bucket", "words", "bigrams"), (pa.int64(), pa.int32(), pa.binary(), pa.binary())
-    as_table = lambda rows: pa.table([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 4, kinds)], names=list(names))
-
-    def ask(texts: pa.Table) -> pa.Table:
-        pack, number = Pack.of(texts.column("text"), s.bits, buckets), texts.column("pack")[0].as_py()
-        return as_table([(number, b, squeezed(pack.vocabulary[w], True), squeezed(short(pack.bigrams[p]), True)) for b, w, p in pack.by_bucket()])
-
-    def answer(asked: pa.Table, model: pa.Table) -> pa.Table:
-        rows = []
-        if asked.num_rows:
-            context, bigram, word = (_joined(model, name)[0] for name in ("context", "bigram", "word"))
-            n_and_t, bigram_n, k = np.vstack([_joined(model, "context_n", 2), _joined(model, "context_t", 2)]), _joined(model, "bigram_n", 2), _joined(model, "k", 3)
-            for number, b, words, pairs in zip(*(asked.column(c).to_pylist() for c in names)):
-                wanted = loosened(words, "<u8", True)
-                told = np.vstack([totals.lower(found_in(word, k, wanted)), found_in(context, n_and_t, wanted)])
-                rows.append((number, b, squeezed(told.astype("<f4")), squeezed(found_in(bigram, bigram_n, loosened(pairs, "<u8", True)).astype("<u4"))))
-        return as_table(rows)
-
-    def finish(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        if not texts.num_rows:
-            return pa.table({kept: texts.column(kept), "made": made(np.zeros((0, FEATURES)), np.zeros(0, dtype=np.int64))})
-        pack = Pack.of(texts.column("text"), s.bits, buckets)
-        told = dict(zip(answers.column("bucket").to_pylist(), zip(answers.column("words").to_pylist(), answers.column("bigrams").to_pylist())))
-        x = features(*pack.log_ratios(told), pack.words, texts.num_rows, telling)
-        return pa.table({kept: texts.column(kept), "made": made(x, np.diff(pack.words.per_row(texts.num_rows)))})
-
-    rows = docs.select(kept, "text", F.pmod(F.xxhash64(kept, "text"), F.lit(packs)).alias("pack"))
-    asked = rows.groupBy("pack").applyInArrow(ask, asked_schema).withColumn("shard", F.pmod("pack", F.lit(shards)))
-    model = language.table.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("shard", F.col("shard").cast("long"))
-    answers = asked.groupBy("bucket", "shard").cogroup(model.groupBy("bucket", "shard")).applyInArrow(answer, asked_schema)
-    return rows.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(finish, schema)
-
-
-def fit(labelled: DataFrame, settings: Settings = Settings()) -> ToxicityModel:
-    """Fit on ``labelled`` (doc_id, text, toxic).
-
-    The curve is fitted on texts of a fifth of the ids, by counts of the other
-    four fifths; the model then takes counts of all rows.
-    """
-    prepare(labelled.sparkSession)
-    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5))
-    language = count_language(labelled.where(part != 0), settings)
-    if language is None:
-        return ToxicityModel(None, np.zeros(1 + FEATURES))
-    rest = labelled.where(part == 0).select("text", "toxic", F.xxhash64("doc_id", F.lit("draw")).alias("draw"))
-    share = min(1.0, settings.fit_rows / max(1, rest.count()))
-    drawn = rest.where(F.pmod("draw", F.lit(1 << 20)) < share * (1 << 20))
-    telling = language.telling()
-    as_lists = lambda x, lengths: pa.array(x.tolist(), pa.list_(pa.float64()))
-    rows = _described(drawn, language, telling, "toxic", as_lists, "toxic int, made array<double>").collect()
+def described(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """doc_id, toxic, drawn (for the curve), n_words and features of every row of ``docs`` (doc_id, text, toxic); cut off from its lineage."""
+    prepare(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    totals = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("toxic").alias("labelled")).first()
+    total = totals["bytes"] or 0
+    share = min(0.2, s.fit_rows / max(1, totals["labelled"]))
+    drawn = F.col("toxic").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1 << 20)) < share * (1 << 20))
+    deal = Deal(max(s.buckets, -(-total // s.bucket_bytes)), frequent_words(docs, total, s))
+    emitted = docs.withColumn("drawn", F.coalesce(drawn, F.lit(False))).mapInArrow(_emitted(s, deal), ROWS)
+    given = emitted.groupBy("key").applyInArrow(_contributed(deal.buckets), ROWS)
+    sums = given.groupBy("key").applyInArrow(_summed, ", ".join(f"s{i} double" for i in range(TOTALS)))
+    sums = sums.agg(*[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)).alias(f"s{i}") for i in range(TOTALS)]).select(F.struct("*").alias("totals"))
+    answers = emitted.groupBy("key").cogroup(given.groupBy("key")).applyInArrow(_answered, ROWS)
+    answers = answers.select("key", "kind", "blob", sums.scalar().alias("totals"))
+    return emitted.groupBy("key").cogroup(answers.groupBy("key")).applyInArrow(_finished, MADE_SCHEMA).checkpoint()
+
+
+def score(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """doc_id and score of every row of ``docs`` (doc_id, text, toxic); rows with a toxic of 0 or 1 teach, the others don't."""
+    made = described(docs, s)
+    rows = made.where("drawn and n_words > 0").select("toxic", "rest").collect()  # about s.fit_rows at most
     y = np.array([r["toxic"] for r in rows], dtype=np.float64)
     if not len(y) or y.min() == y.max():
-        return ToxicityModel(None, np.zeros(1 + FEATURES))
-    weights = logistic(np.array([r["made"] for r in rows]), y, ridge=1e-3)
-    whole = count_language(labelled, settings)
-    return ToxicityModel(whole, weights, whole.telling())
-
-
-def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id and score of every row of ``docs`` (doc_id, text)."""
-    prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if model.language is None:
-        return docs.select("doc_id", F.lit(0.0).alias("score"))
-    weights = model.weights
-
-    def made(x: np.ndarray, lengths: np.ndarray) -> pa.Array:
-        score = 1 / (1 + np.exp(-np.clip(x @ weights[1:] + weights[0], -500, 500)))
-        return pa.array(np.where(lengths > 0, score, 0.0), pa.float64())
-
-    return _described(docs, model.language, model.telling, "doc_id", made, "doc_id long, made double").withColumnRenamed("made", "score")
+        return made.select("doc_id", F.lit(0.0).alias("score"))
+    weights = logistic(np.array([r["rest"] for r in rows]), y, ridge=1e-3)
+    terms: Column = F.lit(float(weights[0]))
+    for i, w in enumerate(weights[1:]):
+        terms = terms + F.lit(float(w)) * F.get("x", F.lit(i))
+    return made.select("doc_id", F.when(F.col("n_words") > 0, 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), terms))))).otherwise(0.0).alias("score"))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic (0 or 1) of the rows of ``docs`` with a label."""
+def with_labels(docs: DataFrame, labels: DataFrame, teaches: Column) -> DataFrame:
+    """doc_id, text and toxic (0 or 1, null without a label or where ``teaches`` does not hold) of every row of ``docs``."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    return docs.select("doc_id", "text").join(small_side(known, labels.count()), "doc_id").select("doc_id", "text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
+    joined = docs.select("doc_id", "text", teaches.alias("teaches")).join(small_side(known, labels.count()), "doc_id", "left")
+    return joined.select("doc_id", "text", F.when(F.col("teaches") & F.col("toxic").isNotNull(), (F.col("toxic") > 0).cast("int")).alias("toxic"))

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -87,12 +88,34 @@ def test_bin_completion(sizes):
     bins = packing.bin_completion(sizes, 30)
     assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
     assert all(sum(sizes[i] for i in b) <= 30 for b in bins)
-    assert fewest(sizes, 30) <= len(bins) <= len(packing.best_fit_decreasing(sizes, 30))
+    assert len(bins) == fewest(sizes, 30)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 9), min_size=1, max_size=7), st.integers(1, 14))
+def test_fillings_are_the_undominated_ones(sizes, room):
+    """Against all sets of pieces, and dominance by its definition: parts of one fit the pieces of the other."""
+    every = {tuple(sorted((s for i, s in enumerate(sizes) if bits >> i & 1), reverse=True)) for bits in range(1 << len(sizes))}
+    every = [f for f in every if sum(f) <= room]
+
+    def covers(large, small):
+        """Whether ``small`` can be dealt to pieces of ``large``."""
+        if not small:
+            return True
+        return any(x >= small[0] and covers((*large[:i], x - small[0], *large[i + 1 :]), small[1:]) for i, x in enumerate(large))
+
+    best = {f for f in every if not any(g != f and covers(g, f) for g in every)}
+    stock = packing._Stock(sizes)
+    made = list(stock.fillings(room, room))
+    assert len(made) == len(set(made)) and set(made) == best
+    assert [sum(f) for f in made] == sorted((sum(f) for f in made), reverse=True)
 
 
 def test_bin_completion_beats_best_fit():
     sizes = [7, 7, 6, 6, 5, 5, 4, 4, 3, 3]  # five bins of 10; best-fit decreasing finds them as well
     assert len(packing.bin_completion(sizes, 10)) == 5
+    # nine pieces that only fillings of four and five pieces bring into two sequences
+    assert len(packing.bin_completion([9, 25, 14, 16, 15, 17, 26, 16, 32, 30], 100)) == 2
     sizes = [6, 5, 5, 4, 4, 3, 3]  # 6+4, 5+5, 4+3+3
     assert len(packing.bin_completion(sizes, 10)) == 3
 
@@ -181,7 +204,7 @@ def test_length_floors():
     assert langid.length_floors(cosines, classes, 0.5) == [0.15, 0.4, 0.4, 0.4]
 
 
-def test_toxicity(spark):
+def toxic_corpus():
     rng = random.Random(1)
     words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
     rows = []
@@ -191,39 +214,88 @@ def test_toxicity(spark):
         for _ in range(4 if toxic else 0):
             text.insert(rng.randrange(len(text)), rng.choice(["vile", "scum", "worm"]))
         rows.append((i, " ".join(text), int(toxic)))
-    docs = spark.createDataFrame([r[:2] for r in rows] + [(900, None), (901, ""), (902, "...")], SCHEMA)
+    return rows
+
+
+def test_toxicity(spark):
+    rows = toxic_corpus()
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(900, None), (901, ""), (902, "..."), (None, "scum and vile worm"), (3, rows[3][1])], SCHEMA).selectExpr("doc_id", "text", "'x' AS teaches", "1 AS drawn", "2 AS key").repartition(3)
     labels = spark.createDataFrame([(i, t) for i, _, t in rows] + [(0, 0), (None, 1), (905, None)], "doc_id bigint, toxic int")
-    model = toxicity.fit(toxicity.labelled_rows(docs.where("doc_id % 4 <> 2"), labels), toxicity.Settings(bits=14))
-    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    scored = toxicity.score(toxicity.with_labels(docs, labels, F.col("doc_id") % 4 != 2)).collect()
+    assert len(scored) == 605 and sum(r["doc_id"] == 3 for r in scored) == 2
+    got = {r["doc_id"]: r["score"] for r in scored}
     held = [(got[i] >= 0.3, bool(t)) for i, _, t in rows if i % 4 == 2]
     assert sum(a == b for a, b in held) >= 0.95 * len(held)
-    assert [got[i] for i in (900, 901, 902)] == [0.0] * 3
-    nothing = toxicity.fit(toxicity.labelled_rows(docs, labels.where("toxic = 0")))
-    assert {r["score"] for r in toxicity.score(docs, nothing).collect()} == {0.0}
-
-
-def test_toxicity_counts_are_whole(spark):
-    rows = [(i, f"w{i} v{i} x{i}", i % 2) for i in range(200)] + [(300, "w0 v0 w0", 0)]
-    labelled = spark.createDataFrame(rows, SCHEMA + ", toxic int")
-    language = toxicity.count_language(labelled, toxicity.Settings(buckets=8))
-    parts = language.table.collect()
-    held = {c: sum(len(toxicity.loosened(r[c], "<u8")) for r in parts) for c in ("bigram", "context", "word")}
-    assert held == {"bigram": 601, "context": 401, "word": 600}  # bigrams seen once too
-    n = sum(toxicity.loosened(r["bigram_n"], "<u4").reshape(2, -1).sum(axis=1) for r in parts)
-    assert n.tolist() == [303, 300]
-    # a bigram seen once, of words as frequent in the other class, has its count
-    model = toxicity.ToxicityModel(language, np.array([0.0, 1, 0, 0, 0, 0, 0]), language.telling())
-    texts = spark.createDataFrame([(1, "w1 v1"), (2, "w2 v2"), (3, None)], SCHEMA)
-    got = {r["doc_id"]: r["score"] for r in toxicity.score(texts, model).collect()}
-    assert got[1] > 0.5 > got[2] and got[3] == 0
-    assert toxicity.score(texts.limit(0), model).count() == 0
-
-
-def test_toxicity_counts_all_labelled_rows(spark):
-    rng = random.Random(3)
-    rows = [(i, f"{sentences(rng, ['calm', 'kind', 'warm'], 9)} {'vile' if i % 2 else 'mild'} only{i}", i % 2) for i in range(200)]
-    model = toxicity.fit(spark.createDataFrame(rows, SCHEMA + ", toxic int"))
-    assert model.language.totals.words == 205
+    assert [got[i] for i in (900, 901, 902)] == [0.0] * 3 and got[None] > 0.3
+    one_class = toxicity.with_labels(docs, labels.where("toxic = 0"), F.lit(True))
+    assert {r["score"] for r in toxicity.score(one_class).collect()} == {0.0}
+    assert toxicity.score(toxicity.with_labels(docs.limit(0), labels, F.lit(True))).count() == 0
+
+
+class ByHand:
+    """Both bigram models from plain counts."""
+
+    def __init__(self, taught):
+        self.n, self.followers, self.before = [Counter(), Counter()], [defaultdict(set), defaultdict(set)], [defaultdict(set), defaultdict(set)]
+        self.context = [Counter(), Counter()]
+        for words, toxic in taught:
+            for v, w in zip(["", *words], words):
+                self.n[toxic][v, w] += 1
+                self.context[toxic][v] += 1
+                self.followers[toxic][v].add(w)
+                self.before[toxic][w].add(v)
+        self.words = set(self.before[0]) | set(self.before[1])
+        self.k = [{w: len(x) for w, x in b.items()} for b in self.before]
+        self.shared = {w: len(self.before[0][w] | self.before[1][w]) for w in self.words}
+
+    def lowest(self, w):
+        return (self.shared.get(w, 0) + 0.5) / (sum(self.shared.values()) + (len(self.words) + 1) / 2)
+
+    def lower(self, c, w):
+        types = sum(n > 0 for n in self.k[c].values())
+        return (max(self.k[c].get(w, 0) - 0.75, 0) + 0.75 * types * self.lowest(w)) / sum(self.k[c].values())
+
+    def full(self, c, v, w):
+        if not self.context[c][v]:
+            return self.lower(c, w)
+        return (max(self.n[c][v, w] - 0.75, 0) + 0.75 * len(self.followers[c][v]) * self.lower(c, w)) / self.context[c][v]
+
+    def features(self, words):
+        ratio = [np.log(self.lower(1, w) / self.lower(0, w)) for w in words]
+        paired = [np.log(self.full(1, v, w) / self.full(0, v, w)) for v, w in zip(["", *words], words)]
+        limit = self.telling()
+        windows = [sum(ratio[i : i + 8]) / min(8, len(words)) for i in range(len(words))]
+        top = sorted((r for r in ratio if r > 0), reverse=True)[:3]
+        return [np.mean(np.clip(paired, -6, 6)), np.mean(ratio), max(windows), max(ratio), sum(top) / 3, np.log1p(sum(r >= limit for r in ratio))]
+
+    def telling(self):
+        k, types = [sum(x.values()) for x in self.k], [sum(n > 0 for n in x.values()) for x in self.k]
+        shared = (1e12 + 0.5) / (sum(self.shared.values()) + (len(self.words) + 1) / 2)
+        return 0.9 * np.log(((1e12 - 0.75 + 0.75 * types[1] * shared) / k[1]) / (0.75 * types[0] * shared / k[0]))
+
+
+@pytest.mark.parametrize("settings", [toxicity.Settings(), toxicity.Settings(pack_bytes=3000, buckets=5, frequent=0.01), toxicity.Settings(pack_bytes=1, buckets=1, frequent=1.0)])
+def test_toxicity_models_as_by_hand(spark, settings):
+    rows = [*toxic_corpus()[:90], (700, "vile", 1), (701, "Solo, solo-solo!", None), (702, "", 1), (703, None, 0), (3, "said twice", 0), (3, "said twice", 0), (None, "of nobody", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", toxic int").repartition(4)
+    got = toxicity.described(docs, settings).collect()
+    assert len(got) == len(rows)
+    split = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    drawn = {(r["doc_id"], r["n_words"]) for r in got if r["drawn"]}
+    assert 5 < len(drawn) < 40
+    whole = ByHand([(split(t), y) for _, t, y in rows if y is not None])
+    rest = ByHand([(split(t), y) for i, t, y in rows if y is not None and (i, len(split(t))) not in drawn])
+    # each model's probabilities add up to 1, what no text has seen included
+    for c in (0, 1):
+        for v in ("", "vile", rows[0][1].split(" ")[2]):
+            assert abs(sum(whole.full(c, v, w) for w in [*whole.words, "unseen"]) - 1) < 1e-9
+    texts = {(i, len(split(t))): split(t) for i, t, _ in rows}
+    for r in got:
+        words = texts[r["doc_id"], r["n_words"]]
+        assert r["x"] == pytest.approx(whole.features(words) if words else [0.0] * 6, rel=1e-6, abs=1e-9)
+        assert (r["rest"] is not None) == r["drawn"]
+        if r["drawn"]:
+            assert r["rest"] == pytest.approx(rest.features(words) if words else [0.0] * 6, rel=1e-6, abs=1e-9)
 
 
 def repeats_by_hand(words):
