@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lodestack.functions import vocabulary as V
 
@@ -63,10 +65,26 @@ def strip_html(html: Column) -> Column:
     return collapse(bound(text, lambda t: F.when(t.rlike(r"&#\d+;"), numbered(t)).otherwise(t)))
 
 
+#: White space of web pages: all that Unicode counts as such.
+PAGE_SPACE = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
+
+def unescaped(text: Column) -> Column:
+    """All character references of HTML decoded; there are over two thousand named ones, some without a semicolon."""
+
+    def decode(texts: pd.Series) -> pd.Series:
+        from html import unescape
+
+        return texts.map(lambda t: unescape(t) if t is not None and "&" in t else t)
+
+    return F.pandas_udf(decode, StringType())(text)
+
+
 def page_text(html: Column) -> Column:
-    """Readable text of a web page: blocks of script and style go, tags become spaces; the usual entities are decoded."""
+    """Readable text of a web page: blocks of script and style go, tags become spaces, character references characters."""
     bare = F.regexp_replace(html, r"(?is)<(script|style|noscript)[^>]*>.*?</\1>", " ")
-    return strip_html(F.regexp_replace(bare, "<[^>]+>", " "))
+    plain = F.regexp_replace(unescaped(F.regexp_replace(bare, "<[^>]+>", " ")), f"{PAGE_SPACE}+", " ")
+    return F.trim(plain)
 
 
 def _amount(number: Column, kilo: Column | None = None) -> Column:

@@ -183,3 +183,60 @@ REPOST_WINDOW_MS = 90 * 86_400_000
 INTEL_FRESH_MS = 30 * 86_400_000
 LABELS_NEEDED, LABELS_OF_EACH = 20, 5
 CLUSTER_ITEMS, CLUSTER_CORROBORATION = 2, 100
+#: Tracks of planned searches and the planner's keys for them.
+PLAN_KEYS = {"blended": "blendedQueries", "positive": "positiveQueries", "negative": "negativeQueries"}
+PLANNED_PER_TRACK, PLANNED_QUERIES = 2, 6
+EVIDENCE_CHARACTERS = 16000
+NO_REPUTATION = "no notable reputation signals found"
+MODEL_FAMILY, MODEL_PUBLISHER = "bge-[^/]*$", "BAAI"
+SEARCH_ANCHOR = r'(?is)<a[^>]*rel="nofollow"[^>]*href="([^"]+)"[^>]*>(.*?)</a>'
+SEARCH_TARGET = "uddg=([^&\"']+)"
+#: Names under which review payloads hold lists and fields, first that is there.
+REVIEW_LISTS = ["results", "companies", "reviews", "items"]
+REVIEW_FIELDS = {
+    "candidate_name": ["name", "company_name", "title"],
+    "candidate_id": ["id", "company_id", "companyId"],
+    "overall_rating": ["overall_rating", "rating", "overallRating"],
+    "review_count": ["review_count", "reviews_count", "reviewCount", "total_reviews"],
+    "overview_url": ["link", "url", "glassdoor_url", "website"],
+    "summary": ["summary", "headline", "title"],
+    "pros": ["pros"],
+    "cons": ["cons"],
+    "advice": ["advice_to_management", "advice"],
+    "job_title": ["job_title", "jobTitle"],
+    "rating": ["rating", "overall_rating"],
+    "review_url": ["url", "link"],
+}
+#: One board's categories by what users write.
+MUSE_CATEGORIES = {
+    "software": "Software Engineering", "software engineering": "Software Engineering", "engineering": "Engineering", "data": "Data Science",
+    "data science": "Data Science", "design": "Design", "ux": "Design", "marketing": "Marketing", "product": "Product Management",
+    "product management": "Product Management", "sales": "Sales", "operations": "Operations", "hr": "Human Resources",
+    "human resources": "Human Resources", "finance": "Finance", "legal": "Legal",
+}
+ADZUNA_PAGE_ROWS, ADZUNA_PAGES = 50, 2
+DEFAULT_SOURCES = ["hackernews", "remoteok", "arbeitnow", "themuse"]
+#: Answers that users choose from, and what they stand for.
+SALARY_FLOORS = {"any": None, "60000": 60000, "80000": 80000, "100000": 100000, "120000": 120000}
+EXPERIENCE_YEARS = {"any": None, "0-2": 1, "3-5": 4, "6-9": 7, "10+": 12}
+WORK_MODES = ["any", "remote", "hybrid", "onsite"]
+SESSION_STATES = ["evaluating", "scoring", "researching", "done", "failed"]
+SESSION_RETENTION_MS = 24 * 60 * 60 * 1000
+SESSION_INTEL_BUDGET_S, SESSION_INTEL_POLL_S, SESSION_INTEL_COMPANIES = 180, 2, 5
+CARD_TITLE, CARD_TEXT, CARD_TEXT_LEAST, PAGE_TEXT = 256, 1100, 200, 6000
+FLAG_LABELS = {
+    "scam_risk": ("Scam risk", "Risque d’arnaque"),
+    "fake_repost": ("Fake repost", "Republication suspecte"),
+    "remote_misleading": ("Misleading remote", "Télétravail trompeur"),
+    "salary_below_market": ("Salary below market", "Salaire sous le marché"),
+    "toxic_culture": ("Toxic culture", "Culture toxique"),
+    "illegal_practice": ("Illegal practice", "Pratique illégale"),
+    "staffing_intermediary": ("Staffing intermediary", "Intermédiaire de placement"),
+    "quebec_language_law": ("Québec language law", "Charte de la langue française"),
+}
+#: Settings of model services in the environment, and their defaults.
+MODEL_SETTINGS = {
+    "LLM_PROVIDER": "ollama", "LLM_DEEP_PROVIDER": "", "LLM_MODEL": "hermes3:8b", "LLM_DEEP_MODEL": "", "LLM_TIMEOUT_SECONDS": "120",
+    "OLLAMA_BASE_URL": "http://llm:11434", "LLAMACPP_BASE_URL": "http://host.docker.internal:8080", "HOSTED_BASE_URL": "", "HOSTED_API_KEY": "",
+    "EMBEDDING_MODEL": "bge-small-en-v1.5",
+}

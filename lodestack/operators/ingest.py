@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as T
+from lodestack.storage import settled
 
 
 def normalise(raw: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def with_ids(rows: DataFrame, last_id: int, order: list[str]) -> DataFrame:
     before, so no task holds all rows.
     """
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_at", F.monotonically_increasing_id() - F.col("_part").cast("long") * F.lit(1 << 33)).checkpoint()
+    ranged = settled(ranged.withColumn("_at", F.monotonically_increasing_id() - F.col("_part").cast("long") * F.lit(1 << 33)))
     sizes = ranged.groupBy("_part").count()
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
     shifts = sizes.withColumn("_shift", F.coalesce(F.sum("count").over(before), F.lit(0))).select("_part", "_shift")

@@ -46,7 +46,9 @@ def ranked(rows: DataFrame, keep: int = SESSION_KEPT) -> DataFrame:
 
 
 def page(results: DataFrame, number: int) -> DataFrame:
-    """Rows of one page of five of a stored ranking, counted from 0."""
+    """Rows of one page of five of a stored ranking, counted from 0 and kept within the pages there are."""
+    last = max(0, -(-results.count() // PAGE_ROWS) - 1)
+    number = min(max(0, number), last)
     return results.where(F.col("rank").between(PAGE_ROWS * number + 1, PAGE_ROWS * (number + 1)))
 
 

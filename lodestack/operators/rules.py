@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
@@ -13,10 +12,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.functions import replies
 from lodestack.functions import vocabulary as V
 from lodestack.functions.text import bound, cosine, number_text, snippet
 from lodestack.plugins import Judge
 from lodestack.schemas import RULE_RESULT
+from lodestack.storage import settled
 
 KINDS = ("required", "preferred", "dealbreaker")
 OPERATORS = ("==", "!=", ">", ">=", "<", "<=", "contains", "in")
@@ -262,21 +263,6 @@ def judge_prompt(question: str) -> Column:
     return F.concat_ws("\n", *lines)
 
 
-def read_verdict(answer: str) -> tuple[str, str | None]:
-    """Verdict and evidence of a judge's answer; anything but a clear verdict is uncertain."""
-    found = re.search(r"\{[\s\S]*\}", answer)
-    if found:
-        try:
-            told = json.loads(found[0])
-            verdict = str(told.get("verdict") or "").lower() if isinstance(told, dict) else ""
-            if verdict in ("pass", "fail", "uncertain"):
-                evidence = told.get("evidence")
-                return verdict, ("" if evidence is None else str(evidence)).strip()[:500] or None
-        except ValueError:
-            pass
-    return "uncertain", answer.strip()[:500] or None
-
-
 def _judging(rules: list[Rule], judge: Judge) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -284,7 +270,7 @@ def _judging(rules: list[Rule], judge: Judge) -> Callable[[Iterator[pd.DataFrame
             for posting_id, prompts in zip(frame["posting_id"], frame["prompts"]):
                 told = []
                 for rule, prompt in zip(rules, prompts):
-                    verdict, evidence = read_verdict(judge.complete(prompt, int(rule.config.get("maxTokens") or 512)))
+                    verdict, evidence = replies.verdict(judge.complete(prompt, int(rule.config.get("maxTokens") or 512)))
                     told.append({"rule_id": rule.rule_id, "rule_name": rule.name, "kind": rule.kind, "validator": rule.validator, "verdict": verdict, "evidence": evidence})
                     if (rule.kind, verdict) in (("required", "fail"), ("dealbreaker", "pass")):
                         break
@@ -326,7 +312,7 @@ def evaluate(
         return staged.drop("prompts")
     if judge is None:
         raise ValueError("rules of kind llm_judge need a judge")
-    staged = staged.checkpoint()  # the judge is asked once
+    staged = settled(staged)  # the judge is asked once
     asked = staged.where("outcome <> 'knocked_out'").select("posting_id", "prompts").mapInPandas(_judging(dear, judge), f"posting_id bigint, judged array<{RULE_RESULT}>")
     done = staged.join(asked, "posting_id", "left")
     return done.select("posting_id", concluded(F.concat("results", F.coalesce("judged", F.array().cast(f"array<{RULE_RESULT}>")))).alias("c")).select("posting_id", "c.outcome", "c.results")

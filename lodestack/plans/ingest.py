@@ -13,50 +13,56 @@ from lodestack.operators import dedupe, flags, rules, scoring
 from lodestack.operators.ingest import embedding_rows, normalise, run_counts, unseen, with_ids
 from lodestack.plugins import Embedder, Judge
 from lodestack.schemas import DUPLICATE_LINK, INGEST_RUN, POSTING, POSTING_VECTOR
-from lodestack.sources.store import TableStore
-
-
-def _known(store: TableStore, table: str, schema: str) -> DataFrame:
-    return store.read(table) if store.exists(table) else store.spark.createDataFrame([], schema)
+from lodestack.sources.store import TableStore, replaced, upserted
+from lodestack.storage import settled
 
 
 def ingest(store: TableStore, raw: DataFrame, now_ms: int, embedder: Embedder) -> DataFrame:
     """Add what is new of ``raw`` to postings, vectors, links and the ledger; returns the ledger's new rows.
 
-    Running it again with the same rows adds nothing. Postings whose fingerprint
-    is stored already get a link instead of a vector of their own; the others are
+    Running it again with the same rows adds nothing: a run is 'running' in the
+    ledger until one commit brings all its rows. Postings whose fingerprint is
+    stored already get a link instead of a vector of their own; the others are
     embedded once and linked to earlier postings of matching companies.
     """
-    stored = _known(store, "postings", POSTING)
+    run_id = uuid.uuid4().hex
+    began = settled(raw.select("source").distinct().select(F.lit(run_id).alias("run_id"), "source", F.lit("running").alias("status"), *[F.lit(None).cast("bigint").alias(c) for c in ("fetched", "added", "duplicates")], F.lit(None).cast("string").alias("error"), F.lit(now_ms).cast("bigint").alias("started_at_ms")))
+    store.append("ingest_runs", began)
+    stored = store.read_or_empty("postings", POSTING)
     last = stored.agg(F.max("posting_id")).first()[0] or 0
     fresh = with_ids(unseen(raw, stored), last, ["source", "external_id"])
-    added = normalise(fresh).withColumn("first_seen_at_ms", F.lit(now_ms)).select([c.split()[0] for c in POSTING.split(", ")]).checkpoint()
-    exact = dedupe.fingerprint_links(added, stored).checkpoint()
+    added = settled(normalise(fresh).withColumn("first_seen_at_ms", F.lit(now_ms).cast("bigint")).select([c.split()[0] for c in POSTING.split(", ")]))
+    exact = settled(dedupe.fingerprint_links(added, stored))
     rest = added.join(exact.select("posting_id"), "posting_id", "left_anti")
-    vectors = embedder.embed(embedding_rows(rest)).select("posting_id", F.lit(embedder.model).alias("model"), F.lit(embedder.dim).alias("dim"), "vec").checkpoint()
-    held = _known(store, "posting_vectors", POSTING_VECTOR).unionByName(vectors)
+    vectors = settled(embedder.embed(embedding_rows(rest)).select("posting_id", F.lit(embedder.model).alias("model"), F.lit(embedder.dim).alias("dim"), "vec"))
+    held = store.read_or_empty("posting_vectors", POSTING_VECTOR).unionByName(vectors)
     named = stored.select("posting_id", "company_name").unionByName(added.select("posting_id", "company_name"))
     candidates = held.join(named, "posting_id").select("posting_id", "company_name", "vec", F.col("posting_id").alias("seq"))
     near = dedupe.semantic_links(candidates.join(vectors.select("posting_id"), "posting_id", "left_semi"), candidates)
-    links = exact.unionByName(near).checkpoint()
+    links = settled(exact.unionByName(near))
     counts = run_counts(raw, added, links)
-    runs = counts.select(F.lit(uuid.uuid4().hex).alias("run_id"), "source", F.lit("ok").alias("status"), "fetched", "added", "duplicates", F.lit(None).cast("string").alias("error")).checkpoint()
-    store.append("posting_vectors", vectors)
-    store.append("duplicate_links", links)
-    store.append("postings", added)
-    store.append("ingest_runs", runs)
+    runs = counts.select(F.lit(run_id).alias("run_id"), "source", F.lit("ok").alias("status"), "fetched", "added", "duplicates", F.lit(None).cast("string").alias("error"), F.lit(now_ms).cast("bigint").alias("started_at_ms"))
+    runs = settled(runs)
+    store.commit(appends={"posting_vectors": vectors, "duplicate_links": links, "postings": added, "ingest_runs": runs})
     return runs
 
 
-def failed_run(store: TableStore, source: str, error: str) -> None:
+def failed_run(store: TableStore, source: str, error: str, now_ms: int = 0, run_id: str | None = None) -> None:
     """Note a source's failure, without the secrets its URLs may hold."""
-    row = store.spark.createDataFrame([(uuid.uuid4().hex, source, "error", 0, 0, 0, error)], INGEST_RUN)
+    row = store.spark.createDataFrame([(run_id or uuid.uuid4().hex, source, "error", 0, 0, 0, error, now_ms)], INGEST_RUN)
     store.append("ingest_runs", row.withColumn("error", redact_urls(F.col("error"))))
 
 
+def run_history(runs: DataFrame, limit: int = 20) -> DataFrame:
+    """The newest runs of the ledger, each with its last state: a run that is only 'running' has not ended."""
+    state = F.when(F.col("status") == "running", 0).otherwise(1)
+    last = runs.groupBy("run_id", "source").agg(F.max_by(F.struct("status", "fetched", "added", "duplicates", "error", "started_at_ms"), state).alias("last"))
+    return last.select("run_id", "source", "last.*").orderBy(F.desc("started_at_ms"), F.desc("run_id"), "source").limit(limit)
+
+
 def evaluate_all(store: TableStore, chosen: Sequence[rules.Rule], spoken: Sequence[str] = (), statement_vectors: dict[str, list[float]] | None = None, judge: Judge | None = None) -> DataFrame:
     """Evaluate all postings and keep the latest result of each."""
-    done = rules.evaluate(store.read("postings"), chosen, spoken, _known(store, "posting_vectors", POSTING_VECTOR), statement_vectors, judge).checkpoint()
+    done = settled(rules.evaluate(store.read("postings"), chosen, spoken, store.read_or_empty("posting_vectors", POSTING_VECTOR), statement_vectors, judge))
     store.upsert("evaluations", done, ["posting_id"])
     return done
 
@@ -64,10 +70,11 @@ def evaluate_all(store: TableStore, chosen: Sequence[rules.Rule], spoken: Sequen
 def score_all(store: TableStore, profile: scoring.Profile, now_ms: int, enabled: dict[str, bool] | None = None, learned: DataFrame | None = None) -> DataFrame:
     """Score and flag all postings; scores are replaced by posting, flags by posting and type."""
     postings = store.read("postings")
-    reposts = dedupe.repost_counts(postings, _known(store, "duplicate_links", DUPLICATE_LINK), now_ms)
+    reposts = dedupe.repost_counts(postings, store.read_or_empty("duplicate_links", DUPLICATE_LINK), now_ms)
     intel = store.read("company_intel") if store.exists("company_intel") else None
-    done = scoring.score(postings, profile, _known(store, "posting_vectors", POSTING_VECTOR), reposts, intel, learned).checkpoint()
-    found = flags.detect(postings, reposts, flags.enabled_types(enabled)).checkpoint()
-    store.upsert("scores", done, ["posting_id"])
-    store.replace_groups("flags", found, postings.select("posting_id"), ["posting_id"])
+    done = settled(scoring.score(postings, profile, store.read_or_empty("posting_vectors", POSTING_VECTOR), reposts, intel, learned))
+    found = settled(flags.detect(postings, reposts, flags.enabled_types(enabled)))
+    scores = upserted(store.read("scores"), done, ["posting_id"]) if store.exists("scores") else done
+    kept = replaced(store.read("flags"), found, postings.select("posting_id"), ["posting_id"]) if store.exists("flags") else found
+    store.commit(writes={"scores": scores, "flags": kept})
     return done

@@ -17,4 +17,4 @@ RULE_RESULT = "struct<rule_id:int,rule_name:string,kind:string,validator:string,
 EVALUATION = f"posting_id bigint, outcome string, results array<{RULE_RESULT}>"
 FACTOR = "struct<name:string,label:string,score:double,weight:double,evidence:string>"
 FLAG = "struct<type:string,severity:string,evidence:array<string>,explanation:string>"
-INGEST_RUN = "run_id string, source string, status string, fetched bigint, added bigint, duplicates bigint, error string"
+INGEST_RUN = "run_id string, source string, status string, fetched bigint, added bigint, duplicates bigint, error string, started_at_ms bigint"

@@ -12,8 +12,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.functions import vocabulary as V
 from lodestack.functions.text import blank_to_null, date_ms, strip_html
 from lodestack.schemas import RAW_POSTING
+from lodestack.storage import settled
 
 
 def _posting(source: str, **columns: Column) -> list[Column]:
@@ -26,8 +28,23 @@ def _posting(source: str, **columns: Column) -> list[Column]:
     return made
 
 
+def page_walk(payloads: DataFrame, page: Column, rows: Column, page_rows: int = V.ADZUNA_PAGE_ROWS, pages: int = V.ADZUNA_PAGES) -> DataFrame:
+    """The landed pages that a walk from page 1 reads: up to the first short or missing one, ``pages`` at most.
+
+    ``page`` counts from 1, ``rows`` is a page's list.
+    """
+    counted = payloads.withColumn("__page", page).where(F.col("__page").between(1, pages))
+    full = counted.where(F.size(rows) >= page_rows).select("__page").distinct()
+    # pages - 1 numbers at most: the first that isn't full ends the walk
+    known = {r[0] for r in full.collect()}
+    last = next((n for n in range(1, pages + 1) if n not in known), pages)
+    return counted.where(F.col("__page") <= last).drop("__page")
+
+
 def adzuna(payloads: DataFrame) -> DataFrame:
-    """From {results: [...]} pages; the currency is never told."""
+    """From {results: [...]} pages; the currency is never told. Pages with a number are walked (see :func:`page_walk`)."""
+    if "page" in payloads.columns and not payloads.isStreaming and payloads.where("page is not null").take(1):
+        payloads = page_walk(payloads, F.col("page"), F.col("results"))
     r = payloads.select(F.explode("results").alias("r"))
     return r.select(*_posting(
         "adzuna", external_id=F.col("r.id"), title=F.col("r.title"), company_name=F.col("r.company.display_name"), description_html=F.col("r.description"),
@@ -36,8 +53,15 @@ def adzuna(payloads: DataFrame) -> DataFrame:
 
 
 def hackernews(payloads: DataFrame) -> DataFrame:
-    """From threads {title, children: [...]}: comments with a text; the first line names title and, before a bar, company."""
+    """From threads {title, created_at_i, children: [...]}: the latest hiring thread's comments with a text.
+
+    The first line names title and, before a bar, company. A stream takes every
+    such thread, as the latest one isn't known.
+    """
     threads = payloads.where(F.col("title").rlike("(?i)who is hiring"))
+    if not threads.isStreaming and "created_at_i" in threads.columns:
+        latest = threads.agg(F.max(F.coalesce("created_at_i", F.lit(0))).alias("at")).first()["at"]
+        threads = threads.where(F.coalesce("created_at_i", F.lit(0)) == F.lit(latest))
     r = threads.select(F.explode("children").alias("r")).where(F.trim(F.coalesce("r.text", F.lit(""))) != "")
     line = F.trim(F.get(F.split(F.regexp_replace("r.text", "(?i)<p>", "\n"), "\n"), F.lit(0)))
     head = F.substring(strip_html(line), 1, 140)
@@ -81,9 +105,22 @@ class Source:
     read: Callable[[DataFrame], DataFrame]
     credentials: tuple[str, ...] = ()
 
+    def records(self, spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+        """The JSON records in ``path`` in this source's schema; what can't be read whole is in the column _corrupt_record."""
+        schema = f"{self.schema}, _corrupt_record string"
+        return spark.read.schema(schema).option("multiLine", whole_files).option("mode", "PERMISSIVE").json(path)
+
     def load(self, spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
-        """Raw postings of the JSON files in ``path``; unknown fields are ignored, bad records give none."""
-        return self.read(spark.read.schema(self.schema).option("multiLine", whole_files).option("mode", "DROPMALFORMED").json(path))
+        """Raw postings of the JSON files in ``path``; unknown fields are ignored.
+
+        A record that is not valid JSON gives the postings that could be read of
+        it; :meth:`malformed` has all such records, so nothing is lost unseen.
+        """
+        return self.read(self.records(spark, path, whole_files).drop("_corrupt_record"))
+
+    def malformed(self, spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+        """_corrupt_record: the texts of records that aren't valid."""
+        return settled(self.records(spark, path, whole_files)).where("_corrupt_record is not null").select("_corrupt_record")
 
 
 SOURCES = {
@@ -91,11 +128,11 @@ SOURCES = {
     for s in (
         Source(
             "adzuna",
-            "results array<struct<id:string,title:string,description:string,redirect_url:string,created:string,company:struct<display_name:string>,location:struct<display_name:string>,salary_min:double,salary_max:double>>",
+            "page int, results array<struct<id:string,title:string,description:string,redirect_url:string,created:string,company:struct<display_name:string>,location:struct<display_name:string>,salary_min:double,salary_max:double>>",
             adzuna,
             ("app_id", "app_key"),
         ),
-        Source("hackernews", "title string, children array<struct<id:bigint,text:string,created_at_i:bigint>>", hackernews),
+        Source("hackernews", "title string, created_at_i bigint, children array<struct<id:bigint,text:string,created_at_i:bigint>>", hackernews),
         Source("remoteok", "id string, position string, company string, description string, url string, date string, location string, salary_min double, salary_max double", remoteok),
         Source("arbeitnow", "data array<struct<slug:string,title:string,company_name:string,description:string,remote:boolean,url:string,created_at:bigint,location:string,tags:array<string>>>", arbeitnow),
         Source(
@@ -135,6 +172,12 @@ def resolve(*layers: IngestConfig) -> IngestConfig:
     return IngestConfig(**made, credentials=credentials)
 
 
+def muse_category(field: Column) -> Column:
+    """One board's category for what a user writes; null for a field it doesn't know, as it would answer with nothing."""
+    table = F.create_map(*[F.lit(x) for pair in V.MUSE_CATEGORIES.items() for x in pair])
+    return F.element_at(table, F.lower(F.trim(field)))
+
+
 def place(config: IngestConfig) -> str | None:
     """City and province joined by a comma, as far as there are any."""
     return ", ".join(p.strip() for p in (config.city, config.province) if p and p.strip()) or None

@@ -10,7 +10,7 @@ from lodestack.plans.ingest import evaluate_all, failed_run, ingest, score_all
 from lodestack.plugins import BatchEmbedder, HashingEmbedder
 from lodestack.schemas import RAW_POSTING
 from lodestack.sources import landing
-from lodestack.sources.store import TableStore
+from lodestack.sources.store import ConflictError, SchemaError, TableStore
 from lodestack.streaming.events import ingest_stream, landing_stream, session_counts, tumbling_counts
 
 
@@ -136,6 +136,51 @@ def test_store(spark, tmp_path):
     assert store.read("t").count() == 2
     with pytest.raises(ValueError):
         store.read("none")
+    before = store.read("t").inputFiles()
+    store.append("t", spark.createDataFrame([(9, "n", "x", 1.5)], "k int, v string, e string, extra double"))
+    assert set(before) < set(store.read("t").inputFiles())  # what was stored is not written again
+    assert sorted(map(tuple, store.read("t").collect())) == [(2, "c", "y", None), (3, "d", None, None), (9, "n", "x", 1.5)]
+
+
+def test_store_survives_crashes_and_rivals(spark, tmp_path, monkeypatch):
+    store = TableStore(spark, str(tmp_path))
+    rows = lambda *values: spark.createDataFrame([(v,) for v in values], "k int")
+    store.commit(writes={"a": rows(1), "b": rows(1)})
+    held = lambda t: sorted(r[0] for r in TableStore(spark, str(tmp_path)).read(t).collect())
+    # a crash after the batches, before the manifest
+    with monkeypatch.context() as m:
+        m.setattr(TableStore, "_create", lambda *_: (_ for _ in ()).throw(OSError("crash")))
+        with pytest.raises(OSError):
+            store.commit(writes={"a": rows(2)}, appends={"b": rows(2)})
+    assert held("a") == [1] and held("b") == [1]
+    # a crash within the manifest: it is passed over, and the next commit comes after it
+    (tmp_path / "_manifests" / "000000000002").write_text('{"a": {"batches')
+    assert held("a") == [1]
+    store.commit(appends={"a": rows(3), "b": rows(3)})
+    assert held("a") == [1, 3] and held("b") == [1, 3]
+    # a rival that commits first
+    number, tables = store._state()
+    store.append("a", rows(4))
+    with pytest.raises(ConflictError):
+        store._create(number, tables)
+    assert held("a") == [1, 3, 4]
+    store.compact("a")
+    assert held("a") == [1, 3, 4] and store.vacuum(keep=1) >= 4 and held("a") == [1, 3, 4] and held("b") == [1, 3]
+
+
+def test_schema_check_on_read(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    store.write("t", spark.createDataFrame([(1, "a")], "k int, v string"))
+    assert store.read("t", "k int, v string, later double").first()["later"] is None
+    with pytest.raises(SchemaError):
+        store.read("t", "k bigint, v string")
+
+
+def test_malformed_records_are_told(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"data": [{"slug": "s", "title": "Dev"}]}\n{"data": [{"slug": \n')
+    source = landing.SOURCES["arbeitnow"]
+    assert source.load(spark, str(tmp_path), False).count() == 1
+    assert source.malformed(spark, str(tmp_path), False).count() == 1
 
 
 def test_research(spark):

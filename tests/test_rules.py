@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from lodestack.functions import replies
 from lodestack.operators import rules
 from lodestack.operators.rules import Rule
 
@@ -72,10 +73,10 @@ def test_judge_sees_only_what_is_left(spark, tmp_path):
 
 
 def test_read_verdict():
-    assert rules.read_verdict('{"verdict":"fail","evidence":" no "}') == ("fail", "no")
-    assert rules.read_verdict("maybe") == ("uncertain", "maybe")
-    assert rules.read_verdict('{"verdict":"maybe"}') == ("uncertain", '{"verdict":"maybe"}')
-    assert rules.read_verdict("") == ("uncertain", None)
+    assert replies.verdict('{"verdict":"fail","evidence":" no "}') == ("fail", "no")
+    assert replies.verdict("maybe") == ("uncertain", "maybe")
+    assert replies.verdict('{"verdict":"maybe"}') == ("uncertain", '{"verdict":"maybe"}')
+    assert replies.verdict("") == ("uncertain", None)
 
 
 def test_languages(spark):
