@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.blobs import groups_of, pack, unpack_all
-from lodestack.llm.common import blocks, mix64, prepare, release_tables, shuffle_partitions, small_side, text_slices, utf8_buffer
+from lodestack.llm.common import blocks, free_name, mix64, prepare, release_tables, shuffle_partitions, small_side, text_slices, utf8_buffer
 from lodestack.llm.graph import components
 from lodestack.llm.words import shingles_of, words_of
 
@@ -351,9 +351,9 @@ def linked(texts: DataFrame, words: int, j: Join = Join()) -> DataFrame:
     return components((new if links is None else links.unionByName(new)).checkpoint())
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, name: str = "tag") -> DataFrame:
     """``docs`` with a tag that tells rows of one id apart by their text."""
-    return docs.withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return docs.withColumn(name, F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def _classes(docs: DataFrame, j: Join) -> tuple[DataFrame, DataFrame, int]:
@@ -392,13 +392,14 @@ def keep_one(docs: DataFrame, j: Join = Join()) -> DataFrame:
     """
     prepare(docs.sparkSession)
     described, grouped, n_classes = _classes(docs, j)
-    first = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "tag")).alias("first")).select("first.*").checkpoint()
-    keyed = _keyed(docs)
+    tag, own_id = free_name(docs, "tag"), free_name(docs, "doc_id_")
+    first = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "tag")).alias("first")).select(F.col("first.doc_id").alias(own_id), F.col("first.tag").alias(tag)).checkpoint()
+    keyed = _keyed(docs, tag).withColumn(own_id, F.col("doc_id").cast("long"))
     words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = keyed.join(small_side(first, n_classes), ["doc_id", "tag"], "left_semi").where(words)
+    kept = keyed.join(small_side(first, n_classes), [own_id, tag], "left_semi").where(words)
     if _repeats(described):
-        kept = kept.dropDuplicates(["doc_id", "tag"])
-    return kept.unionByName(keyed.where(F.col("doc_id").isNull() | ~words)).select(docs.columns)
+        kept = kept.dropDuplicates([own_id, tag])
+    return kept.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull() | ~words))
 
 
 def _repeats(described: DataFrame) -> bool:

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 
+from lodestack.llm.blobs import loads
 from lodestack.llm.common import mix64
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_FACTOR = np.uint64(0xD1B54A32D192ED03)
+_FULL = np.uint64((1 << 64) - 1)
+#: Bytes of a range that are hashed at once.
+BLOCK = 256
 
 #: Byte classes: what a byte counts as in a word, 0 for a byte between words.
 PLAIN = np.array([0 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
@@ -18,24 +20,30 @@ PLAIN[0] = 128 + 64  # a NUL is part of a word; the byte 0xC0 never occurs in UT
 LETTERS = np.array([b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else 0 for b in range(256)], dtype=np.uint8)
 
 
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    out = []
-    for base in (_BASE, _INVERSE):
-        powers = np.full(size, np.uint64(base), dtype=np.uint64)
-        powers[0] = 1
-        out.append(np.cumprod(powers, dtype=np.uint64))
-    return out[0], out[1]
-
-
 def range_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each ``raw[s:e]``, whatever its length and place."""
-    powers, inverse = _powers(1 << max(16, int(len(raw)).bit_length()))
-    sums = np.empty(len(raw) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[: len(raw)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    """A hash of each ``raw[s:e]``, whatever its length and place.
+
+    Eight bytes at a time go through a finaliser that mixes all bits, so no
+    arrangement of words makes differences cancel, as it can in a polynomial.
+    Longer ranges are the hashes of their blocks, hashed in turn.
+    """
+    words = loads(np.concatenate([raw, np.zeros(8, dtype=np.uint8)]), 8)
+    lengths = ends - starts
+    out = mix64(lengths.astype(np.uint64) + np.uint64(1))
+    live, at = np.flatnonzero((lengths > 0) & (lengths <= BLOCK)), 0
+    while len(live):
+        left = lengths[live] - at
+        word = words[starts[live] + at] & (_FULL >> (np.uint64(8) * (8 - np.minimum(left, 8)).astype(np.uint64)))
+        out[live] = mix64((out[live] ^ word) * _FACTOR + np.uint64(at + 1))
+        live, at = live[left > 8], at + 8
+    long = np.flatnonzero(lengths > BLOCK)
+    if len(long):
+        parts = -(-lengths[long] // BLOCK)
+        first = np.cumsum(parts) - parts
+        begin = np.repeat(starts[long], parts) + BLOCK * (np.arange(int(parts.sum())) - np.repeat(first, parts))
+        inner = range_hashes(raw, begin, np.minimum(begin + BLOCK, np.repeat(ends[long], parts)))
+        out[long] = mix64(out[long] * _FACTOR + range_hashes(inner.view(np.uint8), 8 * first, 8 * (first + parts)))
+    return out
 
 
 @dataclass(frozen=True)
@@ -72,19 +80,13 @@ def words_of(raw: np.ndarray, offsets: np.ndarray, classes: np.ndarray = PLAIN)
     last[ends] = inside[ends]
     last[-1] = inside[-1]
     begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    step = 1 << max(16, int(size - 1).bit_length())
-    powers, inverse = _powers(step)
-    sums = np.empty(size + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(seen.astype(np.uint64) * powers[:size], out=sums[1:])
-    hashes = mix64((sums[end] - sums[begin]) * inverse[begin])
+    hashes = range_hashes(seen, begin, end)
     return Words(hashes, np.searchsorted(offsets, begin, side="right") - 1)
 
 
 def shingles_of(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and rows of all runs of ``size`` words; a text of fewer words is one run."""
     n = len(words.hashes)
-    factor = np.uint64(0xD1B54A32D192ED03)
     run = words.hashes.copy()
     length = np.ones(n, dtype=np.int64)
     for k in range(1, size):
@@ -93,7 +95,7 @@ def shingles_of(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
             same[:-k] = words.rows[k:] == words.rows[:-k]
         following = np.zeros(n, dtype=np.uint64)
         following[:-k or None] = words.hashes[k:] if k else words.hashes
-        run = np.where(same, mix64(run * factor + following), run)
+        run = np.where(same, mix64(run * _FACTOR + following), run)
         length += same
     first = np.ones(n, dtype=bool)
     first[1:] = words.rows[1:] != words.rows[:-1]
