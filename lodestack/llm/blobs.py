@@ -29,14 +29,24 @@ def unpack_all(blobs: list[bytes], dtypes: tuple[str, ...]) -> list[np.ndarray]:
     return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, dtype=d) for i, d in enumerate(dtypes)]
 
 
-def gather(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """``raw[s:s + n]`` of all (s, n), concatenated."""
+def gather(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, portion: int = 1 << 18) -> np.ndarray:
+    """``raw[s:s + n]`` of all (s, n), concatenated; indexes are made for a portion of the places at a time."""
     total = int(lengths.sum())
     if not total:
         return raw[:0]
     ends = np.cumsum(lengths)
-    index = np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
-    return raw[index]
+    if total >= 512 * len(lengths):
+        return np.concatenate([raw[s:e] for s, e in zip(starts.tolist(), (starts + lengths).tolist())])
+    out = np.empty(total, dtype=raw.dtype)
+    low = 0
+    while low < len(lengths):
+        begin = int(ends[low] - lengths[low])
+        high = max(low + 1, int(np.searchsorted(ends, begin + portion, side="right")))
+        n = lengths[low:high]
+        size = int(n.sum())
+        out[begin : begin + size] = raw[np.arange(begin, begin + size) + np.repeat(starts[low:high] - (ends[low:high] - n), n)]
+        low = high
+    return out
 
 
 def loads(raw: np.ndarray, width: int) -> np.ndarray:
@@ -56,8 +66,15 @@ def groups_of(sorted_keys: np.ndarray) -> np.ndarray:
 
 def runs_to_flags(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """True for each place of ``range(size)`` inside some run."""
-    change = np.bincount(starts, minlength=size + 1) - np.bincount(ends, minlength=size + 1)
-    return np.cumsum(change[:size]) > 0
+    change = np.zeros(size + 1, dtype=np.int8)
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order]) if len(ends) else ends
+    # runs that overlap or touch are one, so no place changes by more than one
+    if len(starts):
+        new = np.concatenate([[True], starts[1:] > ends[:-1]])
+        change[starts[new]] = 1
+        change[ends[np.append(np.flatnonzero(new)[1:] - 1, len(ends) - 1)]] -= 1
+    return np.cumsum(change[:size], dtype=np.int8).view(bool)
 
 
 def flags_to_runs(flags: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

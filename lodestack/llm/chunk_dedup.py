@@ -11,13 +11,17 @@ ones that recur by chance saying nothing.
 Digests go to buckets as compressed blobs, those of one block of documents merged
 before the shuffle; what is found goes back to the documents by hash groups.
 
-Defined cases: null text is empty; a null id counts as the largest one; rows of
-one id never repeat each other; an empty table gives no rows; other columns are
-ignored by :func:`remove_repeated_chunks` and carried by :func:`deduplicated`.
+Defined cases: null text is empty, and stays null when rewritten; a null id
+counts as the largest one; rows of one id never repeat each other, so equal rows
+are cut alike; a chunk that several ids tie for stays with the smallest; texts of
+any length are cut in slices of ``block_bytes`` or a text each; an empty table
+gives no rows; other columns are ignored by :func:`remove_repeated_chunks` and
+carried by :func:`deduplicated`, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,13 +29,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestack.llm.blobs import flags_to_runs, gather, groups_of, pack, runs_to_flags, unpack_all
-from lodestack.llm.common import blocks, mix64, prepare, release_tables, shuffle_partitions, small_side, text_slices, utf8_buffer
+from lodestack.llm.common import blocks, free_name, mix64, prepare, release_tables, shuffle_partitions, text_slices, utf8_buffer
 from lodestack.llm.suffix_dedup import DOCS, RANGES, _batch, _bodies, _columns, _dealt, _groups, named_documents, tagged
 from lodestack.llm.words import range_hashes
 
 WINDOW = 16
+WORD = re.compile(r"[^\x20\x09-\x0D]")
 #: A 16-bit gear for each byte value.
 GEAR = (mix64(np.arange(1, 257, dtype=np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
 CHUNKS = ("<u8", "<i8", "<i8", "<u4", "<u4", "<u4")  # digest, id, tag, length, number of places, places
@@ -50,6 +56,15 @@ class Chunking:
     evidence: int = 48
 
 
+@dataclass(frozen=True)
+class _Names:
+    """Columns of our own beside the caller's."""
+
+    doc_id: str
+    tag: str
+    pack: str
+
+
 @dataclass(frozen=True)
 class Plan:
     chunking: Chunking
@@ -144,6 +159,7 @@ def _emit(p: Plan):
 
 def _bucket(p: Plan):
     def run(table: pa.Table) -> pa.Table:
+        release_tables()
         kinds, blobs = table.column("kind").to_numpy(), table.column("blob").to_pylist()
         digest, ids, tags, lengths, counts, places = unpack_all([b for b, k in zip(blobs, kinds) if k == 0], CHUNKS)
         local = unpack_all([b for b, k in zip(blobs, kinds) if k == 1], RANGES)
@@ -173,25 +189,49 @@ def removed_runs(size: int, offsets: np.ndarray, low: np.ndarray, high: np.ndarr
     return runs_to_flags(size, begin[good], end[good]), begin[good]
 
 
+@dataclass(frozen=True)
+class _Cut:
+    """What became of the texts of one group: removed bytes, and counts of each row."""
+
+    raw: np.ndarray
+    offsets: np.ndarray
+    first: np.ndarray  # the row that stands for each row
+    gone: np.ndarray
+    runs: np.ndarray
+    repeats: np.ndarray
+
+    @classmethod
+    def of(cls, ids: np.ndarray, tags: np.ndarray, lengths: np.ndarray, raw: np.ndarray, blobs: list[bytes], c: Chunking) -> _Cut:
+        offsets, first, owner, low, high = named_documents(ids, tags, lengths, unpack_all(blobs, RANGES))
+        # repeated rows tell their ranges more than once; chunks of a text begin at different places
+        low, at = np.unique(low, return_index=True)
+        high = high[at]
+        gone, begin = removed_runs(len(raw), offsets, low, high, c)
+        count = lambda places: np.bincount(np.searchsorted(offsets, places, side="right") - 1, minlength=len(ids))
+        return cls(raw, offsets, first, gone, count(begin), count(low))
+
+    def text(self, row: int) -> tuple[bytes, int]:
+        """The bytes left of a row's text, and how many were removed."""
+        part = slice(self.offsets[self.first[row]], self.offsets[self.first[row] + 1])
+        flags = self.gone[part]
+        removed = int(flags.sum())
+        return (self.raw[part][~flags] if removed else self.raw[part]).tobytes(), removed
+
+
 def _finish(p: Plan):
+    """One row per document of a group: its text without repeats, and counts."""
+
     def run(docs: pa.Table, ranges: pa.Table) -> pa.Table:
+        release_tables()
         rows: list[tuple] = []
         if docs.num_rows:
             ids, tags, null, lengths, raw = unpack_all(docs.column("blob").to_pylist(), DOCS)
-            found = unpack_all(ranges.column("blob").to_pylist(), RANGES)
-            offsets, first, owner, low, high = named_documents(ids, tags, lengths, found)
-            # repeated rows tell their ranges more than once
-            pairs = np.unique(np.stack([low, high]), axis=1) if len(low) else np.zeros((2, 0), dtype=np.int64)
-            gone, begin = removed_runs(len(raw), offsets, pairs[0], pairs[1], p.chunking)
-            runs = np.bincount(np.searchsorted(offsets, begin, side="right") - 1, minlength=len(ids))
-            repeats = np.bincount(np.searchsorted(offsets, pairs[0], side="right") - 1, minlength=len(ids))
-            starts, _ = chunks_of(raw, offsets, p.chunking)
-            chunks = np.bincount(np.searchsorted(offsets, starts, side="right") - 1, minlength=len(ids))
-            for i in range(len(ids)):
-                j = first[i]
-                text, flags = raw[offsets[j] : offsets[j + 1]], gone[offsets[j] : offsets[j + 1]]
-                kept = text[~flags].tobytes().decode("utf-8", "replace") if flags.any() else text.tobytes().decode()
-                rows.append((None if null[i] else int(ids[i]), int(tags[i]), len(text), int(flags.sum()), int(runs[j]), int(chunks[i]), int(repeats[j]), kept))
+            cut = _Cut.of(ids, tags, lengths, raw, ranges.column("blob").to_pylist(), p.chunking)
+            starts, _ = chunks_of(raw, cut.offsets, p.chunking)
+            chunks = np.bincount(np.searchsorted(cut.offsets, starts, side="right") - 1, minlength=len(ids))
+            for i, j in enumerate(cut.first.tolist()):
+                kept, removed = cut.text(i)
+                rows.append((None if null[i] else int(ids[i]), int(tags[i]), int(lengths[i]), removed, int(cut.runs[j]), int(chunks[i]), int(cut.repeats[j]), kept.decode("utf-8", "replace")))
         columns = list(zip(*rows)) or [()] * 8
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in KEPT_SCHEMA.split(", ")])
@@ -199,7 +239,43 @@ def _finish(p: Plan):
     return run
 
 
-def plan(docs: DataFrame, chunking: Chunking, bucket_bytes: int = 8 << 20, group_bytes: int = 8 << 20) -> Plan:
+def _packed(p: Plan, names: _Names):
+    """Rows as they are, with the group that each belongs to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_tables()
+        for part in batches:
+            ids, tags = _columns(part, names.doc_id, names.tag)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_groups(ids, tags, p.groups))], names=[*part.schema.names, names.pack])
+
+    return run
+
+
+def _rewritten(p: Plan, names: _Names, columns: list[str]):
+    """The rows of a group with their new texts; those left without a word are dropped."""
+
+    def run(docs: pa.Table, ranges: pa.Table) -> pa.Table:
+        release_tables()
+        rest = docs.select(columns)
+        if not docs.num_rows:
+            return rest
+        column = docs.column("text").combine_chunks()
+        raw, offsets = utf8_buffer(column)
+        ids, tags = _columns(docs.combine_chunks().to_batches()[0], names.doc_id, names.tag)
+        cut = _Cut.of(ids, tags, np.diff(offsets), raw, ranges.column("blob").to_pylist(), p.chunking)
+        texts, keep = [], []
+        for i, known in enumerate(column.is_valid().to_pylist()):
+            text, removed = cut.text(i)
+            text = text.decode("utf-8", "replace")
+            keep.append(not removed or WORD.search(text) is not None)
+            texts.append(text if known else None)
+        at = rest.schema.get_field_index("text")
+        return rest.set_column(at, rest.schema.field(at), pa.array(texts, rest.schema.field(at).type)).filter(pa.array(keep))
+
+    return run
+
+
+def plan(docs: DataFrame, chunking: Chunking, bucket_bytes: int = 4 << 20, group_bytes: int = 2 << 20) -> Plan:
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     least = 2 * shuffle_partitions(docs.sparkSession)
     return Plan(chunking, max(least, -(-total // bucket_bytes)), max(least, -(-total // group_bytes)))
@@ -216,26 +292,27 @@ def remove_repeated_chunks(docs: DataFrame, chunking: Chunking = Chunking()) ->
     return _chunks_removed(tagged(docs.select("doc_id", "text")), chunking)
 
 
+def _ranges(rows: DataFrame, p: Plan) -> DataFrame:
+    """Repeated chunks of ``rows`` (doc_id, text, tag), as blobs for the documents' groups."""
+    return rows.mapInArrow(_emit(p), "bucket long, kind int, blob binary").groupBy("bucket").applyInArrow(_bucket(p), "pack long, blob binary")
+
+
 def _chunks_removed(tagged_docs: DataFrame, chunking: Chunking) -> DataFrame:
     rows = tagged_docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "tag")
     p = plan(rows, chunking)
-    found = rows.mapInArrow(_emit(p), "bucket long, kind int, blob binary").groupBy("bucket").applyInArrow(_bucket(p), "pack long, blob binary")
     bodies = rows.mapInArrow(_bodies(p), "pack long, blob binary")
-    return bodies.groupBy("pack").cogroup(found.groupBy("pack")).applyInArrow(_finish(p), KEPT_SCHEMA)
+    return bodies.groupBy("pack").cogroup(_ranges(rows, p).groupBy("pack")).applyInArrow(_finish(p), KEPT_SCHEMA)
 
 
 def deduplicated(docs: DataFrame, chunking: Chunking = Chunking()) -> DataFrame:
     """``docs`` without repeated runs in ``text``; rows that they left without a word are dropped.
 
-    Only the other columns are joined back, by id and tag.
+    All other columns, whatever their names, go with their rows to the texts' groups.
     """
     prepare(docs.sparkSession)
-    keyed = tagged(docs, "_tag")
-    cut = _chunks_removed(keyed.select("doc_id", "text", F.col("_tag").alias("tag")), chunking).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_cut_tag"), F.col("text").alias("_text"), (F.col("n_removed") > 0).alias("_cut"))
-    keys = keyed.groupBy("doc_id", "_tag").count()
-    if keys.where("count > 1").take(1):
-        cut = cut.dropDuplicates(["_id", "_cut_tag"])
-    rest = keyed.withColumn("_null", F.col("text").isNull()).drop("text")
-    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_cut_tag") == F.col("_tag"))
-    joined = cut.join(small_side(rest, docs.count()), same).where(~F.col("_cut") | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
-    return joined.withColumn("text", F.when(~F.col("_null"), F.col("_text"))).select(docs.columns)
+    names = _Names(*(free_name(docs, n) for n in ("doc_id_", "tag", "pack")))
+    keyed = tagged(docs, names.tag).withColumn(names.doc_id, F.col("doc_id").cast("long"))
+    rows = keyed.select(F.col(names.doc_id).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col(names.tag).alias("tag"))
+    p = plan(rows, chunking)
+    whole = keyed.mapInArrow(_packed(p, names), StructType([*keyed.schema.fields, StructField(names.pack, LongType())]))
+    return whole.groupBy(names.pack).cogroup(_ranges(rows, p).groupBy("pack")).applyInArrow(_rewritten(p, names, docs.columns), docs.schema)

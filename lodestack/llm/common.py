@@ -64,6 +64,15 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have, whatever the case."""
+    taken = {c.lower() for c in docs.columns}
+    made = f"__{name}"
+    while made.lower() in taken:
+        made += "_"
+    return made
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

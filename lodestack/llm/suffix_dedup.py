@@ -21,8 +21,10 @@ together first:
 
 Defined cases: null text is empty; ids count as signed numbers, a null id as the
 largest one; rows of one id never repeat each other, so repeated rows get the
-same ranges, found in other ids; texts shorter than ``length`` stay whole; an
-empty table gives no rows; other columns are ignored.
+same ranges, found in other ids; equal strings of several ids tie for the smallest
+of them, which keeps its own; texts shorter than ``length`` stay whole, longer
+ones are worked on in slices that overlap by a window; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,11 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.blobs import flags_to_runs, gather, groups_of, loads, pack, runs_to_flags, unpack_all
-from lodestack.llm.common import BROADCAST_ROWS, blocks, mix64, prepare, release_tables, shuffle_partitions, utf8_buffer
+from lodestack.llm.common import BROADCAST_ROWS, blocks, free_name, mix64, prepare, release_tables, shuffle_partitions, utf8_buffer
 from lodestack.llm.deep_shallow import sort_groups
 
 LAST_ID = (1 << 63) - 1
-SPANS = ("<i8", "<i8", "u1", "u1", "<u4", "<u4", "u1")  # id steps, tag, length, anchor's place, number of places, places, texts
+SPANS = ("<i8", "<i8", "<u2", "<u2", "<u4", "<u4", "u1")  # id steps, tag, length, anchor's place, number of places, places, texts
 RANGES = ("<i8", "<i8", "<u4", "<u4")  # id, tag, start, end
 DOCS = ("<i8", "<i8", "u1", "<i8", "u1")  # id, tag, id is null, length, texts
 KEPT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -150,9 +152,9 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary()))], names=["bucket", "kind", "blob"])
 
 
-def _columns(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    ids = part.column("doc_id").fill_null(LAST_ID).to_numpy().astype(np.int64)
-    return ids, part.column("tag").to_numpy().astype(np.int64)
+def _columns(part: pa.RecordBatch, doc_id: str = "doc_id", tag: str = "tag") -> tuple[np.ndarray, np.ndarray]:
+    ids = part.column(doc_id).fill_null(LAST_ID).to_numpy().astype(np.int64)
+    return ids, part.column(tag).to_numpy().astype(np.int64)
 
 
 def _emit(p: Plan):
@@ -188,7 +190,7 @@ def _emit(p: Plan):
             h = heads[chosen]
             places = place[gather(own, cuts[:-1][chosen], counts[chosen])]
             rows.append((int(bucket[chosen[0]]), 0, pack([
-                np.diff(ids[row[h]], prepend=0), tags[row[h]], lengths[h].astype("u1"), (anchor[h] - first[h]).astype("u1"),
+                np.diff(ids[row[h]], prepend=0), tags[row[h]], lengths[h].astype("<u2"), (anchor[h] - first[h]).astype("<u2"),
                 counts[chosen].astype("<u4"), places.astype("<u4"), gather(raw, first[h], lengths[h]),
             ], level=3)))
         return rows
@@ -245,7 +247,7 @@ def bucket_ranges(spans: list[np.ndarray], p: Plan) -> tuple[np.ndarray, ...]:
     kept = np.flatnonzero(_shared_context(raw, starts, lengths, at, ids, p))
     anchor = _hash_at(raw, starts + at, p.k)
     # whole spans: one anchor, place of it and length make a group
-    key = mix64(anchor[kept] + mix64((at[kept] << 8 | lengths[kept]).astype(np.uint64)))
+    key = mix64(anchor[kept] + mix64((at[kept] << 16 | lengths[kept]).astype(np.uint64)))
     _, group = np.unique(key, return_inverse=True)
     _, classes = sort_groups(raw, starts[kept], lengths[kept], group, p.shallow)
     order = np.lexsort((ids[kept], classes))
@@ -263,7 +265,7 @@ def bucket_ranges(spans: list[np.ndarray], p: Plan) -> tuple[np.ndarray, ...]:
         span = np.repeat(np.arange(len(rest)), windows)
         shift = np.arange(len(span)) - np.repeat(np.cumsum(windows) - windows, windows)
         begin = starts[rest][span] + shift
-        suffix_group = group[span] * 256 + (at[rest][span] - shift)
+        suffix_group = group[span] * p.length + (at[rest][span] - shift)
         order = np.argsort(suffix_group, kind="stable")
         cuts = groups_of(suffix_group[order])
         several = np.repeat(np.diff(cuts) > 1, np.diff(cuts))
@@ -287,6 +289,7 @@ def bucket_ranges(spans: list[np.ndarray], p: Plan) -> tuple[np.ndarray, ...]:
 
 def _bucket(p: Plan):
     def run(table: pa.Table) -> pa.Table:
+        release_tables()
         kinds = table.column("kind").to_numpy()
         blobs = table.column("blob").to_pylist()
         parts = [unpack_all([b], SPANS) for b, k in zip(blobs, kinds) if k == 0]
@@ -359,6 +362,7 @@ def cut_documents(docs: list[np.ndarray], ranges: list[np.ndarray]) -> Iterator[
 
 def _finish(digest: bool):
     def run(docs: pa.Table, ranges: pa.Table) -> pa.Table:
+        release_tables()
         rows = cut_documents(unpack_all(docs.column("blob").to_pylist(), DOCS), unpack_all(ranges.column("blob").to_pylist(), RANGES)) if docs.num_rows else ()
         made = [(i, n, m, k, hashlib.sha256(t).hexdigest() if digest else t) for i, n, m, k, t in rows]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string() if digest else pa.binary())
@@ -368,7 +372,7 @@ def _finish(digest: bool):
     return run
 
 
-def plan(docs: DataFrame, length: int = 50, shallow: int = 32, bucket_bytes: int = 12 << 20, group_bytes: int = 8 << 20) -> Plan:
+def plan(docs: DataFrame, length: int = 50, shallow: int = 32, bucket_bytes: int = 12 << 20, group_bytes: int = 4 << 20) -> Plan:
     """Deal the work so that a bucket and a group hold about the given numbers of bytes, whatever the corpus."""
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     least = 2 * shuffle_partitions(docs.sparkSession)
@@ -382,14 +386,15 @@ def tagged(docs: DataFrame, name: str = "tag") -> DataFrame:
     Tags travel with every span, and random ones don't compress.
     """
     text = F.xxhash64(F.coalesce("text", F.lit("")))
-    many = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_many"))
+    repeated = free_name(docs, "many")
+    many = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(repeated)).where(F.col(repeated) > 1).select(F.col("doc_id").alias(repeated))
     n = many.count()
     if n > BROADCAST_ROWS:
         return docs.withColumn(name, text)
     if not n:
         return docs.withColumn(name, F.when(F.col("doc_id").isNull(), text).otherwise(F.lit(0).cast("long")))
-    joined = docs.join(F.broadcast(many), F.col("doc_id") == F.col("_many"), "left")
-    return joined.withColumn(name, F.when(F.col("doc_id").isNull() | F.col("_many").isNotNull(), text).otherwise(F.lit(0).cast("long"))).drop("_many")
+    joined = docs.join(F.broadcast(many), F.col("doc_id") == F.col(repeated), "left")
+    return joined.withColumn(name, F.when(F.col("doc_id").isNull() | F.col(repeated).isNotNull(), text).otherwise(F.lit(0).cast("long"))).drop(repeated)
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False, shallow: int = 32) -> DataFrame:

@@ -13,9 +13,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lodestack.llm import chunk_dedup, jaccard_join, suffix_dedup
+from lodestack.llm.blobs import gather, runs_to_flags
 from lodestack.llm.deep_shallow import BlindTrie, sort_groups
 from lodestack.llm.graph import components
-from lodestack.llm.words import PLAIN, shingles_of, words_of
+from lodestack.llm.words import PLAIN, range_hashes, shingles_of, words_of
 
 SCHEMA = "doc_id bigint, text string"
 
@@ -70,7 +71,7 @@ def removed_by_hand(rows, length):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("length", [50, 24])
+@pytest.mark.parametrize("length", [50, 24, 134, 200])
 def test_repeats_are_removed_as_by_hand(spark, length):
     rows = corpus()
     frame = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id", "text", "1 AS tag", "'x' AS blob").repartition(5)
@@ -78,6 +79,32 @@ def test_repeats_are_removed_as_by_hand(spark, length):
     assert sorted(map(tuple, got.collect()), key=repr) == removed_by_hand(rows, length)
 
 
+def test_long_runs_of_one_passage(spark):
+    passage = prose(random.Random(4), 400)
+    rows = [(1, passage), (2, "x" + passage), (3, passage[200:] + "y")]
+    for length in (133, 150, 200):
+        got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA), length, digest=True)
+        assert sorted(map(tuple, got.collect()), key=repr) == removed_by_hand(rows, length)
+
+
+def test_very_long_texts(spark):
+    """Texts beyond the slices of 1 and 2 MiB, repeated rows among them."""
+    rng = random.Random(12)
+    words = [prose(rng, 1) for _ in range(5000)]
+    long = " ".join(rng.choice(words) for _ in range(700_000))
+    assert len(long.encode()) > 5 << 19
+    rows = [(1, long), (2, "first " + long[1_000_000:1_000_400] + " last"), (3, long), (3, long)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    size, part = len(long.encode()), rows[1][1].encode()
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.remove_repeats(docs, 50, digest=True).collect())
+    assert got[0] == (1, size, 0) and got[2:] == [(3, size, size)] * 2
+    assert got[1][:2] == (2, len(part)) and len(part) - got[1][2] <= 12
+    cut = sorted((r["doc_id"], r["n_removed"]) for r in chunk_dedup.remove_repeated_chunks(docs).collect())
+    assert cut[0] == (1, 0) and cut[1][1] > 200 and all(n > size - 200 for _, n in cut[2:])
+    joined = jaccard_join.similarity_components(docs).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in joined) == [(1, 1), (2, 2), (3, 1), (3, 1)]
+
+
 def test_repeats_of_an_empty_table(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], SCHEMA), 50).count() == 0
 
@@ -244,6 +271,61 @@ def test_connected_components(spark):
     assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 
+def test_words_whose_polynomials_are_equal(spark):
+    marks = [0]
+    for _ in range(10):
+        marks += [1 - x for x in marks]
+    words = ["".join("ab"[x ^ y] for x in marks) for y in (0, 1)]
+    raw = " ".join(words).encode()
+    assert len(set(words_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).hashes.tolist())) == 2
+    rows = list(enumerate(words, 1))
+    got = jaccard_join.similarity_components(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (2, 2)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 900), st.integers(0, 900)), min_size=1, max_size=30), st.integers(0, 3))
+def test_range_hashes(places, seed):
+    raw = np.random.default_rng(seed).integers(97, 99, 900).astype(np.uint8)
+    low, high = (np.array([f(p) for p in places]) for f in (min, max))
+    hashes = range_hashes(raw, low, high)
+    assert len(set(hashes.tolist())) == len({raw[a:b].tobytes() for a, b in zip(low, high)})
+    moved = np.concatenate([np.zeros(3, np.uint8), raw])
+    assert (range_hashes(moved, low + 3, high + 3) == hashes).all()
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 12)), max_size=12), st.integers(1, 9))
+def test_ranges(places, portion):
+    raw = np.arange(60, dtype=np.uint8)
+    starts, sizes = (np.array([p[k] for p in places], dtype=np.int64) for k in (0, 1))
+    assert gather(raw, starts, sizes, portion).tolist() == [x for a, n in places for x in range(a, a + n)]
+    inside = {x for a, n in places for x in range(a, a + n)}
+    assert runs_to_flags(60, starts, starts + sizes).tolist() == [x in inside for x in range(60)]
+
+
+CLASHING = "doc_id bigint, text string, tag bigint, _tag string, __tag string, pack int, _id string, n int, root string, node int, blob string, kind int"
+
+
+def test_columns_of_clashing_names(spark):
+    passage = prose(random.Random(6), 80)
+    rows = [(i, t, i, "a", "b", 3, "c", 4, "d", 5, "e", 6) for i, t in [(1, passage), (2, None), (2, "other words of two"), (2, "other words of two"), (3, passage), (None, "")]]
+    docs = spark.createDataFrame(rows, CLASHING)
+    for made, gone in ((chunk_dedup.deduplicated(docs), 1), (jaccard_join.keep_one(docs), 2)):
+        assert made.columns == docs.columns
+        kept = [tuple(r) for r in made.collect()]
+        assert len(kept) == len(rows) - gone and set(kept) <= set(rows)
+    empty = docs.limit(0)
+    assert chunk_dedup.deduplicated(empty).count() == 0 == jaccard_join.keep_one(empty).count()
+    assert chunk_dedup.remove_repeated_chunks(empty).count() == 0 == jaccard_join.similarity_components(empty).count()
+
+
+def test_repeated_rows_of_a_join(spark):
+    rows = [*corpus(3, 30), *corpus(3, 30)[:9]]
+    got = jaccard_join.similarity_components(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(map(tuple, got.collect()), key=repr) == components_by_hand(rows, 4, 85)
+
+
 def test_texts_of_one_id_stay_apart(spark):
     rng = random.Random(9)
     texts = [prose(rng, 12) + f" {i}" for i in range(2000)]
