@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from lodestack.functions import vocabulary as V
 from lodestack.functions.text import company_key, cosine
 
-#: Largest number of company keys for which pairs are found by one nested loop.
-PAIR_LIMIT = 2_000
 GRAM = 3
+#: Distinct vectors of a company in one share of the comparisons.
+SHARE = 2_000
 
 
 def fingerprint_links(new: DataFrame, stored: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def fingerprint_links(new: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def batch_links(postings: DataFrame) -> DataFrame:
-    """Links within one batch: each row of a fingerprint to the one before it by id."""
+    """Links within one batch: each row of a fingerprint to the first one by id."""
     first = postings.groupBy("fingerprint").agg(F.min("posting_id").alias("canonical_id"), F.count("*").alias("n")).where("n > 1")
     return postings.join(first, "fingerprint").where("posting_id > canonical_id").select("posting_id", "canonical_id", F.lit(1.0).alias("similarity"))
 
@@ -30,13 +30,13 @@ def matching_companies(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
 
 
-def company_pairs(names: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+def company_pairs(names: DataFrame) -> DataFrame:
     """All (a_key, b_key) of matching keys of the column ``company_name``, both ways and with themselves.
 
     Keys, not postings, are compared. If one key contains another, all its
     three-letter grams are in the longer one, so candidates come from an index by
-    the shorter key's rarest gram; keys too short for a gram, and few keys in
-    all, are compared directly with those that hold them.
+    the shorter key's rarest gram; keys too short for a gram are looked up among
+    all runs of their length.
     """
     keys = names.select(company_key(F.col("company_name")).alias("key")).where("key <> ''").distinct()
     short = keys.where(F.length("key") < GRAM)
@@ -63,10 +63,15 @@ def semantic_links(new: DataFrame, candidates: DataFrame, threshold: float = V.D
     left, right = keyed(new), keyed(candidates)
     pairs = company_pairs(left.select("company_name").unionByName(right.select("company_name")))
     first = right.groupBy("key", "vec").agg(F.min(F.struct("seq", "posting_id")).alias("first"))
+    # a company with many vectors is dealt into shares, so that no task compares all of them
+    shares = first.groupBy("key").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")).withColumnRenamed("key", "b_key")
+    to = pairs.join(shares, "b_key").select("a_key", "b_key", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    held = first.select(F.col("key").alias("b_key"), F.col("vec").alias("other"), F.col("first.seq").alias("other_seq"), F.col("first.posting_id").alias("canonical_id"))
+    held = held.join(shares, "b_key").withColumn("share", F.pmod(F.xxhash64("other"), F.col("shares")).cast("int")).drop("shares")
     joined = (
         left.select("posting_id", "seq", "vec", F.col("key").alias("a_key"))
-        .join(pairs, "a_key")
-        .join(first.select(F.col("key").alias("b_key"), F.col("vec").alias("other"), F.col("first.seq").alias("other_seq"), F.col("first.posting_id").alias("canonical_id")), "b_key")
+        .join(to, "a_key")
+        .join(held, ["b_key", "share"])
         .where("other_seq < seq")
         .withColumn("similarity", cosine(F.col("vec"), F.col("other")))
         .where(F.col("similarity") >= threshold)
@@ -82,3 +87,8 @@ def repost_counts(postings: DataFrame, links: DataFrame, now_ms: int, window_ms:
     family = recent.groupBy("canonical_id").agg(F.countDistinct("posting_id").alias("reposts"))
     own = postings.select("posting_id").join(one, "posting_id", "left").withColumn("canonical_id", F.coalesce("canonical_id", "posting_id"))
     return own.join(family, "canonical_id", "left").select("posting_id", F.coalesce("reposts", F.lit(0)).alias("reposts"))
+
+
+def links_of(links: DataFrame, postings: DataFrame) -> DataFrame:
+    """canonical_id, posting_id, similarity, source, title and first_seen_at_ms of every posting that repeats another."""
+    return links.join(postings.select("posting_id", "source", "title", "first_seen_at_ms"), "posting_id").select("canonical_id", "posting_id", "similarity", "source", "title", "first_seen_at_ms")

@@ -19,7 +19,7 @@ def label_gate(feedback: DataFrame) -> DataFrame:
 
 
 def learned_match(examples: DataFrame, targets: DataFrame) -> DataFrame | None:
-    """posting_id and probability (0 to 100) of ``targets`` (posting_id, vec), or None if the labels aren't enough.
+    """posting_id, probability (0 to 100), n_up and n_down of ``targets`` (posting_id, vec), or None if the labels aren't enough.
 
     ``examples`` has vec and label. An L2-regularised logistic regression is
     fitted anew each time.
@@ -30,4 +30,9 @@ def learned_match(examples: DataFrame, targets: DataFrame) -> DataFrame | None:
     rows = examples.where(F.col("label").isin("up", "down") & F.col("vec").isNotNull()).select(array_to_vector("vec").alias("features"), F.when(F.col("label") == "up", 1.0).otherwise(0.0).alias("label"))
     model = LogisticRegression(regParam=1.0 / gate["n_labels"], elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-9).fit(rows)
     scored = model.transform(targets.where("vec is not null").select("posting_id", array_to_vector("vec").alias("features")))
-    return scored.select("posting_id", F.bround(vector_to_array("probability")[1] * 100).cast("int").alias("probability"))
+    return scored.select("posting_id", F.bround(vector_to_array("probability")[1] * 100).cast("int").alias("probability"), F.lit(gate["n_up"]).alias("n_up"), F.lit(gate["n_down"]).alias("n_down"))
+
+
+def training_set(feedback: DataFrame, vectors: DataFrame) -> DataFrame:
+    """posting_id, vec and label of the rated postings that have a vector (``feedback``: posting_id, label)."""
+    return feedback.where(F.col("label").isin("up", "down")).join(vectors.select("posting_id", "vec"), "posting_id").select("posting_id", "vec", "label")

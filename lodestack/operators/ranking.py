@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -11,25 +11,36 @@ from pyspark.sql import functions as F
 from lodestack.operators import flags as flag_operators
 from lodestack.operators import rules as rule_operators
 from lodestack.operators import scoring
+from lodestack.storage import settled
 
 LIST_DEFAULT, LIST_MOST = 50, 200
 SESSION_ROWS, SESSION_KEPT, PAGE_ROWS = 200, 25, 5
 
 
-def list_postings(postings: DataFrame, evaluations: DataFrame, scores: DataFrame, feedback: DataFrame, flags: DataFrame, order: str = "recent", limit: int | None = None, source: str | None = None, outcome: str | None = None, hide_flagged: bool = False) -> DataFrame:
+def list_postings(
+    postings: DataFrame, evaluations: DataFrame, scores: DataFrame, feedback: DataFrame, flags: DataFrame | Callable[[DataFrame], DataFrame],
+    order: str = "recent", limit: int | None = None, source: str | None = None, outcome: str | None = None, hide_flagged: bool = False,
+) -> DataFrame:
     """Postings with outcome, scores, feedback and flags; newest or best first; at most 200.
 
-    Flags are gathered only for the rows of the list.
+    The list is found by its keys, then the postings' other columns and flags
+    are fetched for its rows only. ``flags`` are stored ones, or what detects
+    them for some postings, which then are the rows of the list unless flagged
+    postings are to be hidden.
     """
-    rows = postings if source is None else postings.where(F.col("source") == source)
+    rows = postings.select("posting_id", "source", "first_seen_at_ms")
+    rows = rows if source is None else rows.where(F.col("source") == source)
     rows = rows.join(evaluations, "posting_id", "left").join(scores, "posting_id", "left").join(feedback, "posting_id", "left")
     if outcome is not None:
         rows = rows.where(F.col("outcome") == outcome)
     if hide_flagged:
+        flags = flags(postings) if callable(flags) else flags
         rows = rows.join(flags.select("posting_id").distinct(), "posting_id", "left_anti")
     keys = [F.desc("first_seen_at_ms")] if order == "recent" else [F.desc_nulls_last("combined")]
-    page = rows.orderBy(*keys, F.desc("posting_id")).limit(max(0, min(limit or LIST_DEFAULT, LIST_MOST)))
-    return page.join(flag_operators.by_posting(flags.join(page.select("posting_id"), "posting_id", "left_semi")), "posting_id", "left")
+    page = settled(rows.orderBy(*keys, F.desc("posting_id")).limit(max(0, min(limit or LIST_DEFAULT, LIST_MOST))).drop("source", "first_seen_at_ms"))
+    listed = postings.join(F.broadcast(page), "posting_id")  # 200 rows at most
+    found = flags(postings.join(F.broadcast(page.select("posting_id")), "posting_id", "left_semi")) if callable(flags) else flags.join(F.broadcast(page.select("posting_id")), "posting_id", "left_semi")
+    return listed.join(flag_operators.by_posting(found), "posting_id", "left").orderBy(*keys, F.desc("posting_id"))
 
 
 def score_order(postings: DataFrame, scores: DataFrame, limit: int | None = None) -> DataFrame:
@@ -92,7 +103,8 @@ def session_rules(search: Search) -> list[rule_operators.Rule]:
 def run_session(session_id: int, postings: DataFrame, search: Search, vectors: DataFrame | None = None, profile_vector: Sequence[float] | None = None, reposts: DataFrame | None = None, intel: DataFrame | None = None) -> DataFrame:
     """Evaluate the newest postings, score those that pass, leave out intermediaries if asked to, rank and snapshot."""
     search = search.checked()
-    newest = postings.orderBy(F.desc("first_seen_at_ms"), F.desc("posting_id")).limit(SESSION_ROWS)
+    keys = postings.select("posting_id", "first_seen_at_ms").orderBy(F.desc("first_seen_at_ms"), F.desc("posting_id")).limit(SESSION_ROWS)
+    newest = settled(postings.join(F.broadcast(keys.select("posting_id")), "posting_id", "left_semi"))  # 200 rows
     passed = newest.join(rule_operators.evaluate(newest, session_rules(search)).where("outcome = 'passed'").select("posting_id"), "posting_id", "left_semi")
     flags = flag_operators.detect(passed, reposts)
     if not search.staffing_acceptable:

@@ -152,12 +152,12 @@ def compile_rule(rule: Rule, vector: list[float] | None = None) -> Column:
         held, evidence = pattern_match(c)
         return _result(rule, F.when(held, "pass").otherwise("fail"), evidence)
     if rule.validator == "keyword":
-        shown = F.coalesce(number_text(F.col(c["field"])) if c["field"] in NUMBER_FIELDS else F.col(c["field"]), F.lit("(not set)"))
+        shown = F.coalesce(number_text(F.col(c["field"])) if c["field"] in NUMBER_FIELDS else F.col(c["field"]), F.lit("(none)"))
         return _result(rule, F.when(field_holds(c["field"], c["operator"], c.get("value")), "pass").otherwise("fail"), F.concat(F.lit(f"{c['field']} = "), shown))
     threshold = V.SEMANTIC_DEFAULT if c.get("threshold") is None else float(c["threshold"])
     similar = cosine(F.col("vec"), F.lit(list(map(float, c.get("vector") or vector or []))))
     verdict = F.when(similar.isNull(), "uncertain").when(similar >= threshold, "pass").otherwise("fail")
-    evidence = F.coalesce(F.format_string(f"cosine similarity %.3f vs threshold {threshold:g}", similar), F.lit("no vector stored"))
+    evidence = F.coalesce(F.format_string(f"similarity %.3f, {threshold:g} wanted", similar), F.lit("the posting has no vector"))
     return _result(rule, verdict, evidence)
 
 
@@ -212,14 +212,14 @@ def language_rule(spoken: Sequence[str]) -> Column:
     codes = [s.lower() for s in spoken]
     listed = ", ".join(display.get(s, s) for s in spoken)
     joined = lambda found: F.array_join(F.transform(found, lambda x: F.element_at(names, x.code)), " and ")
-    rule = Rule("Spoken language requirement", "required", "keyword")
+    rule = Rule("Languages asked for", "required", "keyword")
 
     def judged(found: Column) -> Column:
         missing = F.filter(found, lambda x: ~x.code.isin(codes) if codes else F.lit(True))
 
         def result(gone: Column) -> Column:
-            good = F.concat(F.lit("Posting requires "), joined(found), F.lit(f" — among your spoken languages ({listed})."))
-            bad = F.concat(F.lit("Posting requires "), joined(gone), F.lit(f" — not among your spoken languages ({listed}). Matched: "), snippet(text, F.get(gone, F.lit(0)).phrase))
+            good = F.concat(F.lit("Asks for "), joined(found), F.lit(f", which you speak ({listed})."))
+            bad = F.concat(F.lit("Asks for "), joined(gone), F.lit(f", which you do not speak ({listed}). It says: "), snippet(text, F.get(gone, F.lit(0)).phrase))
             return F.when(F.size(gone) == 0, _result(rule, F.lit("pass"), good)).otherwise(_result(rule, F.lit("fail"), bad))
 
         return F.when(F.size(found) > 0, bound(missing, result))

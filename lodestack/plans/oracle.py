@@ -30,10 +30,7 @@ def hits(text: str, phrases: Iterable[str]) -> str:
 STRIP = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]*>', ' ', 'g'),
   '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', '"'), '&#34;', '"'), '\s+', ' ', 'g'))"""
 
-MONEY = r"([$€£])\s*([\d,]+(?:\.\d+)?)\s*"
-RANGE = MONEY + r"([kK])?\s*(?:-|–|—|to)\s*([$€£])?\s*([\d,]+(?:\.\d+)?)\s*([kK])?"
-HOURLY = r"(?i)" + MONEY + r"(?:/hr|/hour|per hour)"
-SINGLE = MONEY + r"([kK])?\b"
+RANGE, HOURLY, SINGLE = V.SALARY_RANGE, V.SALARY_HOURLY, V.SALARY_SINGLE + r"\b"
 
 
 def group(text: str, pattern: str, i: int) -> str:
@@ -68,12 +65,12 @@ POSTINGS = f"""
 WITH ns AS (SELECT count(*) AS ns FROM supplier),
 d AS (SELECT doc_id, CASE WHEN doc_id % 20 = 19 THEN doc_id - 1 ELSE doc_id END AS cid FROM documents),
 raw AS (
-  SELECT d.doc_id AS posting_id, CASE WHEN d.doc_id % 10 <> 7 THEN d.doc_id % 40 END AS vec_id, cid,
+  SELECT d.doc_id AS posting_id, CASE WHEN d.doc_id % 10 <> 7 THEN cid % ns END AS vec_id, cid,
          {START_MS} + CAST((((d.doc_id // 200) * 53 + d.doc_id * 37) % 200) AS BIGINT) * {DAY_MS} AS first_seen_at_ms,
          {pick(LISTS['title'], 'cid')} AS title,
          s_name || {pick(SUFFIXES, 'cid // ns')} AS company_name,
          '<p>' || {pick(LISTS['w'], 'cid')} || ' ' || {pick(LISTS['e'], 'cid')} || ' ' || {pick(LISTS['y'], 'cid')} || '</p><p>' ||
-           {pick(LISTS['l'], 'cid')} || ' ' || {pick(LISTS['x'], 'cid')} || '</p><p>' || substr(t.text, 1, 300) || '</p>' AS description_html,
+           {pick(LISTS['l'], 'cid')} || ' ' || {pick(LISTS['x'], 'cid')} || '</p><p>' || coalesce(t.text, '') || '</p>' AS description_html,
          {pick(LISTS['location'], 'cid')} AS location_raw,
          CAST(CASE WHEN cid % 6 = 0 THEN 85000 WHEN cid % 6 = 3 THEN 40000 END AS DOUBLE) AS src_min,
          CAST(CASE WHEN cid % 6 = 0 THEN 110000 WHEN cid % 6 = 3 THEN 50000 END AS DOUBLE) AS src_max,
@@ -112,10 +109,22 @@ compared AS (
   FROM named LEFT JOIN bench USING (country, family)),
 placed AS (SELECT *, CASE WHEN comparable THEN where_it_is END AS position FROM compared)"""
 
-LINKS = """links AS (
-  SELECT a.posting_id, min(b.posting_id) AS canonical_id FROM p a JOIN p b ON a.fingerprint = b.fingerprint AND b.posting_id < a.posting_id GROUP BY a.posting_id)"""
+VECTORS = """moved AS (
+  SELECT posting_id, list_transform(range(0, len(embedding)), lambda i: CAST(embedding[i + 1] AS DOUBLE) + CASE WHEN i = (posting_id * 5) % len(embedding) THEN (posting_id % 7) / 10e0 ELSE 0e0 END) AS m
+  FROM p JOIN embeddings ON embeddings.vec_id = p.vec_id % (SELECT count(*) FROM embeddings)),
+v AS (SELECT posting_id, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS vec FROM moved)"""
 KEYS = f"keyed AS (SELECT *, {COMPANY_KEY} AS key FROM p)"
 PAIRS = "keys AS (SELECT DISTINCT key FROM keyed WHERE key <> ''), pairs AS (SELECT a.key AS a_key, b.key AS b_key FROM keys a JOIN keys b ON contains(a.key, b.key) OR contains(b.key, a.key))"
+EXACT = """exact AS (
+  SELECT a.posting_id, min(b.posting_id) AS canonical_id FROM p a JOIN p b ON a.fingerprint = b.fingerprint AND b.posting_id < a.posting_id GROUP BY a.posting_id)"""
+NEAR = f"""near AS (
+  SELECT posting_id, canonical_id, similarity FROM (
+    SELECT *, row_number() OVER (PARTITION BY posting_id ORDER BY similarity DESC, canonical_id) AS rn FROM (
+      SELECT a.posting_id, b.posting_id AS canonical_id, list_dot_product(a.vec, b.vec) AS similarity
+      FROM w a JOIN pairs ON a.key = a_key JOIN w b ON b.key = b_key AND b.posting_id < a.posting_id)
+    WHERE similarity >= {V.DUPLICATE_SIMILARITY}) WHERE rn = 1)"""
+LINKS = f"""{EXACT}, {KEYS}, {PAIRS}, {VECTORS}, w AS (SELECT posting_id, key, vec FROM keyed JOIN v USING (posting_id)), {NEAR},
+links AS (SELECT posting_id, canonical_id FROM exact UNION ALL SELECT posting_id, canonical_id FROM near WHERE posting_id NOT IN (SELECT posting_id FROM exact))"""
 REPOSTS = f"""recent AS (
   SELECT canonical_id, count(*) AS n FROM links JOIN p USING (posting_id) WHERE first_seen_at_ms >= {NOW_MS - V.REPOST_WINDOW_MS} GROUP BY canonical_id),
 reposts AS (
@@ -152,6 +161,10 @@ FLAGS = f"""flagged AS (
   UNION ALL SELECT posting_id, 'quebec_language_law', 'warning' FROM p WHERE {QUEBEC} AND {FRENCH} < 10)"""
 
 
+EVALUATED = "(SELECT posting_id, CASE posting_id % 5 WHEN 1 THEN 'knocked_out' WHEN 2 THEN 'needs_review' ELSE 'passed' END AS outcome FROM p WHERE posting_id % 5 <> 0)"
+RATED = "(SELECT posting_id, CASE posting_id % 6 WHEN 1 THEN 'up' ELSE 'down' END AS label FROM p WHERE posting_id % 6 IN (1, 2))"
+
+
 def _language() -> tuple[str, str]:
     """CTEs for required languages, and their name: one row per posting and language."""
     letter = r"[^\p{L}\p{M}]"
@@ -172,6 +185,30 @@ LANGUAGES, _ = _language()
 SPOKEN = ("en", "fr")
 LANGUAGE_FAILS = f"(SELECT DISTINCT posting_id FROM required WHERE code NOT IN ({', '.join(map(q, SPOKEN))}))"
 
+def unescaped(text: str) -> str:
+    """The character references that the pages have, the ampersand's last."""
+    for name, plain in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = f"replace({text}, {q(name)}, {q(plain)})"
+    return text
+
+
+def page_text(html: str) -> str:
+    """Readable text of a page."""
+    bare = rf"regexp_replace({html}, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>', ' ', 'g')"
+    return rf"trim(regexp_replace({unescaped(f"regexp_replace({bare}, '<[^>]+>', ' ', 'g')")}, '[\s\x{{85}}\x{{A0}}]+', ' ', 'g'))"
+
+
+def _plain(text: str) -> str:
+    return f"trim(regexp_replace(lower({text}), '[^a-z0-9à-ÿ]+', ' ', 'g'))"
+
+
+def _phrase(words: str, phrase: str) -> str:
+    return f"contains(' ' || {words} || ' ', ' ' || {phrase} || ' ')"
+
+
+PAGES = f"""WITH paged AS (
+  SELECT page_id, url, html, regexp_extract(url, '://(?:[a-z]+\\.)?([a-z-]+)\\.', 1) AS label, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, substr({page_text("html")}, 1, 6000) AS text FROM pages)"""
+
 SQL: dict[str, str] = {
     "q01_strip_html": f"SELECT page_id, {STRIP.format('html')} AS text FROM pages",
     "q02_parse_salary": over(f"SELECT posting_id, {PARSED_MIN} AS parsed_min, {PARSED_MAX} AS parsed_max, {PARSED_CURRENCY} AS parsed_currency, salary_min, salary_max, salary_currency FROM p"),
@@ -188,23 +225,19 @@ SQL: dict[str, str] = {
         f"SELECT posting_id, string_agg(code, '|' ORDER BY code) AS codes, posting_id NOT IN {LANGUAGE_FAILS} AS spoken FROM required GROUP BY posting_id", LANGUAGES
     ),
     "q10_cascade_outcome": over(
-        f"""SELECT posting_id, CASE WHEN posting_id IN {LANGUAGE_FAILS} OR remote_claim = 'onsite' OR NOT coalesce(salary_min >= 40000, FALSE) THEN 'knocked_out' WHEN vec_id IS NULL THEN 'needs_review' ELSE 'passed' END AS outcome,
-       CAST((CASE WHEN posting_id IN (SELECT posting_id FROM required) THEN 1 ELSE 0 END) + (CASE WHEN posting_id IN {LANGUAGE_FAILS} THEN 0 WHEN remote_claim = 'onsite' THEN 1 WHEN NOT coalesce(salary_min >= 40000, FALSE) THEN 2 ELSE 3 END) AS INTEGER) AS n_results FROM p""",
+        f"""SELECT posting_id, CASE WHEN posting_id IN {LANGUAGE_FAILS} OR remote_claim = 'onsite' OR NOT coalesce(salary_min >= 40000, FALSE) OR similarity < 0.9 THEN 'knocked_out' WHEN similarity IS NULL THEN 'needs_review' ELSE 'passed' END AS outcome,
+       CAST((CASE WHEN posting_id IN (SELECT posting_id FROM required) THEN 1 ELSE 0 END) + (CASE WHEN posting_id IN {LANGUAGE_FAILS} THEN 0 WHEN remote_claim = 'onsite' THEN 1 WHEN NOT coalesce(salary_min >= 40000, FALSE) THEN 2 ELSE 3 END) AS INTEGER) AS n_results
+FROM (SELECT p.*, list_dot_product(v.vec, (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) FROM embeddings WHERE vec_id = 3)) AS similarity FROM p LEFT JOIN v USING (posting_id))""",
         LANGUAGES,
+        VECTORS,
     ),
     "q11_anti_join_existing": over("SELECT posting_id, external_id FROM (SELECT posting_id, CAST(posting_id AS VARCHAR) AS external_id FROM p) WHERE posting_id % 2 = 1"),
-    "q12_fingerprint_links": over("SELECT posting_id, canonical_id FROM links", LINKS),
+    "q12_fingerprint_links": over("SELECT posting_id, canonical_id FROM exact", EXACT),
     "q13_fuzzy_company_pairs": over("SELECT a_key, b_key FROM pairs", KEYS, PAIRS),
     "q14_semantic_links": over(
-        f"""SELECT posting_id, canonical_id, round(similarity, 6) AS similarity FROM (
-  SELECT *, row_number() OVER (PARTITION BY posting_id ORDER BY similarity DESC, canonical_id) AS rn FROM (
-    SELECT a.posting_id, b.posting_id AS canonical_id, list_dot_product(a.vec, b.vec) AS similarity
-    FROM v a JOIN pairs ON a.key = a_key JOIN v b ON b.key = b_key AND b.posting_id < a.posting_id)
-  WHERE similarity >= {V.DUPLICATE_SIMILARITY}) WHERE rn = 1""",
-        KEYS,
-        PAIRS,
-        "v AS (SELECT posting_id, key, CAST(embedding AS DOUBLE[]) AS vec FROM keyed JOIN embeddings USING (vec_id))",
-    ),
+        "SELECT posting_id, canonical_id, round(similarity, 6) AS similarity FROM near",
+        KEYS, PAIRS, VECTORS, "w AS (SELECT posting_id, key, vec FROM keyed JOIN v USING (posting_id))", NEAR,
+    ),
     "q15_repost_counts": over("SELECT posting_id, CAST(reposts AS BIGINT) AS reposts, round(1 / (1 + 0.2 * reposts), 6) AS discount FROM reposts", LINKS, REPOSTS),
     "q16_country": over(f"SELECT posting_id, {COUNTRY} AS country FROM p"),
     "q17_role_band": over(f"SELECT posting_id, {FAMILY} AS role_family, {BAND} AS band FROM p"),
@@ -219,7 +252,8 @@ SQL: dict[str, str] = {
     "q26_label_gate": """SELECT n_up, n_down, n_up + n_down AS n_labels, n_up + n_down >= 20 AND n_up >= 5 AND n_down >= 5 AS ready
 FROM (SELECT count(*) FILTER (quality = 1) AS n_up, count(*) FILTER (quality = 0) AS n_down FROM labels)""",
     "q27_ranked_list": over(
-        """SELECT posting_id, combined, string_agg(type, '|' ORDER BY type) AS flags FROM (SELECT * FROM p JOIN scores USING (posting_id) ORDER BY combined DESC, posting_id DESC LIMIT 50) LEFT JOIN flagged USING (posting_id) GROUP BY posting_id, combined""",
+        f"""SELECT posting_id, combined, outcome, label, string_agg(type, '|' ORDER BY type) AS flags
+FROM (SELECT * FROM p JOIN scores USING (posting_id) LEFT JOIN {EVALUATED} USING (posting_id) LEFT JOIN {RATED} USING (posting_id) ORDER BY combined DESC, posting_id DESC LIMIT 50) LEFT JOIN flagged USING (posting_id) GROUP BY posting_id, combined, outcome, label""",
         SCORES,
         BENCH,
         COMPARED,
@@ -243,14 +277,17 @@ ORDER BY rank LIMIT 25""",
     "q30_score_order": over("SELECT posting_id, CAST(row_number() OVER (ORDER BY CASE WHEN posting_id % 3 = 0 THEN 1 ELSE 0 END, posting_id) AS INTEGER) AS place FROM p ORDER BY place LIMIT 100"),
     "q31_redact_urls": f"SELECT page_id, regexp_replace(u, '([?&](?:{'|'.join(V.SECRET_PARAMETERS)})=)[^&#]*', '\\1***', 'gi') AS url FROM (SELECT page_id, CASE WHEN contains(url, '?') THEN regexp_replace(url, '\\?', '?Api_Key=s3cret&') ELSE url END AS u FROM pages)",
     "q32_domain_label": "SELECT page_id, CASE WHEN len(h) >= 2 THEN h[len(h) - 1] WHEN len(h) = 1 THEN h[1] ELSE '' END AS label FROM (SELECT page_id, list_filter(string_split(lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), ':.*$', '')), '.'), lambda x: x <> '') AS h FROM pages)",
-    "q33_page_identity": """WITH n AS (SELECT page_id, url, regexp_extract(url, '://(?:[a-z]+\\.)?([a-z]+)\\.', 1) AS company, trim(regexp_replace(lower(url), '[^a-z0-9à-ÿ]+', ' ', 'g')) AS head FROM pages),
-m AS (SELECT a.page_id, b.company, a.head FROM n a JOIN n b ON b.page_id = (a.page_id + (a.page_id % 2)) % (SELECT count(*) FROM pages))
-SELECT page_id, company, company <> '' AND contains(' ' || head || ' ', ' ' || company || ' ') AS about FROM m""",
+    "q33_page_identity": f"""{PAGES}, n AS (SELECT *, CASE page_id % 3 WHEN 0 THEN label WHEN 1 THEN label || ' Group Inc' ELSE label || ' the and Ltd' END AS company FROM paged),
+m AS (SELECT a.page_id, b.company, {_plain("a.title || ' ' || a.url")} AS head, {_plain("substr(a.text, 1, 3000)")} AS early, {_plain("b.company")} AS name FROM n a JOIN n b ON b.page_id = (a.page_id + (a.page_id % 2)) % (SELECT count(*) FROM pages)),
+t AS (SELECT *, list_filter(string_split(name, ' '), lambda x: x <> '' AND NOT list_contains([{', '.join(map(q, V.COMPANY_FORM_TOKENS))}], x)) AS tokens FROM m),
+l AS (SELECT *, list_transform(tokens, lambda x: len(x)) AS sizes, array_to_string(list_transform(tokens, lambda x: x[1]), '') AS acronym FROM t),
+k AS (SELECT *, tokens[list_position(sizes, list_max(sizes))] AS longest FROM l)
+SELECT page_id, company, coalesce(name <> '' AND ({_phrase("head", "name")} OR {_phrase("early", "name")} OR (len(longest) >= 4 AND {_phrase("head", "longest")}) OR (len(tokens) >= 2 AND {_phrase("head", "acronym")})), FALSE) AS about FROM k""",
 }
 
 SQL |= {
     "q34_join_kinds": """SELECT CAST(o_custkey % 7 AS INTEGER) AS k, count(*) AS n_full, count(o_orderkey) AS n_orders, count(c_custkey) AS n_customers, round(sum(coalesce(o_totalprice, 0)), 2) AS total
-FROM (SELECT * FROM orders WHERE o_custkey % 5 <> 0) FULL JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey GROUP BY 1""",
+FROM orders FULL JOIN customer ON o_custkey = c_custkey + (SELECT count(*) // 3 FROM customer) GROUP BY 1""",
     "q35_cube": """SELECT coalesce(l_returnflag, '-') AS flag, coalesce(l_linestatus, '-') AS status, CAST(grouping(l_returnflag, l_linestatus) AS BIGINT) AS g, count(*) AS n, round(sum(l_quantity), 2) AS quantity
 FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""",
     "q36_rollup_having": "SELECT coalesce(c_mktsegment, '-') AS segment, count(*) AS n FROM customer GROUP BY ROLLUP (c_mktsegment) HAVING count(*) > 10",
