@@ -157,7 +157,7 @@ def compile_rule(rule: Rule, vector: list[float] | None = None) -> Column:
     threshold = V.SEMANTIC_DEFAULT if c.get("threshold") is None else float(c["threshold"])
     similar = cosine(F.col("vec"), F.lit(list(map(float, c.get("vector") or vector or []))))
     verdict = F.when(similar.isNull(), "uncertain").when(similar >= threshold, "pass").otherwise("fail")
-    evidence = F.coalesce(F.format_string(f"similarity %.3f, {threshold:g} wanted", similar), F.lit("the posting has no vector"))
+    evidence = F.when(similar.isNotNull(), F.format_string(f"similarity %.3f, {threshold:g} wanted", similar)).otherwise("the posting has no vector")
     return _result(rule, verdict, evidence)
 
 

@@ -7,7 +7,10 @@ import math
 import duckdb
 import pytest
 
-from lodestack.plans.queries import ORACLE_SQL, QUERIES
+from lodestack.plans import engine_queries, queries, source_queries
+
+QUERIES = {**queries.QUERIES, **source_queries.QUERIES, **engine_queries.QUERIES}
+ORACLE_SQL = {**queries.ORACLE_SQL, **source_queries.SQL, **engine_queries.SQL}
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
