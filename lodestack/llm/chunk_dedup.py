@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestack.llm.blobs import flags_to_runs, gather, groups_of, pack, runs_to_flags, unpack_all
-from lodestack.llm.common import blocks, free_name, mix64, prepare, release_tables, shuffle_partitions, text_slices, utf8_buffer
+from lodestack.llm.common import blocks, dealt, free_name, mix64, prepare, release_tables, shuffle_partitions, text_slices, utf8_buffer
 from lodestack.llm.suffix_dedup import DOCS, RANGES, _batch, _bodies, _columns, _dealt, _groups, named_documents, tagged
 from lodestack.llm.words import range_hashes
 
@@ -294,13 +294,14 @@ def remove_repeated_chunks(docs: DataFrame, chunking: Chunking = Chunking()) ->
 
 def _ranges(rows: DataFrame, p: Plan) -> DataFrame:
     """Repeated chunks of ``rows`` (doc_id, text, tag), as blobs for the documents' groups."""
-    return rows.mapInArrow(_emit(p), "bucket long, kind int, blob binary").groupBy("bucket").applyInArrow(_bucket(p), "pack long, blob binary")
+    found = dealt(rows.mapInArrow(_emit(p), "bucket long, kind int, blob binary"), "bucket", p.buckets)
+    return dealt(found.groupBy("bucket").applyInArrow(_bucket(p), "pack long, blob binary"), "pack", p.groups)
 
 
 def _chunks_removed(tagged_docs: DataFrame, chunking: Chunking) -> DataFrame:
     rows = tagged_docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "tag")
     p = plan(rows, chunking)
-    bodies = rows.mapInArrow(_bodies(p), "pack long, blob binary")
+    bodies = dealt(rows.mapInArrow(_bodies(p), "pack long, blob binary"), "pack", p.groups)
     return bodies.groupBy("pack").cogroup(_ranges(rows, p).groupBy("pack")).applyInArrow(_finish(p), KEPT_SCHEMA)
 
 
@@ -315,4 +316,4 @@ def deduplicated(docs: DataFrame, chunking: Chunking = Chunking()) -> DataFrame:
     rows = keyed.select(F.col(names.doc_id).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col(names.tag).alias("tag"))
     p = plan(rows, chunking)
     whole = keyed.mapInArrow(_packed(p, names), StructType([*keyed.schema.fields, StructField(names.pack, LongType())]))
-    return whole.groupBy(names.pack).cogroup(_ranges(rows, p).groupBy("pack")).applyInArrow(_rewritten(p, names, docs.columns), docs.schema)
+    return dealt(whole, names.pack, p.groups).groupBy(names.pack).cogroup(_ranges(rows, p).groupBy("pack")).applyInArrow(_rewritten(p, names, docs.columns), docs.schema)

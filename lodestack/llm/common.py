@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,28 +11,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.storage import ready
+
 #: Largest table, in rows of a few numbers, that is broadcast without asking Catalyst.
 BROADCAST_ROWS = 2_000_000
 
-REPO_ROOT = str(Path(__file__).resolve().parents[2])
-
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Make this package importable on workers and set a checkpoint folder where none is set.
-
-    A cluster names its shared folder in ``spark.checkpoint.dir``; only where
-    that setting is missing (tests, local runs) a local folder is used.
-    """
-    context = spark.sparkContext
-    paths = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if REPO_ROOT not in paths:
-        context.environment["PYTHONPATH"] = os.pathsep.join([*paths, REPO_ROOT])
+    """Make this package importable on workers and set the checkpoint folder (see :func:`lodestack.storage.shared_folder`)."""
     # texts are long: the default of 10,000 rows makes Arrow batches of tens of MB in each task, JVM and worker
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1500")
-    if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestack-"))
-    return spark
+    return ready(spark)
 
 
 _kept: dict[tuple, object] = {}
@@ -58,12 +45,6 @@ def release_tables() -> None:
         trim(0)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    prepare(spark)
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-
-
 def free_name(docs: DataFrame, name: str) -> str:
     """A column name that ``docs`` does not have, whatever the case."""
     taken = {c.lower() for c in docs.columns}
@@ -77,6 +58,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def dealt(rows: DataFrame, key: str, groups: int) -> DataFrame:
+    """``rows`` partitioned by ``key``, of which there are about ``groups`` values: few of them in each partition.
+
+    So the number of tasks grows with the groups, and what one task reads does
+    not grow with the corpus, whatever spark.sql.shuffle.partitions says.
+    """
+    return rows.repartition(max(1, min(shuffle_partitions(rows.sparkSession), groups), groups // 4), key)
+
+
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint only if its counted ``rows`` are within ``limit``.
 

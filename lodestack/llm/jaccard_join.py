@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.blobs import groups_of, pack, unpack_all
-from lodestack.llm.common import blocks, free_name, mix64, prepare, release_tables, shuffle_partitions, small_side, text_slices, utf8_buffer
+from lodestack.llm.common import blocks, dealt, free_name, mix64, prepare, release_tables, shuffle_partitions, small_side, text_slices, utf8_buffer
 from lodestack.llm.graph import components
 from lodestack.llm.words import shingles_of, words_of
 
@@ -52,7 +52,7 @@ class Join:
 
     ``check_weight``: cost of checking a candidate, in entries of lists read.
     ``rounds`` bounds the linking rounds, which also end once they stop to pay;
-    what they leave is done pair by pair.
+    what they leave is done pair by pair, in shares of ``share`` entries of a list.
     """
 
     shingle: int = 4
@@ -61,6 +61,7 @@ class Join:
     check_weight: float = 20.0
     most_slots: int = 1 << 26
     rounds: int = 6
+    share: int = 512
     block_bytes: int = 1 << 20
 
 
@@ -129,10 +130,11 @@ def _slot_levels(bits: int, ranges: int):
     return run
 
 
-def slot_levels(docs: DataFrame, j: Join, bits: int) -> np.ndarray:
-    """For each of ``2 ** bits`` hash slots a level of how many sets have a shingle there."""
-    ranges = 16
-    rows = docs.select("text").mapInArrow(_slot_counts(j, bits, ranges), "part long, blob binary").groupBy("part").applyInArrow(_slot_levels(bits, ranges), "part long, blob binary").collect()
+def slot_levels(docs: DataFrame, j: Join, bits: int, words: int) -> np.ndarray:
+    """For each of ``2 ** bits`` hash slots a level of how many sets have a shingle there; ``words`` shingles in all."""
+    ranges = max(16, min(1 << (bits - 10), words >> 21))
+    counted = dealt(docs.select("text").mapInArrow(_slot_counts(j, bits, ranges), "part long, blob binary"), "part", ranges)
+    rows = counted.groupBy("part").applyInArrow(_slot_levels(bits, ranges), "part long, blob binary").collect()
     levels = np.zeros(1 << bits, dtype=np.uint8)
     for r in rows:
         low, high = (r["part"] << bits) // ranges, ((r["part"] + 1) << bits) // ranges
@@ -277,7 +279,7 @@ def verified(pairs: DataFrame, texts: DataFrame, j: Join, group_bytes: int = 2 <
     leads = wanted.select("pivot", "salt").distinct().withColumn("node", F.col("pivot"))
     wanted = wanted.unionByName(leads)
     rows = texts.select("node", "text").join(small_side(wanted, wanted.count()), "node").withColumn("part", F.pmod(F.xxhash64("pivot", "salt"), F.lit(groups)))
-    return rows.groupBy("part").applyInArrow(_verify(j), "u long, v long")
+    return dealt(rows, "part", groups).groupBy("part").applyInArrow(_verify(j), "u long, v long")
 
 
 def linked(texts: DataFrame, words: int, j: Join = Join()) -> DataFrame:
@@ -288,11 +290,11 @@ def linked(texts: DataFrame, words: int, j: Join = Join()) -> DataFrame:
     """
     spark = prepare(texts.sparkSession)
     bits = max(16, min(j.most_slots, max(1, words // 32)).bit_length())
-    levels = spark.sparkContext.broadcast(slot_levels(texts, j, bits))  # most_slots bytes at most
+    levels = spark.sparkContext.broadcast(slot_levels(texts, j, bits, words))  # most_slots bytes at most
     buckets = max(2 * shuffle_partitions(spark), -(-words * 3 // (8 << 20)))
+    postings = dealt(texts.where("n > 0").select("node", "text").mapInArrow(_postings(j, bits, buckets, levels), "bucket long, blob binary"), "bucket", buckets)
     lists = (
-        texts.where("n > 0").select("node", "text").mapInArrow(_postings(j, bits, buckets, levels), "bucket long, blob binary")
-        .groupBy("bucket").applyInArrow(_shared_lists, LISTED)
+        postings.groupBy("bucket").applyInArrow(_shared_lists, LISTED)
         .groupBy("token", "node").agg(F.max("l").alias("l"), F.max("n").alias("n"), F.max("indexed").alias("indexed"), F.min("place").alias("place"), F.sum("weight").alias("weight")).checkpoint()
     )
     entries = lists.count()
@@ -334,15 +336,19 @@ def linked(texts: DataFrame, words: int, j: Join = Join()) -> DataFrame:
             break
     # what is left, pair by pair
     here = labelled()
+    # long lists are dealt into a grid of shares, so that no task meets all of one
+    shares = here.groupBy("token").agg(F.ceil(F.count("*") / j.share).cast("int").alias("shares"))
+    here = here.join(shares, "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
     columns = ("node", "root", "l", "n", "place")
-    smaller = here.where("indexed = 1").select("token", *columns, "weight")
-    larger = here.select("token", *[F.col(c).alias(f"{c}2") for c in columns])
+    smaller = here.where("indexed = 1").select("token", F.col("own").alias("a"), each.alias("b"), *columns, "weight")
+    larger = here.select("token", each.alias("a"), F.col("own").alias("b"), *[F.col(c).alias(f"{c}2") for c in columns])
     in_order = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("node") < F.col("node2")))
     # the sizes tell what this pair needs to share, and so how long the prefixes have to be
     whole = 100 + j.percent
     spare = F.least("l", "l2") - 1 - F.floor((j.percent * (F.col("n") + F.col("n2")) + whole - 1) / whole)
     early = (F.col("place") <= F.col("n") + spare) & (F.col("place2") <= F.col("n2") + spare)
-    pairs = smaller.join(larger, "token").where(in_order & early & (F.col("root") != F.col("root2")) & fits(F.col("n"), F.col("n2")))
+    pairs = smaller.join(larger, ["token", "a", "b"]).where(in_order & early & (F.col("root") != F.col("root2")) & fits(F.col("n"), F.col("n2")))
     pairs = pairs.groupBy(F.col("node").alias("pivot"), F.col("node2").alias("node")).agg(F.sum("weight").alias("shared"), F.min(F.least("l", "l2")).alias("enough")).where("shared >= enough").select("pivot", "node")
     if checked is not None:
         turned = checked.unionByName(checked.select(F.col("node").alias("pivot"), F.col("pivot").alias("node")))

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.blobs import flags_to_runs, gather, groups_of, loads, pack, runs_to_flags, unpack_all
-from lodestack.llm.common import BROADCAST_ROWS, blocks, free_name, mix64, prepare, release_tables, shuffle_partitions, utf8_buffer
+from lodestack.llm.common import BROADCAST_ROWS, blocks, dealt, free_name, mix64, prepare, release_tables, shuffle_partitions, utf8_buffer
 from lodestack.llm.deep_shallow import sort_groups
 
 LAST_ID = (1 << 63) - 1
@@ -409,8 +409,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False, shal
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     p = plan(docs, length, shallow)
     rows = tagged(docs)
-    spans = rows.mapInArrow(_emit(p), "bucket long, kind int, blob binary")
-    ranges = spans.groupBy("bucket").applyInArrow(_bucket(p), "pack long, blob binary")
-    bodies = rows.mapInArrow(_bodies(p), "pack long, blob binary")
+    spans = dealt(rows.mapInArrow(_emit(p), "bucket long, kind int, blob binary"), "bucket", p.buckets)
+    ranges = dealt(spans.groupBy("bucket").applyInArrow(_bucket(p), "pack long, blob binary"), "pack", p.groups)
+    bodies = dealt(rows.mapInArrow(_bodies(p), "pack long, blob binary"), "pack", p.groups)
     schema = KEPT_SCHEMA.replace("kept binary", "kept_sha256 string") if digest else KEPT_SCHEMA
     return bodies.groupBy("pack").cogroup(ranges.groupBy("pack")).applyInArrow(_finish(digest), schema)

@@ -48,10 +48,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.blobs import groups_of
-from lodestack.llm.common import blocks, mix64, prepare, release_tables, small_side, text_slices, utf8_buffer
+from lodestack.llm.common import blocks, dealt, mix64, prepare, release_tables, small_side, text_slices, utf8_buffer
 from lodestack.llm.words import LETTERS, Words, words_of
 
 WINDOW = 8
+LEVEL = 6
 DISCOUNT = 0.75
 #: Keys from here on are packs', those below buckets'.
 PACKS = 1 << 62
@@ -62,7 +63,7 @@ ASK, BODY = 0, 1
 class Settings:
     """Rows of the logistic fit; bytes of text for a pack and a bucket, least buckets; what makes a word frequent, and bytes of text to look for such words."""
 
-    fit_rows: int = 20_000
+    fit_rows: int = 5_000
     pack_bytes: int = 32 << 20
     bucket_bytes: int = 64 << 20
     buckets: int = 16
@@ -75,7 +76,7 @@ def squeezed(values: np.ndarray, rising: bool = False) -> bytes:
     values = np.diff(values, prepend=values.dtype.type(0)) if rising else values
     planes = np.ascontiguousarray(values).reshape(-1).view(np.uint8).reshape(-1, values.itemsize).T
     raw = planes.tobytes()
-    return len(raw).to_bytes(8, "little") + (pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True) if raw else b"")
+    return len(raw).to_bytes(8, "little") + (pa.Codec("zstd", compression_level=LEVEL).compress(raw, asbytes=True) if raw else b"")
 
 
 def loosened(blob: bytes, kind: str, rising: bool = False) -> np.ndarray:
@@ -313,6 +314,7 @@ def _answered(asked: pa.Table, given: pa.Table) -> pa.Table:
         for number, blob in questions:
             pack = Asked.of(blob)
             told = found_in(words, numbers, pack.words[pack.own]).astype("<u8")
+            told[7:] = told[:7] - told[7:]  # few texts are drawn, so most differences are 0
             held = found_in(counts.keys, counts.counts, pack.keys()).astype("<u4")
             rows.append((PACKS + number, bucket, 0, bundled([*map(squeezed, told), *map(squeezed, held)])))
     return pa.Table.from_batches([_rows(rows)])
@@ -427,6 +429,7 @@ def _finished(texts: pa.Table, answers: pa.Table) -> pa.Table:
         chosen = by_pair[np.searchsorted(sorted_pairs, b) : np.searchsorted(sorted_pairs, b, side="right")]
         for i in range(STATISTICS):
             numbers[i, own] = loosened(parts[i], "<u8")
+        numbers[7:, own] = numbers[:7, own] - numbers[7:, own]
         for i in range(4):
             counts[i, chosen] = loosened(parts[STATISTICS + i], "<u4")
     sums = answers.column("totals")[0].as_py()
@@ -492,12 +495,13 @@ def described(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     share = min(0.2, s.fit_rows / max(1, totals["labelled"]))
     drawn = F.col("toxic").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1 << 20)) < share * (1 << 20))
     deal = Deal(max(s.buckets, -(-total // s.bucket_bytes)), frequent_words(docs, total, s))
-    emitted = docs.withColumn("drawn", F.coalesce(drawn, F.lit(False))).mapInArrow(_emitted(s, deal), ROWS)
-    given = emitted.groupBy("key").applyInArrow(_contributed(deal.buckets), ROWS)
+    groups = deal.buckets + -(-total // s.pack_bytes)
+    emitted = dealt(docs.withColumn("drawn", F.coalesce(drawn, F.lit(False))).mapInArrow(_emitted(s, deal), ROWS), "key", groups)
+    given = dealt(emitted.groupBy("key").applyInArrow(_contributed(deal.buckets), ROWS), "key", groups)
     sums = given.groupBy("key").applyInArrow(_summed, ", ".join(f"s{i} double" for i in range(TOTALS)))
     sums = sums.agg(*[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)).alias(f"s{i}") for i in range(TOTALS)]).select(F.struct("*").alias("totals"))
     answers = emitted.groupBy("key").cogroup(given.groupBy("key")).applyInArrow(_answered, ROWS)
-    answers = answers.select("key", "kind", "blob", sums.scalar().alias("totals"))
+    answers = dealt(answers.select("key", "kind", "blob", sums.scalar().alias("totals")), "key", groups)
     return emitted.groupBy("key").cogroup(answers.groupBy("key")).applyInArrow(_finished, MADE_SCHEMA).checkpoint()
 
 

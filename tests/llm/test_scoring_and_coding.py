@@ -274,7 +274,7 @@ class ByHand:
         return 0.9 * np.log(((1e12 - 0.75 + 0.75 * types[1] * shared) / k[1]) / (0.75 * types[0] * shared / k[0]))
 
 
-@pytest.mark.parametrize("settings", [toxicity.Settings(), toxicity.Settings(pack_bytes=3000, buckets=5, frequent=0.01), toxicity.Settings(pack_bytes=1, buckets=1, frequent=1.0)])
+@pytest.mark.parametrize("settings", [toxicity.Settings(), toxicity.Settings(pack_bytes=3000, buckets=5, frequent=0.01), toxicity.Settings(pack_bytes=900, buckets=1, frequent=1.0)])
 def test_toxicity_models_as_by_hand(spark, settings):
     rows = [*toxic_corpus()[:90], (700, "vile", 1), (701, "Solo, solo-solo!", None), (702, "", 1), (703, None, 0), (3, "said twice", 0), (3, "said twice", 0), (None, "of nobody", 1)]
     docs = spark.createDataFrame(rows, SCHEMA + ", toxic int").repartition(4)
