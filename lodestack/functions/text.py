@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -28,21 +29,43 @@ def alternation(words: Iterable[str]) -> str:
     return "(?:" + "|".join(re.sub(r"([.*+?^${}()|\[\]\\/])", r"\\\1", w) for w in words) + ")"
 
 
+def lowered(text: Column) -> Column:
+    """What phrases are looked for in: lower case, never null. Give it a column of its own where it is used more than once."""
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
+def _phrases(phrases: Iterable[str]) -> Column:
+    return F.array(*[F.lit(p) for p in phrases])
+
+
+def any_in(low: Column, phrases: Iterable[str]) -> Column:
+    """Whether some phrase occurs in a text of :func:`lowered`; each is a search for plain bytes, faster than an alternation."""
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(p.lower())) for p in phrases])
+
+
+def all_in(low: Column, phrases: Iterable[str]) -> Column:
+    """The phrases that occur in a text of :func:`lowered`, in the list's order."""
+    return F.filter(_phrases(phrases), lambda p: F.contains(low, F.lower(p)))
+
+
 def contains_any(text: Column, phrases: Iterable[str]) -> Column:
-    """Whether some phrase occurs, by one scan of the text."""
-    return F.coalesce(F.lower(text), F.lit("")).rlike(alternation(p.lower() for p in phrases))
+    """Whether some phrase occurs."""
+    return bound(lowered(text), lambda low: any_in(low, phrases))
 
 
 def matching(text: Column, phrases: Iterable[str]) -> Column:
     """The phrases that occur, in the list's order."""
-    low = F.coalesce(F.lower(text), F.lit(""))
-    phrases = list(phrases)
-    hits = F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(low, F.lower(p)))
-    return F.when(contains_any(text, phrases), hits).otherwise(F.array().cast("array<string>"))
+    return bound(lowered(text), lambda low: all_in(low, phrases))
 
 
 def collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+    """Every run of white space as one space; single spaces, nearly all there are, are passed over."""
+    return F.trim(F.regexp_replace(text, f"(?:(?! ){SPACE}{SPACE}*| {SPACE}+)", " "))
+
+
+def _word(low: Column, part: str, pattern: str) -> Column:
+    """Whether ``pattern`` stands as a word in ``low``; looked for only where ``part`` of it occurs at all."""
+    return F.contains(low, F.lit(part)) & low.rlike(f"{START}{pattern}{END}")
 
 
 def utf16_unit(number: Column) -> Column:
@@ -113,23 +136,18 @@ def parse_salary(text: Column) -> Column:
 
 
 def remote_claim(location: Column, text: Column) -> Column:
-    low = F.lower(F.concat_ws(" ", F.coalesce(location, F.lit("")), F.coalesce(text, F.lit(""))))
-    return (
-        F.when(low.rlike(f"{START}remote{END}"), "remote")
-        .when(low.rlike(f"{START}hybrid{END}"), "hybrid")
-        .when(low.rlike(f"{START}on(?:-|{SPACE})?site{END}"), "onsite")
-        .otherwise("unknown")
-    )
+    def claim(low: Column) -> Column:
+        return F.when(_word(low, "remote", "remote"), "remote").when(_word(low, "hybrid", "hybrid"), "hybrid").when(_word(low, "site", f"on(?:-|{SPACE})?site"), "onsite").otherwise("unknown")
+
+    return bound(F.lower(F.concat_ws(" ", F.coalesce(location, F.lit("")), F.coalesce(text, F.lit("")))), claim)
 
 
 def employment_type(text: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return (
-        F.when(low.rlike(f"{START}full(?:-|{SPACE})?time{END}"), "full-time")
-        .when(low.rlike(f"{START}part(?:-|{SPACE})?time{END}"), "part-time")
-        .when(low.rlike(f"{START}contract{END}"), "contract")
-        .otherwise("unknown")
-    )
+    def kind(low: Column) -> Column:
+        full, part = _word(low, "full", f"full(?:-|{SPACE})?time"), _word(low, "part", f"part(?:-|{SPACE})?time")
+        return F.when(full, "full-time").when(part, "part-time").when(_word(low, "contract", "contract"), "contract").otherwise("unknown")
+
+    return bound(lowered(text), kind)
 
 
 def fingerprint(title: Column, company: Column, clean: Column) -> Column:
@@ -218,7 +236,7 @@ def french_signals(text: Column) -> Column:
 
 def is_quebec(location: Column) -> Column:
     low = F.lower(F.coalesce(location, F.lit("")))
-    return contains_any(low, V.QUEBEC_PLACES) | low.rlike(f"{START}qc{END}") | low.rlike(rf"{START}[ghj]\d[a-z]\s?\d[a-z]\d{END}")
+    return any_in(low, V.QUEBEC_PLACES) | low.rlike(f"{START}qc{END}") | low.rlike(rf"{START}[ghj]\d[a-z]\s?\d[a-z]\d{END}")
 
 
 def names_place(location: Column, names: Iterable[str]) -> Column:
