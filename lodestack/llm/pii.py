@@ -19,8 +19,9 @@ inside unspaced scripts are found only where something else stands around them.
 
 Defined cases: a null text counts as empty and stays null when sanitised; an
 empty table gives no rows; repeated rows get the same spans each; null ids are
-carried; columns other than doc_id and text pass through :func:`sanitise`
-untouched.
+carried; of spans that begin together the one whose kind is listed first gives
+the name; parts of very long texts are found in chunks; columns other than doc_id
+and text pass through :func:`sanitise` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import prepare, small_side
+from lodestack.llm.common import free_name, prepare, small_side
 
 KINDS = ("email", "ip", "card", "phone")
 #: What Java matches as the plain patterns do, without backtracking into long runs.
@@ -45,6 +46,8 @@ GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "p
 TERM = r"(?<![\p{L}\p{M}\p{N}_])\p{L}[\p{L}\p{M}]*+(?![\p{N}_])"
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 BLOCK = 256
+#: Characters of a long text's chunks.
+CHUNK = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -78,6 +81,33 @@ def _running(lengths: Column) -> Column:
     return _bound(_bound(blocks, by_block), place)
 
 
+def _running_max(ends: Column) -> Column:
+    """Largest of all earlier ends, for each, 0 for the first; in blocks as well."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(ends) - 1) / BLOCK).cast("int")), lambda b: F.array_max(F.slice(ends, b * BLOCK + 1, F.lit(BLOCK))))
+
+    def by_block(most: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(most) - 1), lambda k: F.coalesce(F.array_max(F.slice(most, F.lit(1), k)), F.lit(0)))
+
+    place = lambda firsts: F.transform(
+        ends, lambda x, i: F.greatest(F.get(firsts, F.floor(i / BLOCK).cast("int")), F.array_max(F.slice(ends, (F.floor(i / BLOCK) * BLOCK).cast("int") + 1, i % BLOCK)))
+    )
+    return _bound(_bound(blocks, by_block), place)
+
+
+def _chunked(text: Column, use) -> Column:
+    """``use(piece)`` with ``piece(start, length)`` of ``text``; a part is found from its chunk's start, not from the text's."""
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / CHUNK).cast("int")), lambda c: F.substr(text, c * CHUNK + 1, F.lit(CHUNK)))
+
+    def piece_of(held: Column):
+        def piece(start: Column, length: Column) -> Column:
+            inside = start % CHUNK + length <= CHUNK
+            return F.when(inside, F.substr(F.get(held, F.floor(start / CHUNK).cast("int")), start % CHUNK + 1, length)).otherwise(F.substr(text, start + 1, length))
+
+        return piece
+
+    return _bound(chunks, lambda held: use(piece_of(held)))
+
+
 def found(text: Column, pattern: str, kind: int) -> Column:
     """Leftmost non-overlapping matches as spans in code points.
 
@@ -139,9 +169,9 @@ def base_spans(text: Column) -> Column:
 def _surroundings(text: Column, spans: Column, t: Thresholds) -> Column:
     """Each base span's entity and a hash of the terms beside it: struct(entity, context)."""
 
-    def beside(s: Column) -> Column:
+    def beside(s: Column, piece) -> Column:
         low = F.greatest(F.lit(0), s.start - t.window)
-        left, right = F.substr(text, low + 1, s.start - low), F.substr(text, s.end + 1, F.lit(t.window))
+        left, right = piece(low, s.start - low), piece(s.end, F.least(F.lit(t.window), F.length(text) - s.end))
         # a window may cut a word: what touches its outer edge doesn't count
         cut_left = lambda w: (low > 0) & (w.start == 0)
         cut_right = lambda w: (F.length(right) == t.window) & (w.end == t.window)
@@ -150,7 +180,7 @@ def _surroundings(text: Column, spans: Column, t: Thresholds) -> Column:
         entity = F.concat_ws(":", s.kind.cast("string"), F.lower(s.value))
         return F.struct(entity.alias("entity"), F.xxhash64(entity, F.transform(F.concat(before, after), lambda w: F.lower(w.value))).alias("context"))
 
-    return F.transform(spans, beside)
+    return _chunked(text, lambda piece: F.transform(spans, lambda s: beside(s, piece)))
 
 
 def _words(text: Column) -> Column:
@@ -247,27 +277,31 @@ def generalise(text: Column, spans: Column) -> Column:
     """``text`` with each run of overlapping spans replaced by the first one's kind in brackets."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in (*KINDS, "term")])
 
-    def run(i: Column, all_spans: Column) -> Column:
-        return F.array_max(F.transform(F.slice(all_spans, F.lit(1), i), lambda s: s.end))
-
     def pieces(all_spans: Column) -> Column:
-        part = lambda s, i: F.struct(F.coalesce(F.when(i > 0, run(i, all_spans)), F.lit(0)).alias("after"), s.start.alias("start"), s.kind.alias("kind"))
-        cut = F.transform(all_spans, part)
-        write = lambda p: F.when((p.start >= p.after), F.concat(F.substr(text, p.after + 1, p.start - p.after), F.get(names, p.kind))).otherwise(F.lit(""))
-        return F.concat(F.array_join(F.transform(cut, write), ""), F.substr(text, run(F.size(all_spans), all_spans) + 1, F.length(text)))
+        after = _running_max(F.transform(all_spans, lambda s: s.end))
+
+        def written(ends: Column, piece) -> Column:
+            write = lambda s, i: F.when(s.start >= F.get(ends, i), F.concat(piece(F.get(ends, i), s.start - F.get(ends, i)), F.get(names, s.kind))).otherwise(F.lit(""))
+            last = F.array_max(F.transform(all_spans, lambda s: s.end))
+            return F.concat(F.array_join(F.transform(all_spans, write), ""), F.substr(text, last + 1, F.length(text)))
+
+        return _chunked(text, lambda piece: _bound(after, lambda ends: written(ends, piece)))
 
     return F.when(F.size(spans) > 0, _bound(spans, pieces)).otherwise(text)
 
 
 def sanitise(docs: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
     """``docs`` with personal data and disclosing terms generalised in ``text``."""
+    key, own_id, held = (free_name(docs, n) for n in ("row_key", "doc_id_", "spans"))
     spans = (
         detect(docs, thresholds)
-        .select(F.col("row_key").alias("_row_key"), F.sort_array(F.concat("base", "terms")).alias("_spans"))
-        .where(F.size("_spans") > 0)
-        .dropDuplicates(["_row_key"])
+        .select(F.col("row_key").alias(key), F.col("doc_id").alias(own_id), F.sort_array(F.concat("base", "terms")).alias(held))
+        .where(F.size(held) > 0)
+        .dropDuplicates([key, own_id])
         .checkpoint()
     )
-    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text")).join(small_side(spans, spans.count()), "_row_key", "left")
-    text = F.when(F.col("_spans").isNotNull(), generalise(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
+    # the id beside the hash keeps texts apart whose hashes are equal
+    same = (F.col(key) == F.xxhash64("doc_id", "text")) & F.col(own_id).eqNullSafe(F.col("doc_id").cast("long"))
+    keyed = docs.join(small_side(spans, spans.count()), same, "left")
+    text = F.when(F.col(held).isNotNull(), generalise(F.col("text"), F.col(held))).otherwise(F.col("text"))
     return keyed.withColumn("text", text).select(docs.columns)
