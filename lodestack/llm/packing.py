@@ -204,12 +204,8 @@ class _Stock:
         if not self.count[size]:
             self.mask &= ~(1 << size)
 
-    def fillings(self, room: int, waste: int) -> Iterator[tuple[int, ...]]:
-        """All undominated fillings of ``room`` that leave at most ``waste`` of it, least waste first, largest pieces first.
-
-        Sets of pieces are found by their sum: ``reach`` tells which sums the
-        smaller sizes make, so no choice ends without a filling.
-        """
+    def _reach(self, room: int) -> tuple[list[int], list[int]]:
+        """Open sizes up to ``room``, and which sums the first few of them make (as bit masks), for each number of them."""
         sizes, reach, sums, fits = [], [1], 1, (1 << (room + 1)) - 1
         mask = self.mask & fits
         while mask:
@@ -223,20 +219,37 @@ class _Stock:
                 left, step = left - step, 2 * step
             sizes.append(size)
             reach.append(sums)
+        return sizes, reach
+
+    def fillings(self, room: int, waste: int) -> Iterator[tuple[int, ...] | None]:
+        """All undominated fillings of ``room`` that leave at most ``waste`` of it, least waste first, largest pieces first.
+
+        None stands for each dominated one on the way, so that a search can count
+        them. Sets of pieces are found by their sum: the sums that smaller sizes
+        reach tell which choices end in a filling. Those tables are made anew
+        when a search comes back, as it may hold many open levels.
+        """
+        held = list(self._reach(room))
+        sums = held[1][-1]
         for total in range(room, max(0, room - waste) - 1, -1):
             if sums >> total & 1:
-                for chosen in self._of_sum(sizes, reach, total):
-                    if not self._dominated(chosen, room, room - total):
-                        yield chosen
-
-    def _of_sum(self, sizes: list[int], reach: list[int], total: int) -> Iterator[tuple[int, ...]]:
-        """Sets of pieces of exactly ``total``, those with the largest pieces first."""
-        stack = [(len(sizes), total, ())]
+                for chosen in self._of_sum(held, total):
+                    if self._dominated(chosen, room, room - total):
+                        yield None
+                        continue
+                    held.clear()
+                    yield chosen
+                    held.extend(self._reach(room))
+
+    def _of_sum(self, held: list[list[int]], total: int) -> Iterator[tuple[int, ...]]:
+        """Sets of pieces of exactly ``total``, those with the largest pieces first; ``held``: sizes and their sums."""
+        stack = [(len(held[0]), total, ())]
         while stack:
             i, left, chosen = stack.pop()
             if not left:
                 yield chosen
                 continue
+            sizes, reach = held
             # sizes that can't be in a set of this sum are passed over
             while reach[i - 1] >> left & 1 and sizes[i - 1] > left:
                 i -= 1
@@ -244,6 +257,8 @@ class _Stock:
             for n in range(min(self.count[size], left // size) + 1):
                 if reach[i - 1] >> (left - n * size) & 1:
                     stack.append((i - 1, left - n * size, chosen + (size,) * n))
+            # the tables must be free to go while the caller works with what it got
+            del sizes, reach
 
     def _dominated(self, chosen: tuple[int, ...], room: int, waste: int) -> bool:
         """Whether an open piece could take the place of some of ``chosen`` (or of none) that are no larger together.
@@ -275,13 +290,14 @@ class _Stock:
         return bool((reached | several | several << waste) & others)
 
 
-def bin_completion(sizes: list[int], capacity: int, node_limit: int = 4_000) -> list[list[int]]:
+def bin_completion(sizes: list[int], capacity: int, node_limit: int = 6_000) -> list[list[int]]:
     """Bins of indexes into ``sizes``; never more bins than best-fit decreasing gives.
 
     Depth-first over sequences: each level completes the sequence begun by the
     largest open piece by every undominated filling whose waste still allows
     fewer sequences than the incumbent. The result is optimal unless the search
-    ends by ``node_limit``, with the best solution found so far.
+    ends by ``node_limit`` (fillings looked at, dominated ones too), with the
+    best solution found so far.
     """
     incumbent = best_fit_decreasing(sizes, capacity)
     total = sum(sizes)
@@ -292,23 +308,23 @@ def bin_completion(sizes: list[int], capacity: int, node_limit: int = 4_000) ->
     allowed = (len(incumbent) - 1) * capacity - total
     best: list[tuple[int, ...]] | None = None
 
-    def options() -> Iterator[tuple[int, ...]]:
+    def options() -> Iterator[tuple[int, ...] | None]:
         lead = stock.mask.bit_length() - 1
         stock.take(lead)
-        made = stock.fillings(capacity - lead, allowed - waste)
-        while True:
-            chosen = next(made, None)
+        for chosen in stock.fillings(capacity - lead, allowed - waste):
             stock.put(lead)
-            if chosen is None:
-                return
-            yield (lead, *chosen)
+            yield None if chosen is None else (lead, *chosen)
             # the search has put back what it took
             stock.take(lead)
+        stock.put(lead)
 
     stack.append(options())
     while stack:
-        chosen = next(stack[-1], None) if nodes < node_limit else None
-        if chosen is None or waste + capacity - sum(chosen) > allowed:
+        chosen = next(stack[-1], ()) if nodes < node_limit else ()
+        nodes += 1
+        if chosen is None:
+            continue
+        if not chosen or waste + capacity - sum(chosen) > allowed:
             stack.pop()
             if path:
                 done = path.pop()
@@ -318,7 +334,6 @@ def bin_completion(sizes: list[int], capacity: int, node_limit: int = 4_000) ->
             if nodes >= node_limit:
                 break
             continue
-        nodes += 1
         for s in chosen:
             stock.take(s)
         path.append(chosen)
@@ -359,7 +374,7 @@ def _packer(capacity: int, node_limit: int) -> Callable[[pa.Table], pa.Table]:
     return pack
 
 
-def pack(pieces: DataFrame, documents: int, capacity: int = 4096, group_documents: int = 4096, node_limit: int = 4_000) -> DataFrame:
+def pack(pieces: DataFrame, documents: int, capacity: int = 4096, group_documents: int = 4096, node_limit: int = 6_000) -> DataFrame:
     """Place pieces (columns of :func:`token_pieces`) into sequences.
 
     ``documents`` is their documents' number, from which the number of groups

@@ -106,7 +106,7 @@ def test_fillings_are_the_undominated_ones(sizes, room):
 
     best = {f for f in every if not any(g != f and covers(g, f) for g in every)}
     stock = packing._Stock(sizes)
-    made = list(stock.fillings(room, room))
+    made = [f for f in stock.fillings(room, room) if f is not None]
     assert len(made) == len(set(made)) and set(made) == best
     assert [sum(f) for f in made] == sorted((sum(f) for f in made), reverse=True)
 
@@ -374,6 +374,56 @@ def test_terms_that_disclose(spark):
     assert pii.detect(docs.limit(0)).count() == 0
 
 
+def told_by_hand(rows, t):
+    """Terms that disclose an entity, from plain counts: support, joint and df by document, disclosure and bits."""
+    word = re.compile(r"(?<![^\W])[^\W\d_]+(?![\d_])")
+    words = {k: set(x.group().lower() for x in word.finditer(text or "")) for k, (_, text) in enumerate(rows)}
+    held = defaultdict(dict)
+    for k, (_, text) in enumerate(rows):
+        for start, kind, end in spans_by_hand(text or ""):
+            low = max(0, start - t.window)
+            left, right = text[low:start], text[end : end + t.window]
+            before = [m.group().lower() for m in word.finditer(left) if not (low > 0 and m.start() == 0)][::-1][: t.reach]
+            after = [m.group().lower() for m in word.finditer(right) if not (len(right) == t.window and m.end() == t.window)][: t.reach]
+            held[kind, text[start:end].lower()][k] = (*before, "|", *after)
+    told = set()
+    for places in held.values():
+        for term in set().union(*(words[k] for k in places)):
+            having = [k for k in places if term in words[k]]
+            df, joint, support = sum(term in w for w in words.values()), len(having), len({places[k] for k in having})
+            share = joint / df
+            if support >= t.support and share >= t.probability and np.log2(share * len(rows) / len(places)) >= t.bits:
+                told.add(term)
+    return told
+
+
+@pytest.mark.parametrize("thresholds", [pii.Thresholds(), pii.Thresholds(support=2, probability=0.3, bits=1.0), pii.Thresholds(support=4, probability=0.9, reach=2, window=30)])
+def test_terms_as_by_hand(spark, thresholds):
+    rng = random.Random(11)
+    common = ["alpha", "bravo", "charlie", "delta", "echoes", "foxtrot", "été", "go"]
+    people = [("ana@x.org", "Quokka"), ("+1 415 555 0101", "Zanzibar"), ("10.1.2.3", "Li"), ("bob@y.net", "Numbat")]
+    rows = []
+    for i in range(240):
+        contact, name = people[rng.randrange(4)]
+        text = sentences(rng, common, rng.randint(3, 30))
+        if rng.random() < 0.4:
+            text += f" {contact} " + sentences(rng, common, rng.randint(0, 6))
+            text += f" {name}" if rng.random() < 0.8 else ""
+        elif rng.random() < 0.1:
+            text += f" {rng.choice(people)[1]}."
+        rows.append((i, text))
+    rows += [(900, None), (901, ""), (5, rows[5][1])]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id", "text", "1 AS row_key", "2 AS base", "3 AS told").repartition(3)
+    told = told_by_hand(rows, thresholds)
+    scanned = pii.scan(docs, thresholds)
+    assert {r["term"] for r in pii.disclosures(docs, scanned, thresholds).select("term").distinct().collect()} == told and told
+    got = {r["doc_id"]: [(s["start"], s["value"]) for s in r["terms"]] for r in pii.detect(docs, thresholds).collect()}
+    for i, text in rows:
+        base = spans_by_hand(text or "")
+        spans = [(m.start(), m.group().lower()) for m in re.finditer(r"(?<!\w)[^\W\d_]+(?!\w)", text or "") if m.group().lower() in told and not any(s < m.end() and m.start() < e for s, _, e in base)]
+        assert got[i] == spans
+
+
 def test_terms_far_from_the_entity_and_without_it(spark):
     rng = random.Random(6)
     common = ["alpha", "bravo", "charlie", "delta", "echoes", "foxtrot"]
@@ -385,6 +435,18 @@ def test_terms_far_from_the_entity_and_without_it(spark):
     assert clean[20] == dict(rows)[20]
 
 
+def test_long_texts_with_many_spans(spark):
+    parts = [f"word{'é' * (i % 40)} a{i}@b.org, {'x ' * (i % 900)}" for i in range(700)]
+    text = "".join(parts)
+    assert len(text) > 3 * pii.CHUNK
+    docs = spark.createDataFrame([(1, text), (1, text), (2, None), (None, "c@d.ef")], SCHEMA).selectExpr("doc_id", "text", "1 AS _row_key", "2 AS __row_key", "'s' AS __spans", "3 AS hits")
+    got = pii.sanitise(docs)
+    assert got.columns == docs.columns
+    rows = [(r["doc_id"], r["text"]) for r in got.collect()]
+    clean = re.sub(r"a[0-9]+@b\.org", "[EMAIL]", text)
+    assert sorted(rows, key=repr) == sorted([(1, clean), (1, clean), (2, None), (None, "[EMAIL]")], key=repr)
+
+
 def test_copies_of_one_context_count_once(spark):
     rows = [(i, "Quokka writes joe@corp.com daily") for i in range(50)]
     assert not any(r["terms"] for r in pii.detect(spark.createDataFrame(rows, SCHEMA)).collect())
