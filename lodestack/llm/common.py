@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -58,6 +59,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver forget broadcasts and shuffles of finished jobs now; Spark's cleaner waits for a collection of garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def dealt(rows: DataFrame, key: str, groups: int) -> DataFrame:
     """``rows`` partitioned by ``key``, of which there are about ``groups`` values: few of them in each partition.
 

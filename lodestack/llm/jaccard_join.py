@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.blobs import groups_of, pack, unpack_all
-from lodestack.llm.common import blocks, dealt, free_name, mix64, prepare, release_tables, shuffle_partitions, small_side, text_slices, utf8_buffer
+from lodestack.llm.common import blocks, dealt, free_name, mix64, prepare, release_tables, shuffle_partitions, small_side, text_slices, tidy, utf8_buffer
 from lodestack.llm.graph import components
 from lodestack.llm.words import shingles_of, words_of
 
@@ -313,6 +313,7 @@ def linked(texts: DataFrame, words: int, j: Join = Join()) -> DataFrame:
 
     fits = lambda a, b: 100 * F.least(a, b) >= j.percent * F.greatest(a, b)
     for round_number in range(j.rounds):
+        tidy(spark)
         here = labelled().checkpoint()
         per_root = here.groupBy("token", "root").agg(F.count("*").alias("c"), F.sum("indexed").alias("i"))
         per_list = per_root.groupBy("token").agg((F.sum("c") * F.sum("i") - F.sum(F.col("c") * F.col("i"))).alias("pairs"))
@@ -335,6 +336,7 @@ def linked(texts: DataFrame, words: int, j: Join = Join()) -> DataFrame:
         if not pays:
             break
     # what is left, pair by pair
+    tidy(spark)
     here = labelled()
     # long lists are dealt into a grid of shares, so that no task meets all of one
     shares = here.groupBy("token").agg(F.ceil(F.count("*") / j.share).cast("int").alias("shares"))
@@ -353,7 +355,8 @@ def linked(texts: DataFrame, words: int, j: Join = Join()) -> DataFrame:
     if checked is not None:
         turned = checked.unionByName(checked.select(F.col("node").alias("pivot"), F.col("pivot").alias("node")))
         pairs = pairs.join(turned, ["pivot", "node"], "left_anti")
-    new = verified(pairs.checkpoint(), texts, j)
+    new = verified(pairs.checkpoint(), texts, j).checkpoint()
+    tidy(spark)
     return components((new if links is None else links.unionByName(new)).checkpoint())
 
 
