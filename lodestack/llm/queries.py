@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import chunk_dedup, jaccard_join, langid, packing, pii, quality, sentencepieces, suffix_dedup, topk, toxicity
+from lodestack.llm import chunk_dedup, filter_audit, hard_negatives, jaccard_join, langid, packing, pii, quality, sentencepieces, suffix_dedup, topk, toxicity, window_packing
 from lodestack.llm.common import fold, prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,6 +173,78 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[count(k) for k in range(4)], F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1}
+    return filter_audit.audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"), marks)
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT coalesce(doc_id, 9223372036854775807) AS k, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+l AS (
+  SELECT doc_id AS k, bool_or(coalesce(quality = 1, FALSE)) AS good, bool_or(coalesce(toxic = 1, FALSE)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+w AS (
+  SELECT k, t, part, min(k) OVER (PARTITION BY t) AS first, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM d),
+m AS (
+  SELECT part, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic,
+      (CASE WHEN len(words) < 100 THEN 1 ELSE 0 END)
+    + (CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END)
+    + (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END)
+    + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)
+    + (CASE WHEN first < k THEN 16 ELSE 0 END) AS mask
+  FROM w LEFT JOIN l USING (k)),
+c AS (SELECT part, mask, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM m GROUP BY part, mask),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (
+  SELECT a.letter || b.letter || e.letter || g.letter || h.letter AS filter_order, [a.bit, b.bit, e.bit, g.bit, h.bit] AS bits
+  FROM f a JOIN f b ON b.bit <> a.bit JOIN f e ON e.bit NOT IN (a.bit, b.bit) JOIN f g ON g.bit NOT IN (a.bit, b.bit, e.bit) JOIN f h ON h.bit = 31 - a.bit - b.bit - e.bit - g.bit),
+s AS (
+  SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::BIGINT AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+r AS (
+  SELECT part, filter_order, step, any_value(bit) AS bit,
+         coalesce(sum(n) FILTER (WHERE mask & (before | bit) = 0), 0) AS kept,
+         coalesce(sum(n) FILTER (WHERE mask & bit <> 0 AND mask & before = 0), 0) AS removed,
+         coalesce(sum(n) FILTER (WHERE mask & bit <> 0 AND mask & before <> 0), 0) AS redundant,
+         coalesce(sum(n) FILTER (WHERE mask = bit), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE mask & bit <> 0 AND mask & before = 0), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (WHERE mask & bit <> 0 AND mask & before = 0), 0) AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM r
+"""
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    mined = hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+    return mined.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS same, CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id AND len(a.e) = len(c.e)),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
+def op13_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_packing.pack_windows(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_toxicity": op2_toxicity,
@@ -184,6 +256,9 @@ QUERIES: dict[str, Query] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
     "op10_pii": op10_pii,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_window_packing": op13_window_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -191,4 +266,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_exact_top_k": OP5_SQL,
     "op6_jaccard_join": OP6_SQL,
     "op9_quality_rules": OP9_SQL,
+    "op11_filter_audit": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }

@@ -87,7 +87,7 @@ def test_stages_on_an_empty_table(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_and_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "labels"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     got = QUERIES[name](spark, DATA)
     columns = sorted(got.columns)
