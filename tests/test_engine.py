@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,23 +150,136 @@ def test_store_survives_crashes_and_rivals(spark, tmp_path, monkeypatch):
     held = lambda t: sorted(r[0] for r in TableStore(spark, str(tmp_path)).read(t).collect())
     # a crash after the batches, before the manifest
     with monkeypatch.context() as m:
-        m.setattr(TableStore, "_create", lambda *_: (_ for _ in ()).throw(OSError("crash")))
+        m.setattr(TableStore, "_publish", lambda *_: (_ for _ in ()).throw(OSError("crash")))
         with pytest.raises(OSError):
             store.commit(writes={"a": rows(2)}, appends={"b": rows(2)})
     assert held("a") == [1] and held("b") == [1]
-    # a crash within the manifest: it is passed over, and the next commit comes after it
-    (tmp_path / "_manifests" / "000000000002").write_text('{"a": {"batches')
+    # an incomplete manifest: readers pass it over, a writer takes it for another one at work until it is old
+    half = tmp_path / "_manifests" / "000000000002"
+    half.write_text('{"a": {"batches')
     assert held("a") == [1]
+    with pytest.raises(ConflictError):
+        store.commit(appends={"a": rows(3)})
+    os.utime(half, (0, 0))
     store.commit(appends={"a": rows(3), "b": rows(3)})
     assert held("a") == [1, 3] and held("b") == [1, 3]
     # a rival that commits first
-    number, tables = store._state()
+    change = store.change().write("a", rows(9))
     store.append("a", rows(4))
     with pytest.raises(ConflictError):
-        store._create(number, tables)
+        change.commit()
     assert held("a") == [1, 3, 4]
     store.compact("a")
-    assert held("a") == [1, 3, 4] and store.vacuum(keep=1) >= 4 and held("a") == [1, 3, 4] and held("b") == [1, 3]
+    assert held("a") == [1, 3, 4] and store.vacuum(keep=1) == 0
+    assert store.vacuum(keep=1, grace_ms=0) >= 4 and held("a") == [1, 3, 4] and held("b") == [1, 3]
+
+
+def test_no_commit_is_lost(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    rows = lambda *values: spark.createDataFrame([(v,) for v in values], "k int")
+    store.write("t", rows(1, 2, 3, 4, 5))
+    # two that publish at the same moment: both have looked at the numbers before either wrote
+    one, two = store.change(), store.change()
+    one.append("t", rows(6, 7))
+    two.append("t", rows(8, 9, 10))
+    numbers = store._manifests()
+    held = TableStore._manifests
+    try:
+        TableStore._manifests = lambda _: numbers
+        one.commit()
+        with pytest.raises(ConflictError):
+            two.commit()
+    finally:
+        TableStore._manifests = held
+    assert store.read("t").count() == 7
+    # an append that meets a rival is made anew, with the batch it has written
+    published, rivals = TableStore._publish, [rows(20)]
+
+    def late(self, number, tables):
+        if rivals:
+            rival = rivals.pop()
+            TableStore(spark, str(tmp_path)).append("t", rival)
+        published(self, number, tables)
+
+    try:
+        TableStore._publish = late
+        store.append("t", rows(21))
+    finally:
+        TableStore._publish = published
+    assert store.read("t").count() == 9 and len(list((tmp_path / "t").iterdir())) == 5
+    assert not [p for p in (tmp_path / "_manifests").iterdir() if p.name.startswith("_")]
+
+
+def test_vacuum_spares_what_is_needed(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    rows = lambda *values: spark.createDataFrame([(v,) for v in values], "k int")
+    assert store.vacuum() == 0
+    store.write("t", rows(1, 2))
+    half = tmp_path / "_manifests" / "000000000002"
+    half.write_text("")
+    os.utime(half, (0, 0))
+    assert store.vacuum(keep=1, grace_ms=0) == 0 and store.read("t").count() == 2
+    # the batches of a change that isn't published yet
+    change = store.change()
+    change.append("t", rows(3))
+    assert store.vacuum(keep=1) == 0
+    change.commit()
+    assert store.read("t").count() == 3
+
+
+def files_of(store, table):
+    """Files of each bucket."""
+    made = {}
+    for f in store.read(table).inputFiles():
+        made.setdefault(f.split("_bucket=")[1].split("/")[0], set()).add(f)
+    return made
+
+
+def test_upserts_rewrite_only_their_buckets(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path), bucket_rows=150)
+    rows = spark.range(1500).selectExpr("id AS k", "id % 7 AS v", "cast(id AS string) AS e")
+    store.write("t", rows, key=["k"])
+    before = files_of(store, "t")
+    assert len(before) == 16
+    store.upsert("t", spark.createDataFrame([(17, 100, None), (5000, 1, "new")], "k bigint, v bigint, e string"), ["k"], keep=["e"])
+    after = files_of(store, "t")
+    changed = [b for b in after if after[b] != before[b]]
+    assert set(after) == set(before) and 1 <= len(changed) <= 2
+    assert {r["k"]: (r["v"], r["e"]) for r in store.read("t").where("k in (17, 18, 5000)").collect()} == {17: (100, "17"), 18: (4, "18"), 5000: (1, "new")}
+    # rows of a few keys are read from their buckets alone
+    change = store.change()
+    looked_up = change.lookup("t", spark.createDataFrame([(17,)], "k bigint"), "k bigint, v bigint, e string")
+    assert len(looked_up.inputFiles()) == 1 and looked_up.where("k = 17").count() == 1
+    # groups and conditions
+    store.replace_groups("t", spark.createDataFrame([(3, 1, "a"), (3, 2, "b")], "k bigint, v bigint, e string"), spark.createDataFrame([(3,), (4,)], "k bigint"), ["k"])
+    assert store.read("t").where("k = 3").count() == 2 and store.read("t").where("k = 4").count() == 0 and store.read("t").count() == 1501
+    before = files_of(store, "t")
+    assert store.delete("t", F.col("k") == 1000) == 1 and store.delete("t", F.col("k") == 1000) == 0
+    after = files_of(store, "t")
+    assert sum(after.get(b) != before[b] for b in before) == 1 and store.read("t").count() == 1500
+    # appending adds to the buckets; those that have outgrown their size are halved when they are rewritten
+    store.append("t", spark.range(10_000, 14_000).selectExpr("id AS k", "id % 7 AS v", "'' AS e"))
+    assert len(files_of(store, "t")) == 16
+    store.compact("t")
+    assert len(files_of(store, "t")) == 64 and store.read("t").count() == 5500 and store.read("t").where("k = 13999").count() == 1
+    store.upsert("t", spark.createDataFrame([(13_999, 9, "z")], "k bigint, v bigint, e string"), ["k"])
+    assert store.read("t").where("k = 13999").first()["e"] == "z" and store.read("t").count() == 5500
+    store.vacuum(keep=1, grace_ms=0)
+    assert store.read("t").count() == 5500
+    # null keys have a bucket too; keys wider than the buckets' columns keep to them
+    store.upsert("t", spark.createDataFrame([(None, 1, "n")], "k bigint, v bigint, e string"), ["k", "v"])
+    assert store.read("t").where("k is null").count() == 1
+
+
+def test_a_plain_table_is_bucketed_by_its_first_upsert(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path), bucket_rows=20)
+    store.write("t", spark.range(100).selectExpr("cast(id AS int) AS k", "id AS v"))
+    store.upsert("t", spark.createDataFrame([(5, 50)], "k int, v bigint"), ["k"])
+    before = files_of(store, "t")
+    # another type of the same key finds the same bucket
+    store.upsert("t", spark.createDataFrame([(6, 60)], "k bigint, v bigint"), ["k"])
+    after = files_of(store, "t")
+    assert sum(after[b] != before[b] for b in before) == 1 and store.read("t").where("v in (50, 60)").count() == 4 and store.read("t").count() == 100
 
 
 def test_schema_check_on_read(spark, tmp_path):
