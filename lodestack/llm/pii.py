@@ -4,8 +4,8 @@ Patterns give the base spans: e-mail addresses, IPv4 addresses, card numbers and
 phone numbers. Terms of the same documents may reveal them as well. For a term
 ``t`` and a protected entity ``e`` (the value of a base span) the corpus gives
 
-* ``joint``: documents that hold both, wherever they stand, and ``df``: documents
-  of the whole corpus that hold ``t``,
+* ``joint``: documents that hold both, wherever and however often they stand, and
+  ``df``: documents of the whole corpus that hold ``t``,
 * ``support``: distinct surroundings of ``e`` in the documents that hold both,
   one of each document, so that copies of a passage count once,
 * the disclosure ``P(e | t) = joint / df`` and the information
@@ -167,7 +167,7 @@ def base_spans(text: Column) -> Column:
 
 
 def _surroundings(text: Column, spans: Column, t: Thresholds) -> Column:
-    """Each base span's entity and a hash of the terms beside it: struct(entity, context)."""
+    """Each distinct entity of the base spans, with the smallest hash of the terms beside one of its spans: struct(entity, context)."""
 
     def beside(s: Column, piece) -> Column:
         low = F.greatest(F.lit(0), s.start - t.window)
@@ -180,7 +180,15 @@ def _surroundings(text: Column, spans: Column, t: Thresholds) -> Column:
         entity = F.concat_ws(":", s.kind.cast("string"), F.lower(s.value))
         return F.struct(entity.alias("entity"), F.xxhash64(entity, F.transform(F.concat(before, after), lambda w: F.lower(w.value))).alias("context"))
 
-    return _chunked(text, lambda piece: F.transform(spans, lambda s: beside(s, piece)))
+    def first_of_each(held: Column) -> Column:
+        return F.filter(held, lambda h, i: (i == 0) | (h.entity != F.get(held, i - 1).entity))
+
+    return _bound(F.sort_array(_chunked(text, lambda piece: F.transform(spans, lambda s: beside(s, piece)))), first_of_each)
+
+
+def _key() -> Column:
+    """What tells rows of different ids or texts apart with certainty."""
+    return F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))), 256))
 
 
 def _words(text: Column) -> Column:
@@ -194,7 +202,7 @@ def scan(docs: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     held = lambda spans: F.when(F.size(spans) > 0, _surroundings(text, spans, thresholds)).otherwise(F.array().cast("array<struct<entity:string,context:bigint>>"))
     return docs.select(
-        F.xxhash64("doc_id", "text").alias("row_key"),
+        _key().alias("row_key"),
         F.col("doc_id").cast("long").alias("doc_id"),
         _bound(base_spans(text), lambda spans: F.struct(spans.alias("base"), held(spans).alias("held"))).alias("s"),
     ).select("row_key", "doc_id", "s.base", "s.held").checkpoint()
@@ -207,15 +215,15 @@ def disclosures(docs: DataFrame, scanned: DataFrame, thresholds: Thresholds = Th
     only where they hold an entity of enough surroundings.
     """
     spark = docs.sparkSession
-    held = scanned.where(F.size("held") > 0).select("row_key", F.monotonically_increasing_id().alias("row"), F.explode("held").alias("h"))
-    held = held.groupBy("row_key", "row", "h.entity").agg(F.min("h.context").alias("context"))
+    # a row holds an entity once, however often it stands there
+    held = scanned.where(F.size("held") > 0).select("row_key", F.explode("held").alias("h")).select("row_key", "h.entity", "h.context")
     entities = held.groupBy("entity").agg(F.countDistinct("context").alias("contexts"), F.count("*").alias("entity_docs")).where(F.col("contexts") >= thresholds.support).select("entity", "entity_docs").checkpoint()
     n_entities = entities.count()
     if not n_entities:
         return spark.createDataFrame([], "term string, entity string, support long, joint long, df long, disclosure double, bits double")
     kept = held.join(small_side(entities, n_entities), "entity").select("row_key", "entity", "context").distinct()
     kept = kept.groupBy("row_key").agg(F.collect_list(F.struct("entity", "context")).alias("held")).checkpoint()
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").join(small_side(kept, kept.count()), "row_key")
+    rows = docs.select(_key().alias("row_key"), "text").join(small_side(kept, kept.count()), "row_key")
     terms = rows.select("held", F.explode(_words(F.col("text"))).alias("term"))
     # a term is in at most as many of these documents as anywhere, so this bound drops
     # the terms of many entities before the whole corpus is counted
@@ -236,7 +244,8 @@ def disclosures(docs: DataFrame, scanned: DataFrame, thresholds: Thresholds = Th
     n_terms, n_docs = terms.count(), docs.count()
     df = docs.select(F.explode(_words(F.col("text"))).alias("term")).join(small_side(terms, n_terms), "term", "left_semi") if n_terms else spark.createDataFrame([], "term string")
     df = df.groupBy("term").agg(F.count("*").alias("df"))
-    share = F.least(F.lit(1.0), F.col("joint") / F.col("df"))
+    counted = (F.col("support") <= F.col("joint")) & (F.col("joint") <= F.col("df")) & (F.col("joint") <= F.col("entity_docs"))
+    share = F.when(counted, F.col("joint") / F.col("df")).otherwise(F.raise_error(F.lit("documents of a term and an entity are not counted alike")).cast("double"))
     return (
         pairs.join(df, "term")
         .join(entities, "entity")
@@ -257,7 +266,7 @@ def detect(docs: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
     none = F.array().cast(SPAN)
     if not n_told:
         return scanned.drop("held").withColumn("terms", none)
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    keyed = docs.select(_key().alias("row_key"), "text")
     held = keyed.select("row_key", F.explode(_words(F.col("text"))).alias("term")).join(small_side(told, n_told), "term", "left_semi")
     held = held.groupBy("row_key").agg(F.collect_set("term").alias("told")).checkpoint()
     lowered = lambda w: F.struct(w.start.alias("start"), w.kind.alias("kind"), w.end.alias("end"), F.lower(w.value).alias("value"))
@@ -292,16 +301,14 @@ def generalise(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
     """``docs`` with personal data and disclosing terms generalised in ``text``."""
-    key, own_id, held = (free_name(docs, n) for n in ("row_key", "doc_id_", "spans"))
+    key, held = (free_name(docs, n) for n in ("row_key", "spans"))
     spans = (
         detect(docs, thresholds)
-        .select(F.col("row_key").alias(key), F.col("doc_id").alias(own_id), F.sort_array(F.concat("base", "terms")).alias(held))
+        .select(F.col("row_key").alias(key), F.sort_array(F.concat("base", "terms")).alias(held))
         .where(F.size(held) > 0)
-        .dropDuplicates([key, own_id])
+        .dropDuplicates([key])
         .checkpoint()
     )
-    # the id beside the hash keeps texts apart whose hashes are equal
-    same = (F.col(key) == F.xxhash64("doc_id", "text")) & F.col(own_id).eqNullSafe(F.col("doc_id").cast("long"))
-    keyed = docs.join(small_side(spans, spans.count()), same, "left")
+    keyed = docs.join(small_side(spans, spans.count()), F.col(key) == _key(), "left")
     text = F.when(F.col(held).isNotNull(), generalise(F.col("text"), F.col(held))).otherwise(F.col("text"))
     return keyed.withColumn("text", text).select(docs.columns)

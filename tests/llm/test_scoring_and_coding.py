@@ -407,7 +407,8 @@ def test_terms_as_by_hand(spark, thresholds):
         contact, name = people[rng.randrange(4)]
         text = sentences(rng, common, rng.randint(3, 30))
         if rng.random() < 0.4:
-            text += f" {contact} " + sentences(rng, common, rng.randint(0, 6))
+            for _ in range(rng.choice([1, 1, 2, 5])):
+                text += f" {contact} " + sentences(rng, common, rng.randint(0, 6))
             text += f" {name}" if rng.random() < 0.8 else ""
         elif rng.random() < 0.1:
             text += f" {rng.choice(people)[1]}."
@@ -447,6 +448,19 @@ def test_long_texts_with_many_spans(spark):
     assert sorted(rows, key=repr) == sorted([(1, clean), (1, clean), (2, None), (None, "[EMAIL]")], key=repr)
 
 
+def test_an_entity_counts_once_a_document(spark):
+    repeated = "alpha bravo charlie a@b.co delta echoes foxtrot golf a@b.co hotel india juliet a@b.co kilo lima"
+    docs = spark.createDataFrame([(0, repeated), *((i, "plain words of other texts") for i in range(1, 39))], SCHEMA)
+    scanned = pii.scan(docs)
+    assert scanned.where("doc_id = 0").first()["base"] and len(scanned.where("doc_id = 0").first()["held"]) == 1
+    assert pii.disclosures(docs, scanned).count() == 0 and not any(r["terms"] for r in pii.detect(docs).collect())
+    # three documents, each with the entity twice: support, joint and df are three
+    rows = [(i, f"Quokka {w} {v} a@b.co {v} {w} Quokka a@b.co {w}") for i, (w, v) in enumerate([("alpha", "bravo"), ("charlie", "delta"), ("echoes", "golf")])]
+    docs = spark.createDataFrame([*rows, *((i, "plain words of other texts") for i in range(10, 50))], SCHEMA)
+    (pair,) = pii.disclosures(docs, pii.scan(docs)).where("term = 'quokka'").collect()
+    assert (pair["support"], pair["joint"], pair["df"], pair["disclosure"]) == (3, 3, 3, 1.0)
+
+
 def test_copies_of_one_context_count_once(spark):
     rows = [(i, "Quokka writes joe@corp.com daily") for i in range(50)]
     assert not any(r["terms"] for r in pii.detect(spark.createDataFrame(rows, SCHEMA)).collect())
