@@ -3,7 +3,7 @@
 A chunk ends after each byte at which the gear hash of the last 16 bytes has its
 top ``bits`` bits zero, unless another such byte lies less than ``least`` bytes
 before it. Borders so depend on nearby bytes only: an insertion changes the
-chunks it touches and no others. Chunks are compared by a 64-bit digest. A chunk
+chunks it touches and no others. Chunks are compared by a 128-bit BLAKE2b digest. A chunk
 is a repeat if its digest also occurs in a document with a smaller id; a maximal
 run of repeats is removed if it is long enough and its chunks say enough, short
 ones that recur by chance saying nothing.
@@ -21,6 +21,7 @@ carried by :func:`deduplicated`, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,16 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lodestack.llm.blobs import flags_to_runs, gather, groups_of, pack, runs_to_flags, unpack_all
+from lodestack.llm.blobs import flags_to_runs, gather, pack, runs_to_flags, unpack_all
 from lodestack.llm.common import blocks, dealt, free_name, mix64, prepare, release_tables, shuffle_partitions, text_slices, utf8_buffer
 from lodestack.llm.suffix_dedup import DOCS, RANGES, _batch, _bodies, _columns, _dealt, _groups, named_documents, tagged
-from lodestack.llm.words import range_hashes
 
 WINDOW = 16
 WORD = re.compile(r"[^\x20\x09-\x0D]")
 #: A 16-bit gear for each byte value.
 GEAR = (mix64(np.arange(1, 257, dtype=np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
-CHUNKS = ("<u8", "<i8", "<i8", "<u4", "<u4", "<u4")  # digest, id, tag, length, number of places, places
+CHUNKS = ("<u8", "<u8", "<i8", "<i8", "<u4", "<u4", "<u4")  # digest in two halves, id, tag, length, number of places, places
 KEPT_SCHEMA = "doc_id long, tag long, n_bytes long, n_removed long, n_spans long, n_chunks long, n_repeated_chunks long, text string"
 
 
@@ -108,6 +108,21 @@ def chunks_of(raw: np.ndarray, offsets: np.ndarray, c: Chunking) -> tuple[np.nda
     return starts, ends
 
 
+def digests_of(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 128-bit BLAKE2b digest of each ``raw[s:e]``, in two halves: what a text is made of cannot make two equal."""
+    held, digest = memoryview(np.ascontiguousarray(raw)), hashlib.blake2b
+    found = b"".join([digest(held[s:e], digest_size=16).digest() for s, e in zip(starts.tolist(), ends.tolist())])
+    return np.frombuffer(found, dtype="<u8").reshape(-1, 2)
+
+
+def _cuts(digest: np.ndarray) -> np.ndarray:
+    """Edges of the runs of equal digests."""
+    if not len(digest):
+        return np.zeros(1, dtype=np.int64)
+    new = (digest[1:] != digest[:-1]).any(axis=1)
+    return np.concatenate([[0], np.flatnonzero(new) + 1, [len(digest)]])
+
+
 def _emit(p: Plan):
     """Of each block: chunks for the buckets (kind 0), one document's of each digest, and repeats within the block (kind 1)."""
 
@@ -118,7 +133,7 @@ def _emit(p: Plan):
             raw, offsets = utf8_buffer(part.column("text").slice(low, high - low))
             starts, ends = chunks_of(raw, offsets, p.chunking)
             row = np.searchsorted(offsets, starts, side="right") - 1
-            found.append((row + low, starts - offsets[:-1][row], ends - starts, range_hashes(raw, starts, ends)))
+            found.append((row + low, starts - offsets[:-1][row], ends - starts, digests_of(raw, starts, ends)))
         return tuple(np.concatenate(x) for x in zip(*found))
 
     def block(part: pa.RecordBatch) -> list[tuple[int, int, bytes]]:
@@ -126,8 +141,8 @@ def _emit(p: Plan):
         row, place, length, digest = chunked(part)
         if not len(row):
             return []
-        order = np.lexsort((row, ids[row], digest))
-        cuts = groups_of(digest[order])
+        order = np.lexsort((row, ids[row], digest[:, 1], digest[:, 0]))
+        cuts = _cuts(digest[order])
         least = ids[row[order[cuts[:-1]]]]
         later = np.empty(len(row), dtype=bool)
         later[order] = ids[row[order]] > np.repeat(least, np.diff(cuts))
@@ -138,15 +153,15 @@ def _emit(p: Plan):
         # a digest's places in one row stand together
         own = order[~later[order]]
         new = np.ones(len(own), dtype=bool)
-        new[1:] = (digest[own][1:] != digest[own][:-1]) | (row[own][1:] != row[own][:-1])
+        new[1:] = (digest[own][1:] != digest[own][:-1]).any(axis=1) | (row[own][1:] != row[own][:-1])
         heads = np.flatnonzero(new)
         counts = np.diff(np.append(heads, len(own)))
         lead = own[heads]
-        key = (digest[lead] % np.uint64(p.buckets)).astype(np.int64)
+        key = (digest[lead, 0] % np.uint64(p.buckets)).astype(np.int64)
         for bucket, (at, first, n) in _dealt(key, [lead, heads, counts]):
             places = place[own[gather(np.arange(len(own)), first, n)]]
             r = row[at]
-            rows.append((bucket, 0, pack([digest[at], ids[r], tags[r], length[at].astype("<u4"), n.astype("<u4"), places.astype("<u4")])))
+            rows.append((bucket, 0, pack([digest[at, 0], digest[at, 1], ids[r], tags[r], length[at].astype("<u4"), n.astype("<u4"), places.astype("<u4")])))
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,10 +176,11 @@ def _bucket(p: Plan):
     def run(table: pa.Table) -> pa.Table:
         release_tables()
         kinds, blobs = table.column("kind").to_numpy(), table.column("blob").to_pylist()
-        digest, ids, tags, lengths, counts, places = unpack_all([b for b, k in zip(blobs, kinds) if k == 0], CHUNKS)
+        *halves, ids, tags, lengths, counts, places = unpack_all([b for b, k in zip(blobs, kinds) if k == 0], CHUNKS)
         local = unpack_all([b for b, k in zip(blobs, kinds) if k == 1], RANGES)
-        order = np.lexsort((ids, digest))
-        cuts = groups_of(digest[order])
+        digest = np.stack(halves, axis=1)
+        order = np.lexsort((ids, digest[:, 1], digest[:, 0]))
+        cuts = _cuts(digest[order])
         later = order[ids[order] > np.repeat(ids[order[cuts[:-1]]], np.diff(cuts))] if len(order) else order
         n = counts[later].astype(np.int64)
         at = places[gather(np.arange(len(places)), (np.cumsum(counts, dtype=np.int64) - counts)[later], n)]

@@ -1,7 +1,7 @@
 """Exact n-gram Jaccard self-join with adaptive multi-match prefixes.
 
-A document is the set of its distinct shingles. Documents of equal sets form a
-class, and classes are joined:
+A document is the set of its distinct shingles. Documents of equal words form a
+class, told by a SHA-256 digest of them, and classes are joined:
 
 1. Shingles are ordered from rare to frequent, by counts in hashed slots whose
    table has a bounded size. Any common order gives right results; a good one
@@ -18,17 +18,19 @@ class, and classes are joined:
 4. All pairs of different components that share enough prefix shingles are
    then counted and checked, so no link between components is lost.
 
-Every candidate is verified on whole sets before it counts.
+Candidates are found by 64-bit hashes of shingles; every one is verified on the whole
+sets of the words themselves before it counts, and sizes are counted on them too.
 
 Defined cases: words are as in ``words.PLAIN``; a text of fewer words than a
 shingle is one shingle, a null text or one without words has none and is linked
 with nothing; rows with a null id get no component; repeated rows and equal
-texts fall into one class; an empty table gives no rows; other columns are
-ignored.
+texts fall into one class; a text of any length is one set, held whole in memory; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,6 +46,8 @@ from lodestack.llm.graph import components
 from lodestack.llm.words import shingles_of, words_of
 
 POSTINGS = ("<u4", "<i8", "u1", "<i4", "<i4")  # shingle within its bucket, class, 2 l + 1 if in the index prefix, size of the set, place
+#: Lower-cases A-Z.
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 @dataclass(frozen=True)
@@ -75,22 +79,28 @@ def sets_of(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[new], rows[new]
 
 
+def plain_words(text: str | None) -> list[bytes]:
+    """The lower-cased words of a text."""
+    return (text or "").encode().translate(LOWER).split()
+
+
+def shingle_set(words: list[bytes], size: int) -> set[tuple[bytes, ...]]:
+    """Distinct runs of ``size`` words, as they are; fewer words are one run."""
+    return set(zip(*(words[k:] for k in range(size)))) if len(words) >= size else {tuple(words)} if words else set()
+
+
 def _describe(j: Join):
-    """Size and two order-free digests of each text's set."""
+    """Size of each text's set, and a digest of its words that no two sequences of words share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_tables()
         for batch in batches:
-            for low, high in text_slices(batch, "text", j.block_bytes):
-                part = batch.slice(low, high - low)
-                hashes, rows = sets_of(part.column("text"), j.shingle)
-                digests = []
-                for salt in (1, 2):
-                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(hashes * np.uint64(2 * salt + 1) + np.uint64(salt)))])
-                    edges = np.searchsorted(rows, np.arange(part.num_rows + 1))
-                    digests.append(mix64(sums[edges[1:]] - sums[edges[:-1]]).view(np.int64))
-                n = np.bincount(rows, minlength=part.num_rows).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag"), pa.array(n), *map(pa.array, digests)], names=["doc_id", "tag", "n", "node", "digest"])
+            sizes, digests = [], []
+            for text in batch.column("text"):
+                words = plain_words(text.as_py())
+                sizes.append(len(shingle_set(words, j.shingle)))
+                digests.append(hashlib.sha256(b" ".join(words)).digest())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary())], names=["doc_id", "tag", "n", "key"])
 
     return run
 
@@ -235,26 +245,23 @@ def _shared_lists(table: pa.Table) -> pa.Table:
 
 
 def _verify(j: Join):
-    """Pairs (pivot, node) whose whole sets are similar enough."""
+    """Pairs (pivot, node) whose sets are similar enough, shingles compared word by word."""
 
     def run(table: pa.Table) -> pa.Table:
         release_tables()
         pivot, salt, node = (table.column(c).to_numpy() for c in ("pivot", "salt", "node"))
-        hashes, rows = sets_of(table.column("text").combine_chunks(), j.shingle)
-        sizes = np.bincount(rows, minlength=len(pivot))
-        _, group = np.unique(mix64(pivot.astype(np.uint64)) + salt.astype(np.uint64), return_inverse=True)
-        lead = np.full(group.max() + 1, -1)
-        is_lead = pivot == node
-        lead[group[is_lead]] = np.flatnonzero(is_lead)
-        key = hashes ^ mix64(group[rows].astype(np.uint64) + np.uint64(1))
-        of_lead = is_lead[rows]
-        have = np.sort(key[of_lead])
-        other = ~of_lead
-        at = np.minimum(np.searchsorted(have, key[other]), max(0, len(have) - 1))
-        hit = have[at] == key[other] if len(have) else np.zeros(int(other.sum()), dtype=bool)
-        shared = np.bincount(rows[other][hit], minlength=len(pivot))
-        union = sizes + sizes[lead[group]] - shared
-        good = ~is_lead & (lead[group] >= 0) & (100 * shared >= j.percent * union) & (shared > 0)
+        texts, good = table.column("text"), []
+        # a portion's pivot comes first
+        order = np.lexsort((pivot != node, salt, pivot))
+        group, lead = None, set()
+        for at in order.tolist():
+            own = shingle_set(plain_words(texts[at].as_py()), j.shingle)
+            if (pivot[at], salt[at]) != group:
+                group, lead = (pivot[at], salt[at]), own if pivot[at] == node[at] else set()
+                continue
+            shared = len(lead & own)
+            if shared and 100 * shared >= j.percent * (len(lead) + len(own) - shared):
+                good.append(at)
         return pa.table([pa.array(pivot[good]), pa.array(node[good])], names=["u", "v"])
 
     return run
@@ -361,22 +368,24 @@ def linked(texts: DataFrame, words: int, j: Join = Join()) -> DataFrame:
 
 
 def _keyed(docs: DataFrame, name: str = "tag") -> DataFrame:
-    """``docs`` with a tag that tells rows of one id apart by their text."""
-    return docs.withColumn(name, F.xxhash64(F.coalesce("text", F.lit(""))))
+    """``docs`` with a digest that tells rows of one id apart by their text."""
+    return docs.withColumn(name, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
 
 
 def _classes(docs: DataFrame, j: Join) -> tuple[DataFrame, DataFrame, int]:
-    """Every row's set (doc_id, tag, n, node), the classes (node, doc_id and tag of the first row, root), and their number."""
+    """Every row's set (doc_id, tag, n, key), the classes (node, key, doc_id and tag of the first row, root), and their number."""
     docs = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
-    described = docs.mapInArrow(_describe(j), "doc_id long, tag long, n int, node long, digest long").checkpoint()
+    described = docs.mapInArrow(_describe(j), "doc_id long, tag binary, n int, key binary").checkpoint()
     inside = described.where("doc_id is not null and n > 0")
-    classes = inside.groupBy("node", "digest", "n").agg(F.min(F.struct("doc_id", "tag")).alias("rep")).select("node", "n", F.col("rep.doc_id").alias("doc_id"), F.col("rep.tag").alias("tag")).checkpoint()
+    firsts = inside.groupBy("key").agg(F.min(F.struct("doc_id", "tag")).alias("rep"), F.first("n").alias("n"))
+    # numbers are unique whatever the keys
+    classes = firsts.select(F.monotonically_increasing_id().alias("node"), "key", "n", F.col("rep.doc_id").alias("doc_id"), F.col("rep.tag").alias("tag")).checkpoint()
     totals = classes.agg(F.count("*").alias("classes"), F.sum("n").alias("n")).first()
-    texts = docs.join(small_side(classes, totals["classes"]), ["doc_id", "tag"])
+    texts = docs.join(small_side(classes.drop("key"), totals["classes"]), ["doc_id", "tag"])
     if _repeats(described):
         texts = texts.dropDuplicates(["node"])
     roots = linked(texts.select("node", "n", "text"), totals["n"] or 0, j)
-    grouped = classes.select("node", "doc_id", "tag").join(small_side(roots, totals["classes"]), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    grouped = classes.drop("n").join(small_side(roots, totals["classes"]), "node", "left").withColumn("root", F.coalesce("root", "node"))
     return described, grouped, totals["classes"]
 
 
@@ -388,8 +397,8 @@ def similarity_components(docs: DataFrame, j: Join = Join()) -> DataFrame:
     prepare(docs.sparkSession)
     described, grouped, n_classes = _classes(docs, j)
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = grouped.join(small_side(least, n_classes), "root").select("node", "component_id")
-    out = described.join(small_side(named, n_classes), "node", "left")
+    named = grouped.join(small_side(least, n_classes), "root").select("key", "component_id")
+    out = described.join(small_side(named, n_classes), "key", "left")
     own = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
 

@@ -23,9 +23,9 @@ LETTERS = np.array([b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else b + 32
 def range_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each ``raw[s:e]``, whatever its length and place.
 
-    Eight bytes at a time go through a finaliser that mixes all bits, so no
-    arrangement of words makes differences cancel, as it can in a polynomial.
-    Longer ranges are the hashes of their blocks, hashed in turn.
+    Eight bytes at a time go through a finaliser that mixes all bits; longer ranges
+    are the hashes of their blocks, hashed in turn. Good for finding candidates: a
+    text made for it can collide, so what is found has to be compared.
     """
     words = loads(np.concatenate([raw, np.zeros(8, dtype=np.uint8)]), 8)
     lengths = ends - starts

@@ -283,6 +283,17 @@ def test_words_whose_polynomials_are_equal(spark):
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (2, 2)]
 
 
+def test_words_of_one_hash_stay_apart(spark):
+    words = ["4wsjlbca7xpi6k7x", "8d7xqp1e<'[*6h?g"]
+    raw = " ".join(words).encode()
+    assert len(set(words_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).hashes.tolist())) == 1
+    rows = [(1, words[0]), (2, words[1]), (3, f"a b c {words[0]}"), (4, f"a b c {words[1]}"), (5, f"{words[0]} {words[1]} {words[0]} {words[0]} x {words[1]} {words[0]} {words[0]} {words[0]}")]
+    got = jaccard_join.similarity_components(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == [(1, 1, 1), (2, 1, 2), (3, 1, 3), (4, 1, 4), (5, 6, 5)]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 2, 3, 4, 5]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 900), st.integers(0, 900)), min_size=1, max_size=30), st.integers(0, 3))
 def test_range_hashes(places, seed):
