@@ -30,12 +30,18 @@ def normalise(raw: DataFrame) -> DataFrame:
     )
 
 
+def once(raw: DataFrame) -> DataFrame:
+    """One row for each (source, external_id), the first by all columns, with the number of its ``copies``."""
+    keys = ["source", "external_id"]
+    own = Window.partitionBy(*keys)
+    first = own.orderBy(*[F.col(c).asc_nulls_last() for c in sorted(set(raw.columns) - set(keys))])
+    return raw.withColumn("_n", F.row_number().over(first)).withColumn("copies", F.count("*").over(own)).where("_n = 1").drop("_n")
+
+
 def unseen(raw: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows of ``raw`` whose (source, external_id) isn't stored; of repeated ones in the batch the first by all columns."""
     keys = ["source", "external_id"]
-    first = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in sorted(set(raw.columns) - set(keys))])
-    fresh = raw.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return fresh.join(stored.select(*keys).distinct(), keys, "left_anti")
+    return once(raw).drop("copies").join(stored.select(*keys).distinct(), keys, "left_anti")
 
 
 def with_ids(rows: DataFrame, last_id: int, order: list[str]) -> DataFrame:
@@ -57,9 +63,13 @@ def embedding_rows(postings: DataFrame) -> DataFrame:
     return postings.select("posting_id", T.embedding_text(F.col("title"), F.col("company_name"), F.col("description_clean")).alias("text"))
 
 
-def run_counts(raw: DataFrame, added: DataFrame, links: DataFrame) -> DataFrame:
-    """Per source: fetched, added and linked as duplicates."""
-    fetched = raw.groupBy("source").agg(F.count("*").alias("fetched"))
+def run_counts(batch: DataFrame, added: DataFrame, links: DataFrame) -> DataFrame:
+    """Per source: fetched, added and linked as duplicates.
+
+    ``batch`` has one row for each posting fetched, or those of :func:`once` with
+    their copies, so that the sources' files aren't read again.
+    """
+    fetched = batch.groupBy("source").agg((F.sum("copies") if "copies" in batch.columns else F.count("*")).alias("fetched"))
     new = added.groupBy("source").agg(F.count("*").alias("added"))
     linked = links.join(added.select("posting_id", "source"), "posting_id").groupBy("source").agg(F.count("*").alias("duplicates"))
     out = fetched.join(new, "source", "left").join(linked, "source", "left")

@@ -50,10 +50,14 @@ class Sessions:
         if not user_id.strip():
             raise ValueError("a session needs a user")
         self.sweep(now_ms)
-        if running := self.active(user_id):
+        # one change from looking to storing, so two users at once get two numbers, and one user at once one session
+        change = self.store.change()
+        rows = change.read_or_empty("sessions", SESSION)
+        if running := rows.where((F.col("user_id") == user_id) & ~F.col("status").isin("done", "failed")).orderBy("session_id").first():
             raise BusyError(f"session {running['session_id']} is still running")
-        session_id = (self.rows().agg(F.max("session_id")).first()[0] or 0) + 1
-        self._put((session_id, user_id, "evaluating", json.dumps(asdict(search.checked())), None, now_ms, now_ms, now_ms + V.SESSION_RETENTION_MS))
+        session_id = (rows.agg(F.max("session_id")).first()[0] or 0) + 1
+        row = (session_id, user_id, "evaluating", json.dumps(asdict(search.checked())), None, now_ms, now_ms, now_ms + V.SESSION_RETENTION_MS)
+        change.upsert("sessions", self.store.spark.createDataFrame([row], SESSION), ["session_id"]).commit()
         return session_id
 
     def update(self, session_id: int, status: str, now_ms: int, error: str | None = None) -> None:
@@ -75,16 +79,15 @@ class Sessions:
 
     def sweep(self, now_ms: int) -> int:
         """Remove sessions that have expired, with their results; how many."""
-        if not self.store.exists("sessions"):
+        change = self.store.change()
+        if not change.exists("sessions"):
             return 0
-        gone = settled(self.rows().where(F.col("expires_at_ms") < now_ms).select("session_id"))
-        n = gone.count()
-        if n:
-            writes = {"sessions": self.rows().join(gone, "session_id", "left_anti").select(self.rows().columns)}
-            if self.store.exists("session_results"):
-                held = self.store.read("session_results")
-                writes["session_results"] = held.join(gone, "session_id", "left_anti").select(held.columns)
-            self.store.commit(writes=writes)
+        expired = F.col("expires_at_ms") < now_ms
+        gone = settled(change.read("sessions").where(expired).select("session_id"))
+        n = change.delete("sessions", expired)
+        if n and change.exists("session_results"):
+            change.replace_groups("session_results", change.read("session_results").limit(0), gone, ["session_id"])
+        change.commit()
         return n
 
     def run(self, session_id: int, postings: DataFrame, now_ms: Callable[[], int], research: Callable[[DataFrame], DataFrame] | None = None, **given: Any) -> DataFrame:

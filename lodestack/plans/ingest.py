@@ -5,45 +5,87 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from lodestack.functions.text import redact_urls
-from lodestack.operators import dedupe, flags, rules, scoring
-from lodestack.operators.ingest import embedding_rows, normalise, run_counts, unseen, with_ids
+from lodestack.functions.text import company_key, redact_urls
+from lodestack.operators import dedupe, flags, ranking, rules, scoring
+from lodestack.operators.ingest import embedding_rows, normalise, once, run_counts, with_ids
 from lodestack.plugins import Embedder, Judge
-from lodestack.schemas import DUPLICATE_LINK, INGEST_RUN, POSTING, POSTING_VECTOR
-from lodestack.sources.store import TableStore, replaced, upserted
+from lodestack.schemas import COMPANY_KEY, COMPANY_VECTOR, COUNTER, DUPLICATE_LINK, FINGERPRINT, INGEST_RUN, POSTING, POSTING_VECTOR, REPOST
+from lodestack.sources.store import Change, TableStore
 from lodestack.storage import settled
 
+#: Columns by whose hash the tables are bucketed that later batches look up rows in.
+KEYS = {"postings": ("source", "external_id"), "fingerprints": ("fingerprint",), "company_vectors": ("key",), "repost_counts": ("canonical_id",)}
+#: Most postings that one request evaluates.
+EVALUATED_MOST = 500
+
+
+def _add(change: Change, tables: dict[str, DataFrame]) -> None:
+    for table, rows in tables.items():
+        change.append(table, rows, key=KEYS.get(table, ()))
+
+
+def _index(postings: DataFrame, vectors: DataFrame, links: DataFrame, known: DataFrame) -> dict[str, DataFrame]:
+    """What later batches look up of these postings; ``known``: company keys that are there already."""
+    keyed = postings.select("posting_id", company_key(F.col("company_name")).alias("key")).where("key <> ''")
+    return {
+        "fingerprints": postings.select("fingerprint", "posting_id"),
+        "company_vectors": keyed.join(vectors.select("posting_id", "vec"), "posting_id").select("key", "posting_id", "vec"),
+        "company_keys": keyed.select("key").distinct().join(known, "key", "left_anti"),
+        "repost_counts": dedupe.repost_increments(links, postings),
+    }
+
+
+def _last_id(change: Change) -> int:
+    """The largest posting_id so far."""
+    if change.exists("counters"):
+        return change.read("counters").where("name = 'posting_id'").first()["value"]
+    return change.read_or_empty("postings", POSTING).agg(F.max("posting_id")).first()[0] or 0
+
 
 def ingest(store: TableStore, raw: DataFrame, now_ms: int, embedder: Embedder) -> DataFrame:
     """Add what is new of ``raw`` to postings, vectors, links and the ledger; returns the ledger's new rows.
 
     Running it again with the same rows adds nothing: a run is 'running' in the
-    ledger until one commit brings all its rows. Postings whose fingerprint is
+    ledger until one commit brings all its rows, and of two runs at once the one
+    that comes second fails with a ConflictError. Postings whose fingerprint is
     stored already get a link instead of a vector of their own; the others are
     embedded once and linked to earlier postings of matching companies.
+
+    ``raw`` is read once. Of what is stored only the buckets are read that the
+    batch's postings, fingerprints and companies fall in, and the list of company keys.
     """
-    run_id = uuid.uuid4().hex
-    began = settled(raw.select("source").distinct().select(F.lit(run_id).alias("run_id"), "source", F.lit("running").alias("status"), *[F.lit(None).cast("bigint").alias(c) for c in ("fetched", "added", "duplicates")], F.lit(None).cast("string").alias("error"), F.lit(now_ms).cast("bigint").alias("started_at_ms")))
-    store.append("ingest_runs", began)
-    stored = store.read_or_empty("postings", POSTING)
-    last = stored.agg(F.max("posting_id")).first()[0] or 0
-    fresh = with_ids(unseen(raw, stored), last, ["source", "external_id"])
+    spark, run_id = store.spark, uuid.uuid4().hex
+    batch = settled(once(raw))
+    began = batch.select("source").distinct().select(F.lit(run_id).alias("run_id"), "source", F.lit("running").alias("status"), *[F.lit(None).cast("bigint").alias(c) for c in ("fetched", "added", "duplicates")], F.lit(None).cast("string").alias("error"), F.lit(now_ms).cast("bigint").alias("started_at_ms"))
+    store.append("ingest_runs", settled(began))
+    change = store.change()
+    if change.exists("postings") and not change.exists("fingerprints"):
+        # a store of before there was an index
+        old = change.read("postings", POSTING)
+        _add(change, _index(old, change.read_or_empty("posting_vectors", POSTING_VECTOR), change.read_or_empty("duplicate_links", DUPLICATE_LINK), spark.createDataFrame([], COMPANY_KEY)))
+    last = _last_id(change)
+    stored = change.lookup("postings", batch.select("source", "external_id"), POSTING)
+    fresh = with_ids(batch.drop("copies").join(stored.select("source", "external_id"), ["source", "external_id"], "left_anti"), last, ["source", "external_id"])
     added = settled(normalise(fresh).withColumn("first_seen_at_ms", F.lit(now_ms).cast("bigint")).select([c.split()[0] for c in POSTING.split(", ")]))
-    exact = settled(dedupe.fingerprint_links(added, stored))
+    exact = settled(dedupe.fingerprint_links(added, change.lookup("fingerprints", added.select("fingerprint"), FINGERPRINT)))
     rest = added.join(exact.select("posting_id"), "posting_id", "left_anti")
     vectors = settled(embedder.embed(embedding_rows(rest)).select("posting_id", F.lit(embedder.model).alias("model"), F.lit(embedder.dim).alias("dim"), "vec"))
-    held = store.read_or_empty("posting_vectors", POSTING_VECTOR).unionByName(vectors)
-    named = stored.select("posting_id", "company_name").unionByName(added.select("posting_id", "company_name"))
-    candidates = held.join(named, "posting_id").select("posting_id", "company_name", "vec", F.col("posting_id").alias("seq"))
-    near = dedupe.semantic_links(candidates.join(vectors.select("posting_id"), "posting_id", "left_semi"), candidates)
-    links = settled(exact.unionByName(near))
-    counts = run_counts(raw, added, links)
-    runs = counts.select(F.lit(run_id).alias("run_id"), "source", F.lit("ok").alias("status"), "fetched", "added", "duplicates", F.lit(None).cast("string").alias("error"), F.lit(now_ms).cast("bigint").alias("started_at_ms"))
+    known = change.read_or_empty("company_keys", COMPANY_KEY)
+    own = settled(_index(added, vectors, exact, known)["company_vectors"])
+    mine = own.select("key").distinct()
+    reached = dedupe.company_pairs(mine.unionByName(known).select(F.col("key").alias("company_name")), named=False).join(mine.withColumnRenamed("key", "a_key"), "a_key", "left_semi").select(F.col("b_key").alias("key")).distinct()
+    reached = settled(reached)
+    held = change.lookup("company_vectors", reached, COMPANY_VECTOR).join(reached, "key", "left_semi").unionByName(own).withColumn("seq", F.col("posting_id"))
+    links = settled(exact.unionByName(dedupe.semantic_links(own.withColumn("seq", F.col("posting_id")), held)))
+    runs = run_counts(batch, added, links).select(F.lit(run_id).alias("run_id"), "source", F.lit("ok").alias("status"), "fetched", "added", "duplicates", F.lit(None).cast("string").alias("error"), F.lit(now_ms).cast("bigint").alias("started_at_ms"))
     runs = settled(runs)
-    store.commit(appends={"posting_vectors": vectors, "duplicate_links": links, "postings": added, "ingest_runs": runs})
+    _add(change, {"postings": added, "posting_vectors": vectors, "duplicate_links": links, "ingest_runs": runs, **_index(added, vectors, links, known)})
+    highest = added.agg(F.max("posting_id")).first()[0] or last
+    change.upsert("counters", spark.createDataFrame([Row(name="posting_id", value=highest)], COUNTER), ["name"])
+    change.commit()
     return runs
 
 
@@ -60,21 +102,31 @@ def run_history(runs: DataFrame, limit: int = 20) -> DataFrame:
     return last.select("run_id", "source", "last.*").orderBy(F.desc("started_at_ms"), F.desc("run_id"), "source").limit(limit)
 
 
-def evaluate_all(store: TableStore, chosen: Sequence[rules.Rule], spoken: Sequence[str] = (), statement_vectors: dict[str, list[float]] | None = None, judge: Judge | None = None) -> DataFrame:
-    """Evaluate all postings and keep the latest result of each."""
-    done = settled(rules.evaluate(store.read("postings"), chosen, spoken, store.read_or_empty("posting_vectors", POSTING_VECTOR), statement_vectors, judge))
+def evaluate_all(
+    store: TableStore, chosen: Sequence[rules.Rule], spoken: Sequence[str] = (), statement_vectors: dict[str, list[float]] | None = None, judge: Judge | None = None, limit: int | None = None
+) -> DataFrame:
+    """Evaluate all postings, or the newest ``limit`` (500 at most), and keep the latest result of each."""
+    postings = store.read("postings", POSTING)
+    if limit is not None:
+        newest = postings.select("posting_id").orderBy(F.desc("posting_id")).limit(max(0, min(limit, EVALUATED_MOST)))
+        postings = postings.join(F.broadcast(newest), "posting_id", "left_semi")  # 500 rows at most
+    done = settled(rules.evaluate(postings, chosen, spoken, store.read_or_empty("posting_vectors", POSTING_VECTOR), statement_vectors, judge))
     store.upsert("evaluations", done, ["posting_id"])
     return done
 
 
-def score_all(store: TableStore, profile: scoring.Profile, now_ms: int, enabled: dict[str, bool] | None = None, learned: DataFrame | None = None) -> DataFrame:
-    """Score and flag all postings; scores are replaced by posting, flags by posting and type."""
-    postings = store.read("postings")
-    reposts = dedupe.repost_counts(postings, store.read_or_empty("duplicate_links", DUPLICATE_LINK), now_ms)
-    intel = store.read("company_intel") if store.exists("company_intel") else None
-    done = settled(scoring.score(postings, profile, store.read_or_empty("posting_vectors", POSTING_VECTOR), reposts, intel, learned))
-    found = settled(flags.detect(postings, reposts, flags.enabled_types(enabled)))
-    scores = upserted(store.read("scores"), done, ["posting_id"]) if store.exists("scores") else done
-    kept = replaced(store.read("flags"), found, postings.select("posting_id"), ["posting_id"]) if store.exists("flags") else found
-    store.commit(writes={"scores": scores, "flags": kept})
+def score_all(store: TableStore, profile: scoring.Profile, now_ms: int, enabled: dict[str, bool] | None = None, learned: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Score and flag all postings, or ``limit`` (1,000 at most) of them, unscored ones first; scores are replaced by posting, flags by posting and type."""
+    change = store.change()
+    every = postings = change.read("postings", POSTING)
+    if limit is not None:
+        scored = change.read("scores") if change.exists("scores") else store.spark.createDataFrame([], "posting_id bigint")
+        postings = postings.join(F.broadcast(ranking.score_order(postings, scored, max(0, limit)).select("posting_id")), "posting_id", "left_semi")
+    links = change.read_or_empty("duplicate_links", DUPLICATE_LINK)
+    increments = change.read("repost_counts", REPOST) if change.exists("repost_counts") else dedupe.repost_increments(links, every)
+    reposts = settled(dedupe.repost_counts(postings, links, now_ms, increments=increments))
+    intel = change.read("company_intel") if change.exists("company_intel") else None
+    done = settled(scoring.score(postings, profile, change.read_or_empty("posting_vectors", POSTING_VECTOR), reposts, intel, learned))
+    found = flags.detect(postings, reposts, flags.enabled_types(enabled))
+    change.upsert("scores", done, ["posting_id"]).replace_groups("flags", found, postings.select("posting_id"), ["posting_id"]).commit()
     return done

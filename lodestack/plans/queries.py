@@ -40,7 +40,7 @@ def stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def links(spark: SparkSession, sf_dir: str, p: DataFrame) -> DataFrame:
     """Exact links, and semantic ones of the postings without an exact one, as ingest stores them."""
     exact = settled(dedupe.batch_links(p))
-    rows = p.select("posting_id", "company_name", F.col("posting_id").alias("seq")).join(fixture.posting_vectors(spark, sf_dir), "posting_id")
+    rows = settled(p.select("posting_id", "company_name", F.col("posting_id").alias("seq")).join(fixture.posting_vectors(spark, sf_dir), "posting_id"))
     near = dedupe.semantic_links(rows.join(exact.select("posting_id"), "posting_id", "left_anti"), rows)
     return settled(exact.unionByName(near))
 
@@ -146,7 +146,7 @@ def q13_fuzzy_company_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q14_semantic_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixture.raw_postings(spark, sf_dir).join(fixture.posting_vectors(spark, sf_dir), "posting_id").select("posting_id", "company_name", "vec", F.col("posting_id").alias("seq"))
+    rows = settled(fixture.raw_postings(spark, sf_dir).join(fixture.posting_vectors(spark, sf_dir), "posting_id").select("posting_id", "company_name", "vec", F.col("posting_id").alias("seq")))
     return dedupe.semantic_links(rows, rows).select("posting_id", "canonical_id", F.round("similarity", 6).alias("similarity"))
 
 

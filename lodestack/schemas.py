@@ -12,6 +12,12 @@ POSTING = (
     "description_clean string, remote_claim string, employment_type string, fingerprint string, first_seen_at_ms bigint"
 )
 POSTING_VECTOR = "posting_id bigint, model string, dim int, vec array<double>"
+# what a batch looks up of those before it
+FINGERPRINT = "fingerprint string, posting_id bigint"
+COMPANY_VECTOR = "key string, posting_id bigint, vec array<double>"
+COMPANY_KEY = "key string"
+REPOST = "canonical_id bigint, seen_at_ms bigint, n bigint"
+COUNTER = "name string, value bigint"
 DUPLICATE_LINK = "posting_id bigint, canonical_id bigint, similarity double"
 RULE_RESULT = "struct<rule_id:int,rule_name:string,kind:string,validator:string,verdict:string,evidence:string>"
 EVALUATION = f"posting_id bigint, outcome string, results array<{RULE_RESULT}>"

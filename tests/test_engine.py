@@ -3,13 +3,14 @@ from __future__ import annotations
 import json
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestack.operators import dedupe, flags, intel, learning, ranking, scoring
 from lodestack.plans.ingest import evaluate_all, failed_run, ingest, score_all
 from lodestack.plugins import BatchEmbedder, HashingEmbedder
-from lodestack.schemas import RAW_POSTING
+from lodestack.schemas import POSTING, RAW_POSTING
 from lodestack.sources import landing
 from lodestack.sources.store import ConflictError, SchemaError, TableStore
 from lodestack.streaming.events import ingest_stream, landing_stream, session_counts, tumbling_counts
@@ -50,6 +51,61 @@ def test_semantic_links_take_the_best_then_the_first(spark):
     assert got[6] == 3
 
 
+def test_index_of_vectors_spares_comparisons(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(6, 12))
+    rows = []
+    for i in range(300):
+        v = centres[i % 6] + rng.normal(size=12) * rng.choice([0.05, 0.3, 0.6])
+        rows.append((i, "Acme" if i % 4 else "Acme Labs", (v / np.linalg.norm(v)).tolist(), i))
+    # not of unit length, of another dimension, none, with a component that is none
+    rows += [(300, "Acme", (2 * centres[0]).tolist(), 300), (301, "Acme", [1.0, 0.0], 301), (302, "Acme", [1.0, 0.0], 302), (303, "Acme", None, 303), (304, "Acme", [None] * 12, 304), (305, "Acme", [], 305)]
+    frame = spark.createDataFrame(rows, "posting_id bigint, company_name string, vec array<double>, seq bigint").repartition(3)
+    best = {}
+    for i, _, v, _ in rows:
+        for k, _, w, _ in rows[:i]:
+            if v and w and len(v) == len(w) and None not in v and None not in w and (s := float(np.dot(v, w))) >= 0.92 and s > best.get(i, (0.0, 0))[0] + 1e-12:
+                best[i] = (s, k)
+    got = {r["posting_id"]: r["canonical_id"] for r in dedupe.semantic_links(frame, frame).collect()}
+    assert got == {i: k for i, (_, k) in best.items()} and len(got) > 100
+    spared, plain = (dedupe.similar_candidates(frame, frame, index=index).count() for index in (True, False))
+    assert plain > 40_000 and spared < plain / 2
+    assert dedupe.semantic_links(frame.limit(0), frame).count() == 0 and dedupe.semantic_links(frame, frame.limit(0)).count() == 0
+
+
+def test_batches_open_only_what_they_need(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path), bucket_rows=20)
+    many = raw(spark, *({"external_id": str(i), "title": f"Job {i}", "company_name": f"Company {i % 50}", "description_html": f"<p>text number {i} {'python ' * (i % 9)}</p>"} for i in range(200)))
+    ingest(store, many, 1000, HashingEmbedder())
+    counts = {t: len(store.read(t).inputFiles()) for t in ("postings", "fingerprints", "company_vectors")}
+    assert all(n >= 8 for n in counts.values())
+    change = store.change()
+    batch = raw(spark, {"external_id": "7"}, {"external_id": "new"})
+    found = change.lookup("postings", batch.select("source", "external_id"), POSTING)
+    assert len(found.inputFiles()) <= 2 and found.where("external_id = '7'").count() == 1
+    before = {t: set(store.read(t).inputFiles()) for t in counts}
+    runs = ingest(store, batch, 2000, HashingEmbedder()).first()
+    assert (runs["fetched"], runs["added"]) == (2, 1)
+    assert all(before[t] < set(store.read(t).inputFiles()) for t in counts)
+    assert store.read("counters").collect()[0]["value"] == 201 == store.read("postings").agg(F.max("posting_id")).first()[0]
+    assert store.read("company_keys").count() == store.read("company_keys").distinct().count() == 51
+
+
+def test_repost_increments_are_the_recount(spark, tmp_path):
+    day = 86_400_000
+    store = TableStore(spark, str(tmp_path))
+    for number, at in enumerate((0, 50, 100, 150)):
+        ingest(store, raw(spark, *({"external_id": f"{number}-{k}"} for k in range(number + 1)), {"external_id": f"x{number}", "title": "Other job"}), at * day, HashingEmbedder())
+    links, postings = store.read("duplicate_links"), store.read("postings")
+    for now in (100, 145, 200, 240):
+        counts = lambda **given: sorted(map(tuple, dedupe.repost_counts(postings, links, now * day, **given).collect()))
+        assert counts(increments=store.read("repost_counts")) == counts()
+    assert max(r[1] for r in dedupe.repost_counts(postings, links, 150 * day).collect()) > 3
+    scored = score_all(store, scoring.Profile(years=3), 150 * day, limit=3)
+    assert scored.count() == 3 and score_all(store, scoring.Profile(years=3), 150 * day, limit=100).count() == postings.count() == store.read("scores").count()
+    assert evaluate_all(store, [], limit=2).count() == 2 == store.read("evaluations").count()
+
+
 def test_company_pairs_of_short_keys(spark):
     names = spark.createDataFrame([("A",), ("ab",), ("Cab",), ("xyz",), (None,)], "company_name string")
     got = {(r["a_key"], r["b_key"]) for r in dedupe.company_pairs(names).collect()}
