@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
-from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import replies
 from lodestack.functions import vocabulary as V
+from lodestack.functions.phrases import with_hits
 from lodestack.functions.text import bound, cosine, number_text, snippet
 from lodestack.plugins import Judge
 from lodestack.schemas import RULE_RESULT
@@ -127,14 +127,27 @@ def field_holds(name: str, operator: str, value: Any) -> Column:
     return F.coalesce(held, F.lit(False))
 
 
-def pattern_match(config: dict[str, Any]) -> tuple[Column, Column]:
-    """Whether any (or all) patterns occur in the target text, and the first one's surroundings if so."""
+def pattern_match(config: dict[str, Any], hits: Column) -> tuple[Column, Column]:
+    """Whether any (or all) patterns occur in the target text, and the first one's surroundings if so; ``hits`` are those that occur."""
     text = F.coalesce(F.col(TARGETS[config.get("target") or "description"]), F.lit(""))
-    low = F.lower(text)
-    hits = [F.contains(low, F.lit(p.lower())) for p in config["patterns"]]
-    held = reduce(lambda a, b: a & b, hits) if config.get("match") == "all" else reduce(lambda a, b: a | b, hits)
-    first = reduce(lambda rest, p: F.when(F.contains(low, F.lit(p.lower())), F.lit(p)).otherwise(rest), reversed(config["patterns"]), F.lit(None).cast("string"))
-    return held, F.when(held, snippet(text, first))
+    held = F.size(hits) == len(config["patterns"]) if config.get("match") == "all" else F.size(hits) > 0
+    return held, F.when(held, snippet(text, F.get(hits, F.lit(0))))
+
+
+def searched(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """``rows`` with a column for each rule of patterns (see :func:`hits_of`), one pass over each target text for all rules."""
+    by_target: dict[str, dict[str, list[str]]] = {}
+    for i, rule in enumerate(rules):
+        if rule.validator == "keyword" and "patterns" in rule.config:
+            by_target.setdefault(TARGETS[rule.config.get("target") or "description"], {})[hits_of(i)] = rule.config["patterns"]
+    for target, lists in by_target.items():
+        rows = with_hits(rows, F.col(target), lists)
+    return rows
+
+
+def hits_of(place: int) -> str:
+    """The column with the patterns found of the rule at this place."""
+    return f"__patterns{place}"
 
 
 def _result(rule: Rule, verdict: Column, evidence: Column) -> Column:
@@ -142,14 +155,14 @@ def _result(rule: Rule, verdict: Column, evidence: Column) -> Column:
     return F.struct(*[v.alias(k) for k, v in parts.items()]).cast(RULE_RESULT)
 
 
-def compile_rule(rule: Rule, vector: list[float] | None = None) -> Column:
-    """A keyword or semantic rule as a result struct; semantic ones read the column ``vec``.
+def compile_rule(rule: Rule, vector: list[float] | None = None, place: int = 0) -> Column:
+    """A keyword or semantic rule as a result struct; semantic ones read the column ``vec``, patterns that of :func:`hits_of`.
 
     A posting without a vector is uncertain.
     """
     c = rule.checked().config
     if rule.validator == "keyword" and "patterns" in c:
-        held, evidence = pattern_match(c)
+        held, evidence = pattern_match(c, F.col(hits_of(place)))
         return _result(rule, F.when(held, "pass").otherwise("fail"), evidence)
     if rule.validator == "keyword":
         shown = F.coalesce(number_text(F.col(c["field"])) if c["field"] in NUMBER_FIELDS else F.col(c["field"]), F.lit("(none)"))
@@ -167,21 +180,34 @@ def _language_pattern(phrase: str, names: list[str]) -> str:
     return rf"(?<![\p{{L}}\p{{M}}])(?:{body})(?![\p{{L}}\p{{M}}])"
 
 
-def required_languages(text: Column) -> Column:
+#: All names of languages.
+LANGUAGE_NAMES = [n for _, _, forms in V.LANGUAGES for n in forms]
+
+
+def posting_text() -> Column:
+    """What the language rule reads."""
+    return F.concat_ws("\n", F.coalesce(F.col("title"), F.lit("")), F.coalesce(F.col("description_clean"), F.lit("")))
+
+
+def required_languages(text: Column, named: Column) -> Column:
     """array<struct(code, phrase)>: each language the text requires, with the first phrase that says so.
 
     Phrases for one language come first, in language order, then phrases for two.
+    ``named``: which of ``LANGUAGE_NAMES`` occur; only these languages' phrases are
+    looked for.
     """
-    names = [n for _, _, forms in V.LANGUAGES for n in forms]
-    any_name = "|".join(map(re.escape, names))
-    low = F.lower(text)
+    names = LANGUAGE_NAMES
+    both_columns = F.struct(F.lower(text).alias("t"), named.alias("named"))
+
+    def named_as(code: str) -> Callable[[Column], Column]:
+        return lambda x: F.when(x.isNotNull(), F.struct(F.lit(code).alias("code"), x.alias("phrase")))
 
-    def singles(t: Column) -> list[Column]:
+    def singles(t: Column, held: Column) -> list[Column]:
         made = []
         for code, _, forms in V.LANGUAGES:
             tries = [F.nullif(F.regexp_extract(t, _language_pattern(p, forms), 0), F.lit("")) for p in V.LANGUAGE_PHRASES]
-            phrase = F.coalesce(*tries)
-            made.append(F.when(t.rlike("|".join(map(re.escape, forms))) & phrase.isNotNull(), F.struct(F.lit(code).alias("code"), phrase.alias("phrase"))))
+            phrase = F.when(F.arrays_overlap(held, F.array(*map(F.lit, forms))), F.coalesce(*tries))
+            made.append(bound(phrase, named_as(code)))
         return made
 
     code_of = F.create_map(*[F.lit(x) for code, _, forms in V.LANGUAGES for n in forms for x in (n, code)])
@@ -196,19 +222,20 @@ def required_languages(text: Column) -> Column:
         earlier = lambda x, i: F.exists(F.slice(all_found, F.lit(1), i), lambda y: y.code == x.code)
         return F.filter(all_found, lambda x, i: ~F.when(i > 0, earlier(x, i)).otherwise(F.lit(False)))
 
-    def scan(t: Column) -> Column:
-        every = F.concat(F.array_compact(F.array(*singles(t))), *[pairs(t, p) for p in V.LANGUAGE_PAIR_PHRASES])
-        return bound(every, first_of_each)
-
     none = F.array().cast("array<struct<code:string,phrase:string>>")
-    return bound(low, lambda t: F.when(t.rlike(any_name), scan(t)).otherwise(none))
+
+    def scan(t: Column, held: Column) -> Column:
+        of_two = F.when(F.size(held) > 1, F.concat(*[pairs(t, p) for p in V.LANGUAGE_PAIR_PHRASES])).otherwise(none)
+        return bound(F.concat(F.array_compact(F.array(*singles(t, held))), of_two), first_of_each)
+
+    return bound(both_columns, lambda c: F.when(F.size(c.named) > 0, scan(c.t, c.named)).otherwise(none))
 
 
-def language_rule(spoken: Sequence[str]) -> Column:
-    """The built-in rule's result: fails if a required language isn't spoken; null if none is required."""
+def language_rule(spoken: Sequence[str], named: Column) -> Column:
+    """The built-in rule's result: fails if a required language isn't spoken; null if none is required. ``named``: see :func:`required_languages`."""
     display = {code: name for code, name, _ in V.LANGUAGES}
     names = F.create_map(*[F.lit(x) for pair in display.items() for x in pair])
-    text = F.concat_ws("\n", F.coalesce(F.col("title"), F.lit("")), F.coalesce(F.col("description_clean"), F.lit("")))
+    text = posting_text()
     codes = [s.lower() for s in spoken]
     listed = ", ".join(display.get(s, s) for s in spoken)
     joined = lambda found: F.array_join(F.transform(found, lambda x: F.element_at(names, x.code)), " and ")
@@ -224,7 +251,7 @@ def language_rule(spoken: Sequence[str]) -> Column:
 
         return F.when(F.size(found) > 0, bound(missing, result))
 
-    return bound(required_languages(text), judged)
+    return bound(required_languages(text, named), judged)
 
 
 def knocks_out(result: Column) -> Column:
@@ -302,9 +329,11 @@ def evaluate(
         held = vectors.select("posting_id", "vec") if vectors is not None else postings.select("posting_id", F.lit(None).cast("array<double>").alias("vec")).limit(0)
         rows = postings.drop("vec").join(held, "posting_id", "left")
     given = statement_vectors or {}
-    results = [compile_rule(r, given.get(r.config.get("statement", ""))) for r in cheap]
+    rows = searched(rows, cheap)
+    results = [compile_rule(r, given.get(r.config.get("statement", "")), i) for i, r in enumerate(cheap)]
     if spoken:
-        results.insert(0, language_rule(spoken))
+        rows = with_hits(rows, posting_text(), {"__languages": LANGUAGE_NAMES})
+        results.insert(0, language_rule(spoken, F.col("__languages")))
     every = F.array(*results).cast(f"array<{RULE_RESULT}>") if results else F.array().cast(f"array<{RULE_RESULT}>")
     prompts = F.array(*[judge_prompt(r.config["question"]) for r in dear]) if dear else F.array().cast("array<string>")
     staged = rows.select("posting_id", concluded(every).alias("c"), prompts.alias("prompts")).select("posting_id", "c.outcome", "c.results", "prompts")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestack.functions import text as T
 from lodestack.functions import vocabulary as V
 from lodestack.functions import web
+from lodestack.functions.phrases import with_hits
 from lodestack.operators import dedupe, flags, intel, learning, ranking, rules, scoring
 from lodestack.operators.ingest import unseen
 from lodestack.plans import oracle
@@ -50,7 +51,8 @@ def reposts_of(spark: SparkSession, sf_dir: str, p: DataFrame) -> DataFrame:
 
 
 def scores_of(p: DataFrame, reposts: DataFrame) -> DataFrame:
-    return scoring.score(p, scoring.Profile(years=YEARS), reposts=reposts)
+    """Numbers alone: the evidence of each factor is for the rows that are shown."""
+    return scoring.score(p, scoring.Profile(years=YEARS), reposts=reposts, told=False)
 
 
 @query
@@ -97,16 +99,16 @@ def q07_field_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q08_pattern_any_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some, _ = rules.pattern_match({"patterns": ["telegram", "family", "relocation"]})
-    every, _ = rules.pattern_match({"patterns": ["remote", "contract"], "match": "all"})
-    hits = F.array_join(T.matching(F.col("description_clean"), V.ONSITE_PHRASES), "|")
-    return fixture.postings(spark, sf_dir).select("posting_id", some.alias("some"), every.alias("every"), hits.alias("onsite_hits"))
+    some, every = {"patterns": ["telegram", "family", "relocation"]}, {"patterns": ["remote", "contract"], "match": "all"}
+    rows = with_hits(fixture.postings(spark, sf_dir), F.col("description_clean"), {"a": some["patterns"], "b": every["patterns"], "c": V.ONSITE_PHRASES})
+    held = lambda config, hits: rules.pattern_match(config, F.col(hits))[0]
+    return rows.select("posting_id", held(some, "a").alias("some"), held(every, "b").alias("every"), F.array_join("c", "|").alias("onsite_hits"))
 
 
 @query
 def q09_language_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat_ws("\n", "title", "description_clean")
-    p = fixture.postings(spark, sf_dir).select("posting_id", rules.required_languages(text).alias("r"), rules.language_rule(oracle.SPOKEN).alias("rule"))
+    p = with_hits(fixture.postings(spark, sf_dir), rules.posting_text(), {"named": rules.LANGUAGE_NAMES})
+    p = p.select("posting_id", rules.required_languages(rules.posting_text(), F.col("named")).alias("r"), rules.language_rule(oracle.SPOKEN, F.col("named")).alias("rule"))
     codes = F.array_join(F.array_sort(F.transform("r", lambda x: x.code)), "|")
     return p.where(F.size("r") > 0).select("posting_id", codes.alias("codes"), (F.col("rule.verdict") == "pass").alias("spoken"))
 
@@ -181,7 +183,7 @@ def q19_chance_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q20_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score(fixture.postings(spark, sf_dir)).select("posting_id", "job_quality")
+    return scoring.score(fixture.postings(spark, sf_dir), told=False).select("posting_id", "job_quality")
 
 
 @query

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestack.functions import replies
+from lodestack.functions.phrases import with_hits
 from lodestack.operators import rules
 from lodestack.operators.rules import Rule
 
@@ -89,7 +90,7 @@ def test_languages(spark):
         "": [],
     }
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string").orderBy("i")
-    got = [[x["code"] for x in r["r"]] for r in rows.select("i", rules.required_languages(F.col("t")).alias("r")).orderBy("i").collect()]
+    got = [[x["code"] for x in r["r"]] for r in with_hits(rows, F.col("t"), {"named": rules.LANGUAGE_NAMES}).select("i", rules.required_languages(F.col("t"), F.col("named")).alias("r")).orderBy("i").collect()]
     assert [sorted(g) for g in got] == [sorted(c) for c in cases.values()]
 
 
@@ -111,3 +112,12 @@ def test_templates():
     with pytest.raises(ValueError):
         rules.from_template("location-mentions")
     assert rules.from_template("location-mentions", config={"value": "Paris"}).config["value"] == "Paris"
+
+
+def test_phrases_in_one_pass(spark):
+    lists = {"a": ["go", "Golang", "c++", "go"], "b": ["lang", "golang is", "é"], "none": []}
+    texts = ["GOLANG IS fine", "lan g", None, "", "É c+ c++", "gogogo"]
+    rows = with_hits(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string"), F.col("t"), lists).orderBy("i").collect()
+    for row, text in zip(rows, texts):
+        low = (text or "").lower()
+        assert {n: row[n] for n in lists} == {n: [p for p in phrases if p.lower() in low] for n, phrases in lists.items()}
