@@ -70,7 +70,7 @@ class Plan:
     chunking: Chunking
     buckets: int
     groups: int
-    block_bytes: int = 16 << 20
+    block_bytes: int = 12 << 20
 
 
 def gear_hashes(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -33,7 +33,8 @@ def worker_table(make: Callable[[str], object], path: str) -> object:
     """``make(path)``, kept in this worker process from task to task; only one such table is kept."""
     key = (make, path)
     if key not in _kept:
-        _kept.clear()
+        # what the operator before left in this process, table or free memory, goes first
+        release_tables()
         _kept[key] = make(path)
     return _kept[key]
 
