@@ -12,6 +12,7 @@ from lodestack.functions import replies
 from lodestack.functions import vocabulary as V
 from lodestack.functions.text import bound, company_name_key, page_text, redact_urls
 from lodestack.functions.web import corroboration, host_label, is_review_platform, own_site_labels, page_is_about, specificity, specificity_band
+from lodestack.operators.ingest import with_ids
 from lodestack.plugins import Judge
 from lodestack.sources.store import TableStore
 from lodestack.storage import settled
@@ -259,12 +260,32 @@ def save_intel(store: TableStore, rows: DataFrame) -> None:
     store.upsert("company_intel", settled(rows.where("evidence_status <> 'failed'").drop("error")), ["company_name_key"], keep=["review_company_id"])
 
 
+def refresh(
+    store: TableStore, company: str, model: Judge, results: DataFrame, pages: DataFrame, reviews: DataFrame, now_ms: int, use_reviews: bool = False, outcomes: DataFrame | None = None
+) -> DataFrame:
+    """Research one company anew and store it; its stored row. RuntimeError tells why if nothing came of it.
+
+    ``results``, ``pages`` and ``reviews`` are what has landed (see :func:`analyse`);
+    reviews count, and ``outcomes`` of asking for them are stamped on, only if the run
+    opted in.
+    """
+    companies = store.spark.createDataFrame([(company,)], "company string")
+    made = settled(analyse(companies, model, results, pages, reviews if use_reviews else reviews.limit(0)))
+    row = made.first()
+    if row is None:
+        raise ValueError("a company needs a name")
+    if row["evidence_status"] == "failed":
+        raise RuntimeError(row["error"])
+    save_intel(store, stamped(made, now_ms, outcomes if use_reviews else None))
+    return store.read("company_intel").where(F.col("company_name_key") == company_name_key(F.lit(company)))
+
+
 def waiting(requests: DataFrame) -> DataFrame:
     """Companies in the order of their first request: place, company_name_key, company, use_reviews (if any request asks for it)."""
     keyed = requests.withColumn("company_name_key", company_name_key(F.col("company"))).where("company_name_key <> ''")
     once = keyed.groupBy("company_name_key").agg(F.min_by("company", "asked_at").alias("company"), F.min("asked_at").alias("asked_at"), F.max("use_reviews").alias("use_reviews"))
-    order = Window.orderBy("asked_at", "company_name_key")  # the companies that wait, not postings
-    return once.withColumn("place", F.row_number().over(order)).select("place", "company_name_key", "company", "use_reviews")
+    placed = with_ids(once, 0, ["asked_at", "company_name_key"])
+    return placed.select(F.col("posting_id").cast("int").alias("place"), "company_name_key", "company", "use_reviews")
 
 
 def pending(fetched_at_ms: Column, queue: Column, now_ms: int) -> Column:

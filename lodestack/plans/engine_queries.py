@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import text as T
 from lodestack.functions import vocabulary as V
-from lodestack.operators import flags, intel, learning, ranking, rules, scoring, sessions
+from lodestack.operators import flags, intel, learning, ranking, research_queue, rules, scoring, sessions
 from lodestack.plans import oracle
 from lodestack.plans.oracle import over, q
 from lodestack.plans.queries import links, read_pages, reposts_of, scores_of, stored_postings
@@ -250,6 +250,46 @@ def q84_research_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intel.waiting(asked).select("place", "company_name_key", "use_reviews")
 
 
+_QUEUE_EVENTS = """e AS (
+  SELECT event_id, CAST(user_id % 29 AS VARCHAR) AS queue, row_number() OVER (PARTITION BY user_id % 29 ORDER BY ts, event_id) AS n,
+         CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'ask' END AS kind,
+         CASE WHEN event_id % 17 <> 0 THEN regexp_replace(lower(trim(s_name)), '\\s+', ' ', 'g') ELSE '' END AS key, event_type = 'signup' AS r
+  FROM events JOIN supplier ON s_suppkey = event_id % 7 + 1)"""
+_NO_ACTIVE = "s.active IS NULL"
+_HELD = "list_contains(list_transform(s.waiting, lambda x: x.k), key)"
+
+
+@query(f"""WITH RECURSIVE {_QUEUE_EVENTS},
+s AS (
+  SELECT DISTINCT queue, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS state, CAST(NULL AS VARCHAR) AS active, CAST(NULL AS BOOLEAN) AS active_r,
+         CAST([] AS STRUCT(k VARCHAR, r BOOLEAN)[]) AS waiting, CAST([] AS VARCHAR[]) AS failed FROM e
+  UNION ALL
+  SELECT s.queue, e.n, e.event_id,
+    CASE WHEN kind = 'ask' THEN CASE WHEN key <> '' AND ({_NO_ACTIVE} OR s.active = key) THEN 'researching' ELSE 'queued' END END,
+    CASE WHEN kind = 'ask' THEN CASE WHEN key <> '' AND {_NO_ACTIVE} THEN key ELSE s.active END ELSE s.waiting[1].k END,
+    CASE WHEN kind = 'ask' THEN CASE WHEN key <> '' AND {_NO_ACTIVE} THEN r ELSE s.active_r END ELSE s.waiting[1].r END,
+    CASE WHEN kind = 'ask' THEN CASE WHEN key = '' OR {_NO_ACTIVE} OR s.active = key THEN s.waiting
+                                     WHEN {_HELD} THEN list_transform(s.waiting, lambda x: struct_pack(k := x.k, r := x.r OR (x.k = key AND e.r)))
+                                     ELSE list_append(s.waiting, struct_pack(k := key, r := e.r)) END
+         ELSE s.waiting[2:] END,
+    CASE WHEN kind = 'ask' THEN list_filter(s.failed, lambda x: x <> key)
+         WHEN {_NO_ACTIVE} THEN s.failed
+         WHEN kind = 'done' THEN list_filter(s.failed, lambda x: x <> s.active)
+         ELSE list_append(list_filter(s.failed, lambda x: x <> s.active), s.active) END
+  FROM s JOIN e ON e.queue = s.queue AND e.n = s.n + 1)
+SELECT event_id, queue, state, active, active_r AS active_reviews, CAST(len(waiting) AS INTEGER) AS waiting, CAST(len(failed) AS INTEGER) AS failed FROM s WHERE n > 0""")
+def q99_queue_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who is researched, who waits and what failed after each of a sequence of requests and ends, queue by queue."""
+    events, k = _table(spark, sf_dir, "events"), F.col("event_id")
+    company = F.when(k % 17 != 0, F.concat(F.lit(" "), F.when(k % 2 == 0, F.upper("s_name")).otherwise(F.col("s_name")))).otherwise("  ")
+    named = events.join(_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), F.col("s_suppkey") == k % 7 + 1)
+    asked = named.select(
+        (F.col("user_id") % 29).cast("string").alias("queue"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), k.alias("seq"),
+        F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed").otherwise("ask").alias("kind"), company.alias("company"), (F.col("event_type") == "signup").alias("use_reviews"), F.lit("e").alias("error"),
+    )
+    return research_queue.replay(asked).select(F.col("seq").alias("event_id"), "queue", "state", "active", "active_reviews", "waiting", "failed")
+
+
 _COMPANY_PAGES = oracle.PAGES + """, hosts AS (SELECT page_id, label AS company, CASE WHEN page_id % 10 = 3 THEN 'https://www.glassdoor.com/' || label || page_id ELSE url END AS url, title, text FROM paged),
 candidates AS (SELECT company, page_id AS place, title, url, text FROM hosts UNION ALL SELECT b.company, 100000 + a.page_id, a.title, a.url, a.text FROM hosts a JOIN hosts b ON b.page_id = a.page_id + 1 WHERE a.company <> b.company),
 once AS (SELECT company, url, arg_min(title, place) AS title, arg_min(text, place) AS text, min(place) AS place FROM candidates GROUP BY company, url)"""
