@@ -45,6 +45,11 @@ class Sessions:
         row = self.rows().where((F.col("user_id") == user_id) & ~F.col("status").isin("done", "failed")).orderBy("session_id").first()
         return None if row is None else row.asDict()
 
+    def actives(self) -> DataFrame:
+        """The earliest running session of every user who has one."""
+        running = self.rows().where(~F.col("status").isin("done", "failed"))
+        return running.groupBy("user_id").agg(F.min_by(F.struct(*running.columns), "session_id").alias("s")).select("s.*")
+
     def create(self, user_id: str, search: Search, now_ms: int) -> int:
         """Start a session after expired ones are swept; BusyError if the user has one running."""
         if not user_id.strip():

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import text as T
 from lodestack.functions import vocabulary as V
-from lodestack.operators import flags, intel, learning, ranking, research_queue, rules, scoring, sessions
+from lodestack.operators import dedupe, flags, intel, learning, ranking, research_queue, rules, scoring, sessions
+from lodestack.plans import ingest as ingest_plan
 from lodestack.plans import oracle
 from lodestack.plans.oracle import over, q
 from lodestack.plans.queries import links, read_pages, reposts_of, scores_of, stored_postings
 from lodestack.plans.source_queries import scratch_store
+from lodestack.schemas import POSTING, RAW_POSTING
 from lodestack.sources import fixture, reviews
 from lodestack.storage import ready, settled
 
@@ -464,6 +466,70 @@ def q93_outcome_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "supplier").select(F.col("s_name").alias("company"), intel.outcome_line(F.col("s_name"), outcome, k, k % 3 == 0, failure).alias("line"))
 
 
+# the store, from raw postings to scores
+
+
+class GivenVectors:
+    """An embedder that knows each text's vector by the posting's number in it."""
+
+    model, dim = "given", 3
+
+    def embed(self, rows: DataFrame) -> DataFrame:
+        # along one axis for each of three kinds of texts
+        at = F.length("text") % 3
+        return rows.withColumn("vec", F.array(*[F.when(at == i, 1.0).otherwise(0.0) for i in range(3)]))
+
+
+_BATCHES = """b AS (SELECT posting_id AS k, fingerprint, CASE WHEN first_seen_at_ms < 1712534400000 THEN 1 ELSE 2 END AS batch, CAST(posting_id AS VARCHAR) AS external_id FROM p),
+i AS (SELECT *, row_number() OVER (ORDER BY batch, external_id) AS posting_id FROM b),
+l AS (SELECT x.posting_id, max(y.posting_id) AS canonical_id FROM i x JOIN i y ON x.fingerprint = y.fingerprint AND x.batch = 2 AND y.batch = 1 GROUP BY x.posting_id)"""
+
+
+@query(over("""SELECT i.posting_id, external_id, canonical_id, (SELECT count(*) FROM i WHERE batch = 1) AS added_first, (SELECT count(*) FROM i WHERE batch = 2) AS added_then, (SELECT count(*) FROM b) AS fetched_then FROM i LEFT JOIN l USING (posting_id)""", _BATCHES))
+def q101_two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All postings through ingest in two batches, of which the second brings the first one's again: ids, links by fingerprint, and the ledger's counts."""
+    store = scratch_store(spark)
+    raw = settled(fixture.raw_postings(spark, sf_dir))
+    columns = [c.split()[0] for c in RAW_POSTING.split(", ")]
+    first = ingest_plan.ingest(store, raw.where(F.col("first_seen_at_ms") < 1_712_534_400_000).select(columns), 1, GivenVectors()).first()
+    then = ingest_plan.ingest(store, raw.select(columns), 2, GivenVectors()).first()
+    exact = store.read("duplicate_links").where("similarity = 1 and canonical_id is not null").join(store.read("posting_vectors").select("posting_id"), "posting_id", "left_anti")
+    rows = store.read("postings").select("posting_id", "external_id").join(exact.select("posting_id", "canonical_id"), "posting_id", "left")
+    counts = {"added_first": first["added"], "added_then": then["added"], "fetched_then": then["fetched"]}
+    return rows.withColumns({n: F.lit(v).cast("bigint") for n, v in counts.items()})
+
+
+@query(over(f"""SELECT posting_id, CASE WHEN remote_claim = 'onsite' OR NOT coalesce(salary_min >= 40000, FALSE) THEN 'knocked_out' ELSE 'passed' END AS outcome, interview_chance, job_quality, combined, coalesce(n_flags, 0) AS n_flags
+FROM p JOIN scores USING (posting_id) LEFT JOIN (SELECT posting_id, count(*) AS n_flags FROM flagged GROUP BY posting_id) USING (posting_id)""", oracle.SCORES, oracle.BENCH, oracle.COMPARED, oracle.FLAGS))
+def q102_stored_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All postings evaluated, scored and flagged in the store, twice, so that the second time replaces the first."""
+    store, p = scratch_store(spark), stored_postings(spark, sf_dir)
+    columns = [c.split()[0] for c in POSTING.split(", ")]
+    own = links(spark, sf_dir, p)
+    change = store.change()
+    for table, rows in {"postings": p.select(columns), "duplicate_links": own, "repost_counts": dedupe.repost_increments(own, p)}.items():
+        change.append(table, rows, key=ingest_plan.KEYS.get(table, ()))
+    change.commit()
+    chosen = [rules.from_template("no-onsite", rule_id=1), rules.from_template("salary-floor-100k", config={"value": 40000}, rule_id=2)]
+    ingest_plan.evaluate_all(store, [], limit=100)
+    ingest_plan.evaluate_all(store, chosen)
+    ingest_plan.score_all(store, scoring.Profile(), fixture.NOW_MS, limit=100)
+    ingest_plan.score_all(store, scoring.Profile(years=oracle.YEARS), fixture.NOW_MS)
+    n = store.read("flags").groupBy("posting_id").agg(F.count("*").alias("n_flags"))
+    both = store.read("evaluations").select("posting_id", "outcome").join(store.read("scores").select("posting_id", "interview_chance", "job_quality", "combined"), "posting_id")
+    return both.join(n, "posting_id", "left").withColumn("n_flags", F.coalesce("n_flags", F.lit(0)))
+
+
+@query(f"""WITH v AS (SELECT vec_id AS posting_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings), m AS (SELECT 0.25e0 AS intercept, {_statement(7)} AS weights)
+SELECT posting_id, CAST(round_even(100 / (1 + exp(-(intercept + list_dot_product(vec, weights)))), 0) AS INTEGER) AS probability, CAST(12 AS BIGINT) AS n_up, CAST(9 AS BIGINT) AS n_down FROM v, m""")
+def q103_learned_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored model's probabilities of all vectors; one embedding stands for the weights that were learned."""
+    store = scratch_store(spark)
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("posting_id"), F.col("embedding").cast("array<double>").alias("vec"))
+    store.write("learned_model", spark.createDataFrame([(0, 21, 12, 9, 0.25, _embedding(spark, sf_dir, 7))], learning.MODEL))
+    return learning.apply_model(store.read("learned_model", learning.MODEL), vectors)
+
+
 # sessions
 
 _SESSION_SQL = oracle.SQL["q28_session_rank"]
@@ -487,17 +553,23 @@ def q94_session_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.floor((F.col("rank") - 1) / 5).cast("int").alias("page"), "rank", "posting_id", "combined", F.lit(status).alias("status"))
 
 
-@query("""SELECT * FROM (VALUES (CAST(2 AS BIGINT), 'b', 'failed', 'it broke', CAST(0 AS BIGINT)), (CAST(3 AS BIGINT), 'a', 'evaluating', NULL, CAST(1 AS BIGINT))) AS t(session_id, user_id, status, error, swept)""")
+_SESSIONS_SQL = "s AS (SELECT o_orderkey AS session_id, CAST(o_custkey AS VARCHAR) AS user_id, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'scoring' ELSE 'failed' END AS status, epoch_ms(CAST(o_orderdate AS TIMESTAMP)) AS begun FROM orders)"
+
+
+@query(f"""WITH {_SESSIONS_SQL}, kept AS (SELECT * FROM s WHERE begun + 86400000 >= 757382400000)
+SELECT min(session_id) AS session_id, user_id, 'scoring' AS status, arg_min(begun, session_id) AS created_at_ms, (SELECT count(*) FROM kept) AS n_kept FROM kept WHERE status = 'scoring' GROUP BY user_id""")
 def q95_session_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions begin, fail, expire after a day and are swept."""
-    kept, day = sessions.Sessions(scratch_store(spark)), V.SESSION_RETENTION_MS
-    kept.create("a", ranking.Search(), 0)
-    kept.create("b", ranking.Search(), day // 2)
-    kept.update(2, "failed", day, "it broke")
-    kept.create("a", ranking.Search(), day + 1)
-    left = kept.sweep(day + 2)
-    assert left == 0 and kept.get(1) is None
-    return kept.rows().select("session_id", "user_id", "status", "error", (F.col("session_id") == 3).cast("bigint").alias("swept"))
+    """A session for each order: those that expired by the start of 1994 are swept, and each user's earliest running one is found."""
+    kept, orders = sessions.Sessions(scratch_store(spark)), _table(spark, sf_dir, "orders")
+    at = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "scoring").otherwise("failed")
+    rows = orders.select(
+        F.col("o_orderkey").cast("bigint").alias("session_id"), F.col("o_custkey").cast("string").alias("user_id"), status.alias("status"), F.lit("{}").alias("request"), F.lit(None).cast("string").alias("error"),
+        at.alias("created_at_ms"), at.alias("updated_at_ms"), (at + V.SESSION_RETENTION_MS).alias("expires_at_ms"),
+    )
+    kept.store.write("sessions", rows, key=["session_id"])
+    kept.sweep(757_382_400_000)
+    return kept.actives().select("session_id", "user_id", "status", "created_at_ms").withColumn("n_kept", F.lit(kept.rows().count()))
 
 
 @query("""WITH c AS (SELECT c_custkey AS k, ['any', 'remote', 'hybrid', 'onsite', 'moon', NULL][c_custkey % 6 + 1] AS mode, ['any', '60000', '80000', '100000', '120000', '5'][c_custkey % 6 + 1] AS pay, ['any', '0-2', '3-5', '6-9', '10+', NULL][c_custkey % 6 + 1] AS years FROM customer)

@@ -12,8 +12,7 @@ from lodestack.functions import text as T
 from lodestack.functions import vocabulary as V
 from lodestack.functions import web
 from lodestack.operators import dedupe, ingest, intel
-from lodestack.operators.rules import Rule
-from lodestack.operators.scoring import Profile
+from lodestack.operators.rules import KINDS
 from lodestack.plans import oracle
 from lodestack.plans.ingest import run_history
 from lodestack.plans.oracle import over, q
@@ -283,43 +282,59 @@ def scratch_store(spark: SparkSession) -> TableStore:
     return TableStore(ready(spark), f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
 
 
-@query("""SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'On site', 'dealbreaker', TRUE, CAST(1 AS BIGINT)), (CAST(3 AS BIGINT), 'Pay', 'required', FALSE, CAST(0 AS BIGINT))) AS t(rule_id, name, kind, active, place)""")
+_KIND = "CASE c_custkey % 5 WHEN 0 THEN 'required' WHEN 1 THEN 'preferred' WHEN 2 THEN 'dealbreaker' WHEN 3 THEN 'wanted' ELSE 'required' END"
+_SHAPE = "c_custkey % 7"
+_RULE_ERROR = f"""CASE WHEN c_custkey % 11 = 0 THEN 'a rule needs a name' WHEN {_KIND} = 'wanted' THEN 'kind must be one of {", ".join(KINDS)}'
+  WHEN {_SHAPE} = 1 THEN 'patterns must not be empty' WHEN {_SHAPE} = 2 THEN 'a keyword rule needs patterns, or field, operator and value' WHEN {_SHAPE} = 3 THEN 'a semantic rule needs a statement' WHEN {_SHAPE} = 5 THEN 'a judge rule needs a question' END"""
+_RULES_SQL = f"r AS (SELECT c_custkey AS k, c_name AS name, {_KIND} AS kind, {_RULE_ERROR} AS error FROM customer)"
+
+
+def customer_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for each customer; many of them are malformed in one way or another."""
+    k = F.col("c_custkey")
+    shape = k % 7
+    config = F.when(shape == 1, '{"patterns": []}').when(shape == 2, '{"field": "moon", "operator": "=="}').when(shape == 3, '{"statement": " "}').when(shape == 4, '{"statement": "near", "threshold": 0.5}').when(shape == 5, "{}")
+    validator = F.when(shape.isin(3, 4), "semantic").when(shape == 5, "llm_judge").otherwise("keyword")
+    kind = F.when(k % 5 == 1, "preferred").when(k % 5 == 2, "dealbreaker").when(k % 5 == 3, "wanted").otherwise("required")
+    return _table(spark, sf_dir, "customer").select(
+        k.alias("k"), F.when(k % 11 != 0, F.col("c_name")).otherwise(" ").alias("name"), kind.alias("kind"), validator.alias("validator"),
+        F.coalesce(config, F.concat(F.lit('{"patterns": ["p'), k.cast("string"), F.lit('"]}'))).alias("config"), F.lit(True).alias("active"),
+    )
+
+
+@query(f"""WITH {_RULES_SQL}, numbered AS (SELECT row_number() OVER (ORDER BY k) AS rule_id, * FROM r WHERE error IS NULL)
+SELECT rule_id, name, CASE WHEN rule_id % 4 = 0 THEN 'dealbreaker' ELSE kind END AS kind, rule_id % 4 <> 0 AS active, CAST(row_number() OVER (ORDER BY rule_id DESC) AS INTEGER) AS place FROM numbered WHERE kind <> 'preferred'""")
 def q59_rulebook(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules stored, changed, deleted and listed, newest first."""
-    book = settings.Rulebook(scratch_store(spark))
-    onsite = Rule("Remote", "required", "keyword", {"field": "remote_claim", "operator": "==", "value": "remote"})
-    for at, rule in enumerate([onsite, Rule("Gone", "preferred", "keyword", {"patterns": ["x"]}), Rule("Pay", "required", "keyword", {"field": "salary_min", "operator": ">=", "value": 5})]):
-        book.insert(rule, 1000 + at)
-    book.update(1, name="On site", kind="dealbreaker", config={**onsite.config, "value": "onsite"})
-    book.update(3, active=False)
-    assert book.delete(2) and not book.delete(2) and book.update(2, name="x") is None and book.get(2) is None
-    assert [r.rule_id for r in book.active()] == [1] and book.get(1).config["value"] == "onsite"
-    listed = [r["rule_id"] for r in book.listed().collect()]
-    return book.rows().select("rule_id", "name", "kind", "active", F.element_at(F.create_map(*[F.lit(x) for i, r in enumerate(listed) for x in (r, i)]), F.col("rule_id")).cast("bigint").alias("place"))
-
-
-@query("""SELECT * FROM (VALUES ('adzuna/app_id', 'configured 1234'), ('adzuna/app_key', 'missing'), ('city', 'Laval'), ('country', 'ca'), ('enabled', 'hackernews,remoteok'), ('flags off', 'fake_repost'), ('profile years', '4.0'),
-('query', 'none'), ('seeded country', 'de'), ('seeded sources', 'adzuna,arbeitnow,hackernews,remoteok,themuse'), ('remembered', 'none')) AS t(name, value)""")
+    """Rules of all customers stored, every fourth changed, those of one kind deleted, and listed, newest first."""
+    store = scratch_store(spark)
+    book = settings.Rulebook(store)
+    book.insert_rows(customer_rules(spark, sf_dir), ["k"], 1000)
+    store.delete("rules", F.col("kind") == "preferred")
+    fourth = book.rows().where("rule_id % 4 = 0").withColumn("kind", F.lit("dealbreaker")).withColumn("active", F.lit(False))
+    store.upsert("rules", fourth, ["rule_id"])
+    placed = ingest.with_ids(book.rows().withColumn("down", -F.col("rule_id")), 0, ["down"])
+    return placed.select("rule_id", "name", "kind", "active", F.col("posting_id").cast("int").alias("place"))
+
+
+@query(f"""WITH {_RULES_SQL} SELECT coalesce(error, 'accepted') AS told, count(*) AS n FROM r GROUP BY 1""")
+def q100_refused_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What rules are refused for, and how many are accepted."""
+    return settings.with_errors(customer_rules(spark, sf_dir)).groupBy(F.coalesce("error", F.lit("accepted")).alias("told")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'segment' AS scope, CAST(c_custkey AS VARCHAR) AS name, CASE WHEN c_acctbal < 0 THEN '"owes"' ELSE '"' || c_mktsegment || '"' END AS value, CAST(CASE WHEN c_acctbal < 0 THEN 2 ELSE 1 END AS BIGINT) AS updated_at_ms FROM customer WHERE c_nationkey <> 3
+UNION ALL SELECT 'flag', CAST(c_custkey AS VARCHAR), CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END, 1 FROM customer WHERE c_nationkey <> 3""")
 def q60_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Configuration, switches, profile, remembered answers and credentials through the store."""
-    kept = settings.Settings(scratch_store(spark))
-    seeded = kept.ingest_config({"ADZUNA_COUNTRY": " DE", "ADZUNA_APP_ID": "a", "ADZUNA_APP_KEY": "b"}, 1)
-    saved = kept.save_ingest_config(settings.changed(seeded, {"city": " Laval ", "country": "CA", "query": "", "enabled": ["remoteok", "hackernews", "gone"]}), 2)
-    assert saved == kept.ingest_config({}, 3)
-    kept.set_flag("fake_repost", False, 4)
-    kept.save_profile(Profile("python", 4.0), 5)
-    kept.put("answers", "user", {"city": "x"}, 6)
-    assert kept.get("answers", "user") == {"city": "x"} and kept.forget("answers", "user") and not kept.forget("answers", "user")
-    kept.save_credential("adzuna", "app_id", "secret-1234", 7)
-    kept.save_credential("adzuna", "app_key", "other", 8)
-    assert kept.delete_credential("adzuna", "app_key")
-    said = {f"{s}/{f}": f"configured {hint}" if there else "missing" for s, f, there, hint in settings.credential_status(kept.credentials())}
-    off = ",".join(t for t, on in kept.flags().items() if not on)
-    rows = {
-        **said, "city": saved.city, "country": saved.country, "enabled": ",".join(sorted(saved.enabled)), "query": saved.query or "none", "seeded country": seeded.country, "seeded sources": ",".join(sorted(seeded.enabled)),
-        "flags off": off, "profile years": str(kept.profile().years), "remembered": kept.get("answers", "user") or "none",
-    }
-    return spark.createDataFrame(list(rows.items()), "name string, value string")
+    """Values of all customers in two scopes, changed where an account is overdrawn, forgotten for one nation."""
+    kept, customer = settings.Settings(scratch_store(spark)), _table(spark, sf_dir, "customer")
+    at = lambda n: F.lit(n).cast("bigint").alias("updated_at_ms")
+    name, segment = F.col("c_custkey").cast("string").alias("name"), F.concat(F.lit('"'), F.col("c_mktsegment"), F.lit('"'))
+    kept.put_rows(customer.select(F.lit("segment").alias("scope"), name, segment.alias("value"), at(1)).unionByName(customer.select(F.lit("flag").alias("scope"), name, (F.col("c_custkey") % 2 == 0).cast("string").alias("value"), at(1))))
+    kept.put_rows(customer.where("c_acctbal < 0").select(F.lit("segment").alias("scope"), name, F.lit('"owes"').alias("value"), at(2)))
+    gone = customer.where("c_nationkey = 3").select(name)
+    both = gone.withColumn("scope", F.lit("segment")).unionByName(gone.withColumn("scope", F.lit("flag")))
+    kept.store.replace_groups("settings", kept.store.read("settings").limit(0), both, ["scope", "name"])
+    return kept.store.read("settings")
 
 
 @query("SELECT c_custkey, c_name, c_mktsegment AS segment, CAST(NULL AS DOUBLE) AS later FROM customer")
@@ -360,19 +375,22 @@ def q64_conforming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conforming(_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("bigint").alias("posting_id"), "s_name"), DUPLICATE_LINK)
 
 
-@query("""SELECT * FROM (VALUES ('country', 'fr'), ('credentials', 'key two'), ('env pages', '3'), ('place', 'Lyon, Rhône'), ('query', 'python'), ('sources', 'hackernews,adzuna')) AS t(name, value)""")
+_LAYER_TEXTS = "c_custkey AS k, CASE WHEN c_custkey % 4 = 1 THEN 'python ' || c_custkey ELSE lower(c_mktsegment) END AS query, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS city, CASE WHEN c_custkey % 3 <> 0 AND c_nationkey % 2 = 0 THEN 'P' || c_nationkey END AS province"
+
+
+@query(f"""SELECT k, query, CASE WHEN k % 5 = 0 THEN 'fr' WHEN k % 6 = 1 THEN 'us' ELSE 'ca' END AS country, CASE WHEN city IS NULL THEN NULL WHEN province IS NULL THEN city ELSE city || ', ' || province END AS place FROM (SELECT {_LAYER_TEXTS} FROM customer)""")
 def q65_config_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Environment, stored and request layers of the ingest configuration, the last one that sets a field winning."""
-    layers = [
-        settings.defaults_of({"ADZUNA_WHAT": "java", "ADZUNA_APP_ID": "one", "ADZUNA_APP_KEY": "key"}), landing.IngestConfig(("hackernews", "adzuna"), None, "Lyon ", " Rhône", "FR", None, {"adzuna": {"app_key": "two", "app_id": ""}}),
-        landing.IngestConfig(query=" python "),
-    ]
-    made = landing.resolve(*layers)
-    rows = {
-        "query": made.query, "country": made.country, "place": landing.place(made), "credentials": f"key {made.credentials['adzuna']['app_key']}", "env pages": str(settings.pages_of({"ADZUNA_MAX_PAGES": "3"})),
-        "sources": ",".join(s.name for s in sorted(landing.chosen_sources(made), key=lambda s: s.name != "hackernews")),
-    }
-    return spark.createDataFrame(list(rows.items()), "name string, value string")
+    """Environment, stored and request layers of each customer's ingest configuration, the last one that sets a field winning."""
+    k, none = F.col("c_custkey"), F.lit(None).cast("string")
+
+    def layer(number: int, **texts: Column) -> DataFrame:
+        every = [texts.get(n, none).alias(n) for n in ("query", "city", "province", "country", "category")]
+        return _table(spark, sf_dir, "customer").select(k.alias("k"), F.lit(number).alias("layer"), *every)
+
+    layers = layer(1, query=F.lower("c_mktsegment"), country=F.when(k % 6 != 1, " CA "))
+    layers = layers.unionByName(layer(2, query=F.lit(" "), city=F.when(k % 3 != 0, F.concat("c_name", F.lit(" "))), province=F.when((k % 3 != 0) & (F.col("c_nationkey") % 2 == 0), F.concat(F.lit(" P"), F.col("c_nationkey").cast("string")))))
+    layers = layers.unionByName(layer(3, query=F.when(k % 4 == 1, F.concat(F.lit(" python "), k.cast("string"))), country=F.when(k % 5 == 0, "FR")))
+    return landing.resolved(layers, "k").select("k", "query", "country", "place")
 
 
 @query("""WITH w AS (SELECT user_id, unnest(generate_series(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') - INTERVAL 6 DAY, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01'), INTERVAL 1 DAY)) AS start FROM events)

@@ -172,6 +172,23 @@ def resolve(*layers: IngestConfig) -> IngestConfig:
     return IngestConfig(**made, credentials=credentials)
 
 
+def resolved(layers: DataFrame, owner: str = "owner") -> DataFrame:
+    """:func:`resolve` for many owners at once: ``owner``, query, city, province, country, category and place.
+
+    ``layers`` has ``owner``, layer (a later one has a larger number) and the five
+    texts; of each the last layer counts that sets it.
+    """
+    names = ("query", "city", "province", "country", "category")
+
+    def last_set(name: str) -> Column:
+        text = blank_to_null(F.trim(name))
+        return F.max(F.when(text.isNotNull(), F.struct("layer", text.alias("text")))).text.alias(name)
+
+    made = layers.groupBy(owner).agg(*[last_set(n) for n in names])
+    place_of = blank_to_null(F.concat_ws(", ", "city", "province"))
+    return made.withColumn("country", F.lower(F.coalesce("country", F.lit("us")))).withColumn("place", place_of)
+
+
 def muse_category(field: Column) -> Column:
     """One board's category for what a user writes; null for a field it doesn't know, as it would answer with nothing."""
     table = F.create_map(*[F.lit(x) for pair in V.MUSE_CATEGORIES.items() for x in pair])

@@ -6,18 +6,22 @@ Each is a table of few rows in the store, read to the driver by key.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import asdict, replace
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lodestack.functions import vocabulary as V
+from lodestack.operators.ingest import with_ids
 from lodestack.operators.rules import Rule
 from lodestack.operators.scoring import Profile
 from lodestack.sources.landing import SOURCES, IngestConfig, resolve
 from lodestack.sources.store import TableStore
+from lodestack.storage import ready, settled
 
 RULE = "rule_id bigint, name string, kind string, validator string, config string, active boolean, created_at_ms bigint"
 SETTING = "scope string, name string, value string, updated_at_ms bigint"
@@ -28,6 +32,25 @@ def rule_of(row: Any) -> Rule:
     return Rule(row["name"], row["kind"], row["validator"], json.loads(row["config"]), row["rule_id"], bool(row["active"]))
 
 
+def with_errors(rows: DataFrame) -> DataFrame:
+    """``rows`` (name, kind, validator, config as JSON) with ``error``: null for a valid rule, or what is wrong with it."""
+
+    def told(name: Any, kind: Any, validator: Any, config: Any) -> str | None:
+        try:
+            Rule(name, kind, validator, json.loads(config) if config is not None else None).checked()
+        except (ValueError, TypeError) as error:
+            return "config is not JSON" if isinstance(error, json.JSONDecodeError) else str(error)
+        return None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            parts = frame[["name", "kind", "validator", "config"]].astype(object).where(lambda f: f.notna(), None)
+            yield frame.assign(error=[told(*row) for row in parts.itertuples(index=False, name=None)])
+
+    ready(rows.sparkSession)
+    return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField("error", StringType())]))
+
+
 class Rulebook:
     """Users' rules in the table ``rules``."""
 
@@ -48,6 +71,18 @@ class Rulebook:
         last = self.rows().agg(F.max("rule_id")).first()[0] or 0
         return self._put(replace(rule, rule_id=last + 1), now_ms)
 
+    def insert_rows(self, rows: DataFrame, order: list[str], now_ms: int) -> DataFrame:
+        """Store the valid ones of many new rules (columns of RULE but for rule_id and created_at_ms) under the next ids, in ``order``.
+
+        Returns all ``rows`` with ``error``: null, or why a rule was refused.
+        """
+        judged = settled(with_errors(rows))
+        change = self.store.change()
+        last = change.read_or_empty("rules", RULE).agg(F.max("rule_id")).first()[0] or 0
+        made = with_ids(judged.where("error is null"), last, order).withColumnRenamed("posting_id", "rule_id").withColumn("created_at_ms", F.lit(now_ms).cast("bigint"))
+        change.upsert("rules", made.select([c.split()[0] for c in RULE.split(", ")]), ["rule_id"]).commit()
+        return judged
+
     def get(self, rule_id: int) -> Rule | None:
         row = self.rows().where(F.col("rule_id") == rule_id).first()
         return None if row is None else rule_of(row)
@@ -92,6 +127,10 @@ class Settings:
         self.store.upsert("settings", row, ["scope", "name"])
         return value
 
+    def put_rows(self, rows: DataFrame) -> None:
+        """Store many values at once (columns of SETTING, value as JSON)."""
+        self.store.upsert("settings", rows.select([c.split()[0] for c in SETTING.split(", ")]), ["scope", "name"])
+
     def forget(self, scope: str, name: str) -> bool:
         """Whether there was such a value."""
         return self.store.exists("settings") and self.store.delete("settings", (F.col("scope") == scope) & (F.col("name") == name)) > 0

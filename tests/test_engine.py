@@ -146,6 +146,21 @@ def test_learning_gate_and_model(spark):
     assert got[1] > 80 and got[2] < 30
 
 
+def test_model_is_fitted_once_per_labels(spark, tmp_path, monkeypatch):
+    store, fitted = TableStore(spark, str(tmp_path)), []
+    fit = learning.fit
+    monkeypatch.setattr(learning, "fit", lambda rows: fitted.append(1) or fit(rows))
+    rated = spark.createDataFrame([(i, [1.0, 0.1 * i] if i % 2 else [0.0, 1.0], "up" if i % 2 else "down") for i in range(30)], "posting_id bigint, vec array<double>, label string")
+    model = learning.stored_model(store, rated)
+    again = learning.stored_model(store, rated.repartition(3))
+    assert model.first() == again.first() and len(fitted) == 1
+    more = rated.unionByName(spark.createDataFrame([(40, [1.0, 0.0], "down")], rated.schema))
+    assert learning.stored_model(store, more).first()["n_down"] == 16 and len(fitted) == 2
+    assert learning.stored_model(TableStore(spark, str(tmp_path / "other")), rated.limit(3)) is None
+    known = learning.learned_match(rated, rated).where("posting_id in (0, 1)").orderBy("posting_id").collect()
+    assert known[0]["probability"] < 50 < known[1]["probability"]
+
+
 class Yes:
     def complete(self, prompt, max_tokens):
         return '{"verdict": "pass", "evidence": ""}'

@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 from lodestack import models
 from lodestack.functions import replies
+from lodestack.functions import vocabulary as V
 from lodestack.operators import ranking, sessions
-from lodestack.sources import settings
+from lodestack.operators.rules import Rule
+from lodestack.operators.scoring import Profile
+from lodestack.sources import landing, settings
+from lodestack.sources.store import TableStore
 from lodestack.storage import shared_folder
 
 
@@ -117,3 +121,59 @@ def test_pages_of_cards_fit(spark):
 
 def test_shared_folder(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_rulebook(spark, tmp_path):
+    book = settings.Rulebook(TableStore(spark, str(tmp_path)))
+    onsite = Rule("Remote", "required", "keyword", {"field": "remote_claim", "operator": "==", "value": "remote"})
+    for at, rule in enumerate([onsite, Rule("Gone", "preferred", "keyword", {"patterns": ["x"]}), Rule("Pay", "required", "keyword", {"field": "salary_min", "operator": ">=", "value": 5})]):
+        book.insert(rule, 1000 + at)
+    book.update(1, name="On site", kind="dealbreaker", config={**onsite.config, "value": "onsite"})
+    book.update(3, active=False)
+    assert book.delete(2) and not book.delete(2) and book.update(2, name="x") is None and book.get(2) is None
+    assert [r.rule_id for r in book.active()] == [1] and book.get(1).config["value"] == "onsite"
+    assert [r["rule_id"] for r in book.listed().collect()] == [3, 1]
+    rows = spark.createDataFrame([(2, "b", "required", "keyword", '{"patterns": ["x"]}', True), (1, "a", "preferred", "keyword", '{"patterns": ["y"]}', True), (3, None, "required", "keyword", "{}", True), (4, "d", "required", "keyword", "{", True)], "k int, name string, kind string, validator string, config string, active boolean")
+    told = {r["k"]: r["error"] for r in book.insert_rows(rows, ["k"], 5000).collect()}
+    assert told == {1: None, 2: None, 3: "a rule needs a name", 4: "config is not JSON"}
+    assert [(r["rule_id"], r["name"]) for r in book.listed().collect()] == [(5, "b"), (4, "a"), (3, "Pay"), (1, "On site")]
+
+
+def test_stored_settings(spark, tmp_path):
+    kept = settings.Settings(TableStore(spark, str(tmp_path)))
+    seeded = kept.ingest_config({"ADZUNA_COUNTRY": " DE", "ADZUNA_APP_ID": "a", "ADZUNA_APP_KEY": "b"}, 1)
+    assert seeded.country == "de" and sorted(seeded.enabled) == ["adzuna", "arbeitnow", "hackernews", "remoteok", "themuse"]
+    saved = kept.save_ingest_config(settings.changed(seeded, {"city": " Laval ", "country": "CA", "query": "", "enabled": ["remoteok", "hackernews", "gone"]}), 2)
+    assert saved == kept.ingest_config({}, 3) and (saved.city, saved.country, saved.query, sorted(saved.enabled)) == ("Laval", "ca", None, ["hackernews", "remoteok"])
+    kept.set_flag("fake_repost", False, 4)
+    kept.save_profile(Profile("python", 4.0), 5)
+    kept.put("answers", "user", {"city": "x"}, 6)
+    assert kept.get("answers", "user") == {"city": "x"} and kept.forget("answers", "user") and not kept.forget("answers", "user") and kept.get("answers", "user") is None
+    kept.save_credential("adzuna", "app_id", "secret-1234", 7)
+    kept.save_credential("adzuna", "app_key", "other", 8)
+    assert kept.delete_credential("adzuna", "app_key")
+    assert settings.credential_status(kept.credentials()) == [("adzuna", "app_id", True, "1234"), ("adzuna", "app_key", False, None)]
+    assert [t for t, on in kept.flags().items() if not on] == ["fake_repost"] and kept.profile().years == 4.0
+
+
+def test_config_layers():
+    layers = [
+        settings.defaults_of({"ADZUNA_WHAT": "java", "ADZUNA_APP_ID": "one", "ADZUNA_APP_KEY": "key"}), landing.IngestConfig(("hackernews", "adzuna"), None, "Lyon ", " Rhône", "FR", None, {"adzuna": {"app_key": "two", "app_id": ""}}),
+        landing.IngestConfig(query=" python "),
+    ]
+    made = landing.resolve(*layers)
+    assert (made.query, made.country, landing.place(made), made.credentials["adzuna"]) == ("python", "fr", "Lyon, Rhône", {"app_id": "one", "app_key": "two"})
+    assert {s.name for s in landing.chosen_sources(made)} == {"adzuna", "hackernews"} and settings.pages_of({"ADZUNA_MAX_PAGES": "3"}) == 3
+
+
+def test_sessions_begin_fail_and_expire(spark, tmp_path):
+    kept, day = sessions.Sessions(TableStore(spark, str(tmp_path))), V.SESSION_RETENTION_MS
+    kept.create("a", ranking.Search(), 0)
+    kept.create("b", ranking.Search(), day // 2)
+    with pytest.raises(sessions.BusyError):
+        kept.create("b", ranking.Search(), day // 2)
+    kept.update(2, "failed", day, "it broke")
+    kept.create("a", ranking.Search(), day + 1)
+    assert kept.sweep(day + 2) == 0 and kept.get(1) is None
+    assert {(r["session_id"], r["user_id"], r["status"], r["error"]) for r in kept.rows().collect()} == {(2, "b", "failed", "it broke"), (3, "a", "evaluating", None)}
+    assert [r["session_id"] for r in kept.actives().collect()] == [3]
