@@ -39,7 +39,11 @@ from lodestack.llm.common import prepare, segments, text_slices, worker_table
 TABLE_ENTRIES, TABLE_BYTES = 400_000, 32 << 20
 PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 IDS_SCHEMA = PIECES_SCHEMA + ", ids binary"
-PACKED_SCHEMA = PIECES_SCHEMA + ", sequence_id long, offset long"
+PACKED_SCHEMA = PIECES_SCHEMA + ", sequence_id long, offset long, optimal boolean"
+#: Fillings that a group's search looks at.
+NODE_LIMIT = 6_000
+#: Texts by which a vocabulary is told to be one that :class:`WordIds` can take apart.
+PROBES = ("", "a", "Hello, World. don't", " two  spaces\nand a line ", "Été über ÀÉ", "1,234.5 a.. b.,", "<|endoftext|> x", "日本 é́ ﬁ", "under_score e-mail@x.org", "İstanbul ΣΑΣ")
 
 
 #: The letter by which a byte-level vocabulary writes a byte: itself where it can be seen, else the next one from 256 on.
@@ -69,6 +73,9 @@ class WordIds:
         self.older: dict[str, bytes] = {}
         self.letters = 0
         self.marks = {m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in ("", ".", ",")}
+        for text in PROBES:
+            if self.ids(text) != array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes():
+                raise ValueError(f"{path}: words of this vocabulary can't be encoded one by one, see {text!r}")
 
     @staticmethod
     def _core(word: str) -> tuple[str, str]:
@@ -290,20 +297,26 @@ class _Stock:
         return bool((reached | several | several << waste) & others)
 
 
-def bin_completion(sizes: list[int], capacity: int, node_limit: int = 6_000) -> list[list[int]]:
-    """Bins of indexes into ``sizes``; never more bins than best-fit decreasing gives.
+def bin_completion(sizes: list[int], capacity: int, node_limit: int | None = NODE_LIMIT) -> list[list[int]]:
+    """The bins of :func:`completed_bins`."""
+    return completed_bins(sizes, capacity, node_limit)[0]
+
+
+def completed_bins(sizes: list[int], capacity: int, node_limit: int | None = NODE_LIMIT) -> tuple[list[list[int]], bool]:
+    """Bins of indexes into ``sizes``, never more than best-fit decreasing gives, and whether fewer are known to be impossible.
 
     Depth-first over sequences: each level completes the sequence begun by the
     largest open piece by every undominated filling whose waste still allows
     fewer sequences than the incumbent. The result is optimal unless the search
-    ends by ``node_limit`` (fillings looked at, dominated ones too), with the
-    best solution found so far.
+    ends by ``node_limit`` (fillings looked at, dominated ones too; None for no
+    limit), with the best solution found so far.
     """
     incumbent = best_fit_decreasing(sizes, capacity)
     total = sum(sizes)
     bound = -(-total // capacity)
     if len(incumbent) <= bound:
-        return incumbent
+        return incumbent, True
+    limit = float("inf") if node_limit is None else node_limit
     stock, path, stack, waste, nodes = _Stock(sizes), [], [], 0, 0
     allowed = (len(incumbent) - 1) * capacity - total
     best: list[tuple[int, ...]] | None = None
@@ -320,7 +333,7 @@ def bin_completion(sizes: list[int], capacity: int, node_limit: int = 6_000) ->
 
     stack.append(options())
     while stack:
-        chosen = next(stack[-1], ()) if nodes < node_limit else ()
+        chosen = next(stack[-1], ()) if nodes < limit else ()
         nodes += 1
         if chosen is None:
             continue
@@ -331,7 +344,7 @@ def bin_completion(sizes: list[int], capacity: int, node_limit: int = 6_000) ->
                 waste -= capacity - sum(done)
                 for s in done:
                     stock.put(s)
-            if nodes >= node_limit:
+            if nodes >= limit:
                 break
             continue
         for s in chosen:
@@ -347,15 +360,16 @@ def bin_completion(sizes: list[int], capacity: int, node_limit: int = 6_000) ->
             break
         allowed = (len(best) - 1) * capacity - total
         stack.append(iter(()))
+    optimal = nodes < limit or best is not None and len(best) <= bound
     if best is None:
-        return incumbent
+        return incumbent, optimal
     by_size: dict[int, list[int]] = {}
     for i, s in enumerate(sizes):
         by_size.setdefault(s, []).append(i)
-    return [[by_size[s].pop() for s in chosen] for chosen in best]
+    return [[by_size[s].pop() for s in chosen] for chosen in best], optimal
 
 
-def _packer(capacity: int, node_limit: int) -> Callable[[pa.Table], pa.Table]:
+def _packer(capacity: int, node_limit: int | None) -> Callable[[pa.Table], pa.Table]:
     def pack(table: pa.Table) -> pa.Table:
         sizes = table.column("length").to_pylist()
         group = table.column("pack_group")[0].as_py()
@@ -363,22 +377,25 @@ def _packer(capacity: int, node_limit: int) -> Callable[[pa.Table], pa.Table]:
         full = [i for i, s in enumerate(sizes) if s >= capacity]
         rest = [i for i, s in enumerate(sizes) if s < capacity]
         sequence[full] = (group << 32) + np.arange(len(full))
-        for b, members in enumerate(bin_completion([sizes[i] for i in rest], capacity, node_limit)):
+        bins, optimal = completed_bins([sizes[i] for i in rest], capacity, node_limit)
+        for b, members in enumerate(bins):
             at = 0
             for k in members:
                 i = rest[k]
                 sequence[i], offset[i] = (group << 32) + len(full) + b, at
                 at += sizes[i]
-        return table.drop_columns(["pack_group"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        placed = table.drop_columns(["pack_group"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        return placed.append_column("optimal", pa.array([optimal] * len(sizes), pa.bool_()))
 
     return pack
 
 
-def pack(pieces: DataFrame, documents: int, capacity: int = 4096, group_documents: int = 4096, node_limit: int = 6_000) -> DataFrame:
+def pack(pieces: DataFrame, documents: int, capacity: int = 4096, group_documents: int = 4096, node_limit: int | None = NODE_LIMIT) -> DataFrame:
     """Place pieces (columns of :func:`token_pieces`) into sequences.
 
     ``documents`` is their documents' number, from which the number of groups
-    follows. Adds sequence_id and offset.
+    follows. Adds sequence_id, offset and optimal: whether the piece's group is known
+    to need as many sequences as it got, or its search ended by ``node_limit``.
     """
     prepare(pieces.sparkSession)
     groups = max(1, -(-documents // group_documents))
@@ -391,6 +408,6 @@ def pack(pieces: DataFrame, documents: int, capacity: int = 4096, group_document
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """Tokenise, cut and pack ``docs`` (doc_id, text): one row per piece."""
-    return pack(token_pieces(docs, tokenizer_path, capacity, end_id), docs.count(), capacity)
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, group_documents: int = 4096, node_limit: int | None = NODE_LIMIT) -> DataFrame:
+    """Tokenise, cut and pack ``docs`` (doc_id, text): one row per piece, see :func:`pack`."""
+    return pack(token_pieces(docs, tokenizer_path, capacity, end_id), docs.count(), capacity, group_documents, node_limit)

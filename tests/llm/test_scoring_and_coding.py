@@ -111,6 +111,19 @@ def test_fillings_are_the_undominated_ones(sizes, room):
     assert [sum(f) for f in made] == sorted((sum(f) for f in made), reverse=True)
 
 
+def test_search_tells_whether_it_came_to_its_end():
+    sizes = [7, 6, 6, 5, 5, 5, 4, 4, 3, 3]
+    bins, optimal = packing.completed_bins(sizes, 12, None)
+    assert optimal and len(bins) == 4
+    sizes = [(34, 35, 36)[i % 3] for i in range(40)]
+    assert [packing.completed_bins(sizes, 100, limit)[1] for limit in (1, None)] == [False, True]
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError, match="one by one"):
+        packing.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_bin_completion_beats_best_fit():
     sizes = [7, 7, 6, 6, 5, 5, 4, 4, 3, 3]  # five bins of 10; best-fit decreasing finds them as well
     assert len(packing.bin_completion(sizes, 10)) == 5
