@@ -18,7 +18,7 @@ from lodestack.plans.ingest import run_history
 from lodestack.plans.oracle import over, q
 from lodestack.plans.queries import read_pages, stored_postings
 from lodestack.schemas import DUPLICATE_LINK
-from lodestack.sources import fixture, landing, settings
+from lodestack.sources import boards, fixture, landing, settings
 from lodestack.sources.store import TableStore, conforming, upserted
 from lodestack.storage import ready, shared_folder
 from lodestack.streaming.events import session_counts, sliding_counts
@@ -99,7 +99,13 @@ LANDED = {"adzuna": adzuna_pages, "hackernews": hn_threads, "remoteok": remoteok
 
 
 def _read(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
-    return landing.SOURCES[source].read(LANDED[source](spark, sf_dir))
+    """The source's postings, its records landed as eight pages and read by the data source."""
+    folder = f"{shared_folder(ready(spark))}/zone-{uuid.uuid4().hex}"
+    landed = LANDED[source](spark, sf_dir)
+    page = (F.pmod(F.xxhash64(F.to_json(F.struct(*landed.columns))), F.lit(8)) + 1).cast("int")
+    landed.select(page.alias("page"), F.to_json(F.struct(*landed.columns)).alias("value")).write.partitionBy("page").text(folder)
+    pages = boards.register(spark).read.format(boards.FORMAT).option("path", folder).load()
+    return landing.SOURCES[source].read(boards.records(landing.SOURCES[source], pages, walked=False))
 
 
 SHOWN = ["source", "external_id", "title", "company_name", "url", "posted_at_ms", "location_raw", "salary_min", "salary_max", "salary_currency"]
