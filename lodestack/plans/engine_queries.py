@@ -310,25 +310,25 @@ def _candidates(hosts: DataFrame) -> DataFrame:
     return hosts.select("company", F.col("page_id").alias("place"), "title", "url", "text").unionByName(wrong)
 
 
-def _about(name: str) -> str:
-    """SQL that tells whether a page is about a company of one plain word."""
-    return f"""(coalesce({oracle._phrase(oracle._plain("title || ' ' || url"), name)}, FALSE) OR coalesce({oracle._phrase(oracle._plain("substr(text, 1, 3000)"), name)}, FALSE))"""
-
-
-_VERIFIED = _COMPANY_PAGES + f""", about AS (SELECT *, regexp_matches(regexp_extract(lower(url), '://([^/?#]*)', 1), 'glassdoor\\.|indeed\\.') AS platform FROM once WHERE company <> '' AND ({_about(oracle._plain('company'))}
-  OR (len(list_filter(string_split({oracle._plain('company')}, ' '), lambda x: len(x) >= 4)) > 0 AND {oracle._phrase(oracle._plain("title || ' ' || url"), f"list_sort(string_split({oracle._plain('company')}, ' '), 'DESC')[1]")} AND FALSE))),
+_NAMED = f"""named AS (SELECT *, {oracle._plain('company')} AS name, {oracle._plain("title || ' ' || url")} AS head, {oracle._plain("substr(text, 1, 3000)")} AS early FROM once WHERE company <> ''),
+tokened AS (SELECT *, list_filter(string_split(name, ' '), lambda x: x <> '' AND NOT list_contains([{', '.join(map(q, V.COMPANY_FORM_TOKENS))}], x)) AS tokens FROM named),
+measured AS (SELECT *, list_transform(tokens, lambda x: len(x)) AS sizes, array_to_string(list_transform(tokens, lambda x: x[1]), '') AS acronym FROM tokened),
+longest AS (SELECT *, tokens[list_position(sizes, list_max(sizes))] AS longest FROM measured)"""
+_VERIFIED = _COMPANY_PAGES + f""", {_NAMED},
+about AS (SELECT *, regexp_matches(regexp_extract(lower(url), '://([^/?#]*)', 1), 'glassdoor\\.|indeed\\.') AS platform FROM longest
+  WHERE coalesce(name <> '' AND ({oracle._phrase("head", "name")} OR {oracle._phrase("early", "name")} OR (len(longest) >= 4 AND {oracle._phrase("head", "longest")}) OR (len(tokens) >= 2 AND {oracle._phrase("head", "acronym")})), FALSE)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY CASE WHEN platform THEN 0 ELSE 1 END, place, url) AS rank FROM about)"""
 
 
-@query(_VERIFIED + " SELECT company, CAST(rank AS INTEGER) AS rank, url FROM ranked WHERE rank <= 9 AND NOT contains(company, '-')")
+@query(_VERIFIED + " SELECT company, CAST(rank AS INTEGER) AS rank, url FROM ranked WHERE rank <= 9")
 def q85_verified_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intel.verified_pages(_candidates(_hosts(spark, sf_dir))).where(~F.contains("company", F.lit("-"))).select("company", "rank", "url")
+    return intel.verified_pages(_candidates(_hosts(spark, sf_dir))).select("company", "rank", "url")
 
 
 _ITEMS = """i AS (SELECT page_id, label AS company, CASE WHEN page_id % 2 = 0 THEN 'positive' ELSE 'negative' END AS section, CASE WHEN page_id % 13 = 0 THEN ' ' ELSE 'claim ' || page_id END AS claim,
   [5, 3, 0, 5, 0, 0][page_id % 6 + 1] AS level, [1, 250, 1, 10000000, 100][page_id % 5 + 1] AS weight, CASE page_id % 5 WHEN 4 THEN NULL ELSE page_id % 5 END AS evidence_index FROM paged),
 e AS (SELECT DISTINCT label AS company, n AS evidence_index, 'source ' || n AS title, CASE n WHEN 1 THEN 'https://blog.' || label || '.com/x' ELSE 'https://news.org/' || n END AS url FROM paged, (VALUES (1), (2), (3)) AS t(n)),
-c AS (SELECT i.*, e.title, e.url, row_number() OVER (PARTITION BY i.company, section ORDER BY level DESC, weight DESC, page_id) AS rank FROM i JOIN e USING (company, evidence_index) WHERE trim(claim) <> '' AND e.evidence_index <> 1),
+c AS (SELECT i.*, e.title, e.url, row_number() OVER (PARTITION BY i.company, section ORDER BY level DESC, weight DESC, page_id) AS rank FROM i JOIN e USING (company, evidence_index) WHERE trim(claim) <> '' AND (e.evidence_index <> 1 OR contains(company, '-'))),
 k AS (SELECT *, CASE WHEN level >= 4 THEN 'high' WHEN level >= 2 THEN 'medium' ELSE 'generic' END AS band FROM c WHERE rank <= 3)"""
 
 
@@ -347,16 +347,16 @@ def _claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return items, evidence
 
 
-@query(oracle.PAGES + ", " + _ITEMS + " SELECT company, section, CAST(rank AS INTEGER) AS rank, claim, band, CAST(weight AS INTEGER) AS corroboration, title AS source_title, url AS source_url FROM k WHERE NOT contains(company, '-')")
+@query(oracle.PAGES + ", " + _ITEMS + " SELECT company, section, CAST(rank AS INTEGER) AS rank, claim, band, CAST(weight AS INTEGER) AS corroboration, title AS source_title, url AS source_url FROM k")
 def q86_cited_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims that cite evidence which exists and isn't the company's own; the three most telling of each section."""
-    made = intel.cited_items(*_claims(spark, sf_dir)).where(~F.contains("company", F.lit("-")))
+    made = intel.cited_items(*_claims(spark, sf_dir))
     return made.select("company", "section", "rank", "claim", "band", "corroboration", "source_title", "source_url")
 
 
-@query(oracle.PAGES + ", " + _ITEMS + " SELECT company, count(*) FILTER (band = 'generic') >= 2 AND count(*) FILTER (band = 'generic' AND weight >= 100) > 0 AS praise_cluster FROM k WHERE section = 'positive' AND NOT contains(company, '-') GROUP BY company")
+@query(oracle.PAGES + ", " + _ITEMS + " SELECT company, count(*) FILTER (band = 'generic') >= 2 AND count(*) FILTER (band = 'generic' AND weight >= 100) > 0 AS praise_cluster FROM k WHERE section = 'positive' GROUP BY company")
 def q87_praise_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intel.praise_clusters(intel.cited_items(*_claims(spark, sf_dir))).where(~F.contains("company", F.lit("-")))
+    return intel.praise_clusters(intel.cited_items(*_claims(spark, sf_dir)))
 
 
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -434,7 +434,7 @@ def _landed(hosts: DataFrame) -> DataFrame:
 
 
 @query(_VERIFIED.replace("once AS (SELECT company, url, arg_min(title, place) AS title, arg_min(text, place) AS text, min(place) AS place FROM candidates GROUP BY company, url)", "once AS (SELECT company, url, arg_min(title, page_id) AS title, any_value(text) AS text, min(page_id) AS place FROM hosts WHERE page_id % 10 <> 3 AND company <> '' GROUP BY company, url)") + """,
-c AS (SELECT DISTINCT company, length(company) % 5 AS kind FROM hosts WHERE company <> '' AND NOT contains(company, '-')), n AS (SELECT company, least(9, count(*)) AS n FROM ranked GROUP BY company)
+c AS (SELECT DISTINCT company, length(company) % 5 AS kind FROM hosts WHERE company <> ''), n AS (SELECT company, least(9, count(*)) AS n FROM ranked GROUP BY company)
 SELECT company, CASE WHEN kind = 4 THEN 'failed' WHEN n IS NULL THEN 'insufficient' WHEN kind = 2 THEN 'failed' ELSE 'sufficient' END AS evidence_status, CASE WHEN kind IN (2, 4) OR n IS NULL THEN '' ELSE company || ' does things' END AS summary,
   CASE WHEN kind IN (2, 4) OR n IS NULL THEN 'unknown' ELSE 'mixed' END AS sentiment, CASE WHEN kind IN (2, 4) OR n IS NULL THEN '' ELSE 'a|3' END AS known_for, CAST(0 AS INTEGER) AS n_positive, FALSE AS praise_cluster FROM c LEFT JOIN n USING (company)""")
 def q91_company_research(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -442,7 +442,7 @@ def q91_company_research(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = _hosts(ready(spark), sf_dir)
     pages = _table(spark, sf_dir, "pages").where("page_id % 10 <> 3").select("url", "html")
     nothing = spark.createDataFrame([], "company string, place int, text string, title string, url string, kind string")
-    made = intel.analyse(_places(spark, sf_dir).where(~F.contains("company", F.lit("-"))), ResearchModel(), _landed(hosts), pages, nothing)
+    made = intel.analyse(_places(spark, sf_dir), ResearchModel(), _landed(hosts), pages, nothing)
     return made.select("company", "evidence_status", "summary", "sentiment", F.array_join("known_for", "|").alias("known_for"), F.size("positive_items").alias("n_positive"), "praise_cluster")
 
 
