@@ -55,7 +55,10 @@ class Features:
     def _letters(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The texts with ASCII letters lower-cased and each run of other ASCII bytes as one space."""
         kept = _LETTERS[raw]
-        keep = (kept != 32) | (np.concatenate([[0], kept[:-1]]) != 32)
+        ahead = np.concatenate([[0], kept[:-1]])
+        # a text's first space doesn't depend on the text before it
+        ahead[offsets[:-1][offsets[:-1] < len(raw)]] = 0
+        keep = (kept != 32) | (ahead != 32)
         before = np.concatenate([[0], np.cumsum(keep)])
         return kept[keep], before[offsets]
 

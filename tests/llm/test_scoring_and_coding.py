@@ -212,6 +212,90 @@ def test_language_rejects_long_foreign_texts(spark):
     assert langid.fit(docs.where("doc_id between 300 and 304")).langs == ()
 
 
+def grams_by_hand(text, bits, orders):
+    """Counts of a text's hashed byte n-grams."""
+    plain = bytearray()
+    for b in (text or "").encode():
+        c = b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32
+        if c != 32 or not plain or plain[-1] != 32:
+            plain.append(c)
+    counts = Counter()
+    for order in orders:
+        for at in range(len(plain) - order + 1):
+            gram = int.from_bytes(plain[at : at + order], "big")
+            counts[((gram * 2654435761 + order * 40503) % 2**32 * 2246822519) % 2**32 >> (32 - bits)] += 1
+    return counts
+
+
+def weighted_by_hand(counts, idf):
+    vector = {i: np.log(1 + n) * idf[i] for i, n in counts.items()}
+    norm = sum(x * x for x in vector.values()) ** 0.5
+    return {i: x / norm for i, x in vector.items()} if norm else {}
+
+
+def clusters_by_hand(vectors, clusters, rounds=10):
+    dot = lambda a, b: sum(x * b.get(i, 0.0) for i, x in a.items())
+
+    def mean(group):
+        total = Counter()
+        for v in group:
+            total.update(v)
+        norm = sum(x * x for x in total.values()) ** 0.5
+        return {i: x / norm for i, x in total.items()}
+
+    seeds = [mean(vectors)]
+    while len(seeds) < min(clusters, len(vectors)):
+        seeds.append(min(vectors, key=lambda v: max(dot(v, s) for s in seeds)))
+    for _ in range(rounds):
+        groups = defaultdict(list)
+        for v in vectors:
+            groups[max(range(len(seeds)), key=lambda k: dot(v, seeds[k]))].append(v)
+        seeds = [mean(groups[k]) for k in sorted(groups)]
+    return seeds, dot
+
+
+def test_language_as_by_hand(spark):
+    rng = random.Random(8)
+    syllables = {"aa": ["ka", "lo", "mi", "tu", "ré"], "bb": ["sch", "ein", "ung", "ö"], "cc": ["zq", "xw", "vy"]}
+    word = lambda lang: "".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 4)))
+    rows = [(i, rng.choice(["", " ", "12 "]) + " ".join(word(lang) for _ in range(rng.choice([3, 20, 120]))) + rng.choice(["", " ", "."]), lang) for i, lang in enumerate(rng.choice(["aa", "bb", "cc"]) for _ in range(90))]
+    held = [(1000 + i, f" {word(rng.choice('abc') * 2)} {word('aa')}.") for i in range(30)] + [(2000, None), (2001, "12 %"), (2002, ""), (2003, "日本語の文章です。" * 40)]
+    features = langid.Features(bits=10)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    model = langid.fit(docs, clusters=2, features=features)
+    got = {r["doc_id"]: r for r in langid.predict(spark.createDataFrame(held + [r[:2] for r in rows], SCHEMA).repartition(2), model).collect()}
+    every = [grams_by_hand(t, 10, (2, 3, 4)) for _, t, _ in rows]
+    df = Counter(i for c in every for i in c)
+    idf = [np.log((1 + len(rows)) / (1 + df[i])) + 0.1 for i in range(1024)]
+    centroids = []
+    for lang in ("aa", "bb", "cc"):
+        own = [(weighted_by_hand(c, idf), sum(c.values())) for c, (_, _, x) in zip(every, rows) if x == lang]
+        seeds, dot = clusters_by_hand([v for v, _ in own], 2)
+        best = [(max(dot(v, s) for s in seeds), int(sum(n >= x for x in langid.LENGTH_CLASSES))) for v, n in own]
+        floors, least = {}, np.inf
+        for k in (3, 2, 1, 0):
+            cosines = sorted(c for c, size in best if size == k)
+            least = min(least, cosines[int(np.floor(0.01 * (len(cosines) - 1)))]) if cosines else least
+            floors[k] = 0.7 * least
+        centroids += [(lang, s, floors) for s in seeds]
+    fine = 0
+    for i, text in held + [r[:2] for r in rows]:
+        counts = grams_by_hand(text, 10, (2, 3, 4))
+        vector = weighted_by_hand(counts, idf)
+        scores = sorted(((dot(vector, s), lang, floors) for lang, s, floors in centroids), key=lambda x: -x[0])
+        if not any(c.isalpha() for c in text or ""):
+            assert (got[i]["lang_pred"], got[i]["score"], got[i]["rejected"]) == ("und", 0.0, True)
+            continue
+        score, lang, floors = scores[0]
+        assert abs(got[i]["score"] - score) < 1e-4
+        floor = floors[int(sum(sum(counts.values()) >= x for x in langid.LENGTH_CLASSES))]
+        floor = next(floors[k] for k in range(4) if np.isfinite(floors[k])) if not np.isfinite(floor) else floor
+        if score - next((s for s, other, _ in scores if other != lang), 0.0) > 1e-3 and abs(score - floor) > 1e-3:
+            assert (got[i]["lang_pred"], got[i]["rejected"]) == (lang, bool(score < floor))
+            fine += 1
+    assert fine > 100 and got[2003]["rejected"]
+
+
 def test_length_floors():
     cosines, classes = np.array([0.3, 0.4, 0.9, 0.8]), np.array([0, 0, 2, 2])
     assert langid.length_floors(cosines, classes, 0.5) == [0.15, 0.4, 0.4, 0.4]
