@@ -117,6 +117,21 @@ class Sessions:
             raise
 
 
+def run_waiting(kept: Sessions, postings: Callable[[], DataFrame], now_ms: Callable[[], int], research: Callable[[DataFrame], DataFrame] | None = None, **given: Any) -> list[int]:
+    """Run all sessions that wait, one after another in the order they were made, those made meanwhile too; their ids.
+
+    A failed one is stored as failed and doesn't hold up the others.
+    """
+    done: list[int] = []
+    while (row := kept.rows().where("status = 'evaluating'").orderBy("session_id").first()) is not None and row["session_id"] not in done:
+        done.append(row["session_id"])
+        try:
+            kept.run(row["session_id"], postings(), now_ms, research, **given)
+        except Exception:  # noqa: S112  (run has stored it)
+            continue
+    return done
+
+
 def wait_until(settled_now: Callable[[], bool], budget: float = V.SESSION_INTEL_BUDGET_S, poll: float = V.SESSION_INTEL_POLL_S, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> bool:
     """Ask again and again until it holds or the budget of seconds is spent; whether it came to hold."""
     end = clock() + budget

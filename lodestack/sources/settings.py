@@ -19,6 +19,7 @@ from lodestack.functions import vocabulary as V
 from lodestack.operators.ingest import with_ids
 from lodestack.operators.rules import Rule
 from lodestack.operators.scoring import Profile
+from lodestack.plugins import Embedder
 from lodestack.sources.landing import SOURCES, IngestConfig, resolve
 from lodestack.sources.store import TableStore
 from lodestack.storage import ready, settled
@@ -92,7 +93,27 @@ class Rulebook:
         if extra := set(changes) - {"name", "kind", "config", "active"}:
             raise ValueError(f"a rule's {', '.join(sorted(extra))} can't be changed")
         row = self.rows().where(F.col("rule_id") == rule_id).first()
-        return None if row is None else self._put(replace(rule_of(row), **changes), row["created_at_ms"])
+        if row is None:
+            return None
+        rule = replace(rule_of(row), **changes)
+        if rule.config.get("model") and rule.config.get("statement") != json.loads(row["config"]).get("statement"):
+            # another statement needs another vector
+            rule = replace(rule, config={k: v for k, v in rule.config.items() if k not in ("vector", "model")})
+        return self._put(rule, row["created_at_ms"])
+
+    def with_vectors(self, embedder: Embedder) -> int:
+        """Embed the statements of semantic rules that have no vector of the model yet, and keep them in the rules; how many.
+
+        Rules are few; all statements are embedded at once.
+        """
+        wanted = [r for r in self.rows().where("validator = 'semantic'").collect() if json.loads(r["config"]).get("model") != embedder.model]
+        if not wanted:
+            return 0
+        texts = self.store.spark.createDataFrame([(r["rule_id"], json.loads(r["config"])["statement"]) for r in wanted], "rule_id bigint, text string")
+        vectors = {r["rule_id"]: [float(x) for x in r["vec"]] for r in embedder.embed(texts).collect()}
+        rows = [{**r.asDict(), "config": json.dumps({**json.loads(r["config"]), "vector": vectors[r["rule_id"]], "model": embedder.model}, sort_keys=True)} for r in wanted]
+        self.store.upsert("rules", self.store.spark.createDataFrame([tuple(r[c.split()[0]] for c in RULE.split(", ")) for r in rows], RULE), ["rule_id"])
+        return len(rows)
 
     def delete(self, rule_id: int) -> bool:
         """Whether there was such a rule."""

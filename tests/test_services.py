@@ -15,6 +15,8 @@ from lodestack.functions import vocabulary as V
 from lodestack.operators import ranking, sessions
 from lodestack.operators.rules import Rule
 from lodestack.operators.scoring import Profile
+from lodestack.plugins import HashingEmbedder
+from lodestack.schemas import POSTING
 from lodestack.sources import landing, settings
 from lodestack.sources.store import TableStore
 from lodestack.storage import shared_folder
@@ -177,3 +179,34 @@ def test_sessions_begin_fail_and_expire(spark, tmp_path):
     assert kept.sweep(day + 2) == 0 and kept.get(1) is None
     assert {(r["session_id"], r["user_id"], r["status"], r["error"]) for r in kept.rows().collect()} == {(2, "b", "failed", "it broke"), (3, "a", "evaluating", None)}
     assert [r["session_id"] for r in kept.actives().collect()] == [3]
+
+
+def test_statements_are_embedded_once(spark, tmp_path):
+    book, embedder = settings.Rulebook(TableStore(spark, str(tmp_path))), HashingEmbedder(8)
+    book.insert(Rule("near", "preferred", "semantic", {"statement": "data pipelines"}), 1)
+    book.insert(Rule("other", "preferred", "keyword", {"patterns": ["x"]}), 2)
+    assert book.with_vectors(embedder) == 1 and book.with_vectors(embedder) == 0
+    vector = book.get(1).config["vector"]
+    assert len(vector) == 8 and not book.get(1).needs_model()
+    book.update(1, name="renamed")
+    assert book.get(1).config["vector"] == vector
+    book.update(1, config={**book.get(1).config, "statement": "cooking"})
+    assert book.get(1).needs_model() and book.with_vectors(embedder) == 1 and book.get(1).config["vector"] != vector
+
+
+def test_waiting_sessions_run_one_after_another(spark, tmp_path):
+    kept, clock = sessions.Sessions(TableStore(spark, str(tmp_path))), iter(range(1, 1000))
+    for user in ("a", "b", "c"):
+        kept.create(user, ranking.Search(), 0)
+    postings = spark.createDataFrame([], POSTING)
+    calls = []
+
+    def given():
+        calls.append([r["session_id"] for r in kept.rows().where("status = 'evaluating'").collect()])
+        if len(calls) == 2:
+            return postings.drop("title")
+        return postings
+
+    assert sessions.run_waiting(kept, given, lambda: next(clock)) == [1, 2, 3]
+    assert {r["session_id"]: r["status"] for r in kept.rows().collect()} == {1: "done", 2: "failed", 3: "done"}
+    assert [sorted(c) for c in calls] == [[1, 2, 3], [2, 3], [3]]
