@@ -4,6 +4,13 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; :func:`run`
 writes each one's result as Parquet to the shared folder and reads it for the
 next. All stages but the last return the columns of ``documents``, with n_chars
 following the text.
+
+Defined cases: a null or empty text, and one without a letter, goes in the first
+stage; repeated rows are near copies of each other, of which one stays; rows without
+an id are all kept by the second stage and count as the last ones in the third; an
+empty table gives no rows; of equal sequences of words the smallest id stays; texts
+of any length are processed whole; further columns, whatever their names, go with
+their rows up to the last stage, which gives its own columns only.
 """
 
 from __future__ import annotations
@@ -15,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import chunk_dedup, jaccard_join, langid, packing, pii
-from lodestack.storage import shared_folder
+from lodestack.storage import remove_folder, shared_folder
 
 #: Pairs of documents at this share of common five-word shingles count as near copies.
 NEAR_COPIES = jaccard_join.Join(shingle=5, percent=80)
@@ -73,4 +80,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return made
         made.write.parquet(f"{folder}/{number}-{name}")
         docs = spark.read.parquet(f"{folder}/{number}-{name}")
+        if number:
+            # what this stage was made from is read no more
+            remove_folder(spark, f"{folder}/{number - 1}-{STAGES[number - 1][0]}")
     return docs
