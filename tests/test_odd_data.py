@@ -30,7 +30,7 @@ def cut_titles(pages):
     return pages.withColumn("html", F.when(F.col("page_id") % 3 == 0, F.regexp_replace("html", "</title>", " &amp;&amp</title>")).otherwise(F.col("html")))
 
 
-@pytest.mark.parametrize("name", ["q55_page_text"])
+@pytest.mark.parametrize("name", ["q55_page_text", "q92_dossiers"])
 def test_references_that_were_cut_off(spark, tmp_path, name):
     assert any("&&amp" in str(r) for r in checked(spark, tmp_path, name, pages=cut_titles))
 
