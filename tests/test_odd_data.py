@@ -39,3 +39,14 @@ def test_closed_references(spark):
     html = "a&amp b &amp;&lt; &copy; &zzz; &#65;&#x42; &#67 &amp;lt;"
     assert values(spark, [(html,)], T.page_text(F.col("c0"), closed=True)) == ["a&amp b &< © &zzz; AB &#67 &lt;"]
     assert values(spark, [(html,)], T.page_text(F.col("c0"))) == ["a& b &< © &zzz; AB C &lt;"]
+
+
+def cents(documents):
+    """Amounts with a fraction, also between two whole ones."""
+    pay = F.get(F.array(*map(F.lit, ("$12.50 - $1,234.75", "$19.99/hr", "£2,000.5", "€3001.5k"))), (F.col("doc_id") % 4).cast("int"))
+    return documents.withColumn("text", F.concat(pay, F.lit(" "), F.coalesce("text", F.lit(""))))
+
+
+@pytest.mark.parametrize("name", ["q58_text_helpers"])
+def test_amounts_with_cents(spark, tmp_path, name):
+    assert any("1,23" in str(r) or "2000" in str(r) for r in checked(spark, tmp_path, name, documents=cents))
