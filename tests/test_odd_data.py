@@ -47,6 +47,6 @@ def cents(documents):
     return documents.withColumn("text", F.concat(pay, F.lit(" "), F.coalesce("text", F.lit(""))))
 
 
-@pytest.mark.parametrize("name", ["q58_text_helpers"])
+@pytest.mark.parametrize("name", ["q58_text_helpers", "q97_presentation"])
 def test_amounts_with_cents(spark, tmp_path, name):
     assert any("1,23" in str(r) or "2000" in str(r) for r in checked(spark, tmp_path, name, documents=cents))
