@@ -1,7 +1,7 @@
 """The landing zone of a job board as a Spark data source: ``spark.read.format("jobboard")``.
 
 A landing zone is a folder with a folder ``page=<n>`` for each page that was fetched,
-whose files hold one JSON record a line. Each page is a partition of its own; filters
+whose files hold one JSON record a line. Each file of a page is a partition of its own; filters
 on ``page`` are pushed down, so that other pages are neither listed for tasks nor
 opened; and a stream's offset is the walk over the pages: the last page up to which
 all have landed, so a page that comes late holds back those behind it, and after a
@@ -13,6 +13,7 @@ Rows are page, file and record (the JSON text); :func:`load` maps them to raw po
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -29,14 +30,17 @@ from lodestack.storage import ready
 FORMAT = "jobboard"
 PAGE_ROWS = "page int, file string, record string"
 _PAGE = re.compile(r"page=(\d+)$")
+#: Bytes of a batch of records.
+BATCH_BYTES = 4 << 20
 
 
 @dataclass
 class PageOf(InputPartition):
-    """One landed page."""
+    """One file of a landed page."""
 
     folder: str
     page: int
+    file: str
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -50,17 +54,35 @@ def landed_pages(path: str) -> list[int]:
     return sorted(int(m[1]) for f in found if f.type == fs.FileType.Directory and (m := _PAGE.search(f.path)))
 
 
+def _files(folder: str, page: int) -> list[PageOf]:
+    """A partition for each file of a page, so that what a task reads doesn't grow with the page."""
+    files, root = _opened(folder)
+    found = files.get_file_info(fs.FileSelector(f"{root}/page={page}", allow_not_found=True))
+    return [PageOf(folder, page, f.base_name) for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))]
+
+
 def _read(partition: PageOf) -> Iterator[pa.RecordBatch]:
+    """The file's records, line by line, in batches of at most 256 records and about ``BATCH_BYTES``."""
     files, root = _opened(partition.folder)
-    for f in files.get_file_info(fs.FileSelector(f"{root}/page={partition.page}")):
-        if f.type != fs.FileType.File or f.base_name.startswith(("_", ".")):
-            continue
-        with files.open_input_stream(f.path) as stream:
-            records = [line for line in stream.read().decode("utf-8").split("\n") if line.strip()]
-        for at in range(0, len(records), 256):
-            part = records[at : at + 256]
-            columns = [pa.array([partition.page] * len(part), pa.int32()), pa.array([f.base_name] * len(part)), pa.array(part)]
-            yield pa.RecordBatch.from_arrays(columns, names=["page", "file", "record"])
+    held: list[str] = []
+    size = 0
+
+    def batch() -> pa.RecordBatch:
+        columns = [pa.array([partition.page] * len(held), pa.int32()), pa.array([partition.file] * len(held)), pa.array(held)]
+        return pa.RecordBatch.from_arrays(columns, names=["page", "file", "record"])
+
+    with files.open_input_stream(f"{root}/page={partition.page}/{partition.file}") as stream, io.BufferedReader(stream) as lines:
+        for line in lines:
+            record = line.decode("utf-8").removesuffix("\n")
+            if not record.strip():
+                continue
+            held.append(record)
+            size += len(line)
+            if len(held) == 256 or size >= BATCH_BYTES:
+                yield batch()
+                held, size = [], 0
+    if held:
+        yield batch()
 
 
 class JobBoardReader(DataSourceReader):
@@ -82,7 +104,7 @@ class JobBoardReader(DataSourceReader):
         return all(holds[kind](value) for kind, value in self.tests)
 
     def partitions(self) -> Sequence[PageOf]:
-        return [PageOf(self.path, n) for n in landed_pages(self.path) if self.wanted(n)]
+        return [f for n in landed_pages(self.path) if self.wanted(n) for f in _files(self.path, n)]
 
     def read(self, partition: PageOf | None) -> Iterator[pa.RecordBatch]:
         if partition is not None:
@@ -105,7 +127,7 @@ class JobBoardStream(DataSourceStreamReader):
         return {"page": last}
 
     def partitions(self, start: dict, end: dict) -> Sequence[PageOf]:
-        return [PageOf(self.path, n) for n in range(start["page"] + 1, end["page"] + 1)]
+        return [f for n in range(start["page"] + 1, end["page"] + 1) for f in _files(self.path, n)]
 
     def read(self, partition: PageOf) -> Iterator[pa.RecordBatch]:
         yield from _read(partition)
