@@ -19,10 +19,7 @@ BROADCAST_ROWS = 2_000_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Make this package importable on workers and set the checkpoint folder (see :func:`lodestack.storage.shared_folder`)."""
-    # texts are long: the default of 10,000 rows makes Arrow batches of tens of MB in each task, JVM and worker
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1500")
+    """Make this package importable on workers, set the checkpoint folder and shorten Arrow batches (see :func:`lodestack.storage.ready`)."""
     return ready(spark)
 
 
