@@ -129,10 +129,11 @@ def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def mix64(values: np.ndarray) -> np.ndarray:
     """A bijective finaliser on unsigned 64-bit numbers."""
     values = values ^ (values >> np.uint64(31))
-    values = values * np.uint64(0x9E3779B97F4A7C15)
-    values = values ^ (values >> np.uint64(29))
-    values = values * np.uint64(0xBF58476D1CE4E5B9)
-    return values ^ (values >> np.uint64(32))
+    values *= np.uint64(0x9E3779B97F4A7C15)
+    values ^= values >> np.uint64(29)
+    values *= np.uint64(0xBF58476D1CE4E5B9)
+    values ^= values >> np.uint64(32)
+    return values
 
 
 def segments(text: str, size: int = 1 << 20, marks: str = " ") -> Iterator[str]:

@@ -3,9 +3,10 @@
 The shallow sorter works on all groups of suffixes at once, eight bytes at a
 time: each round splits every open group by the word of its middle suffix into
 smaller, equal and larger ones, and only the equal part goes eight bytes
-deeper. Groups that still agree at the shallow depth have long common prefixes;
-each of them is ordered by a blind trie, which compares a new suffix with a
-single one of those already there.
+deeper. Groups that still agree at the shallow depth have long common prefixes. Members
+that equal their group's first suffix are found for all groups at once; the
+others of each group are ordered by a blind trie, which compares a new suffix
+with a single one of those already there.
 """
 
 from __future__ import annotations
@@ -78,6 +79,22 @@ class BlindTrie:
         return out
 
 
+def _like_first(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, order: np.ndarray, begins: np.ndarray, sizes: np.ndarray, depth: int) -> np.ndarray:
+    """Of all members of groups of at least ``WORD`` bytes, equal up to ``depth``: whether they equal their group's first in the rest too."""
+    if not len(begins):
+        return np.zeros(0, dtype=bool)
+    member = order[np.arange(int(sizes.sum())) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)]
+    first = np.repeat(order[begins], sizes)
+    a, b, length = starts[member], starts[first], lengths[first]
+    same = np.ones(len(member), dtype=bool)
+    for at in range(depth, int(length.max()), WORD):
+        # the last word may overlap the one before
+        live = np.flatnonzero(same & (length > at))
+        place = np.minimum(at, length[live] - WORD)
+        same[live] = words[a[live] + place] == words[b[live] + place]
+    return same
+
+
 def sort_groups(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, groups: np.ndarray, shallow: int = 32) -> tuple[np.ndarray, np.ndarray]:
     """Order the suffixes ``raw[starts:starts + lengths]`` within groups and name equal ones.
 
@@ -113,30 +130,43 @@ def sort_groups(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, groups
         word = words[starts[member] + open_depth[group]].astype(np.uint64)
         short = np.minimum(length - open_depth, WORD)[group]
         word >>= ((WORD - short) * 8).astype(np.uint64)
-        pivot = word[np.cumsum(open_size) - open_size + open_size // 2][group]
+        base = np.cumsum(open_size) - open_size
+        pivot = word[base + open_size // 2][group]
+        mixed = np.logical_or.reduceat(word != pivot, base)
+        # groups of one word stay as they are and go deeper
+        whole_begin, whole_size, whole_depth = open_begin[~mixed], open_size[~mixed], open_depth[~mixed] + WORD
+        split = mixed[group]
+        group, place, word, pivot = group[split], place[split], word[split], pivot[split]
         side = np.where(word == pivot, 1, np.where(word > pivot, 2, 0))
         key = group * 3 + side
         moved = np.argsort(key, kind="stable")
-        order[place] = member[moved]
+        order[place] = member[split][moved]
         cuts = groups_of(key[moved])
         first, size = cuts[:-1], np.diff(cuts)
         part = key[moved][first]
         begin, depth = place[first], open_depth[part // 3] + np.where(part % 3 == 1, WORD, 0)
         finished.append(begin[size == 1])
         more = size > 1
-        open_begin, open_size, open_depth = begin[more], size[more], depth[more]
-    data = raw.tobytes() if any(len(begins) for begins, _ in deep) else b""
-    for begins, sizes in deep:
-        for at, count in zip(begins.tolist(), sizes.tolist()):
-            trie = BlindTrie()
-            members = order[at : at + count]
-            length = int(lengths[members[0]])
-            for m, s in zip(members.tolist(), (starts[members] + shallow).tolist()):
-                trie.add(data[s : s + length - shallow], m)
-            leaves = trie.leaves()
-            order[at : at + count] = np.concatenate([np.array(x, dtype=np.int64) for x in leaves])
-            ends = np.cumsum([len(x) for x in leaves])
-            finished.append(at + np.concatenate([[0], ends[:-1]]))
+        open_begin, open_size, open_depth = (np.concatenate(x) for x in ((whole_begin, begin[more]), (whole_size, size[more]), (whole_depth, depth[more])))
+    begins, sizes = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (list(zip(*deep)) or ([], [])))
+    # most deep groups hold copies of one suffix: these are known without a trie, and so are a group's copies of its first one
+    same = _like_first(words, starts, lengths, order, begins, sizes, shallow)
+    copies = np.logical_and.reduceat(same, np.cumsum(sizes) - sizes) if len(begins) else np.zeros(0, dtype=bool)
+    finished.append(begins[copies])
+    edges = np.cumsum(sizes)
+    data = raw.tobytes() if not copies.all() else b""
+    for at, count, end in zip(begins[~copies].tolist(), sizes[~copies].tolist(), edges[~copies].tolist()):
+        trie = BlindTrie()
+        members = order[at : at + count]
+        length = int(lengths[members[0]])
+        known = same[end - count : end]
+        lead, others = members[known], members[~known]
+        for m, s in zip([int(lead[0]), *others.tolist()], (starts[[lead[0], *others]] + shallow).tolist()):
+            trie.add(data[s : s + length - shallow], m)
+        leaves = [lead.tolist() if x[0] == lead[0] else x for x in trie.leaves()]
+        order[at : at + count] = [m for x in leaves for m in x]
+        ends = np.cumsum([len(x) for x in leaves])
+        finished.append(at + np.concatenate([[0], ends[:-1]]))
     new = np.zeros(n, dtype=np.int64)
     new[np.concatenate(finished)] = 1
     classes = np.empty(n, dtype=np.int64)

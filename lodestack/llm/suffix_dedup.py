@@ -16,7 +16,8 @@ together first:
 * A bucket drops spans whose anchor's surroundings occur in one document only.
   It orders the rest by deep-shallow sorting (see ``deep_shallow``), first as
   whole spans, then, for spans that differ but share an anchor, suffix by
-  suffix; a class of equal suffixes keeps its smallest document.
+  suffix, without those whose bytes next to the anchor occur in one document
+  only; a class of equal suffixes keeps its smallest document.
 * Repeated ranges go back to the documents by hash groups of bounded size.
 
 Defined cases: null text is empty; ids count as signed numbers, a null id as the
@@ -85,9 +86,11 @@ def find_spans(raw: np.ndarray, offsets: np.ndarray, p: Plan, chunk: int = (1 <<
             least = np.minimum(least[:-step], least[step:])
             covered += step
         anchor = (least & place_bits).astype(np.int64) + at
-        change = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1 + at
-        inside = lambda x: x[(x >= at) & (x < stop)]
-        cuts = np.unique(np.concatenate([[at], change, inside(begin), inside(end)]))
+        change = np.ones(stop - at, dtype=bool)
+        change[1:] = anchor[1:] != anchor[:-1]
+        for edge in (begin, end):
+            change[edge[(edge >= at) & (edge < stop)] - at] = True
+        cuts = np.flatnonzero(change) + at
         owner = np.searchsorted(begin, cuts, side="right") - 1
         good = owner >= 0
         good[good] = cuts[good] < end[owner[good]]
@@ -128,7 +131,8 @@ def merge_equal(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ids: n
     cuts = groups_of(key[order])
     head = np.repeat(order[cuts[:-1]], np.diff(cuts))
     equal = (lengths[head] == lengths[order]) & (ids[head] <= ids[order])
-    equal[equal] = same_bytes(raw, starts[head[equal]], starts[order[equal]], lengths[order[equal]])
+    others = equal & (head != order)
+    equal[others] = same_bytes(raw, starts[head[others]], starts[order[others]], lengths[order[others]])
     out = np.empty(len(starts), dtype=np.int64)
     out[order] = np.where(equal, head, order)
     return out
@@ -228,6 +232,24 @@ def _shared_context(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at
     return keep
 
 
+def _shared_reach(raw: np.ndarray, anchors: np.ndarray, room: np.ndarray, ids: np.ndarray, p: Plan, left: bool) -> np.ndarray:
+    """How many words of eight bytes next to each anchor occur there in another id as well; ``room`` is how many bytes a span has there."""
+    reach = np.zeros(len(anchors), dtype=np.int64)
+    live = np.arange(len(anchors))
+    for n in range(8, p.length - p.k + 1, 8):
+        live = live[room[live] >= n]
+        if not len(live):
+            break
+        key = span_hashes(raw, anchors[live] - (n if left else 0), np.full(len(live), n + p.k, dtype=np.int64))
+        order = np.argsort(key, kind="stable")
+        cuts = groups_of(key[order])
+        own = ids[live][order]
+        several = np.minimum.reduceat(own, cuts[:-1]) != np.maximum.reduceat(own, cuts[:-1])
+        live = np.sort(live[order[np.repeat(several, np.diff(cuts))]])
+        reach[live] += 1
+    return reach
+
+
 def bucket_ranges(spans: list[np.ndarray], p: Plan) -> tuple[np.ndarray, ...]:
     """Repeated ranges (id, tag, start, end) among the spans of one bucket; ids are absolute here."""
     ids, tags, lengths, at, counts, places, raw = spans
@@ -264,8 +286,13 @@ def bucket_ranges(spans: list[np.ndarray], p: Plan) -> tuple[np.ndarray, ...]:
         windows = lengths[rest] - p.length + 1
         span = np.repeat(np.arange(len(rest)), windows)
         shift = np.arange(len(span)) - np.repeat(np.cumsum(windows) - windows, windows)
+        # a window that occurs in another id has there what is left and right of its anchor
+        before = at[rest][span] - shift
+        sides = (_shared_reach(raw, (starts + at)[rest], room[rest], ids[rest], p, left) for room, left in ((at, True), (lengths - at - p.k, False)))
+        fits = np.logical_and(*(n // 8 <= reach[span] for n, reach in zip((before, p.length - p.k - before), sides)))
+        span, shift, before = span[fits], shift[fits], before[fits]
         begin = starts[rest][span] + shift
-        suffix_group = group[span] * p.length + (at[rest][span] - shift)
+        suffix_group = group[span] * p.length + before
         order = np.argsort(suffix_group, kind="stable")
         cuts = groups_of(suffix_group[order])
         several = np.repeat(np.diff(cuts) > 1, np.diff(cuts))

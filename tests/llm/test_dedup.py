@@ -120,6 +120,41 @@ def test_deep_shallow_sorts(strings, shallow):
     assert [ranks[s] for s in strings] == classes.tolist()
 
 
+def test_copies_need_no_trie(monkeypatch):
+    """A trie gets what differs from its group's first suffix; groups of copies get none."""
+    added = []
+    monkeypatch.setattr(BlindTrie, "add", lambda self, text, member, add=BlindTrie.add: (added.append(member), add(self, text, member))[1])
+    rng = random.Random(3)
+    lead = prose(rng, 40)[:32]
+    copies = [lead[:31] + "x" + prose(rng, 20)[:18]] * 50
+    mixed = [lead + "b" * 18, *[lead + "c" * 18] * 50, lead + "a" * 18, *[lead + "b" * 18] * 30]
+    strings = [s.encode()[:50].ljust(50) for s in copies + mixed]
+    raw = np.frombuffer(b"".join(strings) + b"\0" * 8, dtype=np.uint8)
+    groups = np.array([0] * len(copies) + [1] * len(mixed))
+    order, classes = sort_groups(raw, np.arange(len(strings)) * 50, np.full(len(strings), 50), groups)
+    assert [strings[i] for i in order] == sorted(strings[:50]) + sorted(strings[50:])
+    assert classes.tolist() == [0] * 50 + [{b"a": 1, b"b": 2, b"c": 3}[s[-1:]] for s in strings[50:]]
+    assert len(added) == 52
+
+
+def test_windows_of_one_document_are_not_sorted(monkeypatch):
+    """Of spans that share an anchor, only windows go to the sorter that agree next to it with another document."""
+    given_to = []
+    monkeypatch.setattr(suffix_dedup, "sort_groups", lambda raw, starts, *rest: (given_to.append(len(starts)), sort_groups(raw, starts, *rest))[1])
+    rng = random.Random(9)
+    common = prose(rng, 60).encode()[:112]  # around one anchor
+    p = suffix_dedup.Plan(50, 12, 1, 1, 32)
+    spans = []
+    for i in range(40):
+        # documents 0 and 1 agree in 40 bytes before and 12 after the anchor, the others in the anchor and 24 bytes after it
+        own = bytes(rng.choice(b"vwxyz") for _ in range(62)) + b"vw"[i % 2 :][:1] + bytes(rng.choice(b"vwxyz") for _ in range(25))
+        spans.append(common[:38] + common[38:50] + common[50:62] + own[62:] if i < 2 else own[:38] + common[38:50] + common[50:74] + own[74:])
+    arrays = [np.arange(40), np.zeros(40, dtype=np.int64), np.full(40, 88), np.full(40, 38), np.ones(40, dtype=np.int64), np.zeros(40, dtype=np.int64), np.frombuffer(b"".join(spans), dtype=np.uint8)]
+    ranges = suffix_dedup.bucket_ranges(arrays, p)
+    assert [x.tolist() for x in ranges] == [[1], [0], [0], [62]]
+    assert given_to[1] <= 2 * 16 + 40 * 8
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.binary(min_size=6, max_size=6), min_size=1, max_size=50))
 def test_blind_trie(strings):
