@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestack.functions import replies
+from lodestack.functions import vocabulary as V
 from lodestack.functions.phrases import with_hits
 from lodestack.operators import rules
 from lodestack.operators.rules import Rule
+from lodestack.plans.queries import QUERIES
 
 SCHEMA = "posting_id bigint, title string, company_name string, location_raw string, salary_min double, salary_max double, salary_currency string, remote_claim string, employment_type string, description_clean string"
 
@@ -94,6 +96,22 @@ def test_languages(spark):
     assert [sorted(g) for g in got] == [sorted(c) for c in cases.values()]
 
 
+def test_languages_are_looked_for_once(spark):
+    """Each language's patterns stand once in the plan, for codes, filter and verdict together."""
+    found = QUERIES["q09_language_rule"](spark, "/root/testdata/sf0.001")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("fluency in") == len(V.LANGUAGES)
+
+
+def test_language_rule_untold(spark):
+    rows = spark.createDataFrame([(1, "Fluent in German and English", ""), (2, "English required", "Plain"), (3, "German", None)], "i int, title string, description_clean string")
+    named = with_hits(rows, rules.posting_text(), {"named": rules.LANGUAGE_NAMES}).withColumn("r", rules.required_languages(rules.posting_text(), F.col("named")))
+    told = rules.language_rule(["en"], F.col("named"))
+    bare = rules.language_rule(["en"], F.col("named"), found=F.col("r"), told=False)
+    got = named.select(told.alias("told"), bare.alias("bare")).orderBy("i").collect()
+    assert [(r["told"] and r["told"]["verdict"]) for r in got] == [(r["bare"] and r["bare"]["verdict"]) for r in got] == ["fail", "pass", None]
+    assert got[0]["told"]["evidence"] and got[0]["bare"]["evidence"] is None
+
+
 def test_language_rule_comes_first(spark):
     rows = frame(spark, posting(), posting(posting_id=2, description_clean="plain"))
     done = {r["posting_id"]: r for r in rules.evaluate(rows, [], spoken=["en"]).collect()}

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,14 @@ def values(spark, rows, column):
     return [r[0] for r in spark.createDataFrame(rows, schema).select(column).collect()]
 
 
+def test_collapse(spark):
+    """All runs of three of these characters, as by hand: other white space than a space becomes one even if it stands alone."""
+    some = [" ", "a", "~", "!", "\t", "\x0b", "\x1f", "\x7f", "\x85", "\xa0", "\u200a", "\u200b", "\ufeff", "é", "😀"]
+    rows = [(f"x{a}{b}{c}y",) for a in some for b in some for c in some]
+    plain = [re.sub("[ \t\n\x0b\f\r\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+", " ", r[0]) for r in rows]
+    assert values(spark, rows, T.collapse(F.col("c0"))) == plain
+
+
 def test_strip_html(spark):
     cases = {
         "<p>Hello <b>world</b></p>": "Hello world",
