@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import BROADCAST_ROWS
+#: Most edges whose nodes' least neighbours are broadcast by hint: some MB, whatever the graph.
+SMALL_EDGES = 1 << 16
 
 
 def _checked(edges: DataFrame) -> tuple[DataFrame, tuple]:
@@ -15,7 +16,7 @@ def _checked(edges: DataFrame) -> tuple[DataFrame, tuple]:
     return edges, (row["n"], row["h"])
 
 
-def components(edges: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def components(edges: DataFrame, limit: int = SMALL_EDGES) -> DataFrame:
     """``node`` and ``root`` (smallest node reached) of every node of ``edges`` (u, v: long).
 
     Each step joins every edge with the smallest neighbour of its node; those

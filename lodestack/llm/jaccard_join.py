@@ -21,6 +21,9 @@ class, told by a SHA-256 digest of them, and classes are joined:
 Candidates are found by 64-bit hashes of shingles; every one is verified on the whole
 sets of the words themselves before it counts, and sizes are counted on them too.
 
+No table that grows with the corpus is broadcast by hint: one text of each class is
+stored in buckets of its digest, where a check joins it without moving the others.
+
 Defined cases: words are as in ``words.PLAIN``; a text of fewer words than a
 shingle is one shingle, a null text or one without words has none and is linked
 with nothing; rows with a null id get no component; repeated rows and equal
@@ -31,19 +34,21 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm.blobs import groups_of, pack, unpack_all
-from lodestack.llm.common import blocks, dealt, free_name, mix64, prepare, release_tables, shuffle_partitions, small_side, text_slices, tidy, utf8_buffer
+from lodestack.llm.common import blocks, dealt, free_name, mix64, prepare, release_tables, shuffle_partitions, text_slices, tidy, utf8_buffer
 from lodestack.llm.graph import components
 from lodestack.llm.words import shingles_of, words_of
+from lodestack.storage import remove_folder, shared_folder
 
 POSTINGS = ("<u4", "<i8", "u1", "<i4", "<i4")  # shingle within its bucket, class, 2 l + 1 if in the index prefix, size of the set, place
 #: Lower-cases A-Z.
@@ -105,6 +110,15 @@ def _describe(j: Join):
     return run
 
 
+def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text that has a word, with the digest of its words."""
+    release_tables()
+    for batch in batches:
+        rows = [(hashlib.sha256(b" ".join(words)).digest(), text) for text in batch.column("text").to_pylist() if (words := plain_words(text))]
+        keys, kept = zip(*rows) if rows else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(kept, pa.string())], names=["key", "text"])
+
+
 def _slot_counts(j: Join, bits: int, ranges: int):
     """Of each batch how many sets have a shingle in each slot, as blobs by ranges of slots."""
 
@@ -267,57 +281,59 @@ def _verify(j: Join):
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, j: Join, group_bytes: int = 2 << 20) -> DataFrame:
-    """The rows of ``pairs`` (pivot, node) that are links; ``texts`` has node, n, text of every class.
+def verified(pairs: DataFrame, texts: DataFrame, j: Join, group_bytes: int = 2 << 20) -> tuple[DataFrame, int]:
+    """The rows of ``pairs`` (pivot, node, n: size of the node's set) that are links, and how many pairs there are.
 
-    A pivot's partners are dealt into portions of bounded size, each with the
-    pivot's text.
+    ``texts``: node, key, text of every class, in buckets of key, so that only
+    the pairs move to their texts. A pivot's partners are dealt into portions of
+    bounded size, each with the pivot's text.
     """
     spark = pairs.sparkSession
-    sizes = texts.select("node", "n")
-    sized = pairs.join(small_side(sizes, sizes.count()), "node")
-    per_pivot = sized.groupBy("pivot").agg(F.sum("n").alias("all_n"))
-    totals = per_pivot.agg(F.sum("all_n").alias("n"), F.count("*").alias("pivots")).first()
-    if not totals["pivots"]:
-        return spark.createDataFrame([], "u long, v long")
+    totals = pairs.agg(F.sum("n").alias("n"), F.count("*").alias("pairs")).first()
+    if not totals["pairs"]:
+        return spark.createDataFrame([], "u long, v long"), 0
     groups = max(2 * shuffle_partitions(spark), -(-totals["n"] * 16 // group_bytes))
     portion = F.ceil(F.col("all_n") * 16 / (group_bytes // 4)).cast("long")
-    wanted = pairs.join(small_side(per_pivot, totals["pivots"]), "pivot").select("pivot", "node", F.pmod(F.xxhash64("node"), portion).alias("salt")).checkpoint()
+    per_pivot = pairs.groupBy("pivot").agg(F.sum("n").alias("all_n"))
+    wanted = pairs.join(per_pivot, "pivot").select("pivot", "node", F.pmod(F.xxhash64("node"), portion).alias("salt"))
     leads = wanted.select("pivot", "salt").distinct().withColumn("node", F.col("pivot"))
-    wanted = wanted.unionByName(leads)
-    rows = texts.select("node", "text").join(small_side(wanted, wanted.count()), "node").withColumn("part", F.pmod(F.xxhash64("pivot", "salt"), F.lit(groups)))
-    return dealt(rows, "part", groups).groupBy("part").applyInArrow(_verify(j), "u long, v long")
+    keyed = wanted.unionByName(leads).join(texts.select("node", "key"), "node")
+    rows = texts.select("key", "text").join(keyed.hint("shuffle_hash"), "key").drop("key").withColumn("part", F.pmod(F.xxhash64("pivot", "salt"), F.lit(groups)))
+    return dealt(rows, "part", groups).groupBy("part").applyInArrow(_verify(j), "u long, v long"), totals["pairs"]
 
 
 def linked(texts: DataFrame, words: int, j: Join = Join()) -> DataFrame:
     """``node`` and ``root`` of every class that is linked with another.
 
-    ``texts``: node (long), n (size of its set), text, one row per class;
+    ``texts``: node (long), key, text, one row per class, in buckets of key;
     ``words``: about how many shingles all have.
     """
     spark = prepare(texts.sparkSession)
     bits = max(16, min(j.most_slots, max(1, words // 32)).bit_length())
     levels = spark.sparkContext.broadcast(slot_levels(texts, j, bits, words))  # most_slots bytes at most
     buckets = max(2 * shuffle_partitions(spark), -(-words * 3 // (8 << 20)))
-    postings = dealt(texts.where("n > 0").select("node", "text").mapInArrow(_postings(j, bits, buckets, levels), "bucket long, blob binary"), "bucket", buckets)
+    postings = dealt(texts.select("node", "text").mapInArrow(_postings(j, bits, buckets, levels), "bucket long, blob binary"), "bucket", buckets)
     lists = (
         postings.groupBy("bucket").applyInArrow(_shared_lists, LISTED)
-        .groupBy("token", "node").agg(F.max("l").alias("l"), F.max("n").alias("n"), F.max("indexed").alias("indexed"), F.min("place").alias("place"), F.sum("weight").alias("weight")).checkpoint()
+        .groupBy("token", "node").agg(F.max("l").alias("l"), F.max("n").alias("n"), F.max("indexed").alias("indexed"), F.min("place").alias("place"), F.sum("weight").alias("weight"))
     )
-    entries = lists.count()
     # an edit makes prefix shingles of its own, so the text that others are edited from shares most of them
-    shared = lists.groupBy("node").agg(F.sum("weight").alias("shared"))
-    lists = lists.join(small_side(shared, entries), "node").withColumn("central", F.col("shared") / F.col("n")).drop("shared").checkpoint()
-    links, roots, checked = None, None, None
+    lists = lists.withColumn("central", F.sum("weight").over(Window.partitionBy("node")) / F.col("n")).checkpoint()
+    entries = lists.count()
+    roots, checked = None, None
 
     def labelled() -> DataFrame:
         """Entries with their component, of lists that more than one component is in."""
         if roots is None:
             return lists.withColumn("root", F.col("node"))
-        known = lists.join(small_side(roots, roots.count()), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        known = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_lists = known.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token")
         return known.join(open_lists, "token", "left_semi")
 
+    def with_roots(new: DataFrame) -> DataFrame:
+        """``new`` links, and one of each linked class to its root, which stands for all earlier ones."""
+        return new if roots is None else new.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+
     fits = lambda a, b: 100 * F.least(a, b) >= j.percent * F.greatest(a, b)
     for round_number in range(j.rounds):
         tidy(spark)
@@ -331,15 +347,16 @@ def linked(texts: DataFrame, words: int, j: Join = Join()) -> DataFrame:
         draw = F.struct(F.col("central") if round_number == 0 else F.lit(0.0), F.xxhash64("node", F.lit(round_number)))
         leads = here.groupBy("token").agg(F.max_by(F.struct("node", "n", "root"), draw).alias("lead"))
         pairs = here.join(leads, "token").where((F.col("node") != F.col("lead.node")) & (F.col("root") != F.col("lead.root")) & fits(F.col("n"), F.col("lead.n")))
-        pairs = pairs.select(F.col("lead.node").alias("pivot"), "node").distinct()
+        pairs = pairs.select(F.col("lead.node").alias("pivot"), "node", "n").distinct()
         pairs = (pairs if checked is None else pairs.join(checked, ["pivot", "node"], "left_anti")).checkpoint()
-        if not pairs.take(1):
+        new, n_pairs = verified(pairs, texts, j)
+        if not n_pairs:
             break
-        checked = pairs if checked is None else checked.unionByName(pairs).checkpoint()
-        new = verified(pairs, texts, j).checkpoint()
-        pays = 50 * new.count() > pairs.count()
-        links = (new if links is None else links.unionByName(new)).checkpoint()
-        roots = components(links).checkpoint()
+        tried = pairs.select("pivot", "node")
+        checked = tried if checked is None else checked.unionByName(tried)
+        new = new.checkpoint()
+        pays = 50 * new.count() > n_pairs
+        roots = components(with_roots(new)).checkpoint()
         if not pays:
             break
     # what is left, pair by pair
@@ -358,13 +375,14 @@ def linked(texts: DataFrame, words: int, j: Join = Join()) -> DataFrame:
     spare = F.least("l", "l2") - 1 - F.floor((j.percent * (F.col("n") + F.col("n2")) + whole - 1) / whole)
     early = (F.col("place") <= F.col("n") + spare) & (F.col("place2") <= F.col("n2") + spare)
     pairs = smaller.join(larger, ["token", "a", "b"]).where(in_order & early & (F.col("root") != F.col("root2")) & fits(F.col("n"), F.col("n2")))
-    pairs = pairs.groupBy(F.col("node").alias("pivot"), F.col("node2").alias("node")).agg(F.sum("weight").alias("shared"), F.min(F.least("l", "l2")).alias("enough")).where("shared >= enough").select("pivot", "node")
+    pairs = pairs.groupBy(F.col("node").alias("pivot"), F.col("node2").alias("node")).agg(F.sum("weight").alias("shared"), F.min(F.least("l", "l2")).alias("enough"), F.max("n2").alias("n")).where("shared >= enough").select("pivot", "node", "n")
     if checked is not None:
         turned = checked.unionByName(checked.select(F.col("node").alias("pivot"), F.col("pivot").alias("node")))
         pairs = pairs.join(turned, ["pivot", "node"], "left_anti")
-    new = verified(pairs.checkpoint(), texts, j).checkpoint()
+    new, _ = verified(pairs.checkpoint(), texts, j)
+    new = new.checkpoint()
     tidy(spark)
-    return components((new if links is None else links.unionByName(new)).checkpoint())
+    return components(with_roots(new))
 
 
 def _keyed(docs: DataFrame, name: str = "tag") -> DataFrame:
@@ -372,21 +390,28 @@ def _keyed(docs: DataFrame, name: str = "tag") -> DataFrame:
     return docs.withColumn(name, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
 
 
-def _classes(docs: DataFrame, j: Join) -> tuple[DataFrame, DataFrame, int]:
-    """Every row's set (doc_id, tag, n, key), the classes (node, key, doc_id and tag of the first row, root), and their number."""
+def _classes(docs: DataFrame, j: Join) -> tuple[DataFrame, DataFrame]:
+    """Every row's set (doc_id, tag, n, key), and the classes (key, doc_id and tag of the first row, root)."""
+    spark = docs.sparkSession
     docs = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     described = docs.mapInArrow(_describe(j), "doc_id long, tag binary, n int, key binary").checkpoint()
     inside = described.where("doc_id is not null and n > 0")
     firsts = inside.groupBy("key").agg(F.min(F.struct("doc_id", "tag")).alias("rep"), F.first("n").alias("n"))
+    keyed = docs.where("doc_id is not null").select("text").mapInArrow(_with_key, "key binary, text string").dropDuplicates(["key"])
     # numbers are unique whatever the keys
-    classes = firsts.select(F.monotonically_increasing_id().alias("node"), "key", "n", F.col("rep.doc_id").alias("doc_id"), F.col("rep.tag").alias("tag")).checkpoint()
-    totals = classes.agg(F.count("*").alias("classes"), F.sum("n").alias("n")).first()
-    texts = docs.join(small_side(classes.drop("key"), totals["classes"]), ["doc_id", "tag"])
-    if _repeats(described):
-        texts = texts.dropDuplicates(["node"])
-    roots = linked(texts.select("node", "n", "text"), totals["n"] or 0, j)
-    grouped = classes.drop("n").join(small_side(roots, totals["classes"]), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return described, grouped, totals["classes"]
+    stored = keyed.join(firsts, "key").select(F.monotonically_increasing_id().alias("node"), "key", "n", F.col("rep.doc_id").alias("doc_id"), F.col("rep.tag").alias("tag"), "text")
+    name = f"classes_{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{name}"
+    try:
+        stored.write.bucketBy(shuffle_partitions(spark), "key").format("parquet").option("path", folder).saveAsTable(name)
+        texts = spark.table(name)
+        classes = texts.select("node", "key", "n", "doc_id", "tag").checkpoint()
+        roots = linked(texts.select("node", "key", "text"), classes.agg(F.sum("n")).first()[0] or 0, j)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove_folder(spark, folder)
+    grouped = classes.drop("n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return described, grouped
 
 
 def similarity_components(docs: DataFrame, j: Join = Join()) -> DataFrame:
@@ -395,10 +420,10 @@ def similarity_components(docs: DataFrame, j: Join = Join()) -> DataFrame:
     component_id is the smallest doc_id reachable over links.
     """
     prepare(docs.sparkSession)
-    described, grouped, n_classes = _classes(docs, j)
+    described, grouped = _classes(docs, j)
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = grouped.join(small_side(least, n_classes), "root").select("key", "component_id")
-    out = described.join(small_side(named, n_classes), "key", "left")
+    named = grouped.join(least, "root").select("key", "component_id")
+    out = described.join(named, "key", "left")
     own = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
 
@@ -409,12 +434,12 @@ def keep_one(docs: DataFrame, j: Join = Join()) -> DataFrame:
     Rows without an id or without words are kept as they are.
     """
     prepare(docs.sparkSession)
-    described, grouped, n_classes = _classes(docs, j)
+    described, grouped = _classes(docs, j)
     tag, own_id = free_name(docs, "tag"), free_name(docs, "doc_id_")
     first = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "tag")).alias("first")).select(F.col("first.doc_id").alias(own_id), F.col("first.tag").alias(tag)).checkpoint()
     keyed = _keyed(docs, tag).withColumn(own_id, F.col("doc_id").cast("long"))
     words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = keyed.join(small_side(first, n_classes), [own_id, tag], "left_semi").where(words)
+    kept = keyed.join(first.hint("shuffle_hash"), [own_id, tag], "left_semi").where(words)
     if _repeats(described):
         kept = kept.dropDuplicates([own_id, tag])
     return kept.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull() | ~words))

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestack.llm import chunk_dedup, jaccard_join, suffix_dedup
 from lodestack.llm.blobs import gather, runs_to_flags
@@ -284,6 +285,20 @@ def test_keep_one(spark):
     assert jaccard_join.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_no_table_that_grows_is_broadcast(spark, monkeypatch):
+    hinted, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: hinted.append(df.columns) or broadcast(df))
+    rows = [*corpus(4, 90), (2000, "\u00a0"), (2001, "\x1c"), (2002, " \u00a0\n")]
+    tables = len(spark.catalog.listTables())
+    joined = jaccard_join.similarity_components(spark.createDataFrame(rows, SCHEMA))
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, SCHEMA))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in joined.collect()}
+    assert got[2000] == got[2002] == (1, 2000) and got[2001] == (1, 2001)
+    assert {2000, 2001} <= {r["doc_id"] for r in kept.collect()} and len(spark.catalog.listTables()) == tables
+    # the least neighbours of a bounded number of edges only
+    assert all(columns == ["u", "m"] for columns in hinted)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text(alphabet="aA é\n\t\x00\x1f", max_size=20), max_size=6))
 def test_words_and_shingles(texts):
