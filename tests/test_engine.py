@@ -113,6 +113,16 @@ def test_company_pairs_of_short_keys(spark):
     assert got == {(x, y) for x in keys for y in keys if x in y or y in x}
 
 
+def test_company_pairs_broadcast_no_grams(spark):
+    names = spark.range(300).selectExpr("concat('Supplier#', lpad(id, 6, '0'), if(id % 2 = 0, '', ' Staffing')) AS company_name")
+    pairs = dedupe.company_pairs(names.unionByName(spark.createDataFrame([("Supplier#000001",)], "company_name string")))
+    plan = pairs._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [gram" in plan and "BroadcastHashJoin [gram" not in plan
+    got = [(r["a_key"], r["b_key"]) for r in pairs.collect()]
+    keys = [f"supplier{i:06d}{'' if i % 2 == 0 else 'staffing'}" for i in range(300)] + ["supplier000001"]
+    assert sorted(got) == sorted({(x, y) for x in keys for y in keys if x in y or y in x})
+
+
 def test_repost_family(spark):
     now = 200 * 86_400_000
     postings = spark.createDataFrame([(1, now), (2, now), (3, 0)], "posting_id bigint, first_seen_at_ms bigint")
