@@ -12,7 +12,8 @@ from lodestack.plans.ingest import evaluate_all, failed_run, ingest, score_all
 from lodestack.plugins import BatchEmbedder, HashingEmbedder
 from lodestack.schemas import POSTING, RAW_POSTING
 from lodestack.sources import landing
-from lodestack.sources.store import ConflictError, SchemaError, TableStore
+from lodestack.sources.store import ConflictError, SchemaError, TableStore, replaced, upserted
+from lodestack.storage import settled
 from lodestack.streaming.events import ingest_stream, landing_stream, session_counts, tumbling_counts
 
 
@@ -123,6 +124,30 @@ def test_company_pairs_broadcast_no_grams(spark):
     assert sorted(got) == sorted({(x, y) for x in keys for y in keys if x in y or y in x})
 
 
+def test_tables_of_all_postings_are_not_broadcast(spark, tmp_path):
+    # small as files, as ids and few values compress well
+    ids = settled(spark.range(1000).withColumnRenamed("id", "posting_id"))
+    plans = lambda rows: rows._jdf.queryExecution().sparkPlan().toString()
+    state = ids.select("posting_id", F.lit("passed").alias("outcome"), F.array().cast("array<string>").alias("results"))
+    store = TableStore(spark, str(tmp_path))
+    store.upsert("evaluations", state, ["posting_id"])
+    assert "Broadcast" not in plans(upserted(store.read("evaluations"), settled(state), ["posting_id"], ["outcome"]))
+    assert "Broadcast" not in plans(replaced(store.read("evaluations"), settled(state), ids, ["posting_id"]))
+    links = settled(ids.select("posting_id", (F.col("posting_id") % 3).alias("canonical_id"), F.lit(1.0).alias("similarity")))
+    postings = settled(ids.select("posting_id", F.lit(5).cast("bigint").alias("first_seen_at_ms")))
+    assert "Broadcast" not in plans(dedupe.repost_counts(postings, links, 10))
+
+
+def test_pivots_are_picked_without_rows_of_every_task(spark, monkeypatch):
+    # an ordered limit that is collected sends the driver its rows of each task
+    unit = lambda i: F.array(F.cos(i / 100), F.sin(i / 100))
+    rows = spark.range(0, 400, 1, 8).select(F.col("id").alias("posting_id"), F.lit("Acme").alias("company_name"), unit(F.col("id")).alias("vec"), F.col("id").alias("seq"))
+    collected, frame, collect = [], type(rows), type(rows).collect
+    monkeypatch.setattr(frame, "collect", lambda self: collected.append(self._jdf.queryExecution().sparkPlan().toString()) or collect(self))
+    dedupe.semantic_links(rows, rows)
+    assert len(collected) == 1 and "TakeOrdered" not in collected[0]
+
+
 def test_repost_family(spark):
     now = 200 * 86_400_000
     postings = spark.createDataFrame([(1, now), (2, now), (3, 0)], "posting_id bigint, first_seen_at_ms bigint")
