@@ -136,6 +136,10 @@ def test_tables_of_all_postings_are_not_broadcast(spark, tmp_path):
     links = settled(ids.select("posting_id", (F.col("posting_id") % 3).alias("canonical_id"), F.lit(1.0).alias("similarity")))
     postings = settled(ids.select("posting_id", F.lit(5).cast("bigint").alias("first_seen_at_ms")))
     assert "Broadcast" not in plans(dedupe.repost_counts(postings, links, 10))
+    vectors = settled(ids.select("posting_id", F.concat(F.lit("Acme"), F.col("posting_id") % 50).alias("company_name"), F.array(F.lit(1.0), F.lit(0.0)).alias("vec"), F.col("posting_id").alias("seq")))
+    # of company_pairs alone the keys of one or two letters are broadcast, of which there are 1,332 at most
+    joins = [line for line in plans(dedupe.similar_candidates(vectors, vectors)).splitlines() if "BroadcastHashJoin" in line]
+    assert all("BroadcastHashJoin [b#" in line for line in joins)
 
 
 def test_pivots_are_picked_without_rows_of_every_task(spark, monkeypatch):
